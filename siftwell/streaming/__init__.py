@@ -1,0 +1 @@
+"""Reserved: every operator is a finite batch computation, so no streaming plan exists."""
