@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from siftwell.llm.decontamination import OP2_SQL, op2_decontamination
+from siftwell.llm.language_id import op4_language_id
 from siftwell.llm.license_scan import op8_license_scan, op8_sql
 from siftwell.llm.mixing import OP6_SQL, op6_source_mix
+from siftwell.llm.quality_classifier import op10_quality_classifier
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from siftwell.llm.token_counts import op7_token_counts
+from siftwell.llm.token_output import op5_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op4_language_id": op4_language_id,
+    "op5_token_output": op5_token_output,
     "op6_source_mix": op6_source_mix,
+    "op7_token_counts": op7_token_counts,
     "op8_license_scan": op8_license_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {
