@@ -6,6 +6,7 @@ from siftwell.llm.decontamination import OP2_SQL, op2_decontamination
 from siftwell.llm.language_id import op4_language_id
 from siftwell.llm.license_scan import op8_license_scan, op8_sql
 from siftwell.llm.mixing import OP6_SQL, op6_source_mix
+from siftwell.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from siftwell.llm.quality_classifier import op10_quality_classifier
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from siftwell.llm.token_counts import op7_token_counts
@@ -14,6 +15,7 @@ from siftwell.llm.token_output import op5_token_output
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_token_output": op5_token_output,
     "op6_source_mix": op6_source_mix,
@@ -25,6 +27,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op3_ngram_jaccard": OP3_SQL,
     "op6_source_mix": OP6_SQL,
     "op8_license_scan": op8_sql(),
 }
