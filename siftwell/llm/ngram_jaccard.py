@@ -28,15 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import join_bounded
 from siftwell.operators.graph import connected_components
 from siftwell.sources.scratch import materialise, table
 
 SHINGLE = 4
 #: The threshold as a fraction.
-NUMERATOR, DENOMINATOR = 85, 100
+THRESHOLD = (85, 100)
 MEMO_WORDS = 500_000
 #: Rows of the matrix to a side of a tile, and cells of a dense column range.
 TILE, CELLS = 512, 1 << 23
+#: Ids of copies that may be broadcast; beyond it the documents are shuffled.
+BROADCAST_COPIES = 1_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -170,41 +173,43 @@ def _unpack(bits: int):
     return run
 
 
-def _least_overlap(n):
-    return F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
+def _least_overlap(n, t):
+    return F.ceil(n * F.lit(t[0]) / F.lit(t[1]))
 
 
-def _reaches(shared, n1, n2):
-    return shared * (NUMERATOR + DENOMINATOR) >= (n1 + n2) * NUMERATOR
+def _reaches(shared, n1, n2, t):
+    """Overlap over union of at least t, in whole numbers."""
+    return shared * (t[0] + t[1]) >= (n1 + n2) * t[0]
 
 
-def _overlap_bound(n1, c1, n2, c2):
+def _overlap_bound(n1, c1, n2, c2, t):
     """Whether two rows with n entries, c of them shared with any row, can reach the threshold."""
-    return _reaches(F.least(c1, c2), n1, n2)
+    return _reaches(F.least(c1, c2), n1, n2, t)
 
 
-def _tile_links(batches):
+def _tile_links(t: tuple[int, int]):
     """Spanning forests of the links in each tile; rows arrive sorted by tile key."""
-    held: dict[tuple, list] = {}
-
-    def done(key):
-        return forest(held.pop(key), key[1] != key[2])
-
-    out_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    last = None
-    for b in batches:
-        for h, i, j, side, sid, comp, n, feats in zip(*(b.column(c).to_pylist() for c in ("gram", "i", "j", "side", "sid", "component", "n", "feats"))):
-            key = (h, i, j)
-            if key != last and last is not None:
-                links = done(last)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], schema=out_schema)
-            last = key
-            held.setdefault(key, []).append((side, sid, comp, n, np.asarray(feats, "i8")))
-    if last is not None:
-        links = done(last)
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], schema=out_schema)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def tiles(batches):
+        rows, last = [], None
+        for b in batches:
+            for h, i, j, side, sid, comp, n, feats in zip(*(b.column(c).to_pylist() for c in ("gram", "i", "j", "side", "sid", "component", "n", "feats"))):
+                if (h, i, j) != last:
+                    if rows:
+                        yield last, rows
+                    rows, last = [], (h, i, j)
+                rows.append((side, sid, comp, n, np.asarray(feats, "i8")))
+        if rows:
+            yield last, rows
+
+    def run(batches):
+        for (_, i, j), rows in tiles(batches):
+            links = forest(rows, i != j, t)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], schema=schema)
+
+    return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -229,14 +234,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def forest(rows: list[tuple], crossed: bool) -> list[tuple[bytes, bytes]]:
+def forest(rows: list[tuple], crossed: bool, t: tuple[int, int] = THRESHOLD) -> list[tuple[bytes, bytes]]:
     left = [r for r in rows if r[0] == 0] if crossed else rows
     right = [r for r in rows if r[0] == 1] if crossed else rows
     if not left or not right or len(rows) < 2:
         return []
     shared = overlaps([r[4] for r in left], [r[4] for r in right])
     n1, n2 = np.asarray([r[3] for r in left]), np.asarray([r[3] for r in right])
-    link = shared * (NUMERATOR + DENOMINATOR) >= (n1[:, None] + n2) * NUMERATOR
+    link = shared * (t[0] + t[1]) >= (n1[:, None] + n2) * t[0]
     parent: dict[bytes, bytes] = {}
 
     def root(x):
@@ -253,7 +258,7 @@ def forest(rows: list[tuple], crossed: bool) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def incidence(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def incidence(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Members (``doc_id, sid, n``) and the rows ``sid, n, feats`` that may link with another, single columns left out."""
     spark = docs.sparkSession
     bits = max(10, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2))
@@ -262,50 +267,50 @@ def incidence(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     members = entries.where("row IS NULL").select("doc_id", "sid", "n")
     rows = entries.where("sid IS NOT NULL AND row IS NOT NULL").select("row", "sid", "n")
     grams = entries.where("gram IS NOT NULL").groupBy("row").agg(F.collect_list("gram").alias("feats"))
-    wide = grams.join(rows, "row").where(F.size("feats") >= _least_overlap(F.col("n")))
+    wide = grams.join(rows, "row").where(F.size("feats") >= _least_overlap(F.col("n"), t))
     return members, materialise(wide.groupBy("sid").agg(F.first("n").alias("n"), F.first("feats").alias("feats")), "rows")
 
 
-def near_links(rows: DataFrame) -> DataFrame:
+def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``a, b``: links between ``rows`` that connect exactly what all links connect."""
     flat = rows.select("sid", "n", F.explode("feats").alias("gram"))
     common = flat.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = flat.join(common, "gram").groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "gram")).alias("f"))
-    kept = kept.withColumn("c", F.size("f")).where(F.col("c") >= _least_overlap(F.col("n")))
+    kept = kept.withColumn("c", F.size("f")).where(F.col("c") >= _least_overlap(F.col("n"), t))
     # Entries that were left out are the rarest and stand first in the order.
-    prefix = F.col("n") - _least_overlap(F.col("n")) + 1 - (F.col("n") - F.col("c"))
+    prefix = F.col("n") - _least_overlap(F.col("n"), t) + 1 - (F.col("n") - F.col("c"))
     kept = kept.withColumn("f", F.transform(F.sort_array("f"), lambda x: x["gram"])).withColumn("p", prefix.cast("int")).where("p > 0")
     kept = materialise(kept.select("sid", "n", "c", F.col("f").alias("feats"), "p"), "kept-rows")
     blocks = materialise(kept.select("sid", "n", "c", F.explode(F.slice("feats", F.lit(1), F.col("p"))).alias("gram")), "blocks")
 
     pivot = blocks.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("single"), "sid", "n", "c")).alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    star = blocks.join(pivot, "gram").where(F.col("sid") != F.col("pivot.sid")).where(_overlap_bound(F.col("n"), F.col("c"), F.col("pivot.n"), F.col("pivot.c")))
+    star = blocks.join(pivot, "gram").where(F.col("sid") != F.col("pivot.sid")).where(_overlap_bound(F.col("n"), F.col("c"), F.col("pivot.n"), F.col("pivot.c"), t))
     star = star.select("sid", F.col("pivot.sid").alias("other")).distinct()
     one = kept.select("sid", "n", "feats")
     two = kept.select(F.col("sid").alias("other"), F.col("n").alias("n2"), F.col("feats").alias("feats2"))
     tried = star.join(one, "sid").join(two, "other")
-    links = materialise(tried.where(_reaches(F.size(F.array_intersect("feats", "feats2")), F.col("n"), F.col("n2"))).select(F.col("sid").alias("a"), F.col("other").alias("b")), "star-links")
+    links = materialise(tried.where(_reaches(F.size(F.array_intersect("feats", "feats2")), F.col("n"), F.col("n2"), t)).select(F.col("sid").alias("a"), F.col("other").alias("b")), "star-links")
 
     found = connected_components(links)
     labelled = blocks.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     labelled = materialise(labelled, "labelled")
     kinds = labelled.groupBy("gram", "n", "c").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     kinds = kinds.groupBy("gram").agg(F.collect_list(F.struct("n", "c", "low", "high")).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("gram", "kinds")
-    may = lambda k: ((k["low"] != F.col("component")) | (k["high"] != F.col("component"))) & _overlap_bound(F.col("n"), F.col("c"), k["n"], k["c"])
+    may = lambda k: ((k["low"] != F.col("component")) | (k["high"] != F.col("component"))) & _overlap_bound(F.col("n"), F.col("c"), k["n"], k["c"], t)
     active = materialise(labelled.join(kinds, "gram").where(F.exists("kinds", may)).select("gram", "sid", "component", "n"), "active")
     sizes = active.groupBy("gram").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("m")).where("m > 1")
     placed = active.join(sizes, "gram").withColumn("t", F.pmod(F.xxhash64("sid", "gram"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("gram", "sid", "component", "n", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
     cells = placed.join(one.select("sid", "feats"), "sid").repartition(F.col("gram"), F.col("i"), F.col("j")).sortWithinPartitions("gram", "i", "j")
-    more = cells.select("gram", "i", "j", "side", "sid", "component", "n", "feats").mapInArrow(_tile_links, "a binary, b binary")
+    more = cells.select("gram", "i", "j", "side", "sid", "component", "n", "feats").mapInArrow(_tile_links(t), "a binary, b binary")
     return links.unionByName(materialise(more, "tile-links"))
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    members, rows = incidence(docs, k)
-    found = connected_components(near_links(rows))
+    members, rows = incidence(docs, k, t)
+    found = connected_components(near_links(rows, t))
     least = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     least = least.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = materialise(least, "classes")
@@ -315,6 +320,20 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """``docs`` with the smallest id of every component; rows that share an id are one document, of which one row stays."""
+    found = materialise(jaccard_components(docs, k, threshold), "components")
+    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    out = join_bounded(docs, gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti", gone.count(), BROADCAST_COPIES)
+    twice = materialise(found.groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1 AND _twice IS NOT NULL").select("_twice"), "twice")
+    n = twice.count()
+    if not n:
+        return out
+    once = join_bounded(out, twice, F.col("doc_id") == F.col("_twice"), "left_anti", n, BROADCAST_COPIES)
+    more = join_bounded(out, twice, F.col("doc_id") == F.col("_twice"), "left_semi", n, BROADCAST_COPIES).dropDuplicates(["doc_id"])
+    return once.unionByName(more)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

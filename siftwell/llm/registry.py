@@ -9,6 +9,7 @@ from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from siftwell.llm.quality_classifier import op10_quality_classifier
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from siftwell.llm.repeat_removal import op9_repeat_removal
 from siftwell.llm.token_counts import op7_token_counts
 from siftwell.llm.token_output import op5_token_output
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_license_scan": op8_license_scan,
+    "op9_repeat_removal": op9_repeat_removal,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
