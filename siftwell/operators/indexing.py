@@ -30,3 +30,14 @@ def with_global_index(df: DataFrame, order: list[Column], name: str) -> DataFram
     ordered = range_ordered(df, order, "global-index")
     offsets = part_offsets(ordered, F.lit(1))
     return ordered.join(F.broadcast(offsets), "_part", "left").withColumn(name, F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset")
+
+
+def with_running_total(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """Add ``name``: the total of ``amount`` over all rows before this one in ``order``."""
+    from pyspark.sql import Window
+
+    ordered = range_ordered(df, order, "running-total")
+    offsets = part_offsets(ordered, F.col(amount))
+    before = F.sum(amount).over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    out = ordered.withColumn("_in", F.coalesce(before, F.lit(0))).join(F.broadcast(offsets), "_part", "left")
+    return out.withColumn(name, F.col("_offset") + F.col("_in")).drop("_part", "_row", "_offset", "_in")
