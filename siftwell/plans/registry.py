@@ -1,6 +1,21 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siftwell.plans import queries as q
+from siftwell.plans.oracles import ORACLES  # noqa: F401
+
+_NAMES = """
+dense_topk gold_rank dense_recall_mrr mean_top1_sim nn_graph confusion_pairs geometry_probe matrix_gaps
+rank_stable rank_worst_tie zscore_per_query nearest_row rerank_replace rerank_depths
+tokenize term_stats bm25_topk bm25_subpool bm25_nonzero_frac
+fuse_zscore fuse_rrf fuse_rrf_tie fuse_window fuse_full fusion_sweep union_ceiling pool_curve
+dedup_queries tool_holdout route_splits group_cap_sample stratified_sample fixed_batches near_dup_cross
+confusable_components component_partition partition_audit
+bucket_stats headroom headroom_no_reference representation_ratio sign_split best_config pooled_metrics
+selector_tally conditional_accuracy run_disagreements mcnemar_exact paired_bootstrap
+hard_negatives negative_provenance oracle_shortlist composed_arms rescued_lost shortlist_dedup
+humanize_path slug_and_key side_effects doc_quality first_wins redact json_fenced_extract paged_prompts table_digest extract_operations
+""".split()
+
+QUERIES = {name: getattr(q, name) for name in _NAMES} | {f"doc_text_{v}": q._doc_text(v) for v in ("v0", "v1", "v2", "v3")}
