@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftwell.plans import queries as q
-from siftwell.plans.oracles import ORACLES  # noqa: F401
+from siftwell.plans.oracles import ORACLES as _SQL
 
 _NAMES = """
 dense_topk gold_rank dense_recall_mrr mean_top1_sim nn_graph confusion_pairs geometry_probe matrix_gaps
@@ -19,3 +19,15 @@ humanize_path slug_and_key side_effects doc_quality first_wins redact json_fence
 """.split()
 
 QUERIES = {name: getattr(q, name) for name in _NAMES} | {f"doc_text_{v}": q._doc_text(v) for v in ("v0", "v1", "v2", "v3")}
+
+#: Ranks and slots are 32-bit integers in the queries.
+_RANKS = {
+    "rank": "dense_topk gold_rank rank_stable rank_worst_tie bm25_topk bm25_subpool",
+    "new_rank": "rerank_replace fuse_rrf fuse_rrf_tie fuse_window fuse_full",
+    "pick": "group_cap_sample",
+    "slot": "oracle_shortlist",
+}
+ORACLES = dict(_SQL)
+for _column, _queries in _RANKS.items():
+    for _name in _queries.split():
+        ORACLES[_name] = f"SELECT * REPLACE ({_column}::INTEGER AS {_column}) FROM ({_SQL[_name]})"
