@@ -19,6 +19,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
+#: Least weight of the prior in documents, so that one document alone condemns no host.
+MIN_PRIOR_DOCS = 2.0
 #: Host verdicts are broadcast up to this many hosts (some 50 MB); beyond it the join shuffles.
 BROADCAST_HOSTS = 500_000
 
@@ -73,7 +75,7 @@ def host_rates(measured: DataFrame, rules: list[str]) -> DataFrame:
     """Failures by host and rule, with rates shrunk towards a beta prior fitted by moments over the hosts.
 
     The prior's mean is the pooled failure rate; its weight comes from the spread of host rates beyond binomial noise
-    (no spread: the pooled rate is used for every host).
+    (no spread: the pooled rate is used for every host) and is MIN_PRIOR_DOCS documents at least.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in rules])
     hosts = materialise(hosts, "hosts")
@@ -92,7 +94,7 @@ def host_rates(measured: DataFrame, rules: list[str]) -> DataFrame:
         if mean in (0.0, 1.0) or var <= 0:
             rate = F.lit(mean)
         else:
-            weight = max(mean * (1 - mean) / var - 1, 0.0)
+            weight = max(mean * (1 - mean) / var - 1, MIN_PRIOR_DOCS)
             rate = (F.col(r) + mean * weight) / (F.col("n") + weight)
         out = out.withColumn(f"{r}_rate", rate)
     return out
@@ -148,8 +150,8 @@ WITH t AS (
             (wb - docs * mb * mb - (k - 1) * mb * (1 - mb)) / nullif(greatest(docs - sq / docs - (k - 1), 0), 0) AS vb FROM s
 ), p AS (
   SELECT source,
-    CASE WHEN ma IN (0, 1) OR coalesce(va, 0) <= 0 THEN ma ELSE (a + ma * greatest(ma * (1 - ma) / va - 1, 0)) / (n + greatest(ma * (1 - ma) / va - 1, 0)) END AS ra,
-    CASE WHEN mb IN (0, 1) OR coalesce(vb, 0) <= 0 THEN mb ELSE (b + mb * greatest(mb * (1 - mb) / vb - 1, 0)) / (n + greatest(mb * (1 - mb) / vb - 1, 0)) END AS rb
+    CASE WHEN ma IN (0, 1) OR coalesce(va, 0) <= 0 THEN ma ELSE (a + ma * greatest(ma * (1 - ma) / va - 1, 2)) / (n + greatest(ma * (1 - ma) / va - 1, 2)) END AS ra,
+    CASE WHEN mb IN (0, 1) OR coalesce(vb, 0) <= 0 THEN mb ELSE (b + mb * greatest(mb * (1 - mb) / vb - 1, 2)) / (n + greatest(mb * (1 - mb) / vb - 1, 2)) END AS rb
   FROM h, v
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 OR f2) AS base_failed,

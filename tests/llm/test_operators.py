@@ -1,0 +1,481 @@
+"""Each operator against a brute-force version, with nulls, empties, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftwell.llm import language_id, license_scan, mixing, ngram_jaccard, quality_classifier, quality_rules, repeat_removal, token_counts, token_output
+from siftwell.llm.decontamination import clean_documents, contaminated
+from siftwell.llm.tokens import UnitEncoder, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, lang, src, None) for i, t, lang, src in rows], DOCS)
+    if extra:
+        for c in ("n", "kept", "row", "spans", "gram", "size", "n_words", "threshold", "rank", "host", "count"):
+            df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+def odd_rows():
+    """Rows that every operator must take."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    return [
+        (None, "a text without an id that has some words in it", "en", "s1"),
+        (1, None, "en", "s1"), (2, "", "en", None), (3, " \n\t ", None, "s2"), (4, "one", "en", "s2"),
+        (5, "same text here and there", "en", "s1"), (5, "same text here and there", "en", "s1"),
+        (6, long, "de", "s3"), (7, "日本語 ß É x\x1fy \U0001f600 ends", "fr", "s1"), (8, "**#$ %%% &|<>", "en", "s1"),
+    ]
+
+
+# --- quality rules
+
+
+def rules_of(text):
+    w = WORD.findall(text or "")
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark):
+    rnd = random.Random(3)
+    rows = odd_rows() + [(100 + k, "".join(rnd.choice("ab \n*") for _ in range(rnd.randint(0, 200))), "en", "s1") for k in range(60)]
+    got = quality_rules.quality_rules(frame(spark, rows, extra=True)).collect()
+    key = lambda r: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+    assert sorted((repr(r["doc_id"]), key(r)) for r in got) == sorted((repr(i), rules_of(t)) for i, t, _, _ in rows)
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in got)
+
+
+def test_host_verdict_shrinks_small_hosts(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, good, "en", f"h{i % 20}") for i in range(400)] + [(1000 + i, "bad", "en", "junk") for i in range(50)] + [(2000, good, "en", "junk"), (3000, "bad", "en", "tiny")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert not got[2000]["base_failed"] and not got[2000]["kept"], "a good document of a bad host goes"
+    assert got[0]["kept"] and got[3000]["fails_short_rate"] < 1.0
+    assert quality_rules.quality_rules(frame(spark, [])).count() == 0
+
+
+# --- decontamination
+
+
+def shingles(text, k=5):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({" ".join(w)} if w else set())
+
+
+def test_contaminated_against_brute_force(spark):
+    rnd = random.Random(5)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(rnd.choices(vocab, k=rnd.randint(5, 40)))) for k in range(30)] + [(50, None), (51, ""), (52, "w0 w1"), (None, "one"), (0, "repeat of an item id with other words")]
+    rows = odd_rows()
+    for k in range(80):
+        w = rnd.choices(vocab, k=rnd.randint(0, 200))
+        item = (rnd.choice(items[:30])[1]).split()
+        for _ in range(rnd.randint(0, 3)):
+            item[rnd.randrange(len(item))] = "changed"
+        at = rnd.randint(0, len(w))
+        rows.append((100 + k, ", ".join(w[:at] + item + w[at:]).upper() if k % 3 else " ".join(w), "en", "s"))
+    docs, bench = frame(spark, rows, extra=True), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, t, _, _ in rows:
+        for j, x in items:
+            s = shingles(x)
+            if s and len(s & shingles(t)) >= -(-4 * len(s) // 5):
+                want.add((i, j))
+    got = [(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    left = clean_documents(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(repr(r[0]) for r in left.select("doc_id").collect()) == sorted(repr(i) for i, *_ in rows if i not in {w for w, _ in want})
+    assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
+
+
+# --- n-gram Jaccard join
+
+
+def jaccard_classes(rows, k=4, t=(85, 100)):
+    sets = []
+    for i, text, *_ in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and t[1] * len(sets[a] & sets[b]) >= t[0] * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = defaultdict(list)
+    for a, (i, *_) in enumerate(rows):
+        least[root(a)].append(i)
+    return sorted((repr(i), len(s), repr(min((x for x in least[root(a)] if x is not None), default=None) if s else i)) for a, ((i, *_), s) in enumerate(zip(rows, sets)))
+
+
+def near_rows(seed, n=140):
+    """Families of copies with edits upon edits, so that links chain."""
+    rnd = random.Random(seed)
+    vocab = [f"v{i}" for i in range(5000)]
+    shared = rnd.choices(vocab, k=40)
+    rows, made = [], []
+    for k in range(n):
+        if made and rnd.random() < 0.8:
+            w = list(rnd.choice(made))
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        else:
+            w = rnd.choices(vocab, k=rnd.randint(1, 150)) + (shared if rnd.random() < 0.5 else [])
+        made.append(w)
+        rows.append((1000 - k, " ".join(w), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_components(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_jaccard, "TILE", 16)
+    rows = near_rows(seed) + odd_rows()
+    got = ngram_jaccard.jaccard_components(frame(spark, rows, extra=True)).collect()
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got) == jaccard_classes(rows)
+
+
+def test_jaccard_threshold_and_one_of_each(spark):
+    rows = near_rows(7, 80) + [(5, "same text here and there", "en", "s1")] * 2 + [(4000, None, "en", "s"), (4001, "", "en", "s")]
+    df = frame(spark, rows, extra=True)
+    got = ngram_jaccard.jaccard_components(df, 5, (80, 100)).collect()
+    want = jaccard_classes(rows, 5, (80, 100))
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got) == want
+    left = ngram_jaccard.one_of_each(df, 5, (80, 100))
+    assert left.columns == df.columns
+    assert sorted(repr(r[0]) for r in left.select("doc_id").collect()) == sorted({c for _, _, c in want})
+    assert ngram_jaccard.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_tiles_give_a_forest_of_all_links():
+    rnd = random.Random(9)
+    sets = [np.unique(np.asarray(rnd.choices(range(60), k=40))) for _ in range(50)]
+    rows = [(k % 2, bytes([k]), bytes([k]), len(s), s) for k, s in enumerate(sets)]
+    for crossed in (False, True):
+        pairs = [(a, b) for a in range(50) for b in range(a) if (not crossed or a % 2 != b % 2) and 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))]
+        links = ngram_jaccard.forest(rows, crossed, (1, 2))
+
+        def classes(edges):
+            p = list(range(50))
+            for a, b in edges:
+                ra, rb = p[a], p[b]
+                p = [min(ra, rb) if x in (ra, rb) else x for x in p]
+            return p
+
+        assert classes([(a[0], b[0]) for a, b in links]) == classes(pairs) and len(links) < 50
+
+
+# --- language identification
+
+
+def test_language_profiles(spark):
+    rnd = random.Random(2)
+    alpha = {"aa": "abcde", "bb": "defgh", "cc": "ßéüñx"}
+    text = lambda a: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(1, 8))) for _ in range(60))
+    rows = [(100 + i, text(a), lang, "s") for i in range(60) for lang, a in [rnd.choice(list(alpha.items()))]] + odd_rows()
+    df = frame(spark, rows, extra=True)
+    grams = {}
+    for lang in {x[2] for x in rows if x[2]}:
+        c = Counter()
+        for i, t, own, _ in rows:
+            if own == lang and t is not None:
+                s = "".join(ch if ch.isalpha() else " " for ch in t.lower())
+                for w in s.split():
+                    p = f" {w} "
+                    c.update(w)
+                    c.update(p[k : k + 2] for k in range(len(p) - 1))
+                    c.update(p[k : k + 3] for k in range(len(p) - 2))
+                # trigrams over a blank between two words
+                ws = s.split()
+                c.update(a[-1] + " " + b[0] for a, b in zip(ws, ws[1:]))
+        code = lambda g: sum(ord(ch) << 21 * (len(g) - 1 - k) for k, ch in enumerate(g))
+        grams[lang] = [code(g) for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+    learned = language_id.learn_profiles(df)
+    assert {k: v.tolist() for k, v in learned.items()} == grams
+    got = {r["doc_id"]: r for r in language_id.predict_language(df, learned).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang, _ in rows[:60])
+    assert (got[1]["lang_pred"], got[2]["lang_pred"], got[8]["lang_pred"]) == ("und",) * 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert language_id.predict_language(df, {}).where("lang_pred <> 'und'").count() == 0 and language_id.learn_profiles(df.limit(0)) == {}
+
+
+def test_language_chunks_agree(monkeypatch):
+    codes = language_id.letter_codes("some words, and some more words " * 40)
+    whole = language_id.gram_counts(codes)
+    monkeypatch.setattr(language_id, "CHUNK", 64)
+    parts = language_id.gram_counts(codes)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+# --- tokens
+
+
+def random_text(rnd):
+    return "".join(rnd.choice("ab é,.'\n\t   1$|<>ß中\r日s  \x1f") for _ in range(rnd.randint(0, 40)))
+
+
+def test_unit_encoder_equals_the_library():
+    rnd = random.Random(1)
+    ids, spans = UnitEncoder(tokenizer_path(), memo=50), UnitEncoder(tokenizer_path(), spans=True, memo=50)
+    for _ in range(60):
+        texts = [random_text(rnd) for _ in range(20)] + ["plain words, and more.\nNext line", ""]
+        want = ids.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<i4").tolist() for x in ids.encode(texts)] == [e.ids for e in want]
+        assert [list(zip(a.tolist(), b.tolist())) for a, b in spans.encode_spans(texts)] == [[tuple(o) for o in e.offsets] for e in want]
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    rows = odd_rows()
+    df = frame(spark, rows, extra=True)
+    token_output.write_token_files(df, str(tmp_path / "t"), tokenizer_path(), metadata=("doc_id", "lang"))
+    files = token_output.read_token_files(spark, str(tmp_path / "t"))
+    got = sorted(files.collect(), key=lambda r: r["start"])
+    enc = UnitEncoder(tokenizer_path()).tokenizer
+    assert [r["doc_id"] for r in got] == sorted((i for i, *_ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids"][-1] == 2
+        at += len(r["ids"])
+    want = sorted(tuple([*enc.encode(t or "", add_special_tokens=False).ids, 2]) for _, t, *_ in rows)
+    assert sorted(tuple(r["ids"]) for r in got) == want
+    digests = token_output.id_digests(files).collect()
+    assert sorted(r["ids_crc32"] for r in digests) == sorted(zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in want)
+    plan = files.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1].split(">")[0], "metadata is read without the ids"
+    assert token_output.token_output(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        token_output.write_token_files(df, str(tmp_path / "u"), tokenizer_path(), metadata=("doc_id", "text"))
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, rule):
+    rows = odd_rows() + [(20, "a\n\n\nb  c\n", "en", "s"), (21, "中文字\n日本", "en", "s")]
+    got = defaultdict(list)
+    for r in token_counts.token_counts(frame(spark, rows, extra=True), rule=rule).collect():
+        got[r["doc_id"]].append((r["section"], r["start"], r["end"], r["n_tokens"]))
+    enc = UnitEncoder(tokenizer_path()).tokenizer
+    for i, t, *_ in rows:
+        if t is None:
+            assert i not in got
+            continue
+        if i in (5, 6):
+            continue
+        lines, at = [], 0
+        for part in re.split(r"(?<=\n)(?=.)", t, flags=re.S) if t else [""]:
+            lines.append((at, at + len(part)))
+            at += len(part)
+        n = [0] * len(lines)
+        for a, b in enc.encode(t, add_special_tokens=False).offsets:
+            shared = [min(b, e) - max(a, s) for s, e in lines]
+            if rule == "largest":
+                k = shared.index(max(shared))
+            else:
+                p = a if rule == "first" else max(b - 1, a)
+                k = next(k for k, (s, e) in enumerate(lines) if s <= p < e)
+            n[k] += 1
+        assert sorted(got[i]) == [(k, s, e, c) for k, ((s, e), c) in enumerate(zip(lines, n))], (i, rule)
+
+
+def test_token_counts_of_given_sections(spark):
+    df = spark.createDataFrame([(1, "one two three four", [(0, 5), (9, 18)])], "doc_id long, text string, sections array<struct<start:int,end:int>>")
+    got = {r["section"]: r["n_tokens"] for r in token_counts.token_counts(df, rule="first", sections=True).collect()}
+    assert got == {-1: 1, 0: 1, 1: 1} or sum(got.values()) == 4
+
+
+# --- mixing
+
+
+def test_targets_fill_by_weight(spark):
+    rows = [(i, "w " * n, "en", s) for i, (s, n) in enumerate([("a", 10), ("b", 200), ("c", 50), (None, 400), ("é", 1), ("z", 0)])]
+    docs = frame(spark, rows, extra=True)
+    got = {r["source"]: (r["source_size"], r["weight"], r["target"]) for r in mixing.source_targets(docs.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    sizes = {s: n for _, t, _, s in rows for n in [len((t or "").split())]}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weights = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    left = sum(sizes.values())
+    while True:
+        level = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if weights[s] * level > 3 * sizes[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * sizes[s]
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    target |= {s: weights[s] * level for s in open_}
+    assert {s: (sizes[s], weights[s], pytest.approx(target[s])) for s in order} == got
+
+
+def test_mix_emits_copies_near_the_target(spark):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randint(1, 30), "en", rnd.choice(["a", "b", "c", "c", "c", "c"])) for i in range(3000)] + [(None, None, "en", None), (3, "w w", "en", "a"), (3, "w w", "en", "a")]
+    docs = frame(spark, rows, extra=True)
+    m = mixing.mix(docs).collect()
+    assert m == mixing.mix(docs).collect() and len(m) == len(rows) and all(r["mix_copies"] <= 3 for r in m)
+    taken, target = Counter(), {}
+    for r in m:
+        taken[r["source"]] += r["mix_size"] * r["mix_copies"]
+        target[r["source"]] = r["mix_target"]
+    assert all(abs(taken[s] - t) <= 0.06 * t + 60 for s, t in target.items())
+    out = mixing.emit_copies(mixing.mix(docs))
+    assert out.columns == docs.columns and out.count() == sum(r["mix_copies"] for r in m)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# --- licence scan
+
+
+def test_license_scan(spark):
+    rows = odd_rows() + [
+        (30, "Some words.\nReleased under the MIT License.\nMore.", "en", "s"),
+        (31, "LICENSED under the apache license version 2.0", "en", "s"),
+        (32, "This work is licensed under nothing at all that anyone has ever heard of", "en", "s"),
+        (33, license_scan.TEMPLATES["MIT-text"].replace(" ", "\n"), "en", "s"),
+    ]
+    got = {(r["doc_id"], r["license_id"]): r["dice"] for r in license_scan.license_scan(frame(spark, rows, extra=True)).collect()}
+
+    def bigrams(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return set(zip(w, w[1:]))
+
+    want = {}
+    for i, t, *_ in rows:
+        for unit in [*(t or "").split("\n"), t or ""]:
+            a = bigrams(unit)
+            for name, x in license_scan.TEMPLATES.items():
+                b = bigrams(x)
+                d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
+                if d >= 0.8:
+                    want[i, name] = max(d, want.get((i, name), 0))
+    assert got == pytest.approx(want, abs=1e-6) and (30, "MIT-notice") in got and (33, "MIT-text") in got and not any(i == 32 for i, _ in got)
+    assert license_scan.license_scan(frame(spark, [])).count() == 0
+
+
+# --- repeated strings
+
+
+def repeats(rows, length, first):
+    place = defaultdict(list)
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    for rank, k in enumerate(order):
+        for p in range(len(texts[k]) - length + 1):
+            place[texts[k][p : p + length]].append((rank, p, k))
+    mask = [bytearray(len(t)) for t in texts]
+    for found in place.values():
+        if len(found) > 1:
+            for _, p, k in sorted(found)[1 if first else 0 :]:
+                mask[k][p : p + length] = b"\x01" * length
+    out = []
+    for (i, *_), t, m in zip(rows, texts, mask):
+        kept = bytes(c for c, x in zip(t, m) if not x)
+        out.append((repr(i), len(t), sum(m), len(re.findall(b"\x01+", bytes(m))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("length", [70, 400])
+def test_repeats_against_brute_force(spark, first, length):
+    rnd = random.Random(length)
+    passages = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(60, 900))) for _ in range(6)]
+    rows = [(None, passages[0], "en", "s"), (0, None, "en", "s"), (1, "", "en", "s"), (2, "x" * 1500, "en", "s"), (3, "ab" * 700 + "q", "en", "s"), (4, "ab" * 900, "en", "s")]
+    for k in range(40):
+        parts = [rnd.choice(passages)[rnd.choice([0, 0, 7]) :] if rnd.random() < 0.5 else "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 300))) for _ in range(rnd.randint(0, 5))]
+        rows.append((10 + k, "".join(parts), "en", "s"))
+    rows.append((99, "".join(rnd.choice("abcdefgh ") for _ in range(9000)) + passages[1], "en", "s"))
+    if not first:
+        rows.append(rows[12])  # repeated rows are copies of each other
+    got = repeat_removal.remove_repeats(frame(spark, rows, extra=True), length, keep_first=first, segment=1 << 12).collect()
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == repeats(rows, length, first)
+    assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_repeats_of_nothing(spark):
+    assert repeat_removal.remove_repeats(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        repeat_removal.remove_repeats(frame(spark, []), 10)
+
+
+# --- quality classifier
+
+
+def kneser_ney_reference(texts):
+    """Interpolated modified Kneser-Ney over word trigrams with two leading marks, as plain dictionaries."""
+    tri = Counter()
+    for t in texts:
+        w = ["", "", *WORD.findall(t)]
+        tri.update(zip(w, w[1:], w[2:]))
+    bi = Counter((b, c) for _, b, c in tri)
+    uni = Counter(c for _, c in bi)
+
+    def order(counts, context):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = {k: max(k - (k + 1) * y * n[k + 1] / n[k], 0.0) if n[k] and n[1] else 0.5 for k in (1, 2, 3)}
+        total, back = Counter(), Counter()
+        for g, c in counts.items():
+            total[context(g)] += c
+            back[context(g)] += d[min(c, 3)]
+        return {g: (c - d[min(c, 3)]) / total[context(g)] for g, c in counts.items()}, {x: back[x] / total[x] for x in total}
+
+    (s1, g1), (s2, g2), (s3, g3) = order(uni, lambda g: ""), order(bi, lambda g: g[0]), order(tri, lambda g: g[:2])
+    even = g1[""] / (len(uni) + 1)
+    p1 = lambda c: s1.get(c, 0) + even
+    p2 = lambda b, c: s2.get((b, c), 0) + g2.get(b, 1) * p1(c)
+    p3 = lambda a, b, c: s3.get((a, b, c), 0) + g3.get((a, b), 1) * p2(b, c)
+
+    def log_likelihood(text):
+        w = ["", "", *WORD.findall(text)]
+        return sum(np.log(p3(*x)) for x in zip(w, w[1:], w[2:]))
+
+    return log_likelihood
+
+
+def test_kneser_ney_against_plain_dictionaries(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(words, weights=range(1, 41), k=rnd.randint(1, 60))) for _ in range(60)]
+    model = quality_classifier.collect_model(quality_classifier.kneser_ney(spark.createDataFrame([("en", t) for t in texts], "model_lang string, text string")))
+    want = kneser_ney_reference(texts)
+    probe = [*texts[:10], "w1 unknown w2 w3", "unknown", "w39 w39 w39 w38"]
+    got = {r["text"]: r["log_likelihood"] for r in quality_classifier.perplexities(spark.createDataFrame([("en", t) for t in probe], "lang string, text string"), model, keep_text=True).collect()}
+    assert got == pytest.approx({t: want(t) for t in probe}, rel=1e-4)
+
+
+def test_classifier_keeps_clean_documents(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(3, 80))), "en", "s") for i in range(100, 400)]
+    rows += [(1000 + i, " ".join("".join(rnd.choice("$%#&") for _ in range(6)) for _ in range(60)), "en", "s") for i in range(20)] + odd_rows()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 350)] + [(i, 1, 1) for i in range(350, 360)] + [(None, 1, 0)], "doc_id long, quality long, toxic long")
+    df = frame(spark, rows, extra=True)
+    got = quality_classifier.classify(df, labels).collect()
+    assert len(got) == len(rows)
+    kept = {r["doc_id"]: r["_kept"] for r in got}
+    assert sum(kept[i] for i in range(100, 400)) >= 298 and not any(kept[1000 + i] for i in range(20))
+    assert not kept[1] and not kept[2]
+    out = quality_classifier.keep_good(df, labels)
+    assert out.columns == df.columns and out.count() == sum(r["_kept"] for r in got)
+    assert quality_classifier.keep_good(df.limit(0), labels).count() == 0
+    plain = frame(spark, rows)
+    assert quality_classifier.keep_good(plain, labels.limit(0)).count() == sum(1 for _, t, *_ in rows if WORD.search(t or ""))
