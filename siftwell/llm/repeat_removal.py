@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import join_bounded
@@ -34,7 +34,7 @@ from siftwell.sources.scratch import materialise, table
 
 LENGTH, GRAM, STEP = 400, 32, 16
 #: Bytes hashed at once, and window starts of a long text taken at once.
-BUFFER, SEGMENT = 1 << 21, 1 << 20
+BUFFER, SEGMENT = 1 << 20, 1 << 19
 #: Texts with undecided runs that may be broadcast as request lists; beyond it text and lists are shuffled.
 BROADCAST_TEXTS, BROADCAST_ITEMS = 400_000, 4_000_000
 
@@ -75,15 +75,15 @@ class Buffer:
         return _mix((self.prefix[j] - self.prefix[i]) * _powers()[1][i])
 
 
-def buffers(texts: list[bytes], length: int):
+def buffers(texts: list[bytes], length: int, segment: int = SEGMENT):
     """Buffers over all texts of at least ``length`` bytes."""
     parts, size = [], 0
     for row, text in enumerate(texts):
-        for k in range(0, len(text) - length + 1, SEGMENT):
-            part = text[k : k + SEGMENT + 2 * length]
-            parts.append((row, k, part, min(SEGMENT, len(text) - length + 1 - k)))
+        for k in range(0, len(text) - length + 1, segment):
+            part = text[k : k + segment + 2 * length]
+            parts.append((row, k, part, min(segment, len(text) - length + 1 - k)))
             size += len(part)
-            if size >= BUFFER - SEGMENT:
+            if size >= BUFFER // 2:
                 yield Buffer(parts)
                 parts, size = [], 0
     if parts:
@@ -122,13 +122,13 @@ def _slices(batches, rows: int = 2000):
             yield b.slice(k, rows)
 
 
-def _runs(length: int):
+def _runs(length: int, segment: int):
     """Round 1: runs by anchor (``key``) and content (``name``); windows start at x - hi .. x - lo."""
 
     def run(batches):
         for b in _slices(batches):
             dk, ids = b.column("dk").to_numpy(), b.column("doc_id")
-            for buf in buffers(_texts(b), length):
+            for buf in buffers(_texts(b), length, segment):
                 a = anchors(buf, length)
                 v = np.repeat(buf.at, buf.windows) + np.arange(buf.windows.sum()) - np.repeat(np.cumsum(buf.windows) - buf.windows, buf.windows)
                 part = np.repeat(np.arange(len(buf.at)), buf.windows)
@@ -149,7 +149,7 @@ _ITEM = [("dk", pa.int64()), ("doc_id", pa.int64()), ("x", pa.int64()), ("lo", p
 _ITEM_DDL = "dk long, doc_id long, x long, lo short, hi short, known boolean, key long, name long"
 
 
-def _split(length: int, step: int):
+def _split(length: int, step: int, segment: int):
     """Cut requested runs into buckets of ``step`` windows, named by shared string (``key``) and content (``name``)."""
 
     def run(batches):
@@ -161,11 +161,11 @@ def _split(length: int, step: int):
             known = flat.field(3).to_numpy(zero_copy_only=False)
             order = np.lexsort((x - hi, row))
             row, x, lo, hi, known = (c[order] for c in (row, x, lo, hi, known))
-            for buf in buffers(_texts(b), length):
+            for buf in buffers(_texts(b), length, segment):
                 for p in range(len(buf.at)):
                     i, j = np.searchsorted(row, [buf.row[p], buf.row[p] + 1])
                     start = x[i:j] - hi[i:j]
-                    i, j = i + np.searchsorted(start, [buf.offset[p], buf.offset[p] + SEGMENT])
+                    i, j = i + np.searchsorted(start, [buf.offset[p], buf.offset[p] + segment])
                     if i == j:
                         continue
                     first, last = lo[i:j] // step, hi[i:j] // step
@@ -187,13 +187,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
 
 
-def _ask(docs: DataFrame, items: DataFrame, length: int, step: int, name: str) -> DataFrame:
+def _ask(docs: DataFrame, items: DataFrame, length: int, step: int, segment: int, name: str) -> DataFrame:
     """Cut ``items`` (one list a text) with the texts at hand."""
     lists = items.groupBy("dk").agg(F.collect_list(F.struct("x", "lo", "hi", "known")).alias("items"))
     lists = materialise(lists, name)
     n = lists.agg(F.count("*"), F.sum(F.size("items"))).first()
     small = n[0] <= BROADCAST_TEXTS and (n[1] or 0) <= BROADCAST_ITEMS
-    return join_bounded(_keyed(docs), lists, "dk", "inner", 0 if small else 1, 0).mapInArrow(_split(length, step), _ITEM_DDL)
+    return join_bounded(_keyed(docs), lists, "dk", "inner", 0 if small else 1, 0).mapInArrow(_split(length, step, segment), _ITEM_DDL)
 
 
 def _decide(rows: DataFrame, order, keep_first: bool, name: str) -> DataFrame:
@@ -207,7 +207,7 @@ def _decide(rows: DataFrame, order, keep_first: bool, name: str) -> DataFrame:
     return joined.select(*rows.columns, (F.col("known") | repeated).alias("repeated"), is_first.alias("rep"), (F.col("kinds") > 1).alias("mixed"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, step: int = STEP) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, step: int = STEP, segment: int = SEGMENT) -> DataFrame:
     """``dk, s, e``: first and last start of runs of repeated windows in the text with key ``dk``."""
     if length < 2 * GRAM or length > 1000:
         raise ValueError(f"length must be between {2 * GRAM} and 1000")
@@ -215,22 +215,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     order = F.struct("doc_id", "dk", (F.col("x") - F.col("hi")).alias("s")) if keep_first else F.xxhash64("dk", "x", "hi")
     start = [(F.col("x") - F.col("hi")).alias("s"), (F.col("x") - F.col("lo")).alias("e")]
 
-    runs = materialise(_keyed(docs).mapInArrow(_runs(length), _RUN_DDL).withColumn("known", F.lit(False)), "runs")
+    runs = materialise(_keyed(docs).mapInArrow(_runs(length, segment), _RUN_DDL).withColumn("known", F.lit(False)), "runs")
     one = materialise(_decide(runs, order, keep_first, "runs"), "runs-decided")
     spans = one.where("repeated").select("dk", *start)
 
     asked = one.where("mixed AND rep").withColumn("known", F.col("repeated"))
-    buckets = materialise(_ask(docs, asked, length, step, "run-lists"), "buckets")
+    buckets = materialise(_ask(docs, asked, length, step, segment, "run-lists"), "buckets")
     two = materialise(_decide(buckets, order, keep_first, "buckets"), "buckets-decided")
     spans = spans.unionByName(two.where("repeated AND NOT known").select("dk", *start))
 
     asked = two.where("mixed AND rep").withColumn("known", F.col("repeated"))
-    single = materialise(_ask(docs, asked, length, 1, "bucket-lists").drop("key"), "windows")
+    single = materialise(_ask(docs, asked, length, 1, segment, "bucket-lists").drop("key"), "windows")
     names = single.groupBy("name").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
     three = single.where("NOT known").join(names, "name")
     three = three.where(order != F.col("first")) if keep_first else three
     spans = spans.unionByName(three.select("dk", *start))
-    return materialise(spans.distinct(), "spans")
+    return materialise(joined_spans(spans, length), "spans")
+
+
+def joined_spans(spans: DataFrame, length: int) -> DataFrame:
+    """Spans of a text whose windows overlap or touch, made one; a text's spans are sorted among themselves only."""
+    by_start = Window.partitionBy("dk").orderBy("s")
+    before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("s") > before + length, F.lit(True))
+    islands = spans.withColumn("begins", begins).withColumn("island", F.sum(F.col("begins").cast("int")).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("dk", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
 def _cut(length: int, text_out: bool):
@@ -261,9 +270,9 @@ def _cut(length: int, text_out: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, text_out: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, text_out: bool = True, segment: int = SEGMENT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and with ``text_out`` the bytes that are ``kept``."""
-    spans = repeated_spans(docs, length, keep_first)
+    spans = repeated_spans(docs, length, keep_first, segment=segment)
     lists = materialise(spans.groupBy("dk").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "span-lists")
     n = lists.agg(F.count("*"), F.sum(F.size("spans"))).first()
     small = n[0] <= BROADCAST_TEXTS and (n[1] or 0) <= BROADCAST_ITEMS
