@@ -9,8 +9,8 @@
    the blocks of a row: two rows with Jaccard of at least t meet in a block.
 4. In each block the row with the fewest single entries is multiplied with all others; the links found join rows into
    components. What is left are the pairs of different components whose sizes and entry counts still allow the threshold;
-   they are multiplied in square tiles, accumulating overlap counts over column ranges. A tile returns a spanning forest of
-   its links, never its pairs.
+   their rows are gathered over shared blocks and multiplied in square tiles, accumulating overlap counts over column
+   ranges. A tile returns a spanning forest of its links, never its pairs.
 
 Hashes have 64 bits (58 are compared in step 2); all overlaps are counted over complete sets.
 
@@ -194,7 +194,7 @@ def _tile_links(t: tuple[int, int]):
     def tiles(batches):
         rows, last = [], None
         for b in batches:
-            for h, i, j, side, sid, comp, n, feats in zip(*(b.column(c).to_pylist() for c in ("gram", "i", "j", "side", "sid", "component", "n", "feats"))):
+            for h, i, j, side, sid, comp, n, feats in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "side", "sid", "component", "n", "feats"))):
                 if (h, i, j) != last:
                     if rows:
                         yield last, rows
@@ -298,12 +298,17 @@ def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     kinds = kinds.groupBy("gram").agg(F.collect_list(F.struct("n", "c", "low", "high")).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("gram", "kinds")
     may = lambda k: ((k["low"] != F.col("component")) | (k["high"] != F.col("component"))) & _overlap_bound(F.col("n"), F.col("c"), k["n"], k["c"], t)
     active = materialise(labelled.join(kinds, "gram").where(F.exists("kinds", may)).select("gram", "sid", "component", "n"), "active")
-    sizes = active.groupBy("gram").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("m")).where("m > 1")
-    placed = active.join(sizes, "gram").withColumn("t", F.pmod(F.xxhash64("sid", "gram"), F.col("tiles")).cast("int"))
+    # Rows meet in many blocks; each goes once to the group of all blocks that it shares, directly or over others.
+    first = active.groupBy("gram").agg(F.min("sid").alias("first"), F.count("*").alias("m")).where("m > 1")
+    groups = connected_components(active.join(first, "gram").select(F.col("sid").alias("a"), F.col("first").alias("b")))
+    grouped = active.select("sid", "component", "n").distinct().join(groups.select(F.col("node").alias("sid"), F.col("component").alias("grp")), "sid")
+    grouped = materialise(grouped, "groups")
+    sizes = grouped.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = grouped.join(sizes, "grp").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("gram", "sid", "component", "n", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
-    cells = placed.join(one.select("sid", "feats"), "sid").repartition(F.col("gram"), F.col("i"), F.col("j")).sortWithinPartitions("gram", "i", "j")
-    more = cells.select("gram", "i", "j", "side", "sid", "component", "n", "feats").mapInArrow(_tile_links(t), "a binary, b binary")
+    placed = placed.select("grp", "sid", "component", "n", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+    cells = placed.join(one.select("sid", "feats"), "sid").repartition(F.col("grp"), F.col("i"), F.col("j")).sortWithinPartitions("grp", "i", "j")
+    more = cells.select("grp", "i", "j", "side", "sid", "component", "n", "feats").mapInArrow(_tile_links(t), "a binary, b binary")
     return links.unionByName(materialise(more, "tile-links"))
 
 
