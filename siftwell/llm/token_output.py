@@ -27,7 +27,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Texts encoded at once, and characters at which a batch is closed early.
-BATCH_TEXTS, BATCH_CHARS = 1000, 8 << 20
+BATCH_TEXTS, BATCH_CHARS = 1000, 4 << 20
 LAYOUT = ("part", "part_start", "n_tokens", "ids")
 
 
@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encoded(batches):
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (b.slice(k, BATCH_TEXTS) for b in batches for k in range(0, b.num_rows, BATCH_TEXTS)):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for i, j in text_batches(texts):
                 rows = [x + end for x in enc.encode(texts[i:j])]
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([*meta, pa.array(np.full(len(rows), part, "i4")), starts, pa.array(n), lists], [*metadata, *LAYOUT])
                 before += int(ends[-1])
 
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "snappy"}
     ordered.mapInArrow(encoded, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 

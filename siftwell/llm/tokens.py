@@ -1,7 +1,7 @@
 """Byte-level BPE over whole texts: a memo of units in front of the tokenizers library.
 
 The pre-tokenizer starts a new piece at every space that stands between two characters that are no white space, at both
-sides of a line end in such a place, and between a letter and a comma or full stop. A text can therefore be cut there,
+sides of a line end in such a place, and between a letter and the marks after it. A text can therefore be cut there,
 each unit encoded on its own and remembered; the joined result equals the encoding of the whole text (a test holds the
 two against each other).
 """
@@ -13,7 +13,35 @@ import re
 import numpy as np
 
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-MEMO_UNITS = 1_000_000
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
+#: Marks that make a piece of their own after a letter.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+MEMO_UNITS = 600_000
+#: Texts of which new units are learned together: few enough to stay in the processor's caches.
+TOGETHER = 128
+NOT_CUT = False
+
+
+class _Memo(dict):
+    """Units of two generations, the older one dropped when the younger is full; units that neither has are noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+        self.new: set[str] = set()
+
+    def __missing__(self, unit: str):
+        if unit in self.old:
+            value = self[unit] = self.old[unit]
+            return value
+        self.new.add(unit)
+        return None
+
+    def turn(self, limit: int) -> None:
+        if len(self) > limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class UnitEncoder:
@@ -23,67 +51,128 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spans, self.memo = Tokenizer.from_file(path), spans, memo
-        self.led: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        """Units of a text without the safe spaces between them."""
-        parts = text.split(" ")
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return SAFE_SPACE.split(text)
-        return parts
+        self.led, self.bare = _Memo(), _Memo()
+        self.made: dict[str, bytes] = {}  # pieces with their lead, but for space-led words, which are units
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def pieces(self, unit: str, lead: str) -> list[tuple[str, str]]:
         """What a unit is put together from: (lead, text) of each piece."""
         if "\n" in unit:
             lines = unit.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in lines):
+            if "" not in lines and lines == [*map(str.strip, lines)]:
                 return self.pieces(lines[0], lead) + [x for p in lines[1:] for x in (("", "\n"), *self.pieces(p, ""))]
-        if len(unit) > 1 and unit[-1] in ",." and unit[-2].isalpha():
-            return [(lead, unit[:-1]), ("", unit[-1])]
+        word = unit.rstrip(MARKS)
+        if word and len(word) < len(unit) and word[-1].isalpha():
+            return [(lead, word), ("", unit[len(word) :])]
         return [(lead, unit)]
 
-    def learn(self, units: set[str], memo: dict, lead: str) -> None:
-        new = {u: self.pieces(u, lead) for u in units - memo.keys()}
-        wanted = list({x for ps in new.values() for x in ps if x[1] not in (self.led if x[0] else self.bare)})
+    def encode_words(self, words: list[str]) -> None:
+        """Learn space-led words of letters only, encoded as one text; each begins at a token that opens with a space."""
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            text = " " + " ".join(some)
+            if self.spans:
+                e = self.tokenizer.encode(text, add_special_tokens=False)
+                offsets = np.asarray(e.offsets, "<i4").reshape(-1, 2)
+                cut = np.flatnonzero(self.opens[e.ids])
+                offsets -= np.repeat(offsets[cut, 0], np.diff(np.append(cut, len(offsets))))[:, None]
+                raw, width = offsets.astype("<i4").tobytes(), 8
+            else:
+                ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+                raw, width, cut = ids.tobytes(), 4, np.flatnonzero(self.opens[ids])
+            if len(cut) != len(some):
+                raise RuntimeError("the tokenizer does not begin words at spaces")
+            at = [*(cut * width).tolist(), len(raw)]
+            self.led.update(zip(some, [raw[i:j] for i, j in zip(at, at[1:])]))
+
+    def learn(self, memo: _Memo, lead: str) -> None:
+        """Learn the units noted as new; one that begins or ends with white space cannot be cut off and is NOT_CUT."""
+        new, memo.new = memo.new, set()
+        words, marked, parts = [], [], {}
+        plain = bool(lead) and not self.spans
+        for u in new:
+            if lead and u.isalpha():
+                words.append(u)
+            elif plain and (w := u.rstrip(MARKS)).isalpha() and len(w) < len(u):
+                marked.append((u, w, u[len(w) :]))
+            elif (lead and (not u or u[0].isspace())) or (u and u[-1].isspace()):
+                memo[u] = NOT_CUT
+            else:
+                parts[u] = self.pieces(u, lead)
+        led, made = self.led, self.made
+        wanted = {x for ps in parts.values() for x in ps}
+        inner = {b for a, b in wanted if a and b.isalpha()}.union(w for _, w, _ in marked)
+        self.encode_words([*words, *(w for w in inner.difference(words) if w not in led and w not in led.old)])
+        wanted.update(("", m) for m in {m for _, _, m in marked})
+        rest = [a + b for a, b in wanted if not (a and b.isalpha()) and a + b not in made]
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        for k in range(0, len(wanted), 20_000):
-            some = wanted[k : k + 20_000]
-            for (led, text), e in zip(some, encode([a + b for a, b in some], add_special_tokens=False)):
-                (self.led if led else self.bare)[text] = np.asarray(e.offsets if self.spans else e.ids, "<i4").tobytes()
-        for u, ps in new.items():
-            if len(ps) > 1:
-                found = [(self.led if a else self.bare)[b] for a, b in ps]
-                if self.spans:
-                    at = 0
-                    for k, (a, b) in enumerate(ps):
-                        found[k], at = (np.frombuffer(found[k], "<i4") + np.int32(at)).tobytes(), at + len(a) + len(b)
-                memo[u] = b"".join(found)
-
-    def units(self, texts: list[str]) -> list[list[str]]:
-        """Units of each text, all of them in the memo."""
-        for memo in (self.led, self.bare):
-            if len(memo) > self.memo:
-                memo.clear()
-        cut = [self.cut(t) for t in texts]
-        self.learn({p[0] for p in cut}, self.bare, "")
-        self.learn(set().union(*(p[1:] for p in cut)), self.led, " ")
-        return cut
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
+            for text, e in zip(some, encode(some, add_special_tokens=False)):
+                made[text] = np.asarray(e.offsets if self.spans else e.ids, "<i4").tobytes()
+        for u, w, m in marked:
+            memo[u] = led[w] + made[m]
+        for u, ps in parts.items():
+            found = [led[b] if a and b.isalpha() else made[a + b] for a, b in ps]
+            if self.spans:
+                at = 0
+                for k, (a, b) in enumerate(ps):
+                    found[k], at = (np.frombuffer(found[k], "<i4") + np.int32(at)).tobytes(), at + len(a) + len(b)
+            memo[u] = b"".join(found)
+
+    def look_up(self, texts: list[str]):
+        """Text, units without the safe spaces between them, and what is known of each unit, of every text.
+
+        A unit is looked up once: those that are new are learned for some texts together and filled in afterwards.
+        """
+        for k in range(0, len(texts), TOGETHER):
+            some = texts[k : k + TOGETHER]
+            self.led.turn(self.memo // 2)
+            self.bare.turn(self.memo // 2)
+            if len(self.made) > self.memo // 2:
+                self.made.clear()
+            led, bare = self.led.__getitem__, self.bare
+            cut = [t.split(" ") for t in some]
+            found = [[bare[p[0]], *map(led, p[1:])] for p in cut]
+            if self.led.new or self.bare.new:
+                self.learn(self.bare, "")
+                self.learn(self.led, " ")
+                for p, f in zip(cut, found):
+                    f[1:] = [led(u) if x is None else x for u, x in zip(p[1:], f[1:])]
+                    f[0] = bare[p[0]]
+            yield from zip(some, cut, found)
+
+    def whole(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Units and what they encode to of a text with white space beside a space."""
+        units = SAFE_SPACE.split(text)
+        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
+        found = encode([units[0], *(" " + u for u in units[1:])], add_special_tokens=False)
+        return units, [np.asarray(e.offsets if self.spans else e.ids, "<i4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian 32-bit integers."""
-        led, bare = self.led.__getitem__, self.bare
-        return [bare[p[0]] + b"".join(map(led, p[1:])) for p in self.units(texts)]
+        out = []
+        for text, _, found in self.look_up(texts):
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a unit that cannot be cut off
+                out.append(b"".join(self.whole(text)[1]))
+        return out
 
     def encode_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First character and end of each token of each whole text."""
-        led, bare, out = self.led.__getitem__, self.bare, []
-        for p in self.units(texts):
-            found = [bare[p[0]], *map(led, p[1:])]
-            at = np.cumsum([0] + [len(u) + 1 for u in p[:-1]], dtype="i8")
+        out = []
+        for text, units, found in self.look_up(texts):
+            try:
+                raw = b"".join(found)
+            except TypeError:  # a unit that cannot be cut off
+                units, found = self.whole(text)
+                raw = b"".join(found)
+            at = np.cumsum([0] + [len(u) + 1 for u in units[:-1]], dtype="i8")
             at[1:] -= 1  # a unit that is not the first begins with its space
-            spans = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+            spans = np.frombuffer(raw, "<i4").reshape(-1, 2)
             at = np.repeat(at, np.fromiter(map(len, found), "i8", len(found)) >> 3)
             out.append((spans[:, 0] + at, spans[:, 1] + at))
         return out
