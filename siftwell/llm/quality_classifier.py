@@ -1,17 +1,21 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted text is a bounded sample of labelled documents (quality 1, not toxic) of each language. Trigrams are counted in
-Spark by (language, trigram) shards; continuation counts, context totals and discounts follow from joins of the count
-tables; every document gets its perplexity under its language's model. A document is rejected when its perplexity is above
-a language-specific threshold: a quantile over held-out trusted documents, times a margin. Short texts say little, so the
+Trusted text is all text of labelled documents (quality 1, not toxic) of each language; a fifth of its documents is held
+out. Trigrams are counted in Spark; continuation counts, context totals and discounts follow from the count tables; every
+document gets its perplexity under its language's model. A document is rejected when its perplexity is above a
+language-specific threshold: a quantile over all held-out trusted documents, times a margin. Short texts say little, so the
 mean log probability is shrunk towards the language's mean over held-out trusted text, as if PRIOR_WORDS such words stood
 in every document.
 
-Bounds (parameters): SAMPLE_DOCS documents and SAMPLE_WORDS words a language; a fifth of the sample is held out.
+Scores come from a join of the sharded tables with the trigrams that documents ask for. Both are dealt by the middle word,
+so that one exchange brings a trigram to its own count, its two contexts and its bigram; words that fill more than
+SHARD_WORDS positions are dealt to several shards, with a copy of their counts in each. Only the vocabulary (the lowest
+order and the contexts of one word) is broadcast; it grows with the number of distinct words, not with the text.
 
-Defined cases: a null language is a language of its own; a language without trusted text is scored by the pooled model of
-all trusted text; a text without words has no perplexity and is rejected; repeated rows are scored each; without any
-trusted text nothing is rejected but texts without words; empty tables give no rows; other columns pass through ``classify``.
+Defined cases: a null language is a language of its own; a language without trained text is scored by the pooled model of
+all trusted text that is not held out; of trusted rows with one doc_id one counts; a text without words has no perplexity
+and is rejected; repeated rows are scored each; without any trusted text nothing is rejected but texts without words;
+empty tables give no rows; other columns pass through ``classify``.
 """
 
 from __future__ import annotations
@@ -21,15 +25,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import unit_hash, words
+from siftwell.llm.common import join_bounded, unit_hash, words
 from siftwell.llm.token_output import text_batches
 from siftwell.sources.scratch import materialise, table
 
-SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 200_000
 HELD_OUT = 5
 QUANTILE = 0.99
 MARGIN = 1.5
@@ -37,6 +39,12 @@ PRIOR_WORDS = 25
 SEED = "trusted-1"
 POOLED = "*"
 MEMO_WORDS = 500_000
+#: Positions that one shard holds, about.
+SHARD_WORDS = 1_000_000
+#: Characters of a word with its space, for the number of shards alone.
+WORD_CHARS = 6
+#: Ids of trusted documents and sums of texts (8 and 24 bytes each) that may be broadcast; beyond it the joins shuffle.
+BROADCAST_IDS = 2_000_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -89,16 +97,27 @@ def keys(stream: np.ndarray, n: np.ndarray, lang: np.ndarray) -> tuple[np.ndarra
     return u3, u2, _mix(u2, w3), b12, _mix(b12, w3)
 
 
-def sample_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``model_lang, text, held_out``: the bounded sample, in the order of a hash of doc_id."""
-    good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    ids = docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    by_lang = Window.partitionBy("lang").orderBy(unit_hash(F.lit(SEED), F.col("doc_id")), "doc_id")
-    picked = ids.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id", "k")
-    text = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("lang", "k", "text", F.size(words(F.col("text"))).alias("n"))
-    run = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    own = materialise(text.where("n > 0").withColumn("sum", F.sum("n").over(run)).where(F.col("sum") <= SAMPLE_WORDS), "trusted")
-    return own.select(F.coalesce("lang", F.lit(lang_key(None))).alias("model_lang"), "text", "n", (F.col("k") % HELD_OUT == 0).alias("held_out"))
+def text_key() -> Column:
+    """What a score depends on: language and text."""
+    return F.xxhash64(F.coalesce("lang", F.lit(lang_key(None))), F.coalesce("text", F.lit("")))
+
+
+def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``model_lang, text, n, text_key, held_out`` of all trusted documents with words.
+
+    Held out is a fifth by a hash of doc_id; of a language with HELD_OUT documents or more, one at least.
+    """
+    good = materialise(labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "trusted-ids")
+    text = join_bounded(docs.select("doc_id", "lang", "text"), good, "doc_id", "left_semi", good.count(), BROADCAST_IDS)
+    own = text.select("doc_id", F.coalesce("lang", F.lit(lang_key(None))).alias("model_lang"), "text", F.size(words(F.col("text"))).alias("n"), text_key().alias("text_key"))
+    own = materialise(own.where("n > 0").withColumn("h", unit_hash(F.lit(SEED), F.col("doc_id"))), "trusted")
+    again = materialise(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if n := again.count():
+        once = join_bounded(own, again, "doc_id", "left_semi", n, BROADCAST_IDS).dropDuplicates(["doc_id"])
+        own = materialise(join_bounded(own, again, "doc_id", "left_anti", n, BROADCAST_IDS).unionByName(once), "trusted")
+    least = own.groupBy("model_lang").agg(F.min("h").alias("least"), F.count("*").alias("docs"))
+    held = (F.col("h") * HELD_OUT < 1) | ((F.col("docs") >= HELD_OUT) & (F.col("h") == F.col("least")))
+    return own.join(F.broadcast(least), "model_lang").select("model_lang", "text", "n", "text_key", held.alias("held_out"))
 
 
 def _trigrams(batches):
@@ -111,19 +130,25 @@ def _trigrams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lang, n).view("i8")), *map(pa.array, k)], ["l", "u3", "u2", "b23", "b12", "t"])
 
 
-def _discounted(counts: DataFrame, context: str, key: str) -> DataFrame:
-    """``key, share, context, gamma``: the discounted share of each count in its context, and what the context holds back.
+def _discounted(counts: DataFrame, context: str, key: str, *more: str) -> DataFrame:
+    """``key, share, context, gamma`` and the middle word, if there is one: the discounted share of each count in its
+    context, and what the context holds back.
 
-    Discounts come from counts of counts of each language; context totals are sums over the shard that holds the context.
+    Discounts come from counts of counts of each language; context totals are sums over the shard that holds the context,
+    or a small table where the context is a language.
     """
     of = lambda k: F.sum((F.col("c") == k).cast("double")).alias(f"n{k}")
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     part = lambda k: F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0))).otherwise(F.lit(0.5))
     d = counts.groupBy("l").agg(*[of(k) for k in (1, 2, 3, 4)]).select("l", *[part(k).alias(f"d{k}") for k in (1, 2, 3)])
     rows = counts.join(F.broadcast(d), "l").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-    shard = Window.partitionBy(context)
-    total = F.sum("c").over(shard)
-    return rows.select(F.col(key).alias("key"), ((F.col("c") - F.col("d")) / total).alias("share"), F.col(context).alias("context"), (F.sum("d").over(shard) / total).alias("gamma"))
+    if context == "l":
+        rows = rows.join(F.broadcast(rows.groupBy("l").agg(F.sum("c").alias("total"), F.sum("d").alias("back"))), "l")
+    else:
+        shard = Window.partitionBy(context)
+        rows = rows.withColumn("total", F.sum("c").over(shard)).withColumn("back", F.sum("d").over(shard))
+    middle = [F.col("u2").alias("middle")] if "u2" in counts.columns else []
+    return rows.select(F.col(key).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), F.col(context).alias("context"), (F.col("back") / F.col("total")).alias("gamma"), *middle, *more)
 
 
 def kneser_ney(sample: DataFrame) -> dict[int, DataFrame]:
@@ -132,11 +157,11 @@ def kneser_ney(sample: DataFrame) -> dict[int, DataFrame]:
     tri = materialise(grams.groupBy("l", "u3", "u2", "b23", "b12", "t").agg(F.count("*").alias("c")), "trigrams")
     bi = materialise(tri.groupBy("l", "u3", "u2", "b23").agg(F.count("*").alias("c")), "bigrams")
     uni = bi.groupBy("l", "u3").agg(F.count("*").alias("c"))
-    return {3: _discounted(tri, "b12", "t"), 2: _discounted(bi, "u2", "b23"), 1: _discounted(uni, "l", "u3")}
+    return {3: _discounted(tri, "b12", "t", "c"), 2: _discounted(bi, "u2", "b23"), 1: _discounted(uni, "l", "u3")}
 
 
 def collect_model(tables: dict[int, DataFrame]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and values of each table. The bounds of the sample bound their size."""
+    """Sorted keys and values of each table, for models that fit in memory."""
     out = {}
     for order, df in tables.items():
         t = df.toArrow()
@@ -177,12 +202,12 @@ def log_likelihood(model: dict, stream: np.ndarray, n: np.ndarray, lang: np.ndar
     return sums[ends] - sums[ends - n]
 
 
-def perplexities(docs: DataFrame, model, keep_text: bool = False) -> DataFrame:
+def perplexities(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
     """``docs`` (``lang, text`` and others) with ``n_words`` and ``log_likelihood``, which replace the text unless it is kept.
 
-    ``model`` is one that ``collect_model`` gave, or a broadcast of it: each broadcast is a file on every executor.
+    ``model`` is one that ``collect_model`` gave; ``likelihoods`` gives the same for models of any size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model) if isinstance(model, dict) else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name != "text" or keep_text]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_words long", "log_likelihood double"])
     names = [f.name for f in rest]
@@ -203,6 +228,94 @@ def perplexities(docs: DataFrame, model, keep_text: bool = False) -> DataFrame:
     return docs.mapInArrow(scored, ddl)
 
 
+def _vocabulary(tables: dict[int, DataFrame], ratio: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The lowest order, weights of one-word contexts, and the number of shards of each middle word."""
+    out = collect_model({1: tables[1]})
+    held = tables[3].groupBy("middle").agg(F.sum("c").alias("c")).join(tables[2].groupBy(F.col("context").alias("middle")).agg(F.first("gamma").alias("gamma")), "middle").toArrow()
+    word = held.column("middle").to_numpy().view("u8")
+    by_word = np.argsort(word)
+    out["g2"] = word[by_word], held.column("gamma").to_numpy()[by_word].astype("f4")
+    out["copies"] = word[by_word], 1 + (held.column("c").to_numpy()[by_word] * ratio / SHARD_WORDS).astype("i8")
+    return out
+
+
+def _shard(word: np.ndarray, copy: np.ndarray, shards: int) -> np.ndarray:
+    return ((word % np.uint64(shards)).astype("i8") + copy) % shards
+
+
+ASKED = {"text_key": "u8", "b12": "u8", "b23": "u8", "t": "u8", "p": "f4"}
+
+
+def _asked(shared, shards: int):
+    """Positions of a slice of texts, one row a shard, with the probability by the lowest order under its weight."""
+
+    def run(batches):
+        memo, m = WordHashes(), shared.value
+        known = set(m["g1"][0].tolist())
+        pooled = memo[POOLED]
+        for b in batches:
+            texts, langs, key = [t or "" for t in b.column("text").to_pylist()], b.column("lang").to_pylist(), b.column("text_key").to_numpy().view("u8")
+            for i, j in text_batches(texts):
+                lang = [memo[lang_key(x)] for x in langs[i:j]]
+                lang = np.asarray([x if x in known else pooled for x in lang], "u8")
+                stream, n = word_stream(texts[i:j], memo)
+                u3, u2, b23, b12, t = keys(stream, n, lang)
+                g, held = _find(m["g2"], u2, 1.0)
+                p = (_find(m["s1"], u3, 0.0)[0] + np.repeat(_find(m["g1"], lang, 1e-9)[0], n)) * g
+                at = np.arange(len(t))
+                copies = _find(m["copies"], u2, 1)[0].astype("i8")
+                # A middle word without counts needs no table: its positions go anywhere.
+                shard = np.where(held, _shard(u2, at % copies, shards), at % shards)
+                order = np.argsort(shard, kind="stable")
+                shard, first = np.unique(shard[order], return_index=True)
+                columns = [x[order].astype(d) for x, d in zip((np.repeat(key[i:j], n), b12, b23, t, p), ASKED.values())]
+                ends = [*first[1:], len(t)]
+                cut = [pa.array([c[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *cut], ["shard", *ASKED])
+
+    return run
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Sums of log probabilities of one shard by text."""
+    key, b12, b23, t, p = (np.frombuffer(b"".join(asked.column(c).to_pylist()), d) for c, d in ASKED.items())
+    p = p.astype("f8")
+    if model.num_rows and len(p):
+        order, gram, share, context, gamma = (model.column(c).to_numpy() for c in ("order", "key", "share", "context", "gamma"))
+        for k, grams, contexts in ((2, b23, None), (3, t, b12)):
+            of = order == k
+            if contexts is not None:
+                c, first = np.unique(context[of].view("u8"), return_index=True)
+                p *= _find((c, gamma[of][first]), contexts, 1.0)[0]
+            by_key = np.argsort(gram[of].view("u8"))
+            p += _find((gram[of].view("u8")[by_key], share[of][by_key]), grams, 0.0)[0]
+    texts, of = np.unique(key, return_inverse=True)
+    sums = np.bincount(of, np.log(p), len(texts)).astype("f8")
+    return pa.table({"text_key": texts.view("i8"), "sum": sums, "n": np.bincount(of, minlength=len(texts)).astype("i8")})
+
+
+def likelihoods(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """``text_key, mean_log``: mean log probability a word of every text of ``docs`` (``lang, text``) that has words."""
+    spark = docs.sparkSession
+    tables = kneser_ney(train)
+    tables[2] = materialise(tables[2], "order-2")
+    chars = lambda d: d.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    asked, trained = chars(docs), chars(train)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked // (WORD_CHARS * SHARD_WORDS) + 1)
+    shared = spark.sparkContext.broadcast(v := _vocabulary(tables, asked / max(trained, 1)))
+    positions = docs.select("lang", "text", text_key().alias("text_key")).mapInArrow(_asked(shared, shards), "shard long, " + ", ".join(f"{c} binary" for c in ASKED))
+    several = v["copies"][1] > 1
+    heavy = spark.createDataFrame(list(zip(v["copies"][0][several].view("i8").tolist(), v["copies"][1][several].tolist())), "middle long, copies long")
+    rows = tables[2].withColumn("order", F.lit(2)).unionByName(tables[3].drop("c").withColumn("order", F.lit(3)))
+    rows = rows.join(F.broadcast(heavy), "middle", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)))
+    # The remainder of the word as an unsigned number, as in _shard.
+    rest = F.pmod(F.col("middle"), F.lit(shards)) + F.when(F.col("middle") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0))
+    rows = rows.select(F.pmod(rest + F.col("copy"), F.lit(shards)).cast("long").alias("shard"), "order", "key", "share", "context", "gamma")
+    found = positions.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(_answered, "text_key long, sum double, n long")
+    # Copies of a text add up in both sums.
+    return materialise(found.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log")), "likelihoods")
+
+
 VERDICT = ("n_words", "perplexity", "threshold", "kept")
 
 
@@ -212,28 +325,32 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     Columns of ``docs`` that have those names stay; the verdict is then found in ``_n_words`` and so on.
     """
     own = docs.columns
-    clash = {c: f"_own_{k}" for k, c in enumerate(own) if c.lower() in (*VERDICT, "log_likelihood", "mean", "model_lang")}
+    clash = {c: f"_own_{k}" for k, c in enumerate(own) if c.lower() in (*VERDICT, "text_key", "mean_log", "mean", "model_lang")}
     docs = docs.withColumnsRenamed(clash)
-    sample = sample_trusted(docs, labels)
-    pooled = sample.withColumn("model_lang", F.lit(POOLED)).where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
-    train = sample.where("NOT held_out").unionByName(pooled.where("NOT held_out"))
-    model = docs.sparkSession.sparkContext.broadcast(collect_model(kneser_ney(train)))
-    held = materialise(perplexities(sample.where("held_out").select(F.col("model_lang").alias("lang"), "text"), model), "held-out")
-    mean = held.where("n_words > 0").groupBy(F.col("lang").alias("model_lang")).agg((F.sum("log_likelihood") / F.sum("n_words")).alias("mean"))
+    trusted = trusted_text(docs, labels)
+    train = trusted.where("NOT held_out").select("model_lang", "text")
+    lang = F.coalesce("lang", F.lit(lang_key(None))).alias("model_lang")
+    if not docs.select(lang).distinct().join(train.select("model_lang").distinct(), "model_lang", "left_anti").isEmpty():
+        train = train.unionByName(train.withColumn("model_lang", F.lit(POOLED)))
+    sums = likelihoods(docs, train)
+    held = trusted.where("held_out").select(F.col("model_lang").alias("lang"), F.col("n").alias("n_words"), "text_key")
+    held = materialise(held.join(sums, "text_key"), "held-out")
+    mean = held.groupBy(F.col("lang").alias("model_lang")).agg((F.sum(F.col("mean_log") * F.col("n_words")) / F.sum("n_words")).alias("mean"))
     means = {r[0]: r[1] for r in mean.collect()}
     prior = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in means.items()], "model_lang string, mean double")
     pooled_mean = sum(means.values()) / len(means) if means else 0.0
-    ppl = F.exp(-(F.col("log_likelihood") + PRIOR_WORDS * F.coalesce("mean", F.lit(float(pooled_mean)))) / (F.col("n_words") + PRIOR_WORDS))
-    limits = held.where("n_words > 0").join(F.broadcast(prior), F.col("lang") == F.col("model_lang"), "left").withColumn("p", ppl)
+    ppl = F.exp(-(F.col("mean_log") * F.col("n_words") + PRIOR_WORDS * F.coalesce("mean", F.lit(float(pooled_mean)))) / (F.col("n_words") + PRIOR_WORDS))
+    limits = held.join(F.broadcast(prior), F.col("lang") == F.col("model_lang"), "left").withColumn("p", ppl)
     by_lang = {r[0]: r[1] * margin for r in limits.groupBy("lang").agg(F.percentile("p", quantile)).collect()}
     overall = max(by_lang.values(), default=math.inf)
     limit = prior.join(docs.sparkSession.createDataFrame([(k, float(v)) for k, v in by_lang.items()], "model_lang string, threshold double"), "model_lang")
-    scored = perplexities(docs, model, keep_text)
+    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("text_key", text_key())
+    scored = join_bounded(counted if keep_text else counted.drop("text"), sums, "text_key", "left", sums.count(), BROADCAST_IDS).drop("text_key")
     key = F.coalesce("lang", F.lit(lang_key(None)))
     out = scored.join(F.broadcast(limit), key == F.col("model_lang"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(float(overall))))
     out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, ppl))
     out = out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
-    out = out.drop("log_likelihood", "mean", "model_lang").withColumnsRenamed({v: f"_{v}" for v in VERDICT if v in clash})
+    out = out.drop("mean_log", "mean", "model_lang").withColumnsRenamed({v: f"_{v}" for v in VERDICT if v in clash})
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
 
 

@@ -479,3 +479,43 @@ def test_classifier_keeps_clean_documents(spark):
     assert quality_classifier.keep_good(df.limit(0), labels).count() == 0
     plain = frame(spark, rows)
     assert quality_classifier.keep_good(plain, labels.limit(0)).count() == sum(1 for _, t, *_ in rows if WORD.search(t or ""))
+
+
+def test_trusted_text_is_used_whole(spark):
+    """More trusted words than any cap of a sample, one text of 250,000 words among them."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choices(words, k=20)), "en", "s") for i in range(1700)]
+    rows += [(2000, " ".join(rnd.choices(words, k=250_000)), "de", "s")] + [(2001 + i, " ".join(rnd.choices(words, k=30)), "de", "s") for i in range(30)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality long, toxic long")
+    got = quality_classifier.trusted_text(frame(spark, rows), labels).groupBy("model_lang").agg(F.sum("n"), F.count("*"), F.sum(F.col("held_out").cast("int"))).collect()
+    got = {r[0]: tuple(r[1:]) for r in got}
+    assert got["en"][:2] == (1700 * 20, 1700) and got["de"][:2] == (250_000 + 30 * 30, 31)
+    assert 250 < got["en"][2] < 430 and 1 <= got["de"][2] < 20
+
+
+@pytest.mark.parametrize("shard_words", [50, 1_000_000])
+def test_sharded_scores_against_plain_dictionaries(spark, monkeypatch, shard_words):
+    """Words are dealt to one shard and to several; copies of a text and a language without a model."""
+    monkeypatch.setattr(quality_classifier, "SHARD_WORDS", shard_words)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(words, weights=range(1, 41), k=rnd.randint(1, 60))) for _ in range(60)]
+    train = spark.createDataFrame([(lang, t) for lang in ("en", "*") for t in texts], "model_lang string, text string")
+    want = kneser_ney_reference(texts)
+    probe = [*texts[:10], texts[0], "w1 unknown w2 w3", "unknown", "w39 w39 w39 w38", ""]
+    docs = spark.createDataFrame([(lang, t) for lang in ("en", "xx") for t in probe], "lang string, text string")
+    got = docs.withColumn("text_key", quality_classifier.text_key()).join(quality_classifier.likelihoods(docs, train), "text_key").collect()
+    assert len(got) == 2 * (len(probe) - 1)
+    assert [r["mean_log"] * len(r["text"].split()) for r in got] == pytest.approx([want(r["text"]) for r in got], rel=1e-4)
+
+
+def test_pooled_model_learns_all_trusted_text(spark):
+    """Few trusted texts, and documents of a language without any: clean ones stay."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(30)]
+    rows = [(i, " ".join(rnd.choices(words, k=60)), "en", "s") for i in range(8)] + [(100 + i, " ".join(rnd.choices(words, k=60)), "xx", "s") for i in range(10)]
+    rows += [(200, " ".join(f"$#{i}" for i in range(60)), "xx", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality long, toxic long")
+    kept = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(frame(spark, rows), labels).collect()}
+    assert all(kept[100 + i] for i in range(10)) and not kept[200]
