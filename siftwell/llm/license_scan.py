@@ -1,14 +1,24 @@
 """Licence scan: normalised lines and whole texts against licence templates by the Dice coefficient of word-bigram sets.
 
+A licence that no unit holds is looked for in windows over the whole text, across line ends and within lines: runs of at most
+``(2 - t) / t`` times as many word pairs as the template has. The best window begins and ends with a pair of the template,
+so only those are compared. A window with Dice t shares at least ``t / (2 - t)`` of the template's n bigrams, so of any
+``n - ceil(n t / (2 - t)) + 1`` of them one is in the text; texts without any are passed over.
+
 Only templates whose bigram count lies within the bounds that the threshold implies are compared:
 ``t / (2 - t) * a <= b <= (2 - t) / t * a`` for set sizes a and b.
 
 Defined cases: a null, empty or one-word unit has no bigrams and matches nothing; ties are all reported (one row per
-licence); repeated rows of a doc_id merge; an empty table gives no rows; extra columns are ignored.
+licence); a licence found in windows alone counts as one unit; repeated rows of a doc_id merge; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,31 +69,80 @@ def _words(unit: Column) -> Column:
     return F.filter(F.split(unit, " "), lambda w: w != "")
 
 
-def _bigrams(w: Column) -> Column:
+def _pairs(w: Column) -> Column:
+    """Word pairs in order, repeats included."""
     n = F.size(w)
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), w[i + 1])))
+        F.transform(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), w[i + 1]))
     )
 
 
-def _template_rows(templates: dict[str, str]) -> list[tuple[str, list[str]]]:
-    import re
+def _bigrams(w: Column) -> Column:
+    return F.array_distinct(_pairs(w))
+
 
+def _template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _template_rows(templates: dict[str, str]) -> list[tuple[str, list[str]]]:
     out = []
     for name, text in templates.items():
-        w = re.findall(r"[^\W_]+", text.lower())
+        w = _template_words(text)
         if len(w) < 2:
             raise ValueError(f"template {name} has fewer than two words")
         out.append((name, sorted({f"{a} {b}" for a, b in zip(w, w[1:])})))
     return out
 
 
+def _probe(bigrams: list[str], shared: int, common: Counter) -> list[str]:
+    """So many bigrams that a text with ``shared`` of them has one at least: those of few templates and many letters."""
+    return sorted(bigrams, key=lambda b: (common[b], -len(b), b))[: len(bigrams) - shared + 1]
+
+
+def _best_window(pairs: Column, template: Column, longest: Column, shared: Column) -> Column:
+    """The highest Dice of the windows of ``pairs`` that begin and end with a pair of the template, null without any."""
+    n = F.size(template)
+    at = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(template, g), i)), lambda i: i.isNotNull())
+
+    def from_start(hits: Column, i: Column) -> Column:
+        ends = F.filter(hits, lambda j: (j >= i) & (j < i + longest))
+
+        def dice(j: Column) -> Column:
+            window = F.array_distinct(F.slice(pairs, i + 1, j - i + 1))
+            return F.lit(2.0) * F.size(F.array_intersect(window, template)) / (F.size(window) + n)
+
+        return F.when(F.size(ends) >= shared, F.array_max(F.transform(ends, dice)))
+
+    return let(at, lambda hits: F.array_max(F.transform(hits, lambda i: from_start(hits, i))))
+
+
+def _windows(rows: list[tuple[str, list[str]]], lengths: dict[str, int], min_dice: float) -> tuple[Column, Column]:
+    """Templates ``t`` that the text ``flat`` may hold and none of its units ``m``, and ``license_id, dice`` of those in its windows."""
+    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
+    common = Counter(b for _, bigrams in rows for b in bigrams)
+
+    def asked(name: str, bigrams: list[str]) -> Column:
+        shared, longest = math.ceil(len(bigrams) * low - 1e-9), math.floor(lengths[name] * high + 1e-9)
+        held = reduce(Column.__or__, [F.contains("flat", F.lit(b)) for b in _probe(bigrams, shared, common)])
+        return F.when(held, F.struct(F.lit(name).alias("id"), F.array(*map(F.lit, bigrams)).alias("b"), F.lit(shared).alias("shared"), F.lit(longest).alias("longest")))
+
+    def best(pairs: Column) -> Column:
+        return F.transform("t", lambda t: F.struct(t["id"].alias("license_id"), _best_window(pairs, t["b"], t["longest"], t["shared"]).alias("dice")))
+
+    return (
+        F.filter(F.array(*[asked(*row) for row in rows]), lambda t: t.isNotNull() & ~F.exists("m", lambda m: m["license_id"] == t["id"])),
+        F.when(F.size("t") > 0, F.filter(let(_pairs(_words(F.col("flat"))), best), lambda w: w["dice"] >= min_dice)),
+    )
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
     """``doc_id, license_id, dice, n_units``: the best Dice of each licence found, and the number of units that match it.
 
     ``templates`` is a parameter of the scan (one literal in the plan), so its size is set by the caller and not by the data.
     """
-    rows = _template_rows(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    rows = _template_rows(templates)
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     floor, ceiling = low * min(len(b) for _, b in rows), high * max(len(b) for _, b in rows)
     lit = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in rows])
@@ -102,8 +161,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_d
     of_unit = lambda u: let(_words(u), of_words)
     lines = F.split("x", "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.translate("x", "\n", " ")))).otherwise(lines)
-    found = docs.where("text IS NOT NULL").select("doc_id", normalise(F.col("text")).alias("x")).select("doc_id", units.alias("u"))
-    hits = found.select("doc_id", F.explode(F.flatten(F.transform("u", of_unit))).alias("m"))
+    found = docs.where("text IS NOT NULL").select("doc_id", normalise(F.col("text")).alias("x"))
+    # Line ends inside runs of spaces, so that the words of a text stand one space apart.
+    flat = F.when(F.size(lines) > 1, F.regexp_replace("x", r"[ \n]*\n[ \n]*", " ")).otherwise(F.col("x"))
+    lengths = {name: len(_template_words(text)) - 1 for name, text in templates.items()}
+    asked, windows = _windows(rows, lengths, min_dice)
+    matched = found.select("doc_id", flat.alias("flat"), F.flatten(F.transform(units, of_unit)).alias("m")).withColumn("t", asked)
+    hits = matched.select("doc_id", F.explode(F.concat("m", F.coalesce(windows, none))).alias("m"))
     return hits.groupBy("doc_id", "m.license_id").agg(F.round(F.max("m.dice"), 6).alias("dice"), F.count("*").alias("n_units"))
 
 

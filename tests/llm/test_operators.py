@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -371,6 +372,34 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_windows(spark):
+    """Licences across line ends, in a line, and in a longer text, against all windows by brute force."""
+    rnd = random.Random(4)
+    prose = lambda k: " ".join(rnd.choices("the of this a software work is and licensed under book chapter free any".split(), k=k))
+    lines, copyright = "\n".join(textwrap.wrap(license_scan.TEMPLATES["MIT-text"], 78)), "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+    rows = [
+        (40, prose(50) + "\n" + lines + "\n" + prose(40), "en", "s"),
+        (41, copyright + lines + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "en", "s"),
+        (42, "The second edition of this book was released under the MIT License.", "en", "s"),
+        (43, prose(30) + " Licensed under CC \n -- \n BY-NC 4.0. " + prose(30), "en", "s"),
+        (44, prose(30) + " free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation, either version 3 of the License, or any later " + prose(30), "en", "s"),
+        *[(50 + i, prose(150), "en", "s") for i in range(5)],
+    ]
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda t: list(zip(words(t), words(t)[1:]))
+    want = {}
+    for i, text, *_ in rows:
+        g = pairs(text)
+        for name, x in license_scan.TEMPLATES.items():
+            b, longest = set(pairs(x)), len(pairs(x)) * 3 // 2
+            best = max(2 * len(set(g[p:q]) & b) / (len(set(g[p:q])) + len(b)) for p in range(len(g)) for q in range(p + 1, min(len(g), p + longest) + 1))
+            if best >= 0.8:
+                want[i, name] = best
+    assert {(40, "MIT-text"), (41, "MIT-text"), (42, "MIT-notice"), (43, "CC-BY-NC-4.0-notice"), (44, "GPL-3.0-header")} <= set(want)
+    got = {(r["doc_id"], r["license_id"]): r["dice"] for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 # --- repeated strings
 
 
