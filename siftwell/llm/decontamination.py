@@ -6,7 +6,8 @@ misses at most n - ceil(t * n) of them, so it holds at least one shingle of the
 are then verified by exact containment of the shingles themselves, not of their hashes.
 
 Shingles are five words of lower-cased letters and digits; a text with fewer words has its whole sequence as one shingle,
-a text without words has none and matches nothing.
+a text without words has none and matches nothing. An item of fewer than five words therefore matches only a text of the same
+words; inside longer texts it is not found, here as in the SQL.
 
 Defined cases: null or empty texts never match; repeated items or rows give the same pair once per doc_id and item_id
 (the highest containment); rows with a null id are kept under that null; empty tables give no pairs; extra columns are ignored.
