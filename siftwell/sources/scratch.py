@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside hand Python batches of at most ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to shared scratch and return a scan of it.
 
