@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm.token_output import text_batches
+from siftwell.llm.token_output import array_batches
 from siftwell.llm.tokens import encoder, tokenizer_path
 from siftwell.sources.scratch import table
 
@@ -60,28 +60,29 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, rule: str = "lar
     path = tokenizer or tokenizer_path()
 
     def counted(batches):
-        enc = encoder(path, spans=True)
+        enc = encoder(path)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            own = b.column("sections").to_pylist() if sections else None
-            for i, j in text_batches([t or "" for t in texts]):
-                rows = [k for k in range(i, j) if texts[k] is not None]
-                out: list[list] = [[], [], [], [], []]
-                for k, (first, end) in zip(rows, enc.encode_spans([texts[k] for k in rows])):
+            b = b.filter(b.column("text").is_valid())
+            for i, j in array_batches(b.column("text")):
+                some = b.slice(i, j - i)
+                first, end, n = enc.spans_array(some.column("text"))
+                own = some.column("sections").to_pylist() if sections else None
+                out: list[list] = [[], [], [], []]
+                cuts = np.cumsum(n)
+                for k, (lo, hi) in enumerate(zip((cuts - n).tolist(), cuts.tolist())):
                     if sections:
                         spans = np.asarray([(s["start"], s["end"]) for s in own[k] or ()], "i8").reshape(-1, 2)
                         starts, ends = spans[:, 0], spans[:, 1]
                     else:
-                        starts, ends = line_spans(texts[k])
-                    n = np.bincount(attribute(first, end, starts, ends, rule) + 1, minlength=len(starts) + 1)
+                        starts, ends = line_spans(some.column("text")[k].as_py())
+                    found = np.bincount(attribute(first[lo:hi], end[lo:hi], starts, ends, rule) + 1, minlength=len(starts) + 1)
                     number = np.arange(-1, len(starts))
                     starts, ends = np.concatenate([[-1], starts]), np.concatenate([[-1], ends])
-                    keep = slice(0 if n[0] else 1, None)
-                    for column, values in zip(out, (np.full(len(n), 0, "i8"), number, starts, ends, n)):
+                    keep = slice(0 if found[0] else 1, None)
+                    for column, values in zip(out, (number, starts, ends, found)):
                         column.append(values[keep])
-                    out[0][-1] = [ids[k]] * len(out[1][-1])
-                flat = [pa.array([x for ids_ in out[0] for x in ids_], pa.int64()), *(pa.array(np.concatenate(c).astype("i8") if c else [], pa.int64()) for c in out[1:])]
-                yield pa.RecordBatch.from_arrays(flat, ["doc_id", "section", "start", "end", "n_tokens"])
+                ids = some.column("doc_id").take(pa.array(np.repeat(np.arange(len(out[0])), [len(x) for x in out[0]])))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c).astype("i8"), pa.int64()) for c in out)], ["doc_id", "section", "start", "end", "n_tokens"])
 
     columns = ["doc_id", "text", *(["sections"] if sections else [])]
     return docs.select(*columns).mapInArrow(counted, "doc_id long, section long, start long, end long, n_tokens long")

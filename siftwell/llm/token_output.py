@@ -15,19 +15,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm.tokens import encoder, tokenizer_path
-from siftwell.sources.scratch import scratch_path, table
+from siftwell.sources.scratch import arrow_rows, scratch_path, table
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Texts encoded at once, and characters at which a batch is closed early.
 BATCH_TEXTS, BATCH_CHARS = 1000, 4 << 20
+#: Bytes of text that are encoded together: enough that most of their units are met more than once.
+BATCH_BYTES = 3 << 20
+#: Rows of an Arrow batch with texts: whole texts are large, and both sides of the pipe hold a batch or two.
+ARROW_ROWS = 1000
 LAYOUT = ("part", "part_start", "n_tokens", "ids")
 
 
@@ -43,33 +48,41 @@ def text_batches(texts: list[str]):
         yield begin, len(texts)
 
 
+def array_batches(texts: pa.Array):
+    """Slices of at most BATCH_BYTES bytes, or of one text that is longer."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
+    begin = 0
+    while begin < len(texts):
+        before = int(size[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, before + BATCH_BYTES, "right")))
+        yield begin, end
+        begin = end
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, metadata: tuple[str, ...] = ("doc_id",), row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Encode ``text`` of every row and write the file set. ``doc_id`` must be among the metadata."""
     clash = set(metadata) & {*LAYOUT, "text"}
     if clash or "doc_id" not in metadata:
         raise ValueError(f"metadata must hold doc_id and none of {sorted(clash)}")
-    end = np.asarray([end_id], "<i4").tobytes()
     ordered = docs.select(*metadata, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     fields = [ordered.schema[c] for c in metadata]
     schema = T.StructType([*fields, T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def encoded(batches):
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in (b.slice(k, BATCH_TEXTS) for b in batches for k in range(0, b.num_rows, BATCH_TEXTS)):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for i, j in text_batches(texts):
-                rows = [x + end for x in enc.encode(texts[i:j])]
-                n = np.fromiter((len(x) >> 2 for x in rows), "i8", len(rows))
+        for b in batches:
+            texts = b.column("text").fill_null("")
+            for i, j in array_batches(texts):
+                ids, n = enc.encode_array(texts.slice(i, j - i), end_id)
                 ends = np.cumsum(n)
-                ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
                 meta = [b.column(c).slice(i, j - i) for c in metadata]
-                starts = pa.array(ends - n + before)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), ids)
-                yield pa.RecordBatch.from_arrays([*meta, pa.array(np.full(len(rows), part, "i4")), starts, pa.array(n), lists], [*metadata, *LAYOUT])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*meta, pa.array(np.full(j - i, part, "i4")), pa.array(ends - n + before), pa.array(n), lists], [*metadata, *LAYOUT])
                 before += int(ends[-1])
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "snappy"}
-    ordered.mapInArrow(encoded, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        ordered.mapInArrow(encoded, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

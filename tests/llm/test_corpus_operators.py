@@ -236,7 +236,7 @@ def random_text(rnd):
 
 def test_unit_encoder_equals_the_library():
     rnd = random.Random(1)
-    ids, spans = UnitEncoder(tokenizer_path(), memo=50), UnitEncoder(tokenizer_path(), spans=True, memo=50)
+    ids, spans = UnitEncoder(tokenizer_path(), memo=50), UnitEncoder(tokenizer_path(), memo=50)
     for _ in range(60):
         texts = [random_text(rnd) for _ in range(20)] + ["plain words, and more.\nNext line", ""]
         want = ids.tokenizer.encode_batch(texts, add_special_tokens=False)
