@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -9,6 +10,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_FILE = 200_000
+#: Paths written inside the open ``temporary`` blocks, the innermost last.
+_TEMPORARY: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -39,15 +45,59 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to shared scratch and return a scan of it.
 
-    Later reads never recompute the lineage, and a lost executor costs no more than its own tasks.
+    Later reads never recompute the lineage, and a lost executor costs no more than its own tasks. ``rows``: a known bound of
+    the number of rows, so that a small table has few files whatever the number of partitions it was made in.
     """
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    for tables in _TEMPORARY[-1:]:
+        tables.append(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are written inside are deleted at the end, but for those given to the function that this yields.
+
+    Only for tables that nothing outside reads: a plan over a deleted table fails.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch_path)
+        return df
+
+    _TEMPORARY.append([])
+    try:
+        yield keep
+    finally:
+        written = _TEMPORARY.pop()
+        for path in written:
+            if path in kept:
+                for tables in _TEMPORARY[-1:]:
+                    tables.append(path)
+            else:
+                delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
