@@ -1,21 +1,27 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Trusted text is all text of labelled documents (quality 1, not toxic) of each language; a fifth of its documents is held
-out. Trigrams are counted in Spark; continuation counts, context totals and discounts follow from the count tables; every
-document gets its perplexity under its language's model. A document is rejected when its perplexity is above a
-language-specific threshold: a quantile over all held-out trusted documents, times a margin. Short texts say little, so the
-mean log probability is shrunk towards the language's mean over held-out trusted text, as if PRIOR_WORDS such words stood
-in every document.
+out. A document is rejected when its perplexity under its language's model is above a language-specific threshold: a quantile
+over all held-out trusted documents, times a margin. Short texts say little, so the mean log probability is shrunk towards
+the language's mean over held-out trusted text, as if PRIOR_WORDS such words stood in every document.
 
-Scores come from a join of the sharded tables with the trigrams that documents ask for. Both are dealt by the middle word,
-so that one exchange brings a trigram to its own count, its two contexts and its bigram; words that fill more than
-SHARD_WORDS positions are dealt to several shards, with a copy of their counts in each. Only the vocabulary (the lowest
-order and the contexts of one word) is broadcast; it grows with the number of distinct words, not with the text.
+Counts and scores are joins on shards of the middle word of a trigram, so that a trigram meets its count, its two contexts
+and its bigram in one shard:
+
+1. Words of trusted text are counted and numbered by frequency. The numbered vocabulary is broadcast: the VOCABULARY most
+   frequent words at most, of all distinct words as long as there are no more; rarer ones count as unseen.
+2. Trigrams of trusted text go to their shard, counted by batch; a shard adds them up, keeps a table of its trigrams and
+   tells how many contexts each word follows. Discounts and the lowest order follow from those sums.
+3. Trigrams of all documents go to the same shards and meet the tables; a shard returns the sum of log probabilities of its
+   part of each text, and the sums of a batch of texts are added up.
+
+Rows of all exchanges are packed batches: numbers of words, byte by byte, compressed; of copies of a text one asks. A middle word that fills more than
+SHARD_WORDS positions is dealt to several shards, with a copy of its table in each.
 
 Defined cases: a null language is a language of its own; a language without trained text is scored by the pooled model of
-all trusted text that is not held out; of trusted rows with one doc_id one counts; a text without words has no perplexity
-and is rejected; repeated rows are scored each; without any trusted text nothing is rejected but texts without words;
-empty tables give no rows; other columns pass through ``classify``.
+all trusted text that is not held out; of trusted rows with one doc_id the one with the smallest hash of language and text
+counts; a text without words has no perplexity and is rejected; repeated rows are scored each; without any trusted text
+nothing is rejected but texts without words; empty tables give no rows; other columns pass through ``classify``.
 """
 
 from __future__ import annotations
@@ -24,13 +30,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import join_bounded, unit_hash, words
-from siftwell.llm.token_output import text_batches
-from siftwell.sources.scratch import materialise, table
+from siftwell.llm.token_output import array_batches
+from siftwell.sources.scratch import arrow_rows, materialise, release, table, temporary
 
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -38,13 +46,22 @@ MARGIN = 1.5
 PRIOR_WORDS = 25
 SEED = "trusted-1"
 POOLED = "*"
-MEMO_WORDS = 500_000
+#: Words that are numbered and broadcast, at 20 bytes each.
+VOCABULARY = 1 << 22
 #: Positions that one shard holds, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 4_000_000
 #: Characters of a word with its space, for the number of shards alone.
 WORD_CHARS = 6
+#: Words of a range of word numbers that is summed together.
+RANGE = 1 << 13
+#: Rows of an Arrow batch with texts, and bytes of texts whose words are told apart together.
+ARROW_ROWS, SLICE_BYTES = 4000, 8 << 20
 #: Ids of trusted documents and sums of texts (8 and 24 bytes each) that may be broadcast; beyond it the joins shuffle.
 BROADCAST_IDS = 2_000_000
+#: Packed rows that a shard answers together.
+TOGETHER = 64
+#: Probability of a word where nothing is known at all.
+NOTHING = 1e-9
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -58,43 +75,8 @@ def lang_key(lang: str | None) -> str:
     return "\x00" if lang is None else lang
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it holds ``MEMO_WORDS`` words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def word_stream(texts: list[str], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, each text led by two zeros, and the number of words of each text."""
-    out, n = [], []
-    for t in texts:
-        w = [x for x in t.translate(_BREAKS).split(" ") if x]
-        n.append(len(w))
-        out += (0, 0)
-        out += map(memo.__getitem__, w)
-    return np.fromiter(out, "u8", len(out)), np.asarray(n, "i8")
-
-
-def _positions(n: np.ndarray) -> np.ndarray:
-    """Where the words stand in a stream with two leading zeros a text."""
-    total = int(n.sum())
-    return np.arange(total) + 2 * (np.repeat(np.arange(len(n)), n) + 1)
-
-
-def keys(stream: np.ndarray, n: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of w3, (w2), (w2, w3), (w1, w2), (w1, w2, w3) for every word, each with its language."""
-    at, l = _positions(n), np.repeat(lang, n)
-    w1, w2, w3 = (stream[at - k] for k in (2, 1, 0))
-    u2, u3 = _mix(l, w2), _mix(l, w3)
-    b12 = _mix(_mix(l, w1), w2)
-    return u3, u2, _mix(u2, w3), b12, _mix(b12, w3)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def text_key() -> Column:
@@ -108,212 +90,477 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Held out is a fifth by a hash of doc_id; of a language with HELD_OUT documents or more, one at least.
     """
     good = materialise(labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "trusted-ids")
-    text = join_bounded(docs.select("doc_id", "lang", "text"), good, "doc_id", "left_semi", good.count(), BROADCAST_IDS)
-    own = text.select("doc_id", F.coalesce("lang", F.lit(lang_key(None))).alias("model_lang"), "text", F.size(words(F.col("text"))).alias("n"), text_key().alias("text_key"))
-    own = materialise(own.where("n > 0").withColumn("h", unit_hash(F.lit(SEED), F.col("doc_id"))), "trusted")
+    own = docs.select("doc_id", F.coalesce("lang", F.lit(lang_key(None))).alias("model_lang"), "text", text_key().alias("text_key"))
+    own = join_bounded(own, good, "doc_id", "left_semi", good.count(), BROADCAST_IDS).where(F.col("text").rlike(r"[^ \t-\r]"))
     again = materialise(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if n := again.count():
-        once = join_bounded(own, again, "doc_id", "left_semi", n, BROADCAST_IDS).dropDuplicates(["doc_id"])
-        own = materialise(join_bounded(own, again, "doc_id", "left_anti", n, BROADCAST_IDS).unionByName(once), "trusted")
-    least = own.groupBy("model_lang").agg(F.min("h").alias("least"), F.count("*").alias("docs"))
+        once = join_bounded(own, again, "doc_id", "left_semi", n, BROADCAST_IDS).groupBy("doc_id").agg(F.min(F.struct("text_key", "model_lang", "text")).alias("r"))
+        own = join_bounded(own, again, "doc_id", "left_anti", n, BROADCAST_IDS).unionByName(once.select("doc_id", "r.model_lang", "r.text", "r.text_key"))
+    own = own.withColumn("h", unit_hash(F.lit(SEED), F.col("doc_id")))
+    least = materialise(own.groupBy("model_lang").agg(F.min("h").alias("least"), F.count("*").alias("docs")), "least")
     held = (F.col("h") * HELD_OUT < 1) | ((F.col("docs") >= HELD_OUT) & (F.col("h") == F.col("least")))
-    return own.join(F.broadcast(least), "model_lang").select("model_lang", "text", "n", "text_key", held.alias("held_out"))
+    return own.join(F.broadcast(least), "model_lang").select("model_lang", "text", F.size(words(F.col("text"))).alias("n"), "text_key", held.alias("held_out"))
+
+
+# --- words and packed numbers
+
+_SPACED = np.arange(256, dtype="u1")
+_SPACED[9:14] = 32
 
 
-def _trigrams(batches):
-    memo = WordHashes()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts without nulls one after another, and the number of words of each text."""
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(0, "i8")
+    at = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
+    data = _SPACED[np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]]
+    cut = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(data)), " ")
+    some = pc.greater(pc.binary_length(cut.flatten()), 0)
+    return cut.flatten().filter(some), np.add.reduceat(some.to_numpy(zero_copy_only=False).astype("i8"), cut.offsets.to_numpy()[:-1])
+
+
+def _text_slices(batches):
+    """Record batches of bounded bytes, texts without nulls apart, cut by language."""
     for b in batches:
-        texts = b.column("text").to_pylist()
-        lang = np.asarray([memo[x] for x in b.column("model_lang").to_pylist()], "u8")
-        stream, n = word_stream(texts, memo)
-        k = [x.view("i8") for x in keys(stream, n, lang)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lang, n).view("i8")), *map(pa.array, k)], ["l", "u3", "u2", "b23", "b12", "t"])
+        texts, langs = b.column("text").fill_null(""), b.column("lang").fill_null(lang_key(None)).dictionary_encode()
+        for i, j in array_batches(texts, SLICE_BYTES):
+            of = langs.indices.slice(i, j - i)
+            for k in pc.unique(of).to_pylist():
+                at = pa.array(i + np.flatnonzero(of.to_numpy() == k))
+                yield b.take(at), texts.take(at), langs.dictionary[k].as_py()
 
 
-def _discounted(counts: DataFrame, context: str, key: str, *more: str) -> DataFrame:
-    """``key, share, context, gamma`` and the middle word, if there is one: the discounted share of each count in its
-    context, and what the context holds back.
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes, each compressed on its own; a plane of zeros takes no room."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T)
+    blobs = [pa.compress(x, codec="zstd", asbytes=True) if x.any() else b"" for x in planes]
+    return np.asarray([len(x) for x in blobs], "<u4").tobytes() + b"".join(blobs)
+
+
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    out, at = np.zeros((n, 4), "u1"), 16
+    for k, size in enumerate(np.frombuffer(blob, "<u4", 4).tolist()):
+        if size:
+            out[:, k] = np.frombuffer(pa.decompress(blob[at : at + size], n, codec="zstd"), "u1")
+        at += size
+    return out.view("<u4").ravel()
+
+
+def steps(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences of pairs in order: of the first numbers, and of the second ones among equal first ones."""
+    same = np.concatenate([[False], major[1:] == major[:-1]])
+    return np.diff(major, prepend=np.zeros(1, major.dtype)), np.where(same, minor - np.concatenate([minor[:1], minor[:-1]]), minor)
+
+
+def unstep(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    major, minor = major.astype("i8"), minor.astype("i8")
+    if not len(major):
+        return major, minor
+    first = np.flatnonzero(np.concatenate([[True], major[1:] != 0]))
+    total = np.cumsum(minor)
+    return np.cumsum(major), total - np.repeat(total[first] - minor[first], np.diff(np.append(first, len(major))))
+
+
+# --- the vocabulary
+
+
+def _word_counts(batches):
+    for _, texts, lang in _text_slices(batches):
+        found = split_words(texts)[0].value_counts()
+        if len(found):
+            hashes = np.fromiter(map(_hash, found.field("values").to_pylist()), "u8", len(found))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(_mix(np.full(len(found), _hash(lang), "u8"), hashes).view("i8")), found.field("counts")], ["lang", "word", "n"])
 
-    Discounts come from counts of counts of each language; context totals are sums over the shard that holds the context,
-    or a small table where the context is a language.
-    """
-    of = lambda k: F.sum((F.col("c") == k).cast("double")).alias(f"n{k}")
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    part = lambda k: F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0))).otherwise(F.lit(0.5))
-    d = counts.groupBy("l").agg(*[of(k) for k in (1, 2, 3, 4)]).select("l", *[part(k).alias(f"d{k}") for k in (1, 2, 3)])
-    rows = counts.join(F.broadcast(d), "l").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-    if context == "l":
-        rows = rows.join(F.broadcast(rows.groupBy("l").agg(F.sum("c").alias("total"), F.sum("d").alias("back"))), "l")
-    else:
-        shard = Window.partitionBy(context)
-        rows = rows.withColumn("total", F.sum("c").over(shard)).withColumn("back", F.sum("d").over(shard))
-    middle = [F.col("u2").alias("middle")] if "u2" in counts.columns else []
-    return rows.select(F.col(key).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), F.col(context).alias("context"), (F.col("back") / F.col("total")).alias("gamma"), *middle, *more)
-
-
-def kneser_ney(sample: DataFrame) -> dict[int, DataFrame]:
-    """Shares and backoff weights of each order, by key: trigrams by their counts, lower orders by continuation counts."""
-    grams = sample.select("model_lang", "text").mapInArrow(_trigrams, "l long, u3 long, u2 long, b23 long, b12 long, t long")
-    tri = materialise(grams.groupBy("l", "u3", "u2", "b23", "b12", "t").agg(F.count("*").alias("c")), "trigrams")
-    bi = materialise(tri.groupBy("l", "u3", "u2", "b23").agg(F.count("*").alias("c")), "bigrams")
-    uni = bi.groupBy("l", "u3").agg(F.count("*").alias("c"))
-    return {3: _discounted(tri, "b12", "t", "c"), 2: _discounted(bi, "u2", "b23"), 1: _discounted(uni, "l", "u3")}
-
-
-def collect_model(tables: dict[int, DataFrame]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and values of each table, for models that fit in memory."""
-    out = {}
-    for order, df in tables.items():
-        t = df.toArrow()
-        key, context = (t.column(c).to_numpy().view("u8") for c in ("key", "context"))
-        share, gamma = t.column("share").to_numpy(), t.column("gamma").to_numpy()
-        by_key = np.argsort(key)
-        out[f"s{order}"] = (key[by_key], share[by_key].astype("f4"))
-        context, first, n = np.unique(context, return_index=True, return_counts=True)
-        # Below the lowest order stands an even share for every word of the language and one for all others.
-        out[f"g{order}"] = (context, (gamma[first] / (n + 1) if order == 1 else gamma[first]).astype("f4"))
-    return out
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], k: np.ndarray, absent: float) -> tuple[np.ndarray, np.ndarray]:
-    at, v = table
-    if not len(at):
-        return np.full(len(k), absent), np.zeros(len(k), bool)
-    i = np.minimum(np.searchsorted(at, k), len(at) - 1)
-    hit = at[i] == k
-    return np.where(hit, v[i], absent).astype("f8"), hit
-
-
-def log_likelihood(model: dict, stream: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """Sum of interpolated log probabilities over the words of each text."""
-    u3, u2, b23, b12, t = keys(stream, n, lang)
-    p, seen = _find(model["s1"], u3, 0.0)
-    p += np.repeat(_find(model["g1"], lang, 1e-9)[0], n)
-    known = np.flatnonzero(seen)
-    for order, gram, context in ((2, b23, u2), (3, t, b12)):
-        g, held = _find(model[f"g{order}"], context, 1.0)
-        p *= g
-        known = known[held[known]]
-        share, hit = _find(model[f"s{order}"], gram[known], 0.0)
-        p[known] += share
-        known = known[hit]
-    ends = np.cumsum(n)
-    sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
-    return sums[ends] - sums[ends - n]
-
-
-def perplexities(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
-    """``docs`` (``lang, text`` and others) with ``n_words`` and ``log_likelihood``, which replace the text unless it is kept.
-
-    ``model`` is one that ``collect_model`` gave; ``likelihoods`` gives the same for models of any size.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != "text" or keep_text]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_words long", "log_likelihood double"])
-    names = [f.name for f in rest]
 
-    def scored(batches):
-        memo, m = WordHashes(), shared.value
-        known = set(m["g1"][0].tolist())
-        pooled = memo[POOLED]
-        for b in batches:
-            texts, langs = [t or "" for t in b.column("text").to_pylist()], b.column("lang").to_pylist()
-            for i, j in text_batches(texts):
-                lang = [memo[lang_key(x)] for x in langs[i:j]]
-                lang = np.asarray([x if x in known else pooled for x in lang], "u8")
-                stream, n = word_stream(texts[i:j], memo)
-                ll = log_likelihood(m, stream, n, lang)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in names), pa.array(n), pa.array(ll, pa.float64())], [*names, "n_words", "log_likelihood"])
+class Numbering:
+    """Numbers of words: those of the vocabulary, then for each language one for the begin of a text and one for words unseen."""
 
-    return docs.mapInArrow(scored, ddl)
+    def __init__(self, keys: np.ndarray, langs: dict[str, int]):
+        """``keys``: hashes of language and word in the order of their numbers."""
+        self.size, self.langs, order = len(keys), langs, np.argsort(keys)
+        self.keys, self.ids = keys[order], order.astype("u4")
 
+    def begin(self, lang: str) -> int:
+        return self.size + self.langs[lang]
 
-def _vocabulary(tables: dict[int, DataFrame], ratio: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The lowest order, weights of one-word contexts, and the number of shards of each middle word."""
-    out = collect_model({1: tables[1]})
-    held = tables[3].groupBy("middle").agg(F.sum("c").alias("c")).join(tables[2].groupBy(F.col("context").alias("middle")).agg(F.first("gamma").alias("gamma")), "middle").toArrow()
-    word = held.column("middle").to_numpy().view("u8")
-    by_word = np.argsort(word)
-    out["g2"] = word[by_word], held.column("gamma").to_numpy()[by_word].astype("f4")
-    out["copies"] = word[by_word], 1 + (held.column("c").to_numpy()[by_word] * ratio / SHARD_WORDS).astype("i8")
-    return out
+    def unseen(self, lang: str) -> int:
+        return self.size + len(self.langs) + self.langs[lang]
 
+    def of_texts(self, lang: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, two begins before each text, and the number of words of each text."""
+        found, n = split_words(texts)
+        found = found.dictionary_encode()
+        hashes = np.fromiter(map(_hash, found.dictionary.to_pylist()), "u8", len(found.dictionary))
+        asked = _mix(np.full(len(hashes), _hash(lang), "u8"), hashes)
+        ids = np.full(len(hashes), self.unseen(lang), "u4")
+        if self.size:
+            i = np.minimum(np.searchsorted(self.keys, asked), self.size - 1)
+            ids = np.where(self.keys[i] == asked, self.ids[i], ids)
+        out = np.full(int(n.sum()) + 2 * len(n), self.begin(lang), "u4")
+        out[_positions(n)] = ids[found.indices.to_numpy()]
+        return out, n
 
-def _shard(word: np.ndarray, copy: np.ndarray, shards: int) -> np.ndarray:
-    return ((word % np.uint64(shards)).astype("i8") + copy) % shards
+
+def _positions(n: np.ndarray) -> np.ndarray:
+    """Where the words stand in a stream with two leading begins a text."""
+    return np.arange(int(n.sum())) + 2 * (np.repeat(np.arange(len(n)), n) + 1)
+
+
+class Vocabulary:
+    """The numbering, and of each number its language and how often it stands in trusted text."""
+
+    def __init__(self, counts: pa.Table, starts: dict[str, int], cut: dict[str, tuple[int, int]]):
+        """``counts``: language, hash and count of the words, numbered by count; ``starts``: texts of each language;
+        ``cut``: distinct words and words of each language that ``counts`` leaves out."""
+        names = sorted(starts)
+        langs = {lang: k for k, lang in enumerate(names)}
+        key, n = counts.column("word").to_numpy().view("u8"), counts.column("n").to_numpy()
+        order = np.lexsort((key, -n))
+        self.numbering = Numbering(key[order], langs)
+        own = pa.chunked_array(counts.column("lang"), pa.string()).combine_chunks().dictionary_encode()
+        of_word = np.asarray([langs[x] for x in own.dictionary.to_pylist()], "u4")[own.indices.to_numpy()[order]] if len(key) else np.zeros(0, "u4")
+        sides = np.arange(len(names), dtype="u4")
+        self.lang = np.concatenate([of_word, sides, sides])
+        self.n = np.concatenate([n[order], [starts[x] for x in names], [cut.get(x, (0, 0))[1] for x in names]]).astype("i8")
+        self.cut_types = {x: cut[x][0] for x in names if x in cut}
+
+
+def vocabulary(train: DataFrame) -> Vocabulary:
+    """Numbers of the words of ``train`` (``lang, text``)."""
+    counts = train.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "word-counts")
+    least, total = 1, 0
+    for n, types in sorted(counts.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
+        total += types
+        if total > VOCABULARY:
+            least = n + 1
+            break
+    cut = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") < least).groupBy("lang").agg(F.count("*"), F.sum("n")).collect()} if least > 1 else {}
+    starts = {r[0]: r[1] for r in train.where(F.col("text").rlike(r"[^ \t-\r]")).groupBy("lang").count().collect()}
+    return Vocabulary(counts.where(F.col("n") >= least).toArrow(), starts, cut)
+
+
+# --- counts
+
+
+def _rows(shard: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
+    """For each run of ``shard``, which is sorted: the shard, how many numbers stand in it, and the packed columns."""
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    cut = [*zip(first.tolist(), [*first[1:].tolist(), len(shard)])]
+    return [pa.array(shard[first], pa.int64()), pa.array([j - i for i, j in cut], pa.int64()), *(pa.array([pack(x[i:j]) for i, j in cut], pa.binary()) for x in columns)]
+
+
+def _trigrams(shared, shards: int):
+    """Counted trigrams of a slice of texts, one packed row a shard."""
+
+    def run(batches):
+        numbering, shards_ = shared.value, np.uint32(shards)
+        for _, texts, lang in _text_slices(batches):
+            ids, n = numbering.of_texts(lang, texts)
+            at = _positions(n)
+            if not len(at):
+                continue
+            a, b, c = (ids[at - k] for k in (2, 1, 0))
+            order = np.lexsort((c, a, b // shards_, b % shards_))
+            a, b, c = a[order], b[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+            count = np.diff(np.append(first, len(a)))
+            a, b, c = a[first], b[first], c[first]
+            shard, b = (b % shards_).astype("i8"), b // shards_
+            new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            db, da = steps(b, a)
+            db[new], da[new] = b[new], a[new]
+            yield pa.RecordBatch.from_arrays(_rows(shard, [da, db, c, count]), ["shard", "m", "a", "b", "c", "count"])
+
+    return run
 
 
-ASKED = {"text_key": "u8", "b12": "u8", "b23": "u8", "t": "u8", "p": "f4"}
+def _keys(bits: int, *numbers: np.ndarray) -> np.ndarray:
+    """One 64-bit key for a tuple of numbers: in their order where ``bits`` for each but the first leave room, else a hash."""
+    fits = bits * (len(numbers) - 1) + int(numbers[0].max(initial=0)).bit_length() <= 64
+    key = numbers[0].astype("u8")
+    for x in numbers[1:]:
+        key = key << np.uint64(bits) | x.astype("u8") if fits else _mix(key, x.astype("u8"))
+    return key
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, and the number of the key at each place."""
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    return first, of
+
+
+def _unpacked(rows: pa.Table) -> list[np.ndarray]:
+    """``a, b, c, count`` of packed rows; ``b`` without its shard."""
+    out: list[list] = [[np.zeros(0, "i8")] for _ in range(4)]
+    for m, *blobs in zip(*(rows.column(x).to_pylist() for x in ("m", "a", "b", "c", "count"))):
+        a, b, c, count = (unpack(x, m) for x in blobs)
+        b, a = unstep(b, a)
+        for column, values in zip(out, (a, b, c.astype("i8"), count.astype("i8"))):
+            column.append(values)
+    return [*map(np.concatenate, out)]
+
+
+_TABLE = pa.schema([(x, pa.int64()) for x in ("shard", "copies", "m")] + [(x, pa.binary()) for x in ("a", "b", "c", "count")] + [(x, pa.int64()) for x in ("lang", "k", "n", "part")])
+_TABLE_DDL = "shard long, copies long, m long, a binary, b binary, c binary, count binary, lang long, k long, n long, part long"
+
+
+def _added_up(shared, shards: int, copies: dict[int, int]):
+    """A shard's table: its trigrams (words of several shards in a row each), counts of counts (``k``: ten times the order and
+    the count), and by ranges of words (``part``) how many contexts each word follows."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        a, b, c, count = _unpacked(rows)
+        lang = shared.value
+        bits = len(lang).bit_length()
+        first, of = _distinct(_keys(bits, b, a, c))
+        count = np.bincount(of, count, len(first)).astype("i8")
+        a, b, c = a[first], b[first], c[first]
+        order = np.lexsort((c, a, b))
+        a, b, c, count = a[order], b[order], c[order], count[order]
+        word = b * shards + shard
+        lang = lang[word]
+        out: list[dict] = []
+        heavy = [x for x in copies if x % shards == shard]
+        for x in [None, *heavy]:
+            at = np.flatnonzero(~np.isin(word, heavy) if x is None else word == x)
+            if len(at):
+                db, da = steps(b[at], a[at])
+                out.append({"shard": shard, "copies": copies.get(x, 1), "m": len(at)} | {k: pack(v) for k, v in (("a", da), ("b", db), ("c", c[at]), ("count", count[at]))})
+        second, of = _distinct(_keys(bits, b, c))
+        for order_, l, n in ((3, lang, count), (2, lang[second], np.bincount(of, minlength=len(second)))):
+            for x in np.unique(l).tolist():
+                times = np.bincount(np.minimum(n[l == x], 5), minlength=6)
+                out += [{"lang": x, "k": 10 * order_ + i, "n": int(times[i])} for i in (1, 2, 3, 4) if times[i]]
+        follower, times = np.unique(c[second], return_counts=True)
+        for part in np.unique(follower // RANGE).tolist():
+            at = follower // RANGE == part
+            dense = np.zeros(RANGE, "u4")
+            dense[follower[at] % RANGE] = times[at]
+            out.append({"part": part, "c": pack(dense)})
+        return pa.Table.from_pylist(out, schema=_TABLE)
+
+    return run
 
 
-def _asked(shared, shards: int):
-    """Positions of a slice of texts, one row a shard, with the probability by the lowest order under its weight."""
+def _range_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    total = sum(unpack(blob, RANGE).astype("i8") for blob in rows.column("c").to_pylist())
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([total.tobytes()], pa.binary())})
+
+
+def _discounts(n: list[float]) -> list[float]:
+    """Discounts of counts 0, 1, 2 and 3 or more, from the counts of counts 1 to 4."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    return [0.0, *(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0) if n[k - 1] and n[0] else 0.5 for k in (1, 2, 3))]
+
+
+def _lowest_order(v: Vocabulary, follows: np.ndarray) -> np.ndarray:
+    """Probability of every number by the lowest order: a discounted share and an even share of what is held back."""
+    p = np.full(len(v.lang), NOTHING)
+    for lang, k in v.numbering.langs.items():
+        own = np.flatnonzero((v.lang == k) & (follows > 0))
+        n = follows[own]
+        d = np.asarray(_discounts([float((n == i).sum()) for i in (1, 2, 3, 4)]))[np.minimum(n, 3)]
+        even = d.sum() / n.sum() / (len(own) + 1) if len(own) else NOTHING
+        p[v.numbering.unseen(lang)] = even
+        p[own] = (n - d) / n.sum() + even
+        p[v.numbering.unseen(lang)] /= v.cut_types.get(lang, 1)
+    return p.astype("f4")
+
+
+class Model:
+    """The vocabulary, the lowest order, the discounts ``[order, language, count]``, and the written tables of the shards."""
+
+    def __init__(self, train: DataFrame, asked_by_trained: float, shards: int):
+        spark = train.sparkSession
+        v = vocabulary(train)
+        self.shards, self.langs = shards, v.numbering.langs
+        self.copies = {int(x): 1 + int(v.n[x] * asked_by_trained / SHARD_WORDS) for x in np.flatnonzero(v.n * asked_by_trained >= SHARD_WORDS)}
+        self.numbering = spark.sparkContext.broadcast(v.numbering)
+        grams = train.mapInArrow(_trigrams(self.numbering, shards), "shard long, m long, a binary, b binary, c binary, count binary")
+        lang = spark.sparkContext.broadcast(v.lang)
+        self.tables = materialise(grams.groupBy("shard").applyInArrow(_added_up(lang, shards, self.copies), _TABLE_DDL), "trigrams")
+        lang.unpersist()
+        del grams
+        release(spark)
+        discounts, n = np.zeros((4, len(self.langs), 4)), {}
+        for l, k, times in self.tables.where("k IS NOT NULL").groupBy("lang", "k").agg(F.sum("n")).collect():
+            n[k // 10, l, k % 10] = float(times)
+        for order in (2, 3):
+            for l in range(len(self.langs)):
+                discounts[order, l] = _discounts([n.get((order, l, i), 0.0) for i in (1, 2, 3, 4)])
+        follows = np.zeros((len(v.lang) // RANGE + 1) * RANGE, "i8")
+        for part, blob in self.tables.where("part IS NOT NULL").groupBy("part").applyInArrow(_range_sums, "part long, c binary").collect():
+            follows[part * RANGE : (part + 1) * RANGE] = np.frombuffer(blob, "i8")
+        self.without = np.flatnonzero(v.n == 0)
+        self.values = spark.sparkContext.broadcast((_lowest_order(v, follows[: len(v.lang)]), v.lang, discounts))
+
+
+# --- scores
+
+_ASKED = pa.schema([("shard", pa.int64()), ("m", pa.int64()), *((x, pa.binary()) for x in ("a", "b", "c", "text", "off")), ("chunk", pa.int64())])
+_ASKED_DDL = "shard long, m long, a binary, b binary, c binary, text binary, off binary, chunk long"
+
+
+def _asked(model: Model):
+    """Trigrams of a chunk of texts, one packed row a shard; before them a row with the keys and word counts of the texts and
+    the sums for words behind one that trusted text has not: the lowest order alone tells of these."""
+    shared, values, shards, copies, langs, without = model.numbering, model.values, model.shards, model.copies, model.langs, model.without
+    heavy = np.asarray(sorted(copies), "i8")
+    many = np.asarray([copies[x] for x in sorted(copies)], "i8")
+    other = POOLED if POOLED in langs else min(langs)
 
     def run(batches):
-        memo, m = WordHashes(), shared.value
-        known = set(m["g1"][0].tolist())
-        pooled = memo[POOLED]
-        for b in batches:
-            texts, langs, key = [t or "" for t in b.column("text").to_pylist()], b.column("lang").to_pylist(), b.column("text_key").to_numpy().view("u8")
-            for i, j in text_batches(texts):
-                lang = [memo[lang_key(x)] for x in langs[i:j]]
-                lang = np.asarray([x if x in known else pooled for x in lang], "u8")
-                stream, n = word_stream(texts[i:j], memo)
-                u3, u2, b23, b12, t = keys(stream, n, lang)
-                g, held = _find(m["g2"], u2, 1.0)
-                p = (_find(m["s1"], u3, 0.0)[0] + np.repeat(_find(m["g1"], lang, 1e-9)[0], n)) * g
-                at = np.arange(len(t))
-                copies = _find(m["copies"], u2, 1)[0].astype("i8")
-                # A middle word without counts needs no table: its positions go anywhere.
-                shard = np.where(held, _shard(u2, at % copies, shards), at % shards)
+        numbering, chunk = shared.value, TaskContext.get().partitionId() << 32
+        for b, texts, lang in _text_slices(batches):
+            ids, n = numbering.of_texts(lang if lang in langs else other, texts)
+            at, text = _positions(n), np.repeat(np.arange(len(n)), n)
+            alone = np.isin(ids[at - 1], without)
+            base = np.bincount(text[alone], np.log(values.value[0][ids[at[alone]]].astype("f8")), len(n))
+            head = np.stack([b.column("text_key").to_numpy(), n]).astype("<i8").tobytes() + base.astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([chunk % shards, None, head, None, None, None, None, chunk], _ASKED)], schema=_ASKED)
+            at, text = at[~alone], text[~alone]
+            if len(at):
+                first, middle, last = (ids[at - k] for k in (2, 1, 0))
+                off = np.zeros(len(at), "i8")
+                if len(heavy):
+                    i = np.minimum(np.searchsorted(heavy, middle), len(heavy) - 1)
+                    off = np.where(heavy[i] == middle, (np.arange(len(at)) + chunk) % many[i], 0)
+                shard = (middle + off) % shards
                 order = np.argsort(shard, kind="stable")
-                shard, first = np.unique(shard[order], return_index=True)
-                columns = [x[order].astype(d) for x, d in zip((np.repeat(key[i:j], n), b12, b23, t, p), ASKED.values())]
-                ends = [*first[1:], len(t)]
-                cut = [pa.array([c[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *cut], ["shard", *ASKED])
+                shard, text = shard[order], text[order]
+                # Numbers of texts ascend within a shard; their steps are small.
+                step = np.where(np.concatenate([[True], shard[1:] != shard[:-1]]), text, np.diff(text, prepend=0))
+                rows = _rows(shard, [first[order], middle[order] // np.uint32(shards), last[order], step, off[order]])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([chunk] * len(rows[0]), pa.int64())], schema=_ASKED)
+            chunk += 1
 
     return run
 
 
-def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """Sums of log probabilities of one shard by text."""
-    key, b12, b23, t, p = (np.frombuffer(b"".join(asked.column(c).to_pylist()), d) for c, d in ASKED.items())
-    p = p.astype("f8")
-    if model.num_rows and len(p):
-        order, gram, share, context, gamma = (model.column(c).to_numpy() for c in ("order", "key", "share", "context", "gamma"))
-        for k, grams, contexts in ((2, b23, None), (3, t, b12)):
-            of = order == k
-            if contexts is not None:
-                c, first = np.unique(context[of].view("u8"), return_index=True)
-                p *= _find((c, gamma[of][first]), contexts, 1.0)[0]
-            by_key = np.argsort(gram[of].view("u8"))
-            p += _find((gram[of].view("u8")[by_key], share[of][by_key]), grams, 0.0)[0]
-    texts, of = np.unique(key, return_inverse=True)
-    sums = np.bincount(of, np.log(p), len(texts)).astype("f8")
-    return pa.table({"text_key": texts.view("i8"), "sum": sums, "n": np.bincount(of, minlength=len(texts)).astype("i8")})
+def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, absent: float) -> np.ndarray:
+    at, value = table
+    if not len(at):
+        return np.full(len(key), absent)
+    i = np.minimum(np.searchsorted(at, key), len(at) - 1)
+    return np.where(at[i] == key, value[i], absent)
+
+
+class _Shard:
+    """Discounted shares of trigrams and bigrams and weights of their contexts, by keys; ``b`` is the word in its shard's count."""
+
+    def __init__(self, rows: pa.Table, shards: int, low: np.ndarray, lang: np.ndarray, discounts: np.ndarray):
+        self.low, self.bits = low, len(lang).bit_length()
+        a, b, c, n = _unpacked(rows)
+        own = np.repeat(rows.column("shard").to_numpy(), rows.column("m").to_numpy())
+        b = b * shards + own
+        self.three, self.two, _, _ = self._order(n, discounts[3, lang[b]], (b, a, c), (b, a))
+        at, of = _distinct(_keys(self.bits, b, c))
+        b, c = b[at], c[at]
+        self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang[b]], (b, c), (b,))
+        self.one = np.ones(len(lang), "f8")
+        self.one[b[first]] = weight
+
+    def _order(self, n, discounts, gram, context):
+        d = discounts[np.arange(len(n)), np.minimum(n, 3)]
+        key = _keys(self.bits, *context)
+        first, of = _distinct(key)
+        total, back = np.bincount(of, n, len(first)), np.bincount(of, d, len(first))
+        weight = back / np.maximum(total, 1)
+        return _sorted(_keys(self.bits, *gram), (n - d) / total[of]), _sorted(key[first], weight), first, weight
+
+    def log_p(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        p = _find(self.pairs, _keys(self.bits, b, c), 0.0) + self.one[b] * self.low[c]
+        weight = _find(self.two, _keys(self.bits, b, a), -1.0)
+        known = np.flatnonzero(weight >= 0)
+        p[known] *= weight[known]
+        p[known] += _find(self.three, _keys(self.bits, b[known], a[known], c[known]), 0.0)
+        return np.log(p)
+
+
+_SUMS = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("m", pa.int64()), ("text", pa.binary()), ("sum", pa.binary())])
+
+
+def _answered(model: Model):
+    """Sums of log probabilities of one shard's positions, by text of each chunk."""
+    shared, shards = model.values, model.shards
+
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+        shard, out = key[0].as_py(), []
+        table_ = _Shard(rows, shards, *shared.value)
+        for t in asked.to_batches(max_chunksize=TOGETHER):
+            heads = t.filter(t.column("m").is_null())
+            out += [{"chunk": x, "head": y} for x, y in zip(heads.column("chunk").to_pylist(), heads.column("a").to_pylist())]
+            t = t.filter(t.column("m").is_valid())
+            if not t.num_rows:
+                continue
+            m = t.column("m").to_pylist()
+            a, b, c, off = (np.concatenate([unpack(x, k) for x, k in zip(t.column(name).to_pylist(), m)]).astype("i8") for name in ("a", "b", "c", "off"))
+            text = [np.cumsum(unpack(x, k).astype("i8")) for x, k in zip(t.column("text").to_pylist(), m)]
+            b = b * shards + (shard - off) % shards
+            # Lookups in the order of the keys stay near each other.
+            order = np.lexsort((c, a, b))
+            log = np.empty(len(a))
+            log[order] = table_.log_p(a[order], b[order], c[order])
+            for chunk, own, part in zip(t.column("chunk").to_pylist(), text, np.split(log, np.cumsum(m)[:-1])):
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                out.append({"chunk": chunk, "m": len(first), "text": pack(np.diff(own[first], prepend=0)), "sum": np.add.reduceat(part, first).astype("<f4").tobytes()})
+        return pa.Table.from_pylist(out, schema=_SUMS)
+
+    return run
+
+
+def _text_sums(rows: pa.Table) -> pa.Table:
+    """Key, sum of log probabilities and words of each text of a chunk."""
+    head = next(x for x in rows.column("head").to_pylist() if x is not None)
+    key, n, base = np.frombuffer(head, "<i8").reshape(3, -1)
+    total = base.copy().view("<f8")
+    for part in sorted((r for r in rows.to_pylist() if r["m"] is not None), key=lambda r: (r["m"], r["text"], r["sum"])):
+        total[np.cumsum(unpack(part["text"], part["m"]).astype("i8"))] += np.frombuffer(part["sum"], "<f4")
+    return pa.table({"text_key": key, "sum": total, "n": n}).filter(pa.array(n > 0))
+
+
+def _once(asked: DataFrame) -> DataFrame:
+    """``lang, text, text_key`` without most copies of a text: sums are kept by key, and copies only cost room.
+
+    The row with the smallest doc_id asks for all, as long as the list of repeated texts can be broadcast.
+    """
+    if "doc_id" in asked.columns:
+        several = materialise(asked.groupBy("text_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1 AND least IS NOT NULL").select("text_key", "least"), "copies")
+        if several.count() <= BROADCAST_IDS:
+            asked = asked.join(F.broadcast(several), "text_key", "left").where(F.col("least").isNull() | (F.col("least") == F.col("doc_id")))
+    return asked.select("lang", "text", "text_key")
 
 
 def likelihoods(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """``text_key, mean_log``: mean log probability a word of every text of ``docs`` (``lang, text``) that has words."""
+    """``text_key, mean_log, n``: mean log probability a word, and words, of every text of ``docs`` (``lang, text``) that has words."""
     spark = docs.sparkSession
-    tables = kneser_ney(train)
-    tables[2] = materialise(tables[2], "order-2")
-    chars = lambda d: d.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    asked, trained = chars(docs), chars(train)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked // (WORD_CHARS * SHARD_WORDS) + 1)
-    shared = spark.sparkContext.broadcast(v := _vocabulary(tables, asked / max(trained, 1)))
-    positions = docs.select("lang", "text", text_key().alias("text_key")).mapInArrow(_asked(shared, shards), "shard long, " + ", ".join(f"{c} binary" for c in ASKED))
-    several = v["copies"][1] > 1
-    heavy = spark.createDataFrame(list(zip(v["copies"][0][several].view("i8").tolist(), v["copies"][1][several].tolist())), "middle long, copies long")
-    rows = tables[2].withColumn("order", F.lit(2)).unionByName(tables[3].drop("c").withColumn("order", F.lit(3)))
-    rows = rows.join(F.broadcast(heavy), "middle", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)))
-    # The remainder of the word as an unsigned number, as in _shard.
-    rest = F.pmod(F.col("middle"), F.lit(shards)) + F.when(F.col("middle") < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0))
-    rows = rows.select(F.pmod(rest + F.col("copy"), F.lit(shards)).cast("long").alias("shard"), "order", "key", "share", "context", "gamma")
-    found = positions.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(_answered, "text_key long, sum double, n long")
-    # Copies of a text add up in both sums.
-    return materialise(found.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log")), "likelihoods")
+    train, asked = train.withColumnRenamed("model_lang", "lang"), docs.select("lang", "text", text_key().alias("text_key"), *([] if "doc_id" not in docs.columns else ["doc_id"]))
+    chars = lambda d: d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_asked, n_trained = chars(docs), chars(train)
+    with temporary(spark) as keep, arrow_rows(spark, ARROW_ROWS):
+        if not n_trained:
+            none = asked.select("text_key", F.lit(math.log(NOTHING)).alias("mean_log"), F.size(words(F.col("text"))).cast("long").alias("n"))
+            return keep(materialise(none.where("n > 0").distinct(), "likelihoods"))
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_asked // (WORD_CHARS * SHARD_WORDS) + 1)
+        model = Model(train, n_asked / n_trained, shards)
+        # A word of several shards has its table in each of them.
+        tables = model.tables.where("m IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+        tables = tables.select(F.pmod(F.col("shard") + F.col("copy"), F.lit(shards)).cast("long").alias("at"), "shard", "m", "a", "b", "c", "count")
+        positions = _once(asked).mapInArrow(_asked(model), _ASKED_DDL)
+        sums = positions.groupBy("shard").cogroup(tables.groupBy("at")).applyInArrow(_answered(model), "chunk long, head binary, m long, text binary, sum binary")
+        by_text = sums.groupBy("chunk").applyInArrow(_text_sums, "text_key long, sum double, n long")
+        # Copies of a text have equal sums.
+        out = materialise(by_text.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log"), F.max("n").alias("n")), "likelihoods")
+        model.numbering.unpersist()
+        model.values.unpersist()
+        return keep(out)
 
 
 VERDICT = ("n_words", "perplexity", "threshold", "kept")
@@ -322,10 +569,10 @@ VERDICT = ("n_words", "perplexity", "threshold", "kept")
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text unless it is kept) and ``n_words, perplexity, threshold, kept`` of every row.
 
-    Columns of ``docs`` that have those names stay; the verdict is then found in ``_n_words`` and so on.
+    Columns of ``docs`` that have those names, in any case, stay; the verdict is then found in ``_n_words`` and so on.
     """
-    own = docs.columns
-    clash = {c: f"_own_{k}" for k, c in enumerate(own) if c.lower() in (*VERDICT, "text_key", "mean_log", "mean", "model_lang")}
+    clash = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c.lower() in (*VERDICT, *(f"_{v}" for v in VERDICT), "text_key", "mean_log", "mean", "model_lang", "n")}
+    taken = {c.lower() for c in clash}
     docs = docs.withColumnsRenamed(clash)
     trusted = trusted_text(docs, labels)
     train = trusted.where("NOT held_out").select("model_lang", "text")
@@ -333,32 +580,33 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     if not docs.select(lang).distinct().join(train.select("model_lang").distinct(), "model_lang", "left_anti").isEmpty():
         train = train.unionByName(train.withColumn("model_lang", F.lit(POOLED)))
     sums = likelihoods(docs, train)
-    held = trusted.where("held_out").select(F.col("model_lang").alias("lang"), F.col("n").alias("n_words"), "text_key")
-    held = materialise(held.join(sums, "text_key"), "held-out")
-    mean = held.groupBy(F.col("lang").alias("model_lang")).agg((F.sum(F.col("mean_log") * F.col("n_words")) / F.sum("n_words")).alias("mean"))
+    held = materialise(trusted.where("held_out").select("model_lang", "text_key").join(sums, "text_key").withColumnRenamed("n", "n_words"), "held-out")
+    mean = held.groupBy("model_lang").agg((F.sum(F.col("mean_log") * F.col("n_words")) / F.sum("n_words")).alias("mean"))
     means = {r[0]: r[1] for r in mean.collect()}
     prior = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in means.items()], "model_lang string, mean double")
     pooled_mean = sum(means.values()) / len(means) if means else 0.0
     ppl = F.exp(-(F.col("mean_log") * F.col("n_words") + PRIOR_WORDS * F.coalesce("mean", F.lit(float(pooled_mean)))) / (F.col("n_words") + PRIOR_WORDS))
-    limits = held.join(F.broadcast(prior), F.col("lang") == F.col("model_lang"), "left").withColumn("p", ppl)
-    by_lang = {r[0]: r[1] * margin for r in limits.groupBy("lang").agg(F.percentile("p", quantile)).collect()}
+    limits = held.join(F.broadcast(prior), "model_lang", "left").withColumn("p", ppl)
+    by_lang = {r[0]: r[1] * margin for r in limits.groupBy("model_lang").agg(F.percentile("p", quantile)).collect()}
     overall = max(by_lang.values(), default=math.inf)
     limit = prior.join(docs.sparkSession.createDataFrame([(k, float(v)) for k, v in by_lang.items()], "model_lang string, threshold double"), "model_lang")
-    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("text_key", text_key())
-    scored = join_bounded(counted if keep_text else counted.drop("text"), sums, "text_key", "left", sums.count(), BROADCAST_IDS).drop("text_key")
+    keyed = docs.withColumn("text_key", text_key())
+    scored = join_bounded(keyed if keep_text else keyed.drop("text"), sums.withColumnRenamed("n", "n_words"), "text_key", "left", sums.count(), BROADCAST_IDS).drop("text_key")
     key = F.coalesce("lang", F.lit(lang_key(None)))
     out = scored.join(F.broadcast(limit), key == F.col("model_lang"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(float(overall))))
-    out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, ppl))
+    out = out.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).withColumn("perplexity", F.when(F.col("n_words") > 0, ppl))
     out = out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
-    out = out.drop("mean_log", "mean", "model_lang").withColumnsRenamed({v: f"_{v}" for v in VERDICT if v in clash})
+    out = out.select(*[c for c in docs.columns if c in out.columns], *VERDICT).withColumnsRenamed({v: f"_{v}" for v in VERDICT if v in taken})
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    kept = "_kept" if "kept" in docs.columns else "kept"
-    return classify(docs, labels, keep_text=True).where(F.col(kept)).select(*docs.columns)
+    """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``."""
+    flag = "_siftwell_kept"
+    found = classify(docs, labels, keep_text=True)
+    return found.toDF(*found.columns[:-1], flag).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, perplexity, the threshold of its language and the verdict."""
     return classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))

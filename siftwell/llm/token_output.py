@@ -48,13 +48,13 @@ def text_batches(texts: list[str]):
         yield begin, len(texts)
 
 
-def array_batches(texts: pa.Array):
-    """Slices of at most BATCH_BYTES bytes, or of one text that is longer."""
+def array_batches(texts: pa.Array, most: int = BATCH_BYTES):
+    """Slices of at most ``most`` bytes, or of one text that is longer."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
     begin = 0
     while begin < len(texts):
         before = int(size[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(size, before + BATCH_BYTES, "right")))
+        end = max(begin + 1, int(np.searchsorted(size, before + most, "right")))
         yield begin, end
         begin = end
 

@@ -480,17 +480,6 @@ def kneser_ney_reference(texts):
     return log_likelihood
 
 
-def test_kneser_ney_against_plain_dictionaries(spark):
-    rnd = random.Random(8)
-    words = [f"w{i}" for i in range(40)]
-    texts = [" ".join(rnd.choices(words, weights=range(1, 41), k=rnd.randint(1, 60))) for _ in range(60)]
-    model = quality_classifier.collect_model(quality_classifier.kneser_ney(spark.createDataFrame([("en", t) for t in texts], "model_lang string, text string")))
-    want = kneser_ney_reference(texts)
-    probe = [*texts[:10], "w1 unknown w2 w3", "unknown", "w39 w39 w39 w38"]
-    got = {r["text"]: r["log_likelihood"] for r in quality_classifier.perplexities(spark.createDataFrame([("en", t) for t in probe], "lang string, text string"), model, keep_text=True).collect()}
-    assert got == pytest.approx({t: want(t) for t in probe}, rel=1e-4)
-
-
 def test_classifier_keeps_clean_documents(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
