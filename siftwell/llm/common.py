@@ -30,6 +30,14 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, led by as many underscores as make it none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str, rows: int, bound: int) -> DataFrame:
     """Join with ``right``, broadcast only when its counted ``rows`` stay within ``bound``."""
     return left.join(F.broadcast(right) if rows <= bound else right, on, how)

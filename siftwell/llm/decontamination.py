@@ -20,14 +20,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_bounded, let
+from siftwell.llm.common import free_name, join_bounded, let
 from siftwell.sources.scratch import materialise, table
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
-#: Sketch rows (16 bytes each) and candidate documents that may be broadcast; beyond it the joins shuffle.
+#: Sketch rows (16 bytes each) and ids of candidate documents that may be broadcast; beyond it the joins shuffle.
 BROADCAST_SKETCH = 1_000_000
-BROADCAST_CANDIDATES = 200_000
+BROADCAST_IDS = 2_000_000
+#: Characters of the items that all candidate documents together may be sent by broadcast; beyond it those documents shuffle.
+BROADCAST_CHARS = 16 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -66,11 +68,16 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = MIN
 
     probe = docs.select("doc_id", F.explode(hashed(shingles(F.col("text"), k))).alias("h"))
     pairs = materialise(join_bounded(probe, sketch, "h", "inner", n_sketch, BROADCAST_SKETCH).select("doc_id", "item_key").distinct(), "candidates")
-    n_pairs = pairs.count()
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    n_chars = pairs.join(item.select("item_key", chars.alias("chars")), "item_key").agg(F.sum("chars")).first()[0] or 0
 
     # The shingles of each candidate item go to the document, which is then read once more, only where it is a candidate.
     wanted = pairs.join(item, "item_key").select(F.col("doc_id").alias("_id"), "item_id", "n", "s")
-    found = join_bounded(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", n_pairs, BROADCAST_CANDIDATES)
+    some = docs.select("doc_id", "text")
+    if n_chars > BROADCAST_CHARS:
+        ids = materialise(pairs.select(F.col("doc_id").alias("_id")).distinct(), "candidate-ids")
+        some = join_bounded(some, ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi", ids.count(), BROADCAST_IDS)
+    found = join_bounded(some, wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", n_chars, BROADCAST_CHARS)
     shared = F.size(F.array_intersect(F.col("s"), shingles(F.col("text"), k)))
     checked = found.select("doc_id", "item_id", F.col("n").alias("n_shingles"), shared.alias("n_shared"))
     checked = checked.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * min_containment - 1e-9))
@@ -80,11 +87,13 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = MIN
 
 def clean_documents(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    hits = materialise(contaminated(docs, items, min_containment).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return join_bounded(docs, hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti", hits.count(), BROADCAST_CANDIDATES)
+    own = free_name(docs.columns, "hit_id")
+    hits = materialise(contaminated(docs, items, min_containment).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return join_bounded(docs, hits, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti", hits.count(), BROADCAST_IDS)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
