@@ -28,14 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_bounded
+from siftwell.llm.common import free_name, join_bounded
 from siftwell.operators.graph import connected_components
-from siftwell.sources.scratch import materialise, table
+from siftwell.sources.scratch import materialise, table, temporary
 
 SHINGLE = 4
 #: The threshold as a fraction.
 THRESHOLD = (85, 100)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
+#: Rows whose entries are packed together; fewer than 2^16.
+PACK_ROWS = 5_000
 #: Rows of the matrix to a side of a tile, and cells of a dense column range.
 TILE, CELLS = 512, 1 << 23
 #: Ids of copies that may be broadcast; beyond it the documents are shuffled.
@@ -81,8 +83,8 @@ def _pack(k: int, bits: int):
         schema = pa.schema([("slot", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("row", pa.int64()), ("grams", pa.binary()), ("rows", pa.binary())])
         nulls = lambda m, t: pa.nulls(m, t)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 10_000):
-                b = batch.slice(lo, 10_000)
+            for lo in range(0, batch.num_rows, PACK_ROWS):
+                b = batch.slice(lo, PACK_ROWS)
                 base, at = (part << 40) | (at << 16), at + 1
                 index: dict[bytes, int] = {}
                 sets, sids, sizes = [], [], []
@@ -282,6 +284,7 @@ def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     kept = kept.withColumn("f", F.transform(F.sort_array("f"), lambda x: x["gram"])).withColumn("p", prefix.cast("int")).where("p > 0")
     kept = materialise(kept.select("sid", "n", "c", F.col("f").alias("feats"), "p"), "kept-rows")
     blocks = materialise(kept.select("sid", "n", "c", F.explode(F.slice("feats", F.lit(1), F.col("p"))).alias("gram")), "blocks")
+    entries = blocks.count()
 
     pivot = blocks.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("single"), "sid", "n", "c")).alias("pivot"), F.count("*").alias("m")).where("m > 1")
     star = blocks.join(pivot, "gram").where(F.col("sid") != F.col("pivot.sid")).where(_overlap_bound(F.col("n"), F.col("c"), F.col("pivot.n"), F.col("pivot.c"), t))
@@ -293,16 +296,16 @@ def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
 
     found = connected_components(links)
     labelled = blocks.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    labelled = materialise(labelled, "labelled")
+    labelled = materialise(labelled, "labelled", entries)
     kinds = labelled.groupBy("gram", "n", "c").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     kinds = kinds.groupBy("gram").agg(F.collect_list(F.struct("n", "c", "low", "high")).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("gram", "kinds")
     may = lambda k: ((k["low"] != F.col("component")) | (k["high"] != F.col("component"))) & _overlap_bound(F.col("n"), F.col("c"), k["n"], k["c"], t)
-    active = materialise(labelled.join(kinds, "gram").where(F.exists("kinds", may)).select("gram", "sid", "component", "n"), "active")
+    active = materialise(labelled.join(kinds, "gram").where(F.exists("kinds", may)).select("gram", "sid", "component", "n"), "active", entries)
     # Rows meet in many blocks; each goes once to the group of all blocks that it shares, directly or over others.
     first = active.groupBy("gram").agg(F.min("sid").alias("first"), F.count("*").alias("m")).where("m > 1")
     groups = connected_components(active.join(first, "gram").select(F.col("sid").alias("a"), F.col("first").alias("b")))
     grouped = active.select("sid", "component", "n").distinct().join(groups.select(F.col("node").alias("sid"), F.col("component").alias("grp")), "sid")
-    grouped = materialise(grouped, "groups")
+    grouped = materialise(grouped, "groups", entries)
     sizes = grouped.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = grouped.join(sizes, "grp").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -314,7 +317,13 @@ def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    members, rows = incidence(docs, k, t)
+    spark = docs.sparkSession
+    with temporary(spark) as keep:
+        out = _components(*incidence(docs, k, t), t)
+        return keep(materialise(out, "components"))
+
+
+def _components(members: DataFrame, rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     found = connected_components(near_links(rows, t))
     least = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     least = least.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -326,20 +335,29 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = T
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``docs`` with the smallest id of every component; rows that share an id are one document, of which one row stays."""
-    found = materialise(jaccard_components(docs, k, threshold), "components")
-    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    out = join_bounded(docs, gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti", gone.count(), BROADCAST_COPIES)
-    twice = materialise(found.groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1 AND _twice IS NOT NULL").select("_twice"), "twice")
+    """``docs`` with the smallest id of every component.
+
+    Rows that share an id are one document: it goes if any of its rows is a later copy, else the row that comes first as JSON
+    stays.
+    """
+    own, row = free_name(docs.columns, "copy_id"), free_name(docs.columns, "row")
+    found = jaccard_components(docs, k, threshold)
+    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct(), "copies")
+    out = join_bounded(docs, gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti", gone.count(), BROADCAST_COPIES)
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own))
+    twice = materialise(twice, "twice")
     n = twice.count()
     if not n:
         return out
-    once = join_bounded(out, twice, F.col("doc_id") == F.col("_twice"), "left_anti", n, BROADCAST_COPIES)
-    more = join_bounded(out, twice, F.col("doc_id") == F.col("_twice"), "left_semi", n, BROADCAST_COPIES).dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    once = join_bounded(out, twice, F.col("doc_id") == F.col(own), "left_anti", n, BROADCAST_COPIES)
+    more = join_bounded(out, twice, F.col("doc_id") == F.col(own), "left_semi", n, BROADCAST_COPIES)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    more = more.groupBy("doc_id").agg(F.min_by(every, F.to_json(every)).alias(row))
+    return once.unionByName(more.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the smallest id that links reach."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
