@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import join_bounded
-from siftwell.sources.scratch import materialise, table
+from siftwell.sources.scratch import arrow_rows, materialise, table, temporary
 
 LENGTH, GRAM, STEP = 400, 32, 16
 #: Bytes hashed at once, and window starts of a long text taken at once.
 BUFFER, SEGMENT = 1 << 20, 1 << 19
+#: Rows of an Arrow batch with texts.
+ARROW_ROWS = 2000
 #: Texts with undecided runs that may be broadcast as request lists; beyond it text and lists are shuffled.
 BROADCAST_TEXTS, BROADCAST_ITEMS = 400_000, 4_000_000
 
@@ -187,20 +189,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
 
 
-def _ask(docs: DataFrame, items: DataFrame, length: int, step: int, segment: int, name: str) -> DataFrame:
+def _ask(docs: DataFrame, items: DataFrame, length: int, step: int, segment: int, name: str, rows: int) -> DataFrame:
     """Cut ``items`` (one list a text) with the texts at hand."""
     lists = items.groupBy("dk").agg(F.collect_list(F.struct("x", "lo", "hi", "known")).alias("items"))
-    lists = materialise(lists, name)
+    lists = materialise(lists, name, rows)
     n = lists.agg(F.count("*"), F.sum(F.size("items"))).first()
     small = n[0] <= BROADCAST_TEXTS and (n[1] or 0) <= BROADCAST_ITEMS
     return join_bounded(_keyed(docs), lists, "dk", "inner", 0 if small else 1, 0).mapInArrow(_split(length, step, segment), _ITEM_DDL)
 
 
-def _decide(rows: DataFrame, order, keep_first: bool, name: str) -> DataFrame:
+def _decide(rows: DataFrame, order, keep_first: bool, name: str, most: int) -> DataFrame:
     """``rows`` of keys found more than once, with ``repeated`` (by content), ``rep`` (goes on for its content) and ``mixed``."""
     by_name = rows.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max("known").alias("any_known"))
     by_key = by_name.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    names = materialise(by_name.join(by_key, "key").where("n > 1 OR kinds > 1").select("name", "n", "first", "any_known", "kinds"), name + "-names")
+    names = materialise(by_name.join(by_key, "key").where("n > 1 OR kinds > 1").select("name", "n", "first", "any_known", "kinds"), name + "-names", most)
     joined = rows.join(names, "name")
     is_first = order == F.col("first")
     repeated = ~is_first if keep_first else F.col("n") > 1
@@ -215,22 +217,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     order = F.struct("doc_id", "dk", (F.col("x") - F.col("hi")).alias("s")) if keep_first else F.xxhash64("dk", "x", "hi")
     start = [(F.col("x") - F.col("hi")).alias("s"), (F.col("x") - F.col("lo")).alias("e")]
 
-    runs = materialise(_keyed(docs).mapInArrow(_runs(length, segment), _RUN_DDL).withColumn("known", F.lit(False)), "runs")
-    one = materialise(_decide(runs, order, keep_first, "runs"), "runs-decided")
-    spans = one.where("repeated").select("dk", *start)
+    with temporary(docs.sparkSession) as keep, arrow_rows(docs.sparkSession, ARROW_ROWS):
+        runs = materialise(_keyed(docs).mapInArrow(_runs(length, segment), _RUN_DDL).withColumn("known", F.lit(False)), "runs")
+        n = runs.count()
+        one = materialise(_decide(runs, order, keep_first, "runs", n), "runs-decided", n)
+        spans = one.where("repeated").select("dk", *start)
 
-    asked = one.where("mixed AND rep").withColumn("known", F.col("repeated"))
-    buckets = materialise(_ask(docs, asked, length, step, segment, "run-lists"), "buckets")
-    two = materialise(_decide(buckets, order, keep_first, "buckets"), "buckets-decided")
-    spans = spans.unionByName(two.where("repeated AND NOT known").select("dk", *start))
+        asked = one.where("mixed AND rep").withColumn("known", F.col("repeated"))
+        buckets = materialise(_ask(docs, asked, length, step, segment, "run-lists", n), "buckets")
+        n = buckets.count()
+        two = materialise(_decide(buckets, order, keep_first, "buckets", n), "buckets-decided", n)
+        spans = spans.unionByName(two.where("repeated AND NOT known").select("dk", *start))
 
-    asked = two.where("mixed AND rep").withColumn("known", F.col("repeated"))
-    single = materialise(_ask(docs, asked, length, 1, segment, "bucket-lists").drop("key"), "windows")
-    names = single.groupBy("name").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    three = single.where("NOT known").join(names, "name")
-    three = three.where(order != F.col("first")) if keep_first else three
-    spans = spans.unionByName(three.select("dk", *start))
-    return materialise(joined_spans(spans, length), "spans")
+        asked = two.where("mixed AND rep").withColumn("known", F.col("repeated"))
+        single = materialise(_ask(docs, asked, length, 1, segment, "bucket-lists", n).drop("key"), "windows")
+        names = single.groupBy("name").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+        three = single.where("NOT known").join(names, "name")
+        three = three.where(order != F.col("first")) if keep_first else three
+        spans = spans.unionByName(three.select("dk", *start))
+        return keep(materialise(joined_spans(spans, length), "spans"))
 
 
 def joined_spans(spans: DataFrame, length: int) -> DataFrame:
@@ -272,13 +277,34 @@ def _cut(length: int, text_out: bool):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, text_out: bool = True, segment: int = SEGMENT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and with ``text_out`` the bytes that are ``kept``."""
-    spans = repeated_spans(docs, length, keep_first, segment=segment)
-    lists = materialise(spans.groupBy("dk").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "span-lists")
-    n = lists.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    small = n[0] <= BROADCAST_TEXTS and (n[1] or 0) <= BROADCAST_ITEMS
+    spark = docs.sparkSession
+    with temporary(spark) as keep:
+        rows = _keyed(docs)
+        if keep_first:
+            several = rows.groupBy("dk").agg(F.count("*").alias("n")).where("n > 1")
+            several = keep(materialise(several, "repeated-rows"))
+            n = several.count()
+            if n:
+                again = join_bounded(rows, several, "dk", "inner", n, BROADCAST_TEXTS).groupBy("dk", "doc_id", "text").agg(F.first("n").alias("n"))
+                again = keep(materialise(again, "repeated-texts"))
+                rows = join_bounded(rows, several, "dk", "left_anti", n, BROADCAST_TEXTS).unionByName(again.select(*rows.columns))
+        spans = repeated_spans(rows.select("doc_id", "text"), length, keep_first, segment=segment)
+        total = spans.count()
+        lists = spans.groupBy("dk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        lists = keep(materialise(lists, "span-lists", total))
+        texts = lists.count()
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text_out else "")
-    return join_bounded(_keyed(docs), lists, "dk", "left", 0 if small else 1, 0).mapInArrow(_cut(length, text_out), ddl)
+    small = texts <= BROADCAST_TEXTS and total <= BROADCAST_ITEMS
+    out = join_bounded(rows, lists, "dk", "left", 0 if small else 1, 0)
+    if keep_first and n:
+        # A repeated row is a copy from its first byte to its last.
+        long = F.octet_length("text") >= length
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), (F.octet_length("text") - length).cast("long").alias("e")))
+        copies = again.withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+        out = out.unionByName(copies.select(*rows.columns, F.when(long, whole).alias("spans")))
+    return out.mapInArrow(_cut(length, text_out), ddl)
 
 
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, what is removed of it, and the digest of what is left."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, text_out=False)

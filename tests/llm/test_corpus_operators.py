@@ -432,8 +432,7 @@ def test_repeats_against_brute_force(spark, first, length):
         parts = [rnd.choice(passages)[rnd.choice([0, 0, 7]) :] if rnd.random() < 0.5 else "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 300))) for _ in range(rnd.randint(0, 5))]
         rows.append((10 + k, "".join(parts), "en", "s"))
     rows.append((99, "".join(rnd.choice("abcdefgh ") for _ in range(9000)) + passages[1], "en", "s"))
-    if not first:
-        rows.append(rows[12])  # repeated rows are copies of each other
+    rows += [rows[12], rows[0], rows[0]]  # repeated rows are copies of each other
     got = repeat_removal.remove_repeats(frame(spark, rows, extra=True), length, keep_first=first, segment=1 << 12).collect()
     assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == repeats(rows, length, first)
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
