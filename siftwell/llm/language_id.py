@@ -156,6 +156,7 @@ def held_out(doc_id):
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language predicted by profiles of the two folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
     learned = learn_profiles(docs.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
     found = predict_language(docs, learned)

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_bounded, unit_hash, words
+from siftwell.llm.common import free_name, join_bounded, unit_hash, words
 from siftwell.operators.indexing import with_global_index
 from siftwell.sources.scratch import materialise, table
 
 WEIGHT_CYCLE = 3
 MAX_REPEAT = 3
 SEED = "mix-1"
+MIX_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 #: Source targets are broadcast up to this many sources; beyond it the join shuffles.
 BROADCAST_SOURCES = 500_000
 
@@ -50,27 +51,31 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column | None = None, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """All rows of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``."""
+    """All rows of ``docs``, then MIX_COLUMNS, which get leading underscores where ``docs`` has such a column."""
+    own = [free_name([*docs.columns, *MIX_COLUMNS], c) if c in {x.lower() for x in docs.columns} else c for c in MIX_COLUMNS]
+    source = free_name([*docs.columns, *own], "mix_of_source")
+    mix_size, mix_source_size, mix_target, mix_rate, mix_copies = own
     size = word_count(F.col("text")) if size is None else size
     targets = materialise(source_targets(docs.select("source", size.alias("size")), max_repeat), "mix-targets")
     n = targets.count()
-    t = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = join_bounded(docs.withColumn("mix_size", size), t, docs["source"].eqNullSafe(F.col("_mix_source")), "left", n, BROADCAST_SOURCES).drop("_mix_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
-    out = out.withColumn("mix_rate", rate)
-    whole = F.floor("mix_rate")
-    draw = unit_hash(F.lit(seed), F.col("doc_id")) < F.col("mix_rate") - whole
-    return out.withColumn("mix_copies", (whole + draw.cast("long")).cast("int"))
+    t = targets.select(F.col("source").alias(source), F.col("source_size").alias(mix_source_size), F.col("target").alias(mix_target))
+    out = join_bounded(docs.withColumn(mix_size, size), t, F.col("source").eqNullSafe(F.col(source)), "left", n, BROADCAST_SOURCES).drop(source)
+    rate = F.when(F.col(mix_source_size) > 0, F.least(F.col(mix_target) / F.col(mix_source_size), F.lit(float(max_repeat)))).otherwise(0.0)
+    out = out.withColumn(mix_rate, rate)
+    whole = F.floor(F.col(mix_rate))
+    draw = unit_hash(F.lit(seed), F.col("doc_id")) < F.col(mix_rate) - whole
+    return out.withColumn(mix_copies, (whole + draw.cast("long")).cast("int"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of ``mix`` as often as its copies say, without the mix columns."""
-    kept = [c for c in mixed.columns if not c.startswith("mix_")]
-    copies = mixed.where("mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return copies.select(*kept)
+    *kept, copies = [*mixed.columns[: -len(MIX_COLUMNS)], mixed.columns[-1]]
+    number = free_name(mixed.columns, "mix_copy")
+    return mixed.where(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in kept])
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     docs = table(spark, sf_dir, "documents")
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "mix-sizes")
     return mix(sized, F.col("n")).select(

@@ -114,6 +114,7 @@ def quality_rules(docs: DataFrame, host: Column | None = None, max_host_rate: fl
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its measures, the verdict of its own rules and that with its source's as host."""
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -89,4 +89,5 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, rule: str = "lar
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line end belongs to the line with most of its characters."""
     return token_counts(table(spark, sf_dir, "documents"))

@@ -118,4 +118,5 @@ def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest in the token files, as read back from them."""
     return token_output(table(spark, sf_dir, "documents"))
