@@ -26,6 +26,8 @@ from siftwell.llm.common import let
 from siftwell.sources.scratch import table
 
 MIN_DICE = 0.8
+#: Letters of the beginnings of words that are looked for first.
+KEY = 6
 
 #: Public licence notices (fixed values).
 TEMPLATES = {
@@ -100,6 +102,36 @@ def _probe(bigrams: list[str], shared: int, common: Counter) -> list[str]:
     return sorted(bigrams, key=lambda b: (common[b], -len(b), b))[: len(bigrams) - shared + 1]
 
 
+def _keys(rows: list[tuple[str, list[str]]], least_shared: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Beginnings of words of which a text with any of most templates has one at least, and the names of the other templates.
+
+    A template needs ``n - shared + 1`` bigrams that hold a chosen beginning; those that serve most templates are chosen first.
+    """
+    starts = {name: [{w[:KEY] for w in b.split(" ") if len(w) >= KEY} for b in bigrams] for name, bigrams in rows}
+    need = {name: len(bigrams) - least_shared[name] + 1 for name, bigrams in rows}
+    without = [name for name, _ in rows if sum(map(bool, starts[name])) < need[name]]
+    chosen: list[str] = []
+    while open_ := {n: k for n, k in need.items() if n not in without and k > 0}:
+        gain = Counter()
+        for name, k in open_.items():
+            own = Counter(x for b in starts[name] if not b.intersection(chosen) for x in b)
+            gain.update({x: min(n, k) for x, n in own.items()})
+        best = min(gain, key=lambda x: (-gain[x], x))
+        chosen.append(best)
+        for name in open_:
+            need[name] -= sum(best in b and not b.intersection(chosen[:-1]) for b in starts[name])
+    return chosen, without
+
+
+def _flat(x: Column) -> Column:
+    """Normalised text with its words one space apart, across line ends too."""
+    one = F.replace(F.replace(x, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    for _ in range(3):
+        one = F.replace(one, F.lit("\n\n"), F.lit("\n"))
+    # Runs of more blank lines than that are rare.
+    return F.translate(F.when(F.contains(one, F.lit("\n\n")), F.regexp_replace(one, "\n+", "\n")).otherwise(one), "\n", " ")
+
+
 def _best_window(pairs: Column, template: Column, longest: Column, shared: Column) -> Column:
     """The highest Dice of the windows of ``pairs`` that begin and end with a pair of the template, null without any."""
     n = F.size(template)
@@ -121,17 +153,22 @@ def _windows(rows: list[tuple[str, list[str]]], lengths: dict[str, int], min_dic
     """Templates ``t`` that the text ``flat`` may hold and none of its units ``m``, and ``license_id, dice`` of those in its windows."""
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     common = Counter(b for _, bigrams in rows for b in bigrams)
+    least_shared = {name: math.ceil(len(bigrams) * low - 1e-9) for name, bigrams in rows}
+    keys, without = _keys(rows, least_shared)
+    any_of = lambda strings: reduce(Column.__or__, [F.contains("flat", F.lit(x)) for x in strings], F.lit(False))
 
     def asked(name: str, bigrams: list[str]) -> Column:
-        shared, longest = math.ceil(len(bigrams) * low - 1e-9), math.floor(lengths[name] * high + 1e-9)
-        held = reduce(Column.__or__, [F.contains("flat", F.lit(b)) for b in _probe(bigrams, shared, common)])
+        shared, longest = least_shared[name], math.floor(lengths[name] * high + 1e-9)
+        held = any_of(_probe(bigrams, shared, common))
         return F.when(held, F.struct(F.lit(name).alias("id"), F.array(*map(F.lit, bigrams)).alias("b"), F.lit(shared).alias("shared"), F.lit(longest).alias("longest")))
 
     def best(pairs: Column) -> Column:
         return F.transform("t", lambda t: F.struct(t["id"].alias("license_id"), _best_window(pairs, t["b"], t["longest"], t["shared"]).alias("dice")))
 
+    # Few strings tell that a text holds none of the templates.
+    maybe = any_of([*keys, *(b for name, bigrams in rows if name in without for b in _probe(bigrams, least_shared[name], common))])
     return (
-        F.filter(F.array(*[asked(*row) for row in rows]), lambda t: t.isNotNull() & ~F.exists("m", lambda m: m["license_id"] == t["id"])),
+        F.filter(F.when(maybe, F.array(*[asked(*row) for row in rows])), lambda t: t.isNotNull() & ~F.exists("m", lambda m: m["license_id"] == t["id"])),
         F.when(F.size("t") > 0, F.filter(let(_pairs(_words(F.col("flat"))), best), lambda w: w["dice"] >= min_dice)),
     )
 
@@ -162,11 +199,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_d
     lines = F.split("x", "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.translate("x", "\n", " ")))).otherwise(lines)
     found = docs.where("text IS NOT NULL").select("doc_id", normalise(F.col("text")).alias("x"))
-    # Line ends inside runs of spaces, so that the words of a text stand one space apart.
-    flat = F.when(F.size(lines) > 1, F.regexp_replace("x", r"[ \n]*\n[ \n]*", " ")).otherwise(F.col("x"))
     lengths = {name: len(_template_words(text)) - 1 for name, text in templates.items()}
     asked, windows = _windows(rows, lengths, min_dice)
-    matched = found.select("doc_id", flat.alias("flat"), F.flatten(F.transform(units, of_unit)).alias("m")).withColumn("t", asked)
+    matched = found.select("doc_id", _flat(F.col("x")).alias("flat"), F.flatten(F.transform(units, of_unit)).alias("m")).withColumn("t", asked)
     hits = matched.select("doc_id", F.explode(F.concat("m", F.coalesce(windows, none))).alias("m"))
     return hits.groupBy("doc_id", "m.license_id").agg(F.round(F.max("m.dice"), 6).alias("dice"), F.count("*").alias("n_units"))
 
