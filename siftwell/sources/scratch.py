@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -89,9 +90,14 @@ def temporary(spark: SparkSession):
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of plans that are no longer referred to.
+
+    What the first collection sets free may hold what the second one does; the cleaner works beside this thread.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def delete(spark: SparkSession, path: str) -> None:
