@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import free_name, join_bounded
+from siftwell.llm.wordlists import LOWER, split_words
+from siftwell.llm.worker import begin
 from siftwell.operators.graph import connected_components
-from siftwell.sources.scratch import materialise, table, temporary
+from siftwell.sources.scratch import arrow_rows, delete, materialise, release, table, temporary
 
 SHINGLE = 4
 #: The threshold as a fraction.
 THRESHOLD = (85, 100)
-MEMO_WORDS = 300_000
-#: Rows whose entries are packed together; fewer than 2^16.
-PACK_ROWS = 5_000
+#: Rows whose entries are packed together, fewer than 2^16, and rows of an Arrow batch.
+PACK_ROWS, ARROW_ROWS = 1_000, 1_000
 #: Rows of the matrix to a side of a tile, and cells of a dense column range.
 TILE, CELLS = 512, 1 << 23
 #: Ids of copies that may be broadcast; beyond it the documents are shuffled.
@@ -46,30 +47,29 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (a >> np.uint64(29))) * _M[0] + b * _M[1]
     return (x ^ (x >> np.uint64(32))) * _M[2]
 
 
-def shingle_set(text: str | None, k: int, memo: _Words) -> np.ndarray:
-    """Sorted hashes of the distinct shingles. Bytes split at exactly U+0009..U+000D and the space, and lower A-Z only."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not w:
-        return np.zeros(0, "u8")
-    h = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-    n = max(len(h) - k + 1, 1)
-    out = h[:n]
-    for i in range(1, min(k, len(h))):
-        out = _mix(out, h[i : i + n])
-    return np.unique(out if len(h) > 1 else _mix(out, out))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text: words between U+0009..U+000D and spaces, lower A-Z only."""
+    words, n = split_words(texts, LOWER)
+    words = words.dictionary_encode()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), "u8", len(words.dictionary))[words.indices.to_numpy()]
+    begin = np.cumsum(n) - n
+    size = np.maximum(n - k + 1, n > 0)
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size) + np.arange(size.sum())
+    out = h[at]
+    long = np.repeat(n >= k, size)
+    for i in range(1, k):
+        # A text of fewer words has one shingle of all of them; a single word is mixed with itself.
+        more = long | np.repeat(n > i, size)
+        out[more] = _mix(out[more], h[at[more] + i])
+    alone = np.repeat(n == 1, size)
+    out[alone] = _mix(out[alone], out[alone])
+    return [np.unique(x) for x in np.split(out, ends[:-1])] if len(n) else []
 
 
 _PACKED = "slot int, doc_id long, sid binary, n int, row long, grams binary, rows binary"
@@ -79,7 +79,8 @@ def _pack(k: int, bits: int):
     """Rows of three kinds, told apart by what is null: documents, matrix rows, and packed entries of a hash range."""
 
     def run(batches):
-        memo, part, at = _Words(), TaskContext.get().partitionId(), 0
+        begin("jaccard")
+        part, at = TaskContext.get().partitionId(), 0
         schema = pa.schema([("slot", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("row", pa.int64()), ("grams", pa.binary()), ("rows", pa.binary())])
         nulls = lambda m, t: pa.nulls(m, t)
         for batch in batches:
@@ -88,8 +89,7 @@ def _pack(k: int, bits: int):
                 base, at = (part << 40) | (at << 16), at + 1
                 index: dict[bytes, int] = {}
                 sets, sids, sizes = [], [], []
-                for text in b.column("text").to_pylist():
-                    s = shingle_set(text, k, memo)
+                for s in shingle_sets(b.column("text").fill_null(""), k):
                     sid = xxhash.xxh3_128_digest(s.tobytes())
                     sids.append(sid)
                     sizes.append(len(s))
@@ -136,23 +136,39 @@ _ENTRY = "doc_id long, sid binary, n int, row long, gram long"
 
 
 def _unpack(bits: int):
-    def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("row", pa.int64()), ("gram", pa.int64())])
-        counted: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows sorted by range, so that one range is held at a time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("row", pa.int64()), ("gram", pa.int64())])
 
+    def run(batches):
         def entries(gram, row):
             for i in range(0, len(gram), 1 << 18):
                 g, r = gram[i : i + (1 << 18)], row[i : i + (1 << 18)]
                 m = len(g)
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(r), pa.array(g.view("i8"))], schema=schema)
 
+        def counted(some):
+            """Entries of one range that are not single."""
+            gram, row = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(gram)
+            gram, row = gram[order], row[order]
+            new = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
+            # An entry that stands alone is single, unless it tells of two in its batch.
+            keep = ~(new[:-1] & new[1:]) & (row >= 0)
+            yield from entries(gram[keep], row[keep])
+
+        begin("jaccard")
+        some, last = [], None
         for b in batches:
             packed = b.column("grams").is_valid().to_numpy(zero_copy_only=False)
             plain = b.filter(pa.array(~packed))
             if plain.num_rows:
                 yield pa.RecordBatch.from_arrays([plain.column("doc_id"), plain.column("sid"), plain.column("n"), plain.column("row"), pa.nulls(plain.num_rows, pa.int64())], schema=schema)
-            some = b.filter(pa.array(packed))
-            for slot, base, grams, rows in zip(*(some.column(c).to_pylist() for c in ("slot", "row", "grams", "rows"))):
+            b = b.filter(pa.array(packed))
+            for slot, base, grams, rows in zip(*(b.column(c).to_pylist() for c in ("slot", "row", "grams", "rows"))):
+                if slot != last:
+                    if some:
+                        yield from counted(some)
+                    some, last = [], slot
                 m = len(rows) // 2
                 low = np.frombuffer(grams, "<u4", m).astype("u8") | np.frombuffer(grams, "<u2", m, 4 * m).astype("u8") << np.uint64(32)
                 gram = low | np.uint64(slot if slot >= 0 else -1 - slot) << np.uint64(48)
@@ -161,16 +177,9 @@ def _unpack(bits: int):
                 if slot < 0:
                     yield from entries(gram, row)
                 else:
-                    counted.append((gram, row))
-        if counted:
-            gram, row = (np.concatenate(x) for x in zip(*counted))
-            counted.clear()
-            order = np.argsort(gram)
-            gram, row = gram[order], row[order]
-            new = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
-            # An entry that stands alone is single, unless it tells of two in its batch.
-            keep = ~(new[:-1] & new[1:]) & (row >= 0)
-            yield from entries(gram[keep], row[keep])
+                    some.append((gram, row))
+        if some:
+            yield from counted(some)
 
     return run
 
@@ -206,6 +215,7 @@ def _tile_links(t: tuple[int, int]):
             yield last, rows
 
     def run(batches):
+        begin("jaccard")
         for (_, i, j), rows in tiles(batches):
             links = forest(rows, i != j, t)
             if links:
@@ -265,16 +275,24 @@ def incidence(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = THRESHOLD)
     spark = docs.sparkSession
     bits = max(10, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2))
     packed = docs.select("doc_id", "text").mapInArrow(_pack(k, bits), _PACKED)
-    entries = materialise(packed.repartition(F.col("slot")).mapInArrow(_unpack(bits), _ENTRY), "incidence")
-    members = entries.where("row IS NULL").select("doc_id", "sid", "n")
+    with arrow_rows(spark, ARROW_ROWS):
+        entries = materialise(packed.repartition(F.col("slot")).sortWithinPartitions("slot").mapInArrow(_unpack(bits), _ENTRY), "incidence")
+    del packed
+    release(spark)
+    members = materialise(entries.where("row IS NULL").select("doc_id", "sid", "n"), "members")
     rows = entries.where("sid IS NOT NULL AND row IS NOT NULL").select("row", "sid", "n")
     grams = entries.where("gram IS NOT NULL").groupBy("row").agg(F.collect_list("gram").alias("feats"))
     wide = grams.join(rows, "row").where(F.size("feats") >= _least_overlap(F.col("n"), t))
-    return members, materialise(wide.groupBy("sid").agg(F.first("n").alias("n"), F.first("feats").alias("feats")), "rows")
+    out = materialise(wide.groupBy("sid").agg(F.first("n").alias("n"), F.first("feats").alias("feats")), "rows")
+    delete(spark, entries.scratch_path)
+    del grams, wide
+    release(spark)
+    return members, out
 
 
 def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``a, b``: links between ``rows`` that connect exactly what all links connect."""
+    spark = rows.sparkSession
     flat = rows.select("sid", "n", F.explode("feats").alias("gram"))
     common = flat.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = flat.join(common, "gram").groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "gram")).alias("f"))
@@ -283,6 +301,7 @@ def near_links(rows: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     prefix = F.col("n") - _least_overlap(F.col("n"), t) + 1 - (F.col("n") - F.col("c"))
     kept = kept.withColumn("f", F.transform(F.sort_array("f"), lambda x: x["gram"])).withColumn("p", prefix.cast("int")).where("p > 0")
     kept = materialise(kept.select("sid", "n", "c", F.col("f").alias("feats"), "p"), "kept-rows")
+    release(spark)
     blocks = materialise(kept.select("sid", "n", "c", F.explode(F.slice("feats", F.lit(1), F.col("p"))).alias("gram")), "blocks")
     entries = blocks.count()
 

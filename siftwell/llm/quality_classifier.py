@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import join_bounded, unit_hash, words
 from siftwell.llm.token_output import array_batches
+from siftwell.llm.wordlists import split_words
+from siftwell.llm.worker import begin
 from siftwell.sources.scratch import arrow_rows, materialise, release, table, temporary
 
 HELD_OUT = 5
@@ -55,11 +57,11 @@ WORD_CHARS = 6
 #: Words of a range of word numbers that is summed together.
 RANGE = 1 << 13
 #: Rows of an Arrow batch with texts, and bytes of texts whose words are told apart together.
-ARROW_ROWS, SLICE_BYTES = 4000, 8 << 20
+ARROW_ROWS, SLICE_BYTES = 1000, 2 << 20
 #: Ids of trusted documents and sums of texts (8 and 24 bytes each) that may be broadcast; beyond it the joins shuffle.
 BROADCAST_IDS = 2_000_000
 #: Packed rows that a shard answers together.
-TOGETHER = 64
+TOGETHER = 16
 #: Probability of a word where nothing is known at all.
 NOTHING = 1e-9
 
@@ -104,21 +106,6 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 # --- words and packed numbers
 
-_SPACED = np.arange(256, dtype="u1")
-_SPACED[9:14] = 32
-
-
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of texts without nulls one after another, and the number of words of each text."""
-    if not len(texts):
-        return pa.array([], pa.string()), np.zeros(0, "i8")
-    at = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
-    data = _SPACED[np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]]
-    cut = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(data)), " ")
-    some = pc.greater(pc.binary_length(cut.flatten()), 0)
-    return cut.flatten().filter(some), np.add.reduceat(some.to_numpy(zero_copy_only=False).astype("i8"), cut.offsets.to_numpy()[:-1])
-
-
 def _text_slices(batches):
     """Record batches of bounded bytes, texts without nulls apart, cut by language."""
     for b in batches:
@@ -128,6 +115,7 @@ def _text_slices(batches):
             for k in pc.unique(of).to_pylist():
                 at = pa.array(i + np.flatnonzero(of.to_numpy() == k))
                 yield b.take(at), texts.take(at), langs.dictionary[k].as_py()
+        pa.default_memory_pool().release_unused()
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -165,6 +153,7 @@ def unstep(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _word_counts(batches):
+    begin("classifier")
     for _, texts, lang in _text_slices(batches):
         found = split_words(texts)[0].value_counts()
         if len(found):
@@ -220,7 +209,7 @@ class Vocabulary:
         own = pa.chunked_array(counts.column("lang"), pa.string()).combine_chunks().dictionary_encode()
         of_word = np.asarray([langs[x] for x in own.dictionary.to_pylist()], "u4")[own.indices.to_numpy()[order]] if len(key) else np.zeros(0, "u4")
         sides = np.arange(len(names), dtype="u4")
-        self.lang = np.concatenate([of_word, sides, sides])
+        self.lang = np.concatenate([of_word, sides, sides]).astype("u2" if len(names) < 1 << 16 else "u4")
         self.n = np.concatenate([n[order], [starts[x] for x in names], [cut.get(x, (0, 0))[1] for x in names]]).astype("i8")
         self.cut_types = {x: cut[x][0] for x in names if x in cut}
 
@@ -254,6 +243,7 @@ def _trigrams(shared, shards: int):
     """Counted trigrams of a slice of texts, one packed row a shard."""
 
     def run(batches):
+        begin("classifier")
         numbering, shards_ = shared.value, np.uint32(shards)
         for _, texts, lang in _text_slices(batches):
             ids, n = numbering.of_texts(lang, texts)
@@ -310,6 +300,7 @@ def _added_up(shared, shards: int, copies: dict[int, int]):
     the count), and by ranges of words (``part``) how many contexts each word follows."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        begin("classifier")
         shard = key[0].as_py()
         a, b, c, count = _unpacked(rows)
         lang = shared.value
@@ -412,6 +403,7 @@ def _asked(model: Model):
     other = POOLED if POOLED in langs else min(langs)
 
     def run(batches):
+        begin("classifier")
         numbering, chunk = shared.value, TaskContext.get().partitionId() << 32
         for b, texts, lang in _text_slices(batches):
             ids, n = numbering.of_texts(lang if lang in langs else other, texts)
@@ -464,8 +456,7 @@ class _Shard:
         at, of = _distinct(_keys(self.bits, b, c))
         b, c = b[at], c[at]
         self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang[b]], (b, c), (b,))
-        self.one = np.ones(len(lang), "f8")
-        self.one[b[first]] = weight
+        self.one = _sorted(b[first].astype("u8"), weight)
 
     def _order(self, n, discounts, gram, context):
         d = discounts[np.arange(len(n)), np.minimum(n, 3)]
@@ -476,7 +467,7 @@ class _Shard:
         return _sorted(_keys(self.bits, *gram), (n - d) / total[of]), _sorted(key[first], weight), first, weight
 
     def log_p(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        p = _find(self.pairs, _keys(self.bits, b, c), 0.0) + self.one[b] * self.low[c]
+        p = _find(self.pairs, _keys(self.bits, b, c), 0.0) + _find(self.one, b.astype("u8"), 1.0) * self.low[c]
         weight = _find(self.two, _keys(self.bits, b, a), -1.0)
         known = np.flatnonzero(weight >= 0)
         p[known] *= weight[known]
@@ -492,6 +483,7 @@ def _answered(model: Model):
     shared, shards = model.values, model.shards
 
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+        begin("classifier")
         shard, out = key[0].as_py(), []
         table_ = _Shard(rows, shards, *shared.value)
         for t in asked.to_batches(max_chunksize=TOGETHER):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import join_bounded
+from siftwell.llm.worker import begin
 from siftwell.sources.scratch import arrow_rows, materialise, table, temporary
 
 LENGTH, GRAM, STEP = 400, 32, 16
@@ -128,6 +129,7 @@ def _runs(length: int, segment: int):
     """Round 1: runs by anchor (``key``) and content (``name``); windows start at x - hi .. x - lo."""
 
     def run(batches):
+        begin("repeats")
         for b in _slices(batches):
             dk, ids = b.column("dk").to_numpy(), b.column("doc_id")
             for buf in buffers(_texts(b), length, segment):
@@ -251,6 +253,7 @@ def _cut(length: int, text_out: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text_out else [])]
 
     def run(batches):
+        begin("repeats")
         for b in _slices(batches):
             out: list[list] = [[], [], [], [], []]
             for text, spans in zip(_texts(b), b.column("spans").to_pylist()):

@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siftwell.llm.worker import begin
+
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: How byte-level vocabularies write a space and a line end.
 SPACE, LINE_END = "\u0120", "\u010a"
 #: Marks that make a piece of their own after a letter.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 #: Words that the library gets as one text.
 TOGETHER = 20_000
 
@@ -196,6 +198,7 @@ class UnitEncoder:
             first = first + np.arange(len(first))
             more.append(np.asarray([end_id], "<i4"))
         ids, n = gathered(np.concatenate([flat, *more]), np.concatenate([size, [len(x) for x in more]]), place)
+        pa.default_memory_pool().release_unused()
         return ids, np.add.reduceat(n, first)
 
     def spans_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,11 +242,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    """One encoder a Python worker, so that its memo lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """One encoder a Python worker, so that its memo lives from task to task."""
+    kept = begin("tokens")
+    if path not in kept:
+        kept[path] = UnitEncoder(path)
+    return kept[path]
