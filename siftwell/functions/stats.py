@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BOOTSTRAP = 10_000
 SEED = 7
+#: Counts that a draw holds at once.
+DRAWN = 1 << 21
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
@@ -59,10 +61,11 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], k: int = 1, reps: int = BO
         rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
         m, base, new = (rows[c].to_numpy() for c in ("m", "base", "new"))
         total = m.sum()
-        draws = rng.multinomial(total, m / total, size=reps) / total
+        step = max(1, DRAWN // len(m))  # repetitions that are drawn together
         inverse = lambda r: np.where(r > 0, 1.0 / np.maximum(r, 1), 0.0)
         hit = lambda r: ((r > 0) & (r <= k)).astype(float)
-        d_r, d_m = draws @ (hit(new) - hit(base)), draws @ (inverse(new) - inverse(base))
+        gains = np.stack([hit(new) - hit(base), inverse(new) - inverse(base)], axis=1) / total
+        d_r, d_m = np.concatenate([rng.multinomial(total, m / total, size=min(step, reps - at)) @ gains for at in range(0, reps, step)]).T
         ci = [float(np.percentile(d, q)) for d in (d_r, d_m) for q in (2.5, 97.5)]
         return pd.DataFrame([[*key, int(total), *ci, float((d_m <= 0).mean())]], columns=[*by, "n", "r_low", "r_high", "mrr_low", "mrr_high", "p_mrr_not_above"])
 
@@ -71,6 +74,39 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], k: int = 1, reps: int = BO
     return counts.groupBy(*by).applyInPandas(intervals, ddl)
 
 
+def mean_difference_interval(pairs: DataFrame, by: list[str], a: str, b: str, reps: int = BOOTSTRAP, seed: int = SEED, digits: int = 4) -> DataFrame:
+    """``by, n, mean_delta, low, high``: the mean of ``b - a`` over paired rows and its 95 % interval, resampling pairs.
+
+    Pairs are counted by their difference, rounded to ``digits``, before a group reaches its task.
+    """
+    counts = pairs.groupBy(*by, F.round(F.col(b).cast("double") - F.col(a).cast("double"), digits).alias("d")).agg(F.count("*").alias("m"))
+
+    def interval(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("d")
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        m, d = rows["m"].to_numpy(), rows["d"].to_numpy()
+        total, step = m.sum(), max(1, DRAWN // len(m))
+        means = np.concatenate([rng.multinomial(total, m / total, size=min(step, reps - at)) @ d for at in range(0, reps, step)]) / total
+        return pd.DataFrame([[*key, int(total), float(m @ d / total), *(float(np.percentile(means, q)) for q in (2.5, 97.5))]], columns=[*by, "n", "mean_delta", "low", "high"])
+
+    types = dict(pairs.dtypes)
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, mean_delta double, low double, high double"
+    return counts.groupBy(*by).applyInPandas(interval, ddl)
+
+
+def claim_table(pairs: DataFrame, claim: str = "claim", split: str = "split", pooled: str = "POOLED_generated", members: Column | None = None, k: int = 1) -> DataFrame:
+    """Outcomes of every claim on each split, and on the pooled splits of ``members``."""
+    rows = pairs if members is None else pairs.unionByName(pairs.where(members).withColumn(split, F.lit(pooled)))
+    return paired_outcomes(rows, [claim, split], k)
+
+
+def plateau(metrics: DataFrame, by: list[str], x: str = "alpha", value: str = "value", within: float = 0.005) -> DataFrame:
+    """``by, best, low, high``: the best value over ``x`` and the range of ``x`` that comes within ``within`` of it."""
+    best = metrics.groupBy(*by).agg(F.max(value).alias("best"))
+    near = metrics.join(best, by).where(F.col(value) >= F.col("best") - within - 1e-9)
+    return near.groupBy(*by).agg(F.round(F.max("best"), 4).alias("best"), F.min(x).alias("low"), F.max(x).alias("high"))
+
+
 def holm(df: DataFrame, family: str, p: str, item: str) -> DataFrame:
     """Holm-Bonferroni adjusted p in each family (an extension; nothing applies it by default)."""
     from pyspark.sql import Window

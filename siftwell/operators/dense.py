@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.ranking import nearest, top_k
+from siftwell.operators.ranking import nearest, sample_rows, top_k
 
 DIGITS = 6
 QUERY_BLOCK = 20_000
@@ -139,6 +139,13 @@ def confusion_graph(labeled: DataFrame, catalog: DataFrame, min_sim: float = 0.7
     return near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), F.round("score", 4).alias("sim"))
 
 
+def confusion_candidates(pairs: DataFrame, catalog: DataFrame, allowed: Column, least: float, n: int, seed) -> DataFrame:
+    """Pairs ``a, b, sim`` of at least ``least`` whose both tools (``tid`` of ``catalog``) are ``allowed``: a sample of ``n`` in hash order."""
+    tools = catalog.where(allowed).select("tid")
+    both = pairs.where(F.col("sim") >= least).join(tools.withColumnRenamed("tid", "a"), "a", "left_semi").join(tools.withColumnRenamed("tid", "b"), "b", "left_semi")
+    return sample_rows(both.select("a", "b", "sim"), n, seed, "a", "b")
+
+
 def matrix_gaps(vectors: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ids that only one side has; a matrix fits a catalog when there are none."""
     return vectors.select("tid").exceptAll(catalog.select("tid")).withColumn("side", F.lit("vectors")).unionByName(

@@ -126,6 +126,50 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str], value: str, toler
     return joined.where(F.abs(F.col("left") - F.col("right")) > tolerance)
 
 
+def evaluate_splits(items: DataFrame, scores: DataFrame, gold: DataFrame, catalog: DataFrame, ks=(1, 10, 25), thin: Column | None = None) -> DataFrame:
+    """``split, queries, mean_top1, n, r_at_k, mrr`` of ``items`` (``split, qid``), with ``thin`` also of its items as ``split:thin``.
+
+    Items without a gold in the catalog leave the recall but stay in the mean best similarity; a split of none but such items
+    has that alone. ``scores``: ``qid, score, rank`` and ``tid``.
+    """
+    rows = items if thin is None else items.unionByName(items.where(thin).withColumn("split", F.concat("split", F.lit(":thin"))))
+    top = rows.join(scores.groupBy("qid").agg(F.max("score").alias("s")), "qid").groupBy("split").agg(F.count("*").alias("queries"), F.round(F.avg("s"), 4).alias("mean_top1"))
+    usable = drop_without_gold(rows, gold, catalog).select("split", "qid")
+    return top.join(recall_mrr(usable.join(best_gold_rank(scores, gold), "qid", "left"), ["split"], ks), "split", "left")
+
+
+def random_control(metrics: DataFrame, at: str = "r_at_100", ks=(1, 10, 25), depth: int = 100) -> DataFrame:
+    """What a random order of the first ``depth`` would give: its recall shared out evenly over the places."""
+    return metrics.withColumns({f"random_at_{k}": F.round(F.col(at) * k / depth, 4) for k in ks})
+
+
+def mean_words(docs: DataFrame, words: Column, by: list[str] | None = None) -> DataFrame:
+    """Mean number of words of a document, over all or by groups."""
+    return docs.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.round(F.avg(words), 4).alias("mean_words"))
+
+
+def run_label(*parts: Column) -> Column:
+    """Name of a run: what is known of its model, text and prefixes; nulls and empty strings are left out."""
+    return F.concat_ws("|", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def deltas(metrics: DataFrame, run: str, baseline: str, by: list[str], values: list[str]) -> DataFrame:
+    """Every run's metrics and their differences to the baseline's of the same ``by``; the baseline has no row of its own."""
+    base = metrics.where(F.col(run) == baseline).select(*by, *[F.col(v).alias(f"_{v}") for v in values])
+    rows = metrics.where(F.col(run) != baseline).join(base, by)
+    return rows.select(run, *by, *values, *[F.round(F.col(v) - F.col(f"_{v}"), 4).alias(f"d_{v}") for v in values])
+
+
+def report(metrics: DataFrame, rows: str, columns: str, names: list, value: str) -> DataFrame:
+    """One line for each of ``rows``, one column for each of ``names``."""
+    return metrics.groupBy(rows).pivot(columns, names).agg(F.first(value))
+
+
+def separable(flag: Column, asked: str) -> Column:
+    """Three-valued flag: ``true``, ``false`` (marked so) or ``falsy`` (marked so or not marked)."""
+    return {"true": F.coalesce(flag, F.lit(False)), "false": F.coalesce(~flag, F.lit(False)), "falsy": ~F.coalesce(flag, F.lit(False))}[asked]
+
+
 def at_edge(rank: Column) -> Column:
     """Ranks as they leave the engine: a miss is MISS."""
     return F.coalesce(rank, F.lit(MISS))

@@ -22,9 +22,9 @@ ABSTAIN = (
 SELECT = "Choose the tool that fulfils each request, or NONE. Answer with a JSON array of objects with id, choice and tied only."
 
 
-def tool_block(tool_id: Column, name: Column, service: Column, description: Column, params: Column) -> Column:
+def tool_block(tool_id: Column, name: Column, service: Column, description: Column, params: Column, summary: Column | None = None) -> Column:
     """A tool in a prompt: caps of 60 characters for the service, 260 for the description, 8 parameters."""
-    said = F.coalesce(F.nullif(description, F.lit("")), F.lit("(no description)"))
+    said = F.coalesce(*[F.nullif(c, F.lit("")) for c in (description, summary) if c is not None], F.lit("(no description)"))
     lines = [
         F.concat(F.lit("  tool_id: "), tool_id),
         F.concat(F.lit("  name: "), name),
