@@ -12,6 +12,7 @@ _G = "g AS (SELECT qid, tid, gold_idx FROM q JOIN (SELECT *, row_number() OVER (
 _BEST = "b AS (SELECT qid, min(rank) AS rank FROM r JOIN g USING (qid, tid) GROUP BY qid)"
 _E = "e AS (SELECT user_id AS qid, event_id AS tid, round(value, 0) AS score, event_type FROM events)"
 _NN = "n AS (SELECT a.vec_id AS qid, b.vec_id AS tid, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), nn AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) = 1)"
+_NN_ALL = _NN.replace(" WHERE a.vec_id % 10 = 0", "")
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda a: a <> '')"
 _BM = f"""tf AS (SELECT tid, w, count(*) AS f FROM (SELECT doc_id AS tid, unnest({_TOK}) AS w FROM documents) GROUP BY ALL),
  len AS (SELECT tid, sum(f) AS len FROM tf GROUP BY tid),
@@ -53,13 +54,17 @@ def _md5(seed: str, *cols: str) -> str:
     return "md5('" + seed + "' || " + " || ".join(f"':' || {c}::VARCHAR" for c in cols) + "), " + ", ".join(cols)
 
 
-_SWEEP = " UNION ALL ".join(
-    f"SELECT '{rule}' AS rule, {d} AS depth, alpha, qid, min(CASE WHEN gold THEN r END) AS rank FROM ("
-    f"SELECT alpha, qid, row_number() OVER (PARTITION BY alpha, qid ORDER BY round((1 - alpha) * a + alpha * b, 9) DESC, col) AS r, gold FROM ({_fused(rule, f'(SELECT * FROM wg WHERE col <= {d})')}), al"
-    f" UNION ALL SELECT alpha, qid, col, gold FROM wg, al WHERE col > {d}) GROUP BY alpha, qid"
-    for rule in ("rrf", "rrf_tie")
-    for d in (10, 25, 50, 100)
-)
+def _sweep(*rules: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, {d} AS depth, alpha, qid, min(CASE WHEN gold THEN r END) AS rank FROM ("
+        f"SELECT alpha, qid, row_number() OVER (PARTITION BY alpha, qid ORDER BY round((1 - alpha) * a + alpha * b, 9) DESC, col) AS r, gold FROM ({_fused(rule, f'(SELECT * FROM wg WHERE col <= {d})')}), al"
+        f" UNION ALL SELECT alpha, qid, col, gold FROM wg, al WHERE col > {d}) GROUP BY alpha, qid"
+        for rule in rules
+        for d in (10, 25, 50, 100)
+    )
+
+
+_SWEEP = _sweep("rrf", "rrf_tie")
 
 _INTENTS = "i AS (SELECT conv_id * 1000 + turn AS intent_id, text AS query, conv_id FROM conversations WHERE role = 'user')"
 _HELD = f"held AS (SELECT source AS tool_id, row_number() OVER (ORDER BY {_md5('holdout', 'source')}) <= floor(0.2::DOUBLE * (SELECT count(DISTINCT source) FROM documents)) AS is_heldout FROM (SELECT DISTINCT source FROM documents))"
@@ -109,6 +114,17 @@ def _doc_text(variant: str) -> str:
     return f"WITH {_TOOLS}, x AS (SELECT pos, {text} AS x FROM t) SELECT pos, md5(x) AS digest, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda a: a <> ''))::BIGINT AS words FROM x"
 
 
+def _matrix(n: int) -> str:
+    """Recall by label of the first ``n`` dimensions."""
+    ranks = f"SELECT qid, tid, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(qv[1:{n}], v[1:{n}]), 6) DESC, tid) AS rank FROM q, x"
+    return f"SELECT label, {_recall((10, 100))} FROM (SELECT qid, min(rank) AS rank FROM ({ranks}) JOIN g USING (qid, tid) GROUP BY qid) JOIN q USING (qid) GROUP BY label"
+
+
+def _slug(*parts: str) -> str:
+    joined = f"array_to_string(list_filter([{', '.join(parts)}], lambda a: a <> ''), '_')"
+    return f"regexp_replace(lower(trim(regexp_replace({joined}, '[^A-Za-z0-9]+', '_', 'g'), '_')), '_+', '_', 'g')[1:120]"
+
+
 ORACLES = {
     "dense_topk": f"WITH {_R} SELECT qid, tid, score, rank FROM r WHERE rank <= 10",
     "gold_rank": f"WITH {_R}, {_G}, {_BEST} SELECT * FROM b",
@@ -155,9 +171,9 @@ ORACLES = {
     "near_dup_cross": """WITH s AS (SELECT vec_id AS i, CASE WHEN vec_id % 3 = 0 THEN 'dev' ELSE 'test' END AS side, embedding::DOUBLE[] AS v FROM embeddings),
  h AS (SELECT DISTINCT a.i FROM s a JOIN s b ON a.side = 'dev' AND b.side = 'test' WHERE round(list_dot_product(a.v, b.v), 6) > 0.4)
  SELECT s.i AS intent_id, CASE WHEN h.i IS NOT NULL THEN 'dropped' ELSE side END AS side FROM s LEFT JOIN h USING (i)""",
-    "confusable_components": f"WITH RECURSIVE {_NN}, {_COMP} SELECT * FROM comp",
-    "component_partition": f"WITH RECURSIVE {_NN}, {_COMP}, {_PART} SELECT * FROM part",
-    "partition_audit": f"""WITH RECURSIVE {_NN}, {_COMP}, {_PART}, bad AS (SELECT tool FROM part JOIN vi USING (intent_id) WHERE tool IS NOT NULL AND side <> 'dropped' GROUP BY tool HAVING count(DISTINCT side) > 1)
+    "confusable_components": f"WITH RECURSIVE {_NN_ALL}, {_COMP} SELECT * FROM comp",
+    "component_partition": f"WITH RECURSIVE {_NN_ALL}, {_COMP}, {_PART} SELECT * FROM part",
+    "partition_audit": f"""WITH RECURSIVE {_NN_ALL}, {_COMP}, {_PART}, bad AS (SELECT tool FROM part JOIN vi USING (intent_id) WHERE tool IS NOT NULL AND side <> 'dropped' GROUP BY tool HAVING count(DISTINCT side) > 1)
  SELECT count(*) FILTER (side = 'dev') AS dev, count(*) FILTER (side = 'test') AS test, count(*) FILTER (side = 'dropped') AS dropped, (SELECT count(*) FROM bad) AS on_both_sides FROM part""",
     "bucket_stats": f"""WITH {_BUCKET}, a AS (SELECT count(*) AS n, sum(1 - {_HIT(10)}) AS m FROM k)
  SELECT bucket, count(*) AS n, {', '.join(f'round(avg({_HIT(x)}), 4) AS r_at_{x}' for x in (1, 10, 25))}, round(count(*)::DOUBLE / any_value(a.n), 4) AS share_items,
@@ -198,7 +214,46 @@ ORACLES = {
     "redact": "SELECT event_id, 'key [aws-key-id] and [api-key] end' AS t FROM events",
     "json_fenced_extract": "SELECT event_id, 1::BIGINT AS n FROM events",
     "paged_prompts": f"""WITH {_TOOLS}, l AS (SELECT *, (row_number() OVER (PARTITION BY api_title ORDER BY pos) - 1) // 4 AS batch,
-  '  tool_id: ' || tool_id || chr(10) || '  name: ' || name || chr(10) || '  service: ' || api_title[1:60] || chr(10) || '  desc: ' || CASE WHEN description = '' THEN '(no description)' ELSE description END[1:260]
+  '  tool_id: ' || tool_id || chr(10) || '  name: ' || name || chr(10) || '  service: ' || api_title[1:60] || chr(10) || '  desc: ' || coalesce(nullif(description, ''), nullif(summary, ''), '(no description)')[1:260]
   || CASE WHEN len(params) > 0 THEN chr(10) || '  params: ' || array_to_string(params[1:8], ', ') ELSE '' END AS block FROM t)
  SELECT api_title || ':' || batch AS b, count(*) AS n, md5('{STANDARD.replace("'", "''")}' || chr(10) || string_agg(block, chr(10) ORDER BY pos)) AS digest FROM l GROUP BY api_title, batch""",
+    "evaluate_splits": f"""WITH {_R}, {_G}, it AS (SELECT (label % 3)::VARCHAR AS split, qid, label FROM q UNION ALL SELECT (label % 3)::VARCHAR || ':thin', qid, label FROM q WHERE qid % 20 = 0),
+ top AS (SELECT split, count(*) AS queries, round(avg(m), 4) AS mean_top1 FROM it JOIN (SELECT qid, max(score) AS m FROM r GROUP BY qid) USING (qid) GROUP BY split),
+ bk AS (SELECT qid, min(rank) AS rank FROM r JOIN g USING (qid, tid) WHERE rank <= 100 GROUP BY qid),
+ m AS (SELECT split, {_recall((1, 10, 25))} FROM (SELECT it.split, bk.rank FROM it LEFT JOIN bk USING (qid) WHERE it.label <> 0) GROUP BY split) SELECT * FROM top LEFT JOIN m USING (split)""",
+    "matrix_sweep": f"WITH {_Q}, {_X}, {_G}, a AS ({_matrix(32)}), b AS ({_matrix(64)}) SELECT 'd32|v0' AS matrix_id, label, a.r_at_10, a.r_at_100, a.mrr, {', '.join(f'round(a.{c} - b.{c}, 4) AS d_{c}' for c in ('r_at_10', 'r_at_100', 'mrr'))} FROM a JOIN b USING (label)",
+    "matrix_report": f"WITH {_Q}, {_X}, {_G}, a AS ({_matrix(32)}), b AS ({_matrix(64)}) SELECT label, b.mrr AS d64, a.mrr AS d32 FROM a JOIN b USING (label)",
+    "random_control": f"WITH {_R}, {_G}, {_BEST}, m AS (SELECT label, {_recall()} FROM b JOIN q USING (qid) GROUP BY label) SELECT label, n, r_at_100, {', '.join(f'round(r_at_100 * {k} / 100, 4) AS random_at_{k}' for k in (1, 10, 25))} FROM m",
+    "alpha_plateau": f"""WITH {_W}, wg AS (SELECT w.*, g.tid IS NOT NULL AS gold FROM w LEFT JOIN g USING (qid, tid)), al AS (SELECT (i / 10.0)::DOUBLE AS alpha FROM range(11) r(i)), sw AS ({_SWEEP}),
+ ms AS (SELECT rule, depth, alpha, {_recall((1,))} FROM sw GROUP BY ALL), t AS (SELECT rule, depth, max(mrr) AS best FROM ms GROUP BY ALL)
+ SELECT rule, depth, round(any_value(best), 4) AS best, min(alpha) AS low, max(alpha) AS high FROM ms JOIN t USING (rule, depth) WHERE mrr >= best - 0.005::DOUBLE - 1e-9 GROUP BY rule, depth""",
+    "claim_table": f"""WITH {_W}, {_window('rrf_tie', 0.5, 100)}, ba AS (SELECT qid, min(col) AS base FROM w JOIN g USING (qid, tid) GROUP BY qid), ne AS (SELECT qid, min(new_rank) AS new FROM f JOIN g USING (qid, tid) GROUP BY qid),
+ p0 AS (SELECT (label % 3)::VARCHAR AS split, coalesce(base <= 10, false) AS hb, coalesce(new <= 10, false) AS hn, coalesce(1.0::DOUBLE / base, 0) AS ib, coalesce(1.0::DOUBLE / new, 0) AS inw FROM q LEFT JOIN ba USING (qid) LEFT JOIN ne USING (qid)),
+ p AS (SELECT * FROM p0 UNION ALL SELECT * REPLACE ('POOLED_generated' AS split) FROM p0 WHERE split <> '0'),
+ a AS (SELECT 'fused' AS claim, split, count(*) AS n, count(*) FILTER (hn AND NOT hb) AS b, count(*) FILTER (hb AND NOT hn) AS c, round(avg(hn::INT - hb::INT), 4) AS d_r, round(avg(inw - ib), 4) AS d_mrr FROM p GROUP BY split)
+ SELECT *, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS mcnemar_p FROM a""",
+    "lexical_pool_curve": f"""WITH {_BM}, o AS (SELECT doc_id AS tid, row_number() OVER (ORDER BY {_md5('lexical', 'doc_id')}) - 1 AS nth FROM documents),
+ k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY score DESC, tid) AS r FROM bm JOIN o USING (tid), (VALUES (200), (500), (1000)) v(pool) WHERE nth < pool),
+ best AS (SELECT pool, qid, min(r) AS rank FROM k WHERE tid % 7 = qid % 7 GROUP BY ALL) SELECT pool, {_recall()} FROM best GROUP BY pool""",
+    "confusion_candidates": f"WITH {_NN}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4) SELECT a, b, sim FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label % 2 = 0 AND y.label % 2 = 0 ORDER BY {_md5('candidates', 'a', 'b')} LIMIT 10",
+    "separable_filters": f"WITH {_INTENTS} SELECT count(*) FILTER (quality = 1) AS true, count(*) FILTER (quality <> 1) AS false, count(*) FILTER (quality IS NULL OR quality <> 1) AS falsy FROM i LEFT JOIN labels ON doc_id = conv_id",
+    "mean_words": "SELECT lang, count(*) AS n, round(avg(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> ''))), 4) AS mean_words FROM documents GROUP BY lang",
+    "jsonl_round_trip": "SELECT c_custkey, c_name, c_nationkey FROM customer",
+    "label_queries": f"WITH {_TOOLS}, c AS (SELECT api_title, arg_min(tool_id, pos) AS tool_id FROM t GROUP BY api_title) SELECT doc_id AS intent_id, tool_id FROM documents JOIN c ON api_title = source || CASE WHEN doc_id % 5 = 0 THEN '?' ELSE '' END",
+    "plugin_join": "SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS region FROM nation",
+    "catalog_pool": "SELECT tool_id, row_number() OVER (ORDER BY side, k) - 1 AS pos FROM (SELECT n_name AS tool_id, 0 AS side, n_nationkey AS k FROM nation UNION ALL SELECT s_name, 1, s_suppkey FROM supplier)",
+    "picked_specs": f"WITH u AS (SELECT source || ':' || doc_id AS api_id, source AS provider FROM documents WHERE doc_id % 3 <> 0) SELECT api_id, provider FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY provider ORDER BY {_md5('specs', 'api_id')}) <= 3) ORDER BY {_md5('specs', 'api_id')} LIMIT 40",
+    "best_gold": f"WITH {_R}, {_G} SELECT qid, tid, rank FROM r JOIN g USING (qid, tid) WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1",
+    "thin_descriptions": "SELECT count(*) FILTER (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> '')) <= 100) AS thin, 33.3::DOUBLE AS third FROM documents",
+    "paired_arms": """WITH r AS (SELECT o_custkey % 4 AS split, o_orderkey // 2 AS item, o_orderkey % 2 = 0 AS d, o_orderkey % 3 = 0 AS ok FROM orders WHERE o_orderkey % 5 <> 0)
+ SELECT split, count(*) AS n, count(*) FILTER (a.ok AND NOT b.ok) AS b FROM r a JOIN r b USING (split, item) WHERE a.d AND NOT b.d GROUP BY split""",
+    "shared_answers": """WITH s AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 5)) AS k FROM lineitem GROUP BY l_orderkey), w AS (SELECT item, min(item) OVER (PARTITION BY k) AS owner FROM s)
+ SELECT item, owner, o_orderstatus AS choice, o_orderstatus IS NULL AS missing FROM w LEFT JOIN orders ON o_orderkey = owner AND o_orderkey % 3 <> 0""",
+    "valid_generated": """SELECT conv_id % 7 AS batch, count(*) AS n FROM conversations WHERE turn % 4 <> 0 AND text IS NOT NULL AND trim(text) <> '' AND NOT (turn % 3 = 0 AND turn % 2 = 0) AND turn % 5 <= (conv_id % 7) % 4 GROUP BY 1""",
+    "extract_operations": f"""WITH {_TOOLS}, o AS (SELECT api_title, path || '/' || pos AS p, pos FROM t QUALIFY row_number() OVER (PARTITION BY api_title ORDER BY path || '/' || pos) <= 5),
+ n AS (SELECT *, {_slug("'get'", 'p')} AS name, (SELECT min(t.pos) FROM t WHERE t.api_title = o.api_title) AS spec FROM o), k AS (SELECT *, {_slug('api_title', 'name')} AS tool_id FROM n)
+ SELECT tool_id, 'read' AS side_effects, 'web' AS domain, 1::BIGINT AS n_params, p AS path FROM k QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY spec, p) = 1""",
+    "fusion_sweep_zscore": f"WITH {_W}, wg AS (SELECT w.*, g.tid IS NOT NULL AS gold FROM w LEFT JOIN g USING (qid, tid)), al AS (SELECT (i / 10.0)::DOUBLE AS alpha FROM range(11) r(i)), sw AS ({_sweep('zscore')}) SELECT rule, depth, alpha, {_recall((1, 10, 25))} FROM sw GROUP BY rule, depth, alpha",
+    "composed_zscore": f"""WITH {_W}, {_window('zscore', 0.2, 100)}, a AS (SELECT w.qid, bool_or(w.col <= 25 AND g.tid IS NOT NULL) AS d, bool_or(f.new_rank <= 25 AND g.tid IS NOT NULL) AS e FROM w JOIN f USING (qid, tid) LEFT JOIN g USING (qid, tid) GROUP BY w.qid)
+ SELECT count(*) AS n, round(avg(d::INT), 4) AS dense_rate, round(avg(e::INT), 4) AS fused_rate, count(*) FILTER (e AND NOT d) AS rescued, count(*) FILTER (d AND NOT e) AS lost FROM a""",
 }

@@ -20,8 +20,8 @@ from siftwell.operators import ranking as K
 from siftwell.operators import splits as G
 from siftwell.operators.indexing import with_global_index
 from siftwell.plans import fixtures as fx
-from siftwell.sources.scratch import materialise, table
-from siftwell.sources.tables import digest
+from siftwell.sources.scratch import materialise, scratch_path, table
+from siftwell.sources.tables import digest, read_jsonl, write_jsonl
 
 MIN_SIM = 0.40
 RANKED = 100
@@ -225,7 +225,10 @@ def near_dup_cross(spark, sf):
 
 
 def _pairs(spark, sf):
-    return confusion_pairs(spark, sf).select("a", "b")
+    """Each row and its nearest other row, whichever rows are labeled."""
+    e = table(spark, sf, "embeddings")
+    every = e.select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
+    return D.confusion_graph(every.toDF("qid", "qv"), every, MIN_SIM).select("a", "b")
 
 
 def confusable_components(spark, sf):
@@ -404,7 +407,7 @@ def json_fenced_extract(spark, sf):
 
 def paged_prompts(spark, sf):
     t = fx.tools(spark, sf)
-    block = Q.tool_block(F.col("tool_id"), F.col("name"), F.col("api_title"), F.col("description"), F.col("params"))
+    block = Q.tool_block(F.col("tool_id"), F.col("name"), F.col("api_title"), F.col("description"), F.col("params"), F.col("summary"))
     rows = K.in_batches(t.withColumn("block", block), "api_title", "pos", 4)
     rows = rows.withColumn("b", F.concat_ws(":", "api_title", "batch"))
     return Q.batch_prompts(rows, F.lit(Q.STANDARD), "b", "pos", "block").select("b", "n", F.md5("prompt").alias("digest"))
@@ -421,3 +424,148 @@ def extract_operations(spark, sf):
     paths = t.groupBy("api_title").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("path", F.lit("/"), F.col("pos").cast("string")), F.struct(op.alias("get")))))).alias("paths"), F.min("pos").alias("pos"))
     specs = paths.select(F.col("api_title").alias("api_id"), F.col("api_title").alias("provider"), F.col("api_title").alias("title"), F.array(F.lit("web")).alias("categories"), F.lit("landed").alias("url"), F.to_json(F.struct("paths")).alias("body"), "pos")
     return C.tools_of_specs(specs, 5)[0].select("tool_id", "side_effects", "domain", F.size("parameters.properties").cast("long").alias("n_params"), "http.path")
+
+
+def evaluate_splits(spark, sf):
+    """Labels modulo 3 as splits; golds of label 0 are not in the catalog, ids divisible by 20 are the thin group."""
+    q = fx.queries(spark, sf)
+    items = q.select((F.col("label") % 3).cast("string").alias("split"), "qid")
+    catalog = fx.index(spark, sf).where("label <> 0")
+    scores = materialise(_ranked(spark, sf), "ranked")
+    return M.evaluate_splits(items, scores, fx.gold(spark, sf), catalog, thin=F.col("qid") % 20 == 0)
+
+
+def _matrices(spark, sf):
+    """Recall by label of two matrices: all 64 dimensions, and the first 32."""
+    out = None
+    for name, n in (("d64", 64), ("d32", 32)):
+        q = fx.queries(spark, sf).withColumn("qv", F.slice("qv", 1, n))
+        x = fx.index(spark, sf).withColumn("v", F.slice("v", 1, n))
+        ranks = D.dense_rank_of(q, x, fx.gold(spark, sf)).join(q.select("qid", "label"), "qid")
+        rows = M.recall_mrr(ranks, ["label"], (10, 100)).withColumn("matrix_id", M.run_label(F.lit(name), F.lit(""), F.lit("v0")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def matrix_sweep(spark, sf):
+    return M.deltas(_matrices(spark, sf), "matrix_id", "d64|v0", ["label"], ["r_at_10", "r_at_100", "mrr"])
+
+
+def matrix_report(spark, sf):
+    return M.report(_matrices(spark, sf), "label", "matrix_id", ["d64|v0", "d32|v0"], "mrr").toDF("label", "d64", "d32")
+
+
+def random_control(spark, sf):
+    return M.random_control(dense_recall_mrr(spark, sf).select("label", "n", "r_at_100"))
+
+
+def alpha_plateau(spark, sf):
+    return S.plateau(fusion_sweep(spark, sf).select("rule", "depth", "alpha", F.col("mrr").alias("value")), ["rule", "depth"])
+
+
+def claim_table(spark, sf):
+    rows = _paired(spark, sf).select("base_rank", "new_rank", F.lit("fused").alias("claim"), (F.col("label") % 3).cast("string").alias("split"))
+    return S.claim_table(rows, members=F.col("split") != "0", k=10)
+
+
+def mean_difference(spark, sf):
+    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 2).alias("a"), (F.col("event_id") % 2).alias("b"))
+    return S.mean_difference_interval(e, ["event_type"], "a", "b", reps=2000)
+
+
+def lexical_pool_curve(spark, sf):
+    """Best lexical rank of the documents that share an item's source fold, as the pool grows in hash order."""
+    docs = fx.text_docs(spark, sf)
+    order = with_global_index(docs.select("tid"), K.hash_order("lexical", "tid"), "nth")
+    scores = materialise(L.bm25_scores(fx.text_index(spark, sf), fx.text_queries(spark, sf), F.col("text")).join(order, "tid"), "pool-scores")
+    sized = scores.withColumn("pool", F.explode(F.array(*[F.lit(x) for x in (200, 500, 1000)]))).where(F.col("nth") < F.col("pool"))
+    ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("score"), "tid")))
+    best = ranked.where(F.col("tid") % 7 == F.col("qid") % 7).groupBy("pool", "qid").agg(F.min("r").alias("rank"))
+    return M.recall_mrr(best, ["pool"])
+
+
+def confusion_candidates(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), "label")
+    return D.confusion_candidates(confusion_pairs(spark, sf), e, F.col("label") % 2 == 0, MIN_SIM, 10, "candidates")
+
+
+def separable_filters(spark, sf):
+    c = _intents(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), (F.col("quality") == 1).alias("separable")).dropDuplicates(["conv_id"]), "conv_id", "left")
+    return c.agg(*[F.count_if(M.separable(F.col("separable"), x)).alias(x) for x in ("true", "false", "falsy")])
+
+
+def mean_words(spark, sf):
+    return M.mean_words(table(spark, sf, "documents"), X.word_count(F.col("text")), ["lang"])
+
+
+def jsonl_round_trip(spark, sf):
+    path = scratch_path(spark, "jsonl")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    write_jsonl(rows, path)
+    return read_jsonl(spark, path, "c_custkey long, c_name string, c_nationkey long")
+
+
+def label_queries(spark, sf):
+    """Conversations' roles as names of tools: the first page of a source is the tool of its name."""
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("intent_id"), F.concat("source", F.when(F.col("doc_id") % 5 == 0, F.lit("?")).otherwise(F.lit(""))).alias("label"))
+    catalog = fx.tools(spark, sf).select(F.col("api_title").alias("name"), "tool_id", "pos")
+    found, _ = C.label_queries(q, catalog)
+    return found.select("intent_id", "tool_id")
+
+
+def plugin_join(spark, sf):
+    d = table(spark, sf, "nation").select(F.upper("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    info = table(spark, sf, "nation").where("n_nationkey % 3 <> 0").select(F.concat(F.lit(" "), F.lower("n_name")).alias("name"), F.col("n_regionkey").alias("region"))
+    return C.plugins(d, info).select("key", "region")
+
+
+def catalog_pool(spark, sf):
+    """Suppliers pooled behind nations."""
+    first = table(spark, sf, "nation").select(F.col("n_name").alias("tool_id"), F.col("n_nationkey").alias("pos"))
+    second = table(spark, sf, "supplier").select(F.col("s_name").alias("tool_id"), F.col("s_suppkey").alias("pos"))
+    return C.pool(first, second).select("tool_id", F.col("pos").cast("long").alias("pos"))
+
+
+def picked_specs(spark, sf):
+    d = table(spark, sf, "documents")
+    rows = d.select(F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("api_id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("provider"), F.when(F.col("doc_id") % 3 != 0, "1").alias("preferred"), F.lit("u").alias("swagger_url"))
+    return C.picked_specs(rows, 3, 40, "specs").select("api_id", "provider")
+
+
+def best_gold(spark, sf):
+    return M.best_gold(_ranked(spark, sf), fx.gold(spark, sf)).select("qid", "tid", "rank")
+
+
+def thin_descriptions(spark, sf):
+    t = table(spark, sf, "documents")
+    return t.agg(F.count_if(X.is_thin(F.col("text"), 100)).alias("thin"), F.max(X.percent(F.lit(1), F.lit(3))).alias("third"))
+
+
+def paired_arms(spark, sf):
+    o = table(spark, sf, "orders")
+    rows = o.select((F.col("o_custkey") % 4).alias("split"), (F.floor(F.col("o_orderkey") / 2)).cast("long").alias("item"), F.when(F.col("o_orderkey") % 2 == 0, "dense").otherwise("fused").alias("arm"), F.when(F.col("o_orderkey") % 5 != 0, "x").alias("choice"), (F.col("o_orderkey") % 3 == 0).alias("correct"))
+    return P.paired_items(rows).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("dense") & ~F.col("fused")).alias("b"))
+
+
+def shared_answers(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.lit("q").alias("query"), (F.col("l_partkey") % 5).alias("tid"))
+    answers = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("choice"))
+    out = P.with_answers(l.select("item").distinct(), P.dedup_shortlists(l), answers)
+    return out.select("item", "owner", "choice", "missing")
+
+
+def valid_generated(spark, sf):
+    c = table(spark, sf, "conversations")
+    answers = c.select((F.col("conv_id") % 7).alias("batch"), (F.col("turn") % 5).alias("tool_id"), F.when(F.col("turn") % 4 != 0, F.col("text")).alias("query"), F.when(F.col("turn") % 3 == 0, F.col("turn") % 2 == 0).alias("skip"))
+    work = spark.range(7).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 4)).alias("tool_id"))
+    return Q.valid_generated(answers, work).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+def fusion_sweep_zscore(spark, sf):
+    ranks = U.sweep(fx.window(spark, sf), fx.gold(spark, sf), rules=("zscore",), depths=(10, 25, 50, 100))
+    return M.recall_mrr(ranks, ["rule", "depth", "alpha"], ks=(1, 10, 25))
+
+
+def composed_zscore(spark, sf):
+    w = fx.window(spark, sf)
+    return P.rescued_lost(P.arms(w, U.fuse(w, 0.2, "zscore", 100), fx.gold(spark, sf)))
