@@ -19,13 +19,13 @@ _TEMPORARY: list[list[str]] = []
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder is made, once per session.
+    Where the setting is absent, a local session gets a temporary folder, once, and any other the warehouse, which is shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.siftwell.scratch", None)
     if not base:
-        base = spark.conf.get("spark.siftwell.scratch", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="siftwell-")
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        base = tempfile.mkdtemp(prefix="siftwell-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.siftwell.scratch", base)
     return base.rstrip("/")
 
