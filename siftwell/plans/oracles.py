@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftwell.functions.redact import RULES
 from siftwell.operators.prompts import STANDARD
 
 _Q = "q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 10 = 0)"
@@ -125,6 +126,16 @@ def _slug(*parts: str) -> str:
     return f"regexp_replace(lower(trim(regexp_replace({joined}, '[^A-Za-z0-9]+', '_', 'g'), '_')), '_+', '_', 'g')[1:120]"
 
 
+_PLANTED = """SELECT event_id, event_type, CASE event_id % 7 WHEN 0 THEN 'key AKIA' || lpad(event_id::VARCHAR, 16, '7') || ' end' WHEN 1 THEN 'jwt eyJhbGciOiJIUzI1' || event_id || '.abc.def' WHEN 2 THEN 'pay sk_live_abcdefgh' || user_id
+ WHEN 3 THEN 'chat xoxb-12345678-' || user_id WHEN 4 THEN 'Authorization: Bearer abcdefghijklmnop' || event_id WHEN 5 THEN 'AKIA123 sk_live_short xoxz-12345678 Bearer short' ELSE 'pk_test_abcdefgh1 and ASIA' || lpad(event_id::VARCHAR, 16, '7') END AS t FROM events"""
+
+
+def _redacted(text: str) -> str:
+    for _, pattern, replacement in RULES:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return text
+
+
 ORACLES = {
     "dense_topk": f"WITH {_R} SELECT qid, tid, score, rank FROM r WHERE rank <= 10",
     "gold_rank": f"WITH {_R}, {_G}, {_BEST} SELECT * FROM b",
@@ -211,8 +222,12 @@ ORACLES = {
     "side_effects": f"WITH {_TOOLS} SELECT CASE WHEN method = 'delete' THEN 'destructive' WHEN method = 'get' THEN 'read' ELSE 'write' END AS side_effects, count(*) AS n FROM t GROUP BY 1",
     "doc_quality": f"WITH {_TOOLS} SELECT (length(description) >= 20)::INT + (length(description) >= 120)::INT + (len(params) > 0)::INT + (len(params) > 0 AND len(list_filter(params, lambda a: length(a || ' of the page') >= 10)) / greatest(len(params), 1) >= 0.5)::INT AS doc_quality, count(*) AS n FROM t GROUP BY 1",
     "first_wins": f"WITH {_TOOLS} SELECT tool_id, min(pos) AS pos FROM t GROUP BY tool_id",
-    "redact": "SELECT event_id, 'key [aws-key-id] and [api-key] end' AS t FROM events",
-    "json_fenced_extract": "SELECT event_id, 1::BIGINT AS n FROM events",
+    "redact": f"SELECT event_id, {_redacted('t')} AS t FROM ({_PLANTED})",
+    "redaction_counts": "SELECT event_type, class, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT event_type, '{name}' AS class, len(regexp_extract_all(t, '{pattern}')) AS n FROM ({_PLANTED})" for name, pattern, _ in RULES) + ") GROUP BY ALL HAVING sum(n) > 0",
+    "json_fenced_extract": r"""WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Answer:' || chr(10) || '```json' || chr(10) || '[' || props || ']' || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN 'Sure: [' || props || ', ' || props || '] as asked'
+ WHEN 2 THEN '[{broken' WHEN 3 THEN '```' || chr(10) || '[' || props || ']' || chr(10) || '``` and [more]' WHEN 4 THEN '' WHEN 5 THEN '```json' || chr(10) || '[{"k": }]' || chr(10) || '```' ELSE 'no array here' END AS t FROM events),
+ b AS (SELECT event_id, coalesce(nullif(regexp_extract(t, '(?s)```(?:json)?\s*(.*?)```', 1), ''), t) AS b FROM e), a AS (SELECT event_id, regexp_extract(b, '(?s)(\[.*\])', 1) AS a FROM b)
+ SELECT event_id, (CASE WHEN a <> '' AND json_valid(a) THEN json_array_length(a) ELSE 0 END)::BIGINT AS n FROM a""",
     "paged_prompts": f"""WITH {_TOOLS}, l AS (SELECT *, (row_number() OVER (PARTITION BY api_title ORDER BY pos) - 1) // 4 AS batch,
   '  tool_id: ' || tool_id || chr(10) || '  name: ' || name || chr(10) || '  service: ' || api_title[1:60] || chr(10) || '  desc: ' || coalesce(nullif(description, ''), nullif(summary, ''), '(no description)')[1:260]
   || CASE WHEN len(params) > 0 THEN chr(10) || '  params: ' || array_to_string(params[1:8], ', ') ELSE '' END AS block FROM t)

@@ -393,15 +393,35 @@ def first_wins(spark, sf):
     return K.first_of_key(fx.tools(spark, sf), "tool_id", "pos").select("tool_id", "pos")
 
 
+def _planted(spark, sf):
+    """Texts with a string of each class, with two of them, and with near misses."""
+    e = table(spark, sf, "events")
+    i, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    texts = [
+        F.concat(F.lit("key AKIA"), F.lpad(i, 16, "7"), F.lit(" end")), F.concat(F.lit("jwt eyJhbGciOiJIUzI1"), i, F.lit(".abc.def")), F.concat(F.lit("pay sk_live_abcdefgh"), u),
+        F.concat(F.lit("chat xoxb-12345678-"), u), F.concat(F.lit("Authorization: Bearer abcdefghijklmnop"), i), F.lit("AKIA123 sk_live_short xoxz-12345678 Bearer short"),
+        F.concat(F.lit("pk_test_abcdefgh1 and ASIA"), F.lpad(i, 16, "7")),
+    ]
+    return e.select("event_id", "event_type", F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int")).alias("t"))
+
+
 def redact(spark, sf):
-    """Planted strings of each class, in texts made from events."""
-    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("key AKIA"), F.lpad(F.col("event_id").cast("string"), 16, "7"), F.lit(" and sk_live_abcdefgh"), F.col("user_id").cast("string"), F.lit(" end")).alias("t"))
-    return e.select("event_id", R.redact(F.col("t")).alias("t"))
+    return _planted(spark, sf).select("event_id", R.redact(F.col("t")).alias("t"))
+
+
+def redaction_counts(spark, sf):
+    return R.redaction_counts(_planted(spark, sf), "t", "event_type").toDF("event_type", "class", "n")
 
 
 def json_fenced_extract(spark, sf):
-    fenced = F.concat(F.lit("Answer:\n```json\n["), F.col("props"), F.lit("]\n```\nDone."))
-    e = table(spark, sf, "events").select("event_id", X.fenced_json(fenced, "array<map<string,string>>").alias("a"))
+    """Answers in fences, without, broken, without an array, and empty."""
+    props = F.col("props")
+    answers = [
+        F.concat(F.lit("Answer:\n```json\n["), props, F.lit("]\n```\nDone.")), F.concat(F.lit("Sure: ["), props, F.lit(", "), props, F.lit("] as asked")), F.lit("[{broken"),
+        F.concat(F.lit("```\n["), props, F.lit("]\n``` and [more]")), F.lit(""), F.lit("```json\n[{\"k\": }]\n```"), F.lit("no array here"),
+    ]
+    text = F.element_at(F.array(*answers), (F.col("event_id") % len(answers) + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", X.fenced_json(text, "array<map<string,string>>").alias("a"))
     return e.select("event_id", F.size("a").cast("long").alias("n"))
 
 

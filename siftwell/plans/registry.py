@@ -15,7 +15,7 @@ confusable_components component_partition partition_audit
 bucket_stats headroom headroom_no_reference representation_ratio sign_split best_config pooled_metrics
 selector_tally conditional_accuracy run_disagreements mcnemar_exact paired_bootstrap
 hard_negatives negative_provenance oracle_shortlist composed_arms rescued_lost shortlist_dedup
-humanize_path slug_and_key side_effects doc_quality first_wins redact json_fenced_extract paged_prompts table_digest extract_operations
+humanize_path slug_and_key side_effects doc_quality first_wins redact redaction_counts json_fenced_extract paged_prompts table_digest extract_operations
 evaluate_splits matrix_sweep matrix_report random_control alpha_plateau claim_table mean_difference lexical_pool_curve confusion_candidates separable_filters mean_words
 fusion_sweep_zscore composed_zscore jsonl_round_trip label_queries plugin_join catalog_pool picked_specs best_gold thin_descriptions paired_arms shared_answers valid_generated
 """.split()
