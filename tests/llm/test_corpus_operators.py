@@ -278,8 +278,6 @@ def test_token_counts(spark, rule):
         if t is None:
             assert i not in got
             continue
-        if i in (5, 6):
-            continue
         lines, at = [], 0
         for part in re.split(r"(?<=\n)(?=.)", t, flags=re.S) if t else [""]:
             lines.append((at, at + len(part)))
@@ -293,13 +291,14 @@ def test_token_counts(spark, rule):
                 p = a if rule == "first" else max(b - 1, a)
                 k = next(k for k, (s, e) in enumerate(lines) if s <= p < e)
             n[k] += 1
-        assert sorted(got[i]) == [(k, s, e, c) for k, ((s, e), c) in enumerate(zip(lines, n))], (i, rule)
+        copies = sum(r[0] == i for r in rows)
+        assert sorted(got[i]) == sorted([(k, s, e, c) for k, ((s, e), c) in enumerate(zip(lines, n))] * copies), (i, rule)
 
 
 def test_token_counts_of_given_sections(spark):
     df = spark.createDataFrame([(1, "one two three four", [(0, 5), (9, 18)])], "doc_id long, text string, sections array<struct<start:int,end:int>>")
     got = {r["section"]: r["n_tokens"] for r in token_counts.token_counts(df, rule="first", sections=True).collect()}
-    assert got == {-1: 1, 0: 1, 1: 1} or sum(got.values()) == 4
+    assert got == {-1: 1, 0: 2, 1: 1}
 
 
 # --- mixing
