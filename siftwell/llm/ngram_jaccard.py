@@ -279,7 +279,8 @@ def incidence(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = THRESHOLD)
         entries = materialise(packed.repartition(F.col("slot")).sortWithinPartitions("slot").mapInArrow(_unpack(bits), _ENTRY), "incidence")
     del packed
     release(spark)
-    members = materialise(entries.where("row IS NULL").select("doc_id", "sid", "n"), "members")
+    members = entries.where("row IS NULL").select("doc_id", "sid", "n")
+    members = materialise(members, "members", members.count())
     rows = entries.where("sid IS NOT NULL AND row IS NOT NULL").select("row", "sid", "n")
     grams = entries.where("gram IS NOT NULL").groupBy("row").agg(F.collect_list("gram").alias("feats"))
     wide = grams.join(rows, "row").where(F.size("feats") >= _least_overlap(F.col("n"), t))
@@ -338,15 +339,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = T
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
     with temporary(spark) as keep:
-        out = _components(*incidence(docs, k, t), t)
-        return keep(materialise(out, "components"))
+        members, rows = incidence(docs, k, t)
+        n = members.count()
+        return keep(materialise(_components(members, rows, n, t), "components", n))
 
 
-def _components(members: DataFrame, rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+def _components(members: DataFrame, rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     found = connected_components(near_links(rows, t))
     least = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     least = least.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = materialise(least, "classes")
+    least = materialise(least, "classes", n)
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = least.join(smallest, "component").select("sid", "component_id")
     out = members.join(by_set, "sid", "left")
