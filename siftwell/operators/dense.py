@@ -1,14 +1,15 @@
 """Dense retrieval. A stated set of queries is multiplied, block by block, with all rows of an index.
 
-A block of queries is a matrix of at most QUERY_BLOCK rows, broadcast to Python workers; the index streams past it in Arrow
-batches and only rows that can still be among the k best of a batch, or above a similarity, leave the worker. Similarities
-are dot products in double precision, rounded to DIGITS before ranking, so that ties are broken alike everywhere.
+A block of queries is a matrix of bounded bytes. One block is broadcast to Python workers and the index streams past it. More
+blocks meet blocks of the index in a cogroup, so that no table of queries passes the driver. Products are made in slices of
+bounded bytes; a worker keeps the k best of all it has seen, or counts, and sends those alone. Similarities are dot products in
+double precision, rounded to DIGITS before ranking, so that ties are broken alike everywhere.
+
+Rows without an id or a vector are left out; a similarity that is not a number is never ranked; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from siftwell.operators.ranking import nearest, sample_rows, top_k
 
 DIGITS = 6
-QUERY_BLOCK = 20_000
+#: Rows and bytes of one block of vectors, and cells of one product.
+BLOCK_ROWS, BLOCK_BYTES, CELLS = 20_000, 64 << 20, 1 << 21
+#: Cells of a query's best rows and of a product that a worker holds beside them, before it drops all but the k best.
+HELD = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,102 +35,126 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    out = []
-    for k in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
-        t = some.select("qid", "qv").toArrow()
-        out.append((t.column("qid").to_numpy(), _matrix(t.column("qv"))))
-    return out
+def _columns(rows) -> tuple[dict, np.ndarray]:
+    """The numbers of a block of queries by column, and its matrix."""
+    return {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("qv", "qb", "xb")}, _matrix(rows.column("qv"))
+
+
+def _slices(q: np.ndarray, parts):
+    """Ids of a slice of the index and its rounded similarities to a block of queries."""
+    step = max(1, CELLS // max(len(q), 1))
+    for rows in parts:
+        if rows.num_rows and len(q):
+            x, tid = _matrix(rows.column("v")), rows.column("tid").to_numpy()
+            for i in range(0, len(x), step):
+                yield tid[i : i + step], np.round(q @ x[i : i + step].T, DIGITS)
 
 
-def _streamed(queries: DataFrame, index: DataFrame, columns, names: list[str], ddl: str) -> DataFrame:
-    """``columns(scores, tid, qid)`` of each query block and index batch."""
-    spark = queries.sparkSession
+def _product(queries: DataFrame, index: DataFrame, fold, schema: pa.Schema) -> DataFrame:
+    """``fold(columns of a query block, slices)`` gives lists of arrays of ``schema`` for each block of queries and part of the index."""
+    queries, index = queries.where("qid IS NOT NULL AND qv IS NOT NULL"), index.select("tid", "v").where("tid IS NOT NULL AND v IS NOT NULL")
+    ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema)
+    n, width = queries.agg(F.count("*"), F.max(F.size("qv"))).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width or 1, 1))))
+    if n <= rows:
+        shared = queries.sparkSession.sparkContext.broadcast(_columns(queries.toArrow()))
 
-    def one(block):
-        shared = spark.sparkContext.broadcast(block)
+        def streamed(batches):
+            known, q = shared.value
+            for arrays in fold(known, _slices(q, batches)):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), schema=schema)
 
-        def run(batches):
-            qid, q = shared.value
-            for b in batches:
-                if not b.num_rows or not len(qid):
-                    continue
-                x = _matrix(b.column("v"))
-                s = np.round(q @ x.T, DIGITS)
-                tid = b.column("tid").to_numpy()
-                yield pa.RecordBatch.from_arrays(columns(s, tid, qid), names)
+        return index.mapInArrow(streamed, ddl)
 
-        return index.select("tid", "v").mapInArrow(run, ddl)
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, q = _columns(left)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(map(pa.array, a)), schema=schema) for a in fold(known, _slices(q, [right]))], schema)
 
-    return reduce(DataFrame.unionByName, map(one, _blocks(queries)))
+    many, parts = -(-n // rows), max(1, -(-index.count() // rows))
+    block = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.withColumn("qb", block("qid", many)).withColumn("xb", every(parts))
+    right = index.withColumn("xb", block("tid", parts)).withColumn("qb", every(many))
+    return left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(both, ddl)
 
 
-def _scored(queries: DataFrame, index: DataFrame, pick) -> DataFrame:
-    def columns(s, tid, qid):
-        i, j = pick(s, tid, qid)
-        return [pa.array(qid[i]), pa.array(tid[j]), pa.array(s[i, j])]
+_SCORES = pa.schema([("qid", pa.int64()), ("tid", pa.int64()), ("score", pa.float64())])
 
-    return _streamed(queries, index, columns, ["qid", "tid", "score"], "qid long, tid long, score double")
+
+def _k_best(i: np.ndarray, s: np.ndarray, tid: np.ndarray, k: int):
+    """Of flat rows the k best of each query ``i``, the smaller id first, with their place."""
+    order = np.lexsort((tid, -s, i))
+    i, s, tid = i[order], s[order], tid[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return i[keep], s[keep], tid[keep], place[keep]
 
 
 def dense_topk(queries: DataFrame, index: DataFrame, k: int, same: bool = False) -> DataFrame:
     """``qid, tid, score, rank`` of the k best rows of ``index`` (``tid, v``) for each query (``qid, qv``).
 
-    ``same``: both sides are one table, a row is not its own neighbour.
+    ``same``: both sides are of one table, a row is not its own neighbour.
     """
 
-    def pick(s, tid, qid):
-        if same:
-            s = np.where(qid[:, None] == tid, -np.inf, s)
-        order = np.lexsort((np.broadcast_to(tid, s.shape), -s), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(s)), order.shape[1])
-        j = order.ravel()
-        keep = s[i, j] > -np.inf
-        return i[keep], j[keep]
-
-    return top_k(_scored(queries, index, pick), k)
+    def fold(known, slices):
+        qid = known["qid"]
+        least, held, size = np.full(len(qid), -np.inf), [], 0
+        for tid, s in slices:
+            if same:
+                s[qid[:, None] == tid] = np.nan
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            held.append((i, s[i, j], tid[j]))
+            size += len(i)
+            if size > len(qid) * k + HELD:
+                i, s, t, place = _k_best(*map(np.concatenate, zip(*held)), k)
+                least[i[place == k - 1]] = s[place == k - 1]
+                held, size = [(i, s, t)], len(i)
+        if held:
+            i, s, t, _ = _k_best(*map(np.concatenate, zip(*held)), k)
+            yield qid[i], t, s
+
+    return top_k(_product(queries.select("qid", "qv"), index, fold, _SCORES), k)
 
 
 def dense_above(queries: DataFrame, index: DataFrame, least: float, same: bool = False) -> DataFrame:
     """All pairs with a similarity above ``least``."""
 
-    def pick(s, tid, qid):
-        hit = s > least
-        if same:
-            hit &= qid[:, None] != tid
-        return np.nonzero(hit)
+    def fold(known, slices):
+        qid = known["qid"]
+        for tid, s in slices:
+            hit = s > least
+            if same:
+                hit &= qid[:, None] != tid
+            i, j = np.nonzero(hit)
+            yield qid[i], tid[j], s[i, j]
 
-    return _scored(queries, index, pick)
+    return _product(queries.select("qid", "qv"), index, fold, _SCORES)
 
 
-def dense_rank_of(queries: DataFrame, index: DataFrame, gold: DataFrame) -> DataFrame:
+def dense_rank_of(queries: DataFrame, index: DataFrame, gold: DataFrame, same: bool = False) -> DataFrame:
     """``qid, rank``: the best 1-based rank of a gold (``qid, tid``) over the whole index, ties broken by tid.
 
-    Counts better rows instead of sorting: each batch adds how many of its rows stand before the query's best gold.
+    Counts better rows instead of sorting: each part adds how many of its rows stand before the query's best gold. ``same``: as
+    in ``dense_topk``; a query's own row is no gold of it.
     """
-    pairs = gold.join(queries, "qid").join(index.select("tid", "v"), "tid")
+    pairs = gold.select("qid", "tid").join(queries.select("qid", "qv"), "qid").join(index.select("tid", "v"), "tid")
+    if same:
+        pairs = pairs.where("qid <> tid")
     best = pairs.groupBy("qid").agg(F.max(F.struct(F.round(dot(F.col("qv"), F.col("v")), DIGITS).alias("s"), (-F.col("tid")).alias("p"))).alias("b"))
     wanted = queries.join(best, "qid").select("qid", "qv", F.col("b.s").alias("gs"), (-F.col("b.p")).alias("gt"))
-    spark, parts = queries.sparkSession, max(1, -(-wanted.count() // QUERY_BLOCK))
-    found = []
-    for k in range(parts):
-        t = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k).toArrow()
-        shared = spark.sparkContext.broadcast((*(t.column(c).to_numpy() for c in ("qid", "gs", "gt")), _matrix(t.column("qv"))))
 
-        def run(batches, shared=shared):
-            qid, gs, gt, q = shared.value
-            before = np.zeros(len(qid), "i8")
-            for b in batches:
-                if b.num_rows and len(qid):
-                    s, tid = np.round(q @ _matrix(b.column("v")).T, DIGITS), b.column("tid").to_numpy()
-                    before += ((s > gs[:, None]) | ((s == gs[:, None]) & (tid < gt[:, None]))).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(before)], ["qid", "before"])
+    def fold(known, slices):
+        qid, gs, gt = (known[c] for c in ("qid", "gs", "gt"))
+        before = np.zeros(len(qid), "i8")
+        for tid, s in slices:
+            better = (s > gs[:, None]) | ((s == gs[:, None]) & (tid < gt[:, None]))
+            if same:
+                better &= qid[:, None] != tid
+            before += better.sum(1)
+        yield qid, before
 
-        found.append(index.select("tid", "v").mapInArrow(run, "qid long, before long"))
-    return reduce(DataFrame.unionByName, found).groupBy("qid").agg((F.sum("before") + 1).cast("int").alias("rank"))
+    counts = _product(wanted, index, fold, pa.schema([("qid", pa.int64()), ("before", pa.int64())]))
+    return counts.groupBy("qid").agg((F.sum("before") + 1).cast("int").alias("rank"))
 
 
 def nearest_neighbours(queries: DataFrame, index: DataFrame, same: bool = False) -> DataFrame:
@@ -158,12 +186,20 @@ def not_finite(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
-def geometry_probe(queries: DataFrame, population: DataFrame) -> DataFrame:
+def geometry_probe(queries: DataFrame, population: DataFrame, same: bool = False) -> DataFrame:
     """Mean cosine and mean best cosine of the queries to a population of documents; a worker sends sums, not pairs."""
 
-    def sums(s, tid, qid):
-        return [pa.array(qid), pa.array(s.sum(1)), pa.array(np.full(len(qid), s.shape[1])), pa.array(s.max(1))]
-
-    part = _streamed(queries, population, sums, ["qid", "s", "n", "top"], "qid long, s double, n long, top double")
+    def fold(known, slices):
+        qid = known["qid"]
+        total, n, top = np.zeros(len(qid)), np.zeros(len(qid), "i8"), np.full(len(qid), -np.inf)
+        for tid, s in slices:
+            counts = qid[:, None] != tid if same else np.ones(s.shape, bool)
+            total += np.where(counts, s, 0).sum(1)
+            n += counts.sum(1)
+            top = np.maximum(top, np.where(counts, s, -np.inf).max(1))
+        met = n > 0
+        yield qid[met], total[met], n[met], top[met]
+
+    part = _product(queries.select("qid", "qv"), population, fold, pa.schema([("qid", pa.int64()), ("s", pa.float64()), ("n", pa.int64()), ("top", pa.float64())]))
     per_query = part.groupBy("qid").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("top").alias("top"))
     return per_query.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean_cosine"), F.round(F.avg("top"), 6).alias("mean_top1"))

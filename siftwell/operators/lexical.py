@@ -12,6 +12,8 @@ from siftwell.sources.scratch import materialise
 
 K1, B = 1.5, 0.75
 DIGITS = 6
+#: Distinct terms that may be broadcast, at some 40 bytes each.
+BROADCAST_TERMS = 500_000
 
 
 @dataclass
@@ -24,17 +26,25 @@ class Bm25Index:
     mean_length: float
 
 
-def term_frequencies(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.select("tid", F.explode(tokens(text)).alias("w")).groupBy("tid", "w").agg(F.count("*").alias("f"))
+def asked_terms(queries: DataFrame, text: Column) -> DataFrame:
+    """``qid, w, times``: the terms of each query, of all its rows, and how often it has them."""
+    return queries.select("qid", F.explode(tokens(text)).alias("w")).groupBy("qid", "w").agg(F.count("*").alias("times"))
 
 
-def build_bm25(docs: DataFrame, text: Column, k1: float = K1, b: float = B) -> Bm25Index:
-    """Index ``docs`` (``tid`` and a text). Documents without tokens count in the corpus means."""
-    tf = materialise(term_frequencies(docs, text), "term-frequencies")
-    lengths = tf.groupBy("tid").agg(F.sum("f").alias("len"))
-    n = docs.count()
-    mean = (lengths.agg(F.sum("len")).first()[0] or 0) / n if n else 0.0
+def build_bm25(docs: DataFrame, text: Column, k1: float = K1, b: float = B, only: DataFrame | None = None) -> Bm25Index:
+    """Index ``docs`` (``tid`` and a text). Documents without tokens count in the corpus means.
+
+    ``only`` (``w``): the distinct terms that will be asked for; others are dropped before the exchange, and the corpus means
+    stay those of all text.
+    """
+    lengths = docs.groupBy("tid").agg(F.sum(F.size(tokens(text))).alias("len"))
+    n, total = docs.agg(F.count("*"), F.sum(F.size(tokens(text)))).first()
+    mean = (total or 0) / n if n else 0.0
     mean = mean or 1.0
+    words = docs.select("tid", F.explode(tokens(text)).alias("w"))
+    if only is not None:
+        words = words.join(F.broadcast(only) if only.count() <= BROADCAST_TERMS else only, "w", "left_semi")
+    tf = materialise(words.groupBy("tid", "w").agg(F.count("*").alias("f")), "term-frequencies")
     terms = tf.groupBy("w").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))
     terms = terms.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / mean))
@@ -47,7 +57,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text: Column, pool: DataFr
 
     ``pool`` (``tid``) restricts the documents; the corpus statistics stay those of the whole index.
     """
-    asked = queries.select("qid", F.explode(tokens(text)).alias("w")).groupBy("qid", "w").agg(F.count("*").alias("times"))
+    asked = asked_terms(queries, text)
     postings = index.postings if pool is None else index.postings.join(pool, "tid", "left_semi")
     hits = postings.join(asked, "w")
     return hits.groupBy("qid", "tid").agg(F.round(F.sum(F.col("weight") * F.col("times")), DIGITS).alias("score"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from siftwell.functions.redact import RULES
 from siftwell.operators.prompts import STANDARD
 
-_Q = "q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 10 = 0)"
-_X = "x AS (SELECT vec_id AS tid, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0)"
-_S = f"{_Q}, {_X}, s AS (SELECT qid, tid, round(list_dot_product(qv, v), 6) AS score, q.label FROM q, x)"
+_Q = "q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0)"
+_X = "x AS (SELECT vec_id AS tid, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_S = f"{_Q}, {_X}, s AS (SELECT qid, tid, round(list_dot_product(qv, v), 6) AS score, q.label FROM q JOIN x ON tid <> qid)"
 _R = f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS rank FROM s)"
-_G = "g AS (SELECT qid, tid, gold_idx FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tid) AS gold_idx FROM x) y USING (label) WHERE gold_idx <= 3)"
+_G = "g AS (SELECT qid, tid, row_number() OVER (PARTITION BY qid ORDER BY tid) AS gold_idx FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tid) AS nth FROM x) y USING (label) WHERE nth <= 4 AND tid <> qid QUALIFY gold_idx <= 3)"
 _BEST = "b AS (SELECT qid, min(rank) AS rank FROM r JOIN g USING (qid, tid) GROUP BY qid)"
 _E = "e AS (SELECT user_id AS qid, event_id AS tid, round(value, 0) AS score, event_type FROM events)"
-_NN = "n AS (SELECT a.vec_id AS qid, b.vec_id AS tid, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), nn AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) = 1)"
-_NN_ALL = _NN.replace(" WHERE a.vec_id % 10 = 0", "")
+_NN = "n AS (SELECT a.vec_id AS qid, b.vec_id AS tid, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), nn AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) = 1)"
+_NN_ALL = _NN.replace(" WHERE a.vec_id % 20 = 0", "")
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda a: a <> '')"
 _BM = f"""tf AS (SELECT tid, w, count(*) AS f FROM (SELECT doc_id AS tid, unnest({_TOK}) AS w FROM documents) GROUP BY ALL),
  len AS (SELECT tid, sum(f) AS len FROM tf GROUP BY tid),
@@ -22,9 +22,10 @@ _BM = f"""tf AS (SELECT tid, w, count(*) AS f FROM (SELECT doc_id AS tid, unnest
  post AS (SELECT w, tid, idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / mean)) AS weight FROM tf JOIN len USING (tid) JOIN terms USING (w), m),
  ask AS (SELECT qid, w, count(*) AS times FROM (SELECT item_id AS qid, unnest({_TOK}) AS w FROM benchmark) GROUP BY ALL),
  bm AS (SELECT qid, tid, round(sum(weight * times), 6) AS score FROM post JOIN ask USING (w) GROUP BY ALL)"""
-_LINK = "qid // 10 % 40"
-_W = f"""{_R}, {_G}, {_BM}, w AS (SELECT r.qid, r.tid, r.rank AS col, r.score AS dense, coalesce(bm.score, 0) AS other
- FROM r LEFT JOIN bm ON bm.qid = r.{_LINK} AND bm.tid = r.tid WHERE r.rank <= 100)"""
+#: Benchmark items dealt to the queries of the vectors.
+_DEALT = _BM.replace("item_id AS qid", "20 * (item_id % (SELECT greatest(count(*), 1) FROM q)) AS qid")
+_W = f"""{_R}, {_G}, {_DEALT}, w AS (SELECT r.qid, r.tid, r.rank AS col, r.score AS dense, coalesce(bm.score, 0) AS other
+ FROM r LEFT JOIN bm ON bm.qid = r.qid AND bm.tid = r.tid WHERE r.rank <= 100)"""
 _W_ALL = _W.replace(" WHERE r.rank <= 100", "")
 
 
@@ -117,7 +118,7 @@ def _doc_text(variant: str) -> str:
 
 def _matrix(n: int) -> str:
     """Recall by label of the first ``n`` dimensions."""
-    ranks = f"SELECT qid, tid, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(qv[1:{n}], v[1:{n}]), 6) DESC, tid) AS rank FROM q, x"
+    ranks = f"SELECT qid, tid, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(qv[1:{n}], v[1:{n}]), 6) DESC, tid) AS rank FROM q JOIN x ON tid <> qid"
     return f"SELECT label, {_recall((10, 100))} FROM (SELECT qid, min(rank) AS rank FROM ({ranks}) JOIN g USING (qid, tid) GROUP BY qid) JOIN q USING (qid) GROUP BY label"
 
 
@@ -232,7 +233,7 @@ ORACLES = {
   '  tool_id: ' || tool_id || chr(10) || '  name: ' || name || chr(10) || '  service: ' || api_title[1:60] || chr(10) || '  desc: ' || coalesce(nullif(description, ''), nullif(summary, ''), '(no description)')[1:260]
   || CASE WHEN len(params) > 0 THEN chr(10) || '  params: ' || array_to_string(params[1:8], ', ') ELSE '' END AS block FROM t)
  SELECT api_title || ':' || batch AS b, count(*) AS n, md5('{STANDARD.replace("'", "''")}' || chr(10) || string_agg(block, chr(10) ORDER BY pos)) AS digest FROM l GROUP BY api_title, batch""",
-    "evaluate_splits": f"""WITH {_R}, {_G}, it AS (SELECT (label % 3)::VARCHAR AS split, qid, label FROM q UNION ALL SELECT (label % 3)::VARCHAR || ':thin', qid, label FROM q WHERE qid % 20 = 0),
+    "evaluate_splits": f"""WITH {_R}, {_G}, it AS (SELECT (label % 3)::VARCHAR AS split, qid, label FROM q UNION ALL SELECT (label % 3)::VARCHAR || ':thin', qid, label FROM q WHERE qid % 40 = 0),
  top AS (SELECT split, count(*) AS queries, round(avg(m), 4) AS mean_top1 FROM it JOIN (SELECT qid, max(score) AS m FROM r GROUP BY qid) USING (qid) GROUP BY split),
  bk AS (SELECT qid, min(rank) AS rank FROM r JOIN g USING (qid, tid) WHERE rank <= 100 GROUP BY qid),
  m AS (SELECT split, {_recall((1, 10, 25))} FROM (SELECT it.split, bk.rank FROM it LEFT JOIN bk USING (qid) WHERE it.label <> 0) GROUP BY split) SELECT * FROM top LEFT JOIN m USING (split)""",
@@ -250,7 +251,7 @@ ORACLES = {
     "lexical_pool_curve": f"""WITH {_BM}, o AS (SELECT doc_id AS tid, row_number() OVER (ORDER BY {_md5('lexical', 'doc_id')}) - 1 AS nth FROM documents),
  k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY score DESC, tid) AS r FROM bm JOIN o USING (tid), (VALUES (200), (500), (1000)) v(pool) WHERE nth < pool),
  best AS (SELECT pool, qid, min(r) AS rank FROM k WHERE tid % 7 = qid % 7 GROUP BY ALL) SELECT pool, {_recall()} FROM best GROUP BY pool""",
-    "confusion_candidates": f"WITH {_NN}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4) SELECT a, b, sim FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label % 2 = 0 AND y.label % 2 = 0 ORDER BY {_md5('candidates', 'a', 'b')} LIMIT 10",
+    "confusion_candidates": f"WITH {_NN_ALL}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4) SELECT a, b, sim FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label % 2 = 0 AND y.label % 2 = 0 ORDER BY {_md5('candidates', 'a', 'b')} LIMIT 10",
     "separable_filters": f"WITH {_INTENTS} SELECT count(*) FILTER (quality = 1) AS true, count(*) FILTER (quality <> 1) AS false, count(*) FILTER (quality IS NULL OR quality <> 1) AS falsy FROM i LEFT JOIN labels ON doc_id = conv_id",
     "mean_words": "SELECT lang, count(*) AS n, round(avg(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> ''))), 4) AS mean_words FROM documents GROUP BY lang",
     "jsonl_round_trip": "SELECT c_custkey, c_name, c_nationkey FROM customer",

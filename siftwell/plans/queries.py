@@ -28,7 +28,7 @@ RANKED = 100
 
 
 def _ranked(spark: SparkSession, sf: str, k: int = RANKED) -> DataFrame:
-    return D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), k)
+    return D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), k, same=True)
 
 
 def dense_topk(spark, sf):
@@ -36,7 +36,7 @@ def dense_topk(spark, sf):
 
 
 def gold_rank(spark, sf):
-    return D.dense_rank_of(fx.queries(spark, sf), fx.index(spark, sf), fx.gold(spark, sf))
+    return D.dense_rank_of(fx.queries(spark, sf), fx.index(spark, sf), fx.gold(spark, sf), same=True)
 
 
 def dense_recall_mrr(spark, sf):
@@ -61,7 +61,7 @@ def confusion_pairs(spark, sf):
 
 
 def geometry_probe(spark, sf):
-    return D.geometry_probe(fx.queries(spark, sf), fx.index(spark, sf))
+    return D.geometry_probe(fx.queries(spark, sf), fx.index(spark, sf), same=True)
 
 
 def matrix_gaps(spark, sf):
@@ -110,18 +110,16 @@ def term_stats(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return K.top_k(L.bm25_scores(fx.text_index(spark, sf), fx.text_queries(spark, sf), F.col("text")), 10)
+    return K.top_k(fx.text_scores(spark, sf), 10)
 
 
 def bm25_subpool(spark, sf):
     pool = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("tid"))
-    return K.top_k(L.bm25_scores(fx.text_index(spark, sf), fx.text_queries(spark, sf), F.col("text"), pool), 10)
+    return K.top_k(fx.text_scores(spark, sf, pool=pool), 10)
 
 
 def bm25_nonzero_frac(spark, sf):
-    i = fx.text_index(spark, sf)
-    q = fx.text_queries(spark, sf)
-    return L.nonzero_share(L.bm25_scores(i, q, F.col("text")), q.count(), i.n_docs)
+    return L.nonzero_share(fx.text_scores(spark, sf), fx.text_queries(spark, sf).count(), fx.text_docs(spark, sf).count())
 
 
 def fuse_zscore(spark, sf):
@@ -142,10 +140,8 @@ def fuse_window(spark, sf):
 
 def _full(spark, sf):
     """The whole index for each query, with the lexical signal (0 where no term is shared)."""
-    every = D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), 10**9)
-    lexical = L.bm25_scores(fx.text_index(spark, sf), fx.text_queries(spark, sf), F.col("text"))
-    asked = every.withColumn("item", F.floor(F.col("qid") / 10).cast("long") % fx.ITEMS)
-    rows = asked.join(lexical.withColumnsRenamed({"qid": "item", "score": "other"}), ["item", "tid"], "left")
+    every = D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), 10**9, same=True)
+    rows = every.join(fx.lexical_signal(spark, sf), ["qid", "tid"], "left")
     return rows.select("qid", "tid", F.col("rank").alias("col"), F.col("score").alias("dense"), F.coalesce("other", F.lit(0.0)).alias("other"))
 
 
@@ -168,12 +164,13 @@ def pool_curve(spark, sf):
     """Recall as the pool grows: golds first, then the rest of the index in hash order."""
     golds = fx.gold(spark, sf).select("tid").distinct()
     rest = fx.index(spark, sf).select("tid").join(golds, "tid", "left_anti")
-    order = with_global_index(rest, K.hash_order("pool", "tid"), "nth").withColumn("nth", F.col("nth") + 1)
-    scores = materialise(D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), 10**9).join(order, "tid", "left").withColumn("nth", F.coalesce("nth", F.lit(0))), "pool-scores")
-    sized = scores.withColumn("pool", F.explode(F.array(*[F.lit(x) for x in (100, 200, 400)]))).where(F.col("nth") <= F.col("pool"))
-    ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("pool", "qid").orderBy("rank")))
-    best = ranked.join(fx.gold(spark, sf), ["qid", "tid"]).groupBy("pool", "qid").agg(F.min("r").alias("rank"))
-    return M.recall_mrr(best, ["pool"])
+    order = materialise(with_global_index(rest, K.hash_order("pool", "tid"), "nth"), "pool-order")
+    out = None
+    for size in (100, 200, 400):
+        pool = fx.index(spark, sf).join(order.where(F.col("nth") < size).select("tid").unionByName(golds), "tid", "left_semi")
+        ranks = D.dense_rank_of(fx.queries(spark, sf), pool, fx.gold(spark, sf), same=True).withColumn("pool", F.lit(size))
+        out = ranks if out is None else out.unionByName(ranks)
+    return M.recall_mrr(out, ["pool"])
 
 
 def _intents(spark, sf):
@@ -224,11 +221,14 @@ def near_dup_cross(spark, sf):
     return G.drop_near_dups(sides, _vectors(spark, sf), MIN_SIM)
 
 
-def _pairs(spark, sf):
+def _neighbours(spark, sf):
     """Each row and its nearest other row, whichever rows are labeled."""
-    e = table(spark, sf, "embeddings")
-    every = e.select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
-    return D.confusion_graph(every.toDF("qid", "qv"), every, MIN_SIM).select("a", "b")
+    every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
+    return D.confusion_graph(every.toDF("qid", "qv"), every, MIN_SIM)
+
+
+def _pairs(spark, sf):
+    return _neighbours(spark, sf).select("a", "b")
 
 
 def confusable_components(spark, sf):
@@ -447,12 +447,12 @@ def extract_operations(spark, sf):
 
 
 def evaluate_splits(spark, sf):
-    """Labels modulo 3 as splits; golds of label 0 are not in the catalog, ids divisible by 20 are the thin group."""
+    """Labels modulo 3 as splits; golds of label 0 are not in the catalog, ids divisible by 40 are the thin group."""
     q = fx.queries(spark, sf)
     items = q.select((F.col("label") % 3).cast("string").alias("split"), "qid")
     catalog = fx.index(spark, sf).where("label <> 0")
     scores = materialise(_ranked(spark, sf), "ranked")
-    return M.evaluate_splits(items, scores, fx.gold(spark, sf), catalog, thin=F.col("qid") % 20 == 0)
+    return M.evaluate_splits(items, scores, fx.gold(spark, sf), catalog, thin=F.col("qid") % 40 == 0)
 
 
 def _matrices(spark, sf):
@@ -461,7 +461,7 @@ def _matrices(spark, sf):
     for name, n in (("d64", 64), ("d32", 32)):
         q = fx.queries(spark, sf).withColumn("qv", F.slice("qv", 1, n))
         x = fx.index(spark, sf).withColumn("v", F.slice("v", 1, n))
-        ranks = D.dense_rank_of(q, x, fx.gold(spark, sf)).join(q.select("qid", "label"), "qid")
+        ranks = D.dense_rank_of(q, x, fx.gold(spark, sf), same=True).join(q.select("qid", "label"), "qid")
         rows = M.recall_mrr(ranks, ["label"], (10, 100)).withColumn("matrix_id", M.run_label(F.lit(name), F.lit(""), F.lit("v0")))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -497,7 +497,7 @@ def lexical_pool_curve(spark, sf):
     """Best lexical rank of the documents that share an item's source fold, as the pool grows in hash order."""
     docs = fx.text_docs(spark, sf)
     order = with_global_index(docs.select("tid"), K.hash_order("lexical", "tid"), "nth")
-    scores = materialise(L.bm25_scores(fx.text_index(spark, sf), fx.text_queries(spark, sf), F.col("text")).join(order, "tid"), "pool-scores")
+    scores = materialise(fx.text_scores(spark, sf).join(order, "tid"), "pool-scores")
     sized = scores.withColumn("pool", F.explode(F.array(*[F.lit(x) for x in (200, 500, 1000)]))).where(F.col("nth") < F.col("pool"))
     ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("score"), "tid")))
     best = ranked.where(F.col("tid") % 7 == F.col("qid") % 7).groupBy("pool", "qid").agg(F.min("r").alias("rank"))
@@ -506,7 +506,7 @@ def lexical_pool_curve(spark, sf):
 
 def confusion_candidates(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), "label")
-    return D.confusion_candidates(confusion_pairs(spark, sf), e, F.col("label") % 2 == 0, MIN_SIM, 10, "candidates")
+    return D.confusion_candidates(_neighbours(spark, sf), e, F.col("label") % 2 == 0, MIN_SIM, 10, "candidates")
 
 
 def separable_filters(spark, sf):

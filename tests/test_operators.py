@@ -70,6 +70,30 @@ def test_dense_topk_and_rank(spark, vectors):
     assert D.not_finite(index).count() == 0 and D.not_finite(index.withColumn("v", F.array(F.lit(float("nan"))))).count() == 60
 
 
+@pytest.mark.parametrize("rows", [20_000, 7])
+def test_dense_blocks_ties_nulls(spark, monkeypatch, rows):
+    """One broadcast block and many blocks by cogroup: equal vectors, a query's own row, null vectors, an empty index."""
+    monkeypatch.setattr(D, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(D, "HELD", 10)
+    v = np.random.default_rng(5).integers(-2, 3, (40, 3)).astype("f8")
+    v[10:30] = v[3]
+    ids = [(i * 17) % 40 for i in range(40)]
+    index = spark.createDataFrame([(ids[i], v[i].tolist()) for i in range(40)] + [(99, None), (None, [1.0, 1.0, 1.0])], "tid long, v array<double>").repartition(3)
+    q = index.withColumnsRenamed({"tid": "qid", "v": "qv"})
+    at = {t: v[i] for i, t in enumerate(ids)}
+    order = {a: sorted((t for t in ids if t != a), key=lambda t: (-(at[a] @ at[t]), t)) for a in ids}
+    got = {(r["qid"], r["rank"]): r["tid"] for r in D.dense_topk(q, index, 6, same=True).collect()}
+    assert got == {(a, k + 1): order[a][k] for a in ids for k in range(6)}
+    golds = spark.createDataFrame([(a, (a + d) % 40) for a in ids for d in (0, 5, 9)], "qid long, tid long")
+    ranks = {r["qid"]: r["rank"] for r in D.dense_rank_of(q, index, golds, same=True).collect()}
+    assert ranks == {a: 1 + min(order[a].index((a + d) % 40) for d in (5, 9)) for a in ids}
+    mean, top = D.geometry_probe(q, index, same=True).first()
+    assert mean == pytest.approx(np.mean([at[a] @ at[t] for a in ids for t in order[a]]), abs=1e-6)
+    assert top == pytest.approx(np.mean([at[a] @ at[order[a][0]] for a in ids]), abs=1e-6)
+    assert D.dense_above(q, index, 7.5, same=True).count() == sum(at[a] @ at[t] > 7.5 for a in ids for t in order[a])
+    assert D.dense_topk(q, index.where("tid < 0"), 6).count() == 0 and D.dense_topk(q.where("qid < 0"), index, 6).count() == 0
+
+
 @pytest.mark.parametrize("rule", U.RULES)
 @pytest.mark.parametrize("depth", [10, 25])
 def test_alpha_zero_is_dense(window, rule, depth):
@@ -120,6 +144,9 @@ def test_bm25(spark):
     queries = spark.createDataFrame([(0, "the cat the"), (1, "unknown"), (2, None)], "qid long, text string")
     got = {(r["qid"], r["tid"]): r["score"] for r in L.bm25_scores(index, queries, F.col("text")).collect()}
     assert got == {(0, d): pytest.approx(score(["the", "cat", "the"], tok[d]), abs=1e-6) for d in (0, 4)}
+    few = L.build_bm25(docs, F.col("text"), only=L.asked_terms(queries, F.col("text")).select("w").distinct())
+    assert {(r["qid"], r["tid"]): r["score"] for r in L.bm25_scores(few, queries, F.col("text")).collect()} == got
+    assert {r["w"] for r in few.terms.collect()} == {"the", "cat"}
     full = L.full_scores(L.bm25_scores(index, queries, F.col("text")), spark.createDataFrame([(1, 0), (0, 1)], "qid long, tid long"))
     assert [r["score"] for r in full.collect()] == [0.0, 0.0]
 
