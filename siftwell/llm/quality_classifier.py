@@ -13,7 +13,8 @@ and its bigram in one shard:
 2. Trigrams of trusted text go to their shard, counted by batch; a shard adds them up, keeps a table of its trigrams and
    tells how many contexts each word follows. Discounts and the lowest order follow from those sums.
 3. Trigrams of all documents go to the same shards and meet the tables; a shard returns the sum of log probabilities of its
-   part of each text, and the sums of a batch of texts are added up.
+   part of each text, and the sums of a batch of texts are added up. Texts are dealt to ROUNDS parts by a hash, one after the
+   other, so that the exchange of one part alone takes disk at a time.
 
 Rows of all exchanges are packed batches: numbers of words, byte by byte, compressed; of copies of a text one asks. A middle word that fills more than
 SHARD_WORDS positions is dealt to several shards, with a copy of its table in each.
@@ -27,6 +28,7 @@ nothing is rejected but texts without words; empty tables give no rows; other co
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,8 @@ RANGE = 1 << 13
 ARROW_ROWS, SLICE_BYTES = 1000, 2 << 20
 #: Ids of trusted documents and sums of texts (8 and 24 bytes each) that may be broadcast; beyond it the joins shuffle.
 BROADCAST_IDS = 2_000_000
+#: Parts of the texts that are scored one after the other: the positions of one part are exchanged at a time.
+ROUNDS = 2
 #: Packed rows that a shard answers together.
 TOGETHER = 16
 #: Probability of a word where nothing is known at all.
@@ -217,16 +221,17 @@ class Vocabulary:
 def vocabulary(train: DataFrame) -> Vocabulary:
     """Numbers of the words of ``train`` (``lang, text``)."""
     counts = train.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "word-counts")
-    least, total = 1, 0
-    for n, types in sorted(counts.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
-        total += types
-        if total > VOCABULARY:
-            least = n + 1
-            break
-    cut = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") < least).groupBy("lang").agg(F.count("*"), F.sum("n")).collect()} if least > 1 else {}
-    starts = {r[0]: r[1] for r in train.where(F.col("text").rlike(r"[^ \t-\r]")).groupBy("lang").count().collect()}
-    return Vocabulary(counts.where(F.col("n") >= least).toArrow(), starts, cut)
+    with temporary(train.sparkSession):
+        counts = materialise(counts, "word-counts")
+        least, total = 1, 0
+        for n, types in sorted(counts.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
+            total += types
+            if total > VOCABULARY:
+                least = n + 1
+                break
+        cut = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") < least).groupBy("lang").agg(F.count("*"), F.sum("n")).collect()} if least > 1 else {}
+        starts = {r[0]: r[1] for r in train.where(F.col("text").rlike(r"[^ \t-\r]")).groupBy("lang").count().collect()}
+        return Vocabulary(counts.where(F.col("n") >= least).toArrow(), starts, cut)
 
 
 # --- counts
@@ -530,6 +535,15 @@ def _once(asked: DataFrame) -> DataFrame:
     return asked.select("lang", "text", "text_key")
 
 
+def _scored_texts(asked: DataFrame, model: Model, tables: DataFrame) -> DataFrame:
+    """``text_key, mean_log, n`` of the texts of ``asked`` that have words."""
+    positions = asked.mapInArrow(_asked(model), _ASKED_DDL)
+    sums = positions.groupBy("shard").cogroup(tables.groupBy("at")).applyInArrow(_answered(model), "chunk long, head binary, m long, text binary, sum binary")
+    by_text = sums.groupBy("chunk").applyInArrow(_text_sums, "text_key long, sum double, n long")
+    # Copies of a text have equal sums.
+    return by_text.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log"), F.max("n").alias("n"))
+
+
 def likelihoods(docs: DataFrame, train: DataFrame) -> DataFrame:
     """``text_key, mean_log, n``: mean log probability a word, and words, of every text of ``docs`` (``lang, text``) that has words."""
     spark = docs.sparkSession
@@ -545,14 +559,13 @@ def likelihoods(docs: DataFrame, train: DataFrame) -> DataFrame:
         # A word of several shards has its table in each of them.
         tables = model.tables.where("m IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
         tables = tables.select(F.pmod(F.col("shard") + F.col("copy"), F.lit(shards)).cast("long").alias("at"), "shard", "m", "a", "b", "c", "count")
-        positions = _once(asked).mapInArrow(_asked(model), _ASKED_DDL)
-        sums = positions.groupBy("shard").cogroup(tables.groupBy("at")).applyInArrow(_answered(model), "chunk long, head binary, m long, text binary, sum binary")
-        by_text = sums.groupBy("chunk").applyInArrow(_text_sums, "text_key long, sum double, n long")
-        # Copies of a text have equal sums.
-        out = materialise(by_text.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log"), F.max("n").alias("n")), "likelihoods")
+        out, once = [], _once(asked)
+        for part in range(ROUNDS):
+            out.append(keep(materialise(_scored_texts(once.where(F.pmod("text_key", F.lit(ROUNDS)) == part), model, tables), "likelihoods")))
+            release(spark)
         model.numbering.unpersist()
         model.values.unpersist()
-        return keep(out)
+        return reduce(DataFrame.unionByName, out)
 
 
 VERDICT = ("n_words", "perplexity", "threshold", "kept")
