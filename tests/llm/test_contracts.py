@@ -25,9 +25,12 @@ CONTRACTS = {
     "op8_license_scan": {"doc_id": "bigint", "license_id": "string", "dice": "double"},
     "op9_repeat_removal": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op10_quality_classifier": {"doc_id": "bigint", "perplexity": "double", "threshold": "double", "kept": "boolean"},
+    "op11_filter_audit": {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint", "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"},
+    "op12_embedding_dedup": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op13_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
 }
 #: Those with one row for each document.
-WHOLE = [q for q in CONTRACTS if q.split("_")[0] not in ("op2", "op7", "op8")]
+WHOLE = [q for q in CONTRACTS if q.split("_")[0] not in ("op2", "op7", "op8", "op11", "op12", "op13")]
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +42,8 @@ def folder(spark, tmp_path_factory):
     frame(spark, rows).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(100 + i, 1, 0) for i in range(40)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, rows[30][1]), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(50)] + [(60, None), (None, [1.0] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return str(path), rows
 
 
@@ -63,7 +68,7 @@ def test_contract(spark, folder, name):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, folder, tmp_path, name):
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
