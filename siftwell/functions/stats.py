@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOOTSTRAP = 10_000
 SEED = 7
-#: Counts that a draw holds at once.
-DRAWN = 1 << 21
+#: Fractions are summed as whole numbers of 1 / SCALE.
+SCALE = 10**9
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
@@ -47,51 +45,62 @@ def paired_outcomes(pairs: DataFrame, by: list[str], k: int = 1) -> DataFrame:
     return out.select(*by, "n", "b", "c", F.round("d_r", 4).alias("d_r"), F.round("d_mrr", 4).alias("d_mrr"), F.round(mcnemar_p(F.col("b"), F.col("c")), 6).alias("mcnemar_p"))
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], k: int = 1, reps: int = BOOTSTRAP, seed: int = SEED, depth: int = 100) -> DataFrame:
-    """95 % percentile intervals of the R@k and MRR deltas and P(MRR delta <= 0), resampling items with replacement.
+def _poisson_steps() -> list[int]:
+    """Numbers of 16 bits at which a Poisson variable of mean 1 takes its next value."""
+    total, out, term = 0.0, [], math.exp(-1)
+    for k in range(1, 9):
+        total += term
+        out.append(int(65536 * total))
+        term /= k
+    return out
 
-    Items with equal outcomes are counted first: a resample of n items is a multinomial draw over the distinct outcome pairs,
-    so the group that reaches one task has a row for each pair of ranks up to ``depth`` and not for each item.
+
+def replicate_sums(rows: DataFrame, by: list[str], unit: str, sums: list[str], reps: int = BOOTSTRAP, seed: int = SEED) -> DataFrame:
+    """``by, rep`` and the weighted totals of the whole-number columns ``sums``, for every replicate of a Poisson bootstrap.
+
+    The weight of a unit in a replicate is Poisson of mean 1, made of 16 bits of an MD5 of seed, unit and block of eight
+    replicates. It depends on nothing else, so the totals are sums that Spark adds in part before the exchange, parts of the data can be
+    added up later, and any engine with MD5 has the same. Rows of one unit move together: where there are more
+    rows than can be weighed one by one, ``unit`` is a bucket of them.
     """
-    capped = lambda c: F.when(F.col(c) <= depth, F.col(c)).otherwise(F.lit(0)).cast("int")
-    counts = pairs.groupBy(*by, capped("base_rank").alias("base"), capped("new_rank").alias("new")).agg(F.count("*").alias("m"))
-
-    def intervals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["base", "new"])
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        m, base, new = (rows[c].to_numpy() for c in ("m", "base", "new"))
-        total = m.sum()
-        step = max(1, DRAWN // len(m))  # repetitions that are drawn together
-        inverse = lambda r: np.where(r > 0, 1.0 / np.maximum(r, 1), 0.0)
-        hit = lambda r: ((r > 0) & (r <= k)).astype(float)
-        gains = np.stack([hit(new) - hit(base), inverse(new) - inverse(base)], axis=1) / total
-        d_r, d_m = np.concatenate([rng.multinomial(total, m / total, size=min(step, reps - at)) @ gains for at in range(0, reps, step)]).T
-        ci = [float(np.percentile(d, q)) for d in (d_r, d_m) for q in (2.5, 97.5)]
-        return pd.DataFrame([[*key, int(total), *ci, float((d_m <= 0).mean())]], columns=[*by, "n", "r_low", "r_high", "mrr_low", "mrr_high", "p_mrr_not_above"])
-
-    types = dict(pairs.dtypes)
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, r_low double, r_high double, mrr_low double, mrr_high double, p_mrr_not_above double"
-    return counts.groupBy(*by).applyInPandas(intervals, ddl)
-
-
-def mean_difference_interval(pairs: DataFrame, by: list[str], a: str, b: str, reps: int = BOOTSTRAP, seed: int = SEED, digits: int = 4) -> DataFrame:
-    """``by, n, mean_delta, low, high``: the mean of ``b - a`` over paired rows and its 95 % interval, resampling pairs.
-
-    Pairs are counted by their difference, rounded to ``digits``, before a group reaches its task.
+    units = rows.groupBy(*by, F.col(unit).cast("string").alias("_unit")).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+    blocks = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 8) - 1))))
+    blocks = blocks.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("_unit", F.lit("")), F.col("_block").cast("string"))))
+    weights = []
+    for j in range(8):
+        bits = F.conv(F.substring("_hash", 1 + 4 * j, 4), 16, 10).cast("int")
+        weights.append(sum(((bits >= t).cast("long") for t in _poisson_steps()), F.lit(0).cast("long")))
+    weighed = blocks.select(*by, "_block", *sums, *[w.alias(f"_w{j}") for j, w in enumerate(weights)])
+    totals = weighed.groupBy(*by, "_block").agg(*[F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"_{j}_{c}") for j in range(8) for c in sums])
+    each = F.explode(F.array(*[F.struct((F.col("_block") * 8 + j).alias("rep"), *[F.col(f"_{j}_{c}").alias(c) for c in sums]) for j in range(8)]))
+    return totals.select(*by, each.alias("_e")).select(*by, "_e.*").where(F.col("rep") < reps)
+
+
+def _interval(c: str, names: tuple[str, str]) -> list[Column]:
+    return [F.round(F.percentile(c, F.lit(q)), 6).alias(name) for q, name in zip((0.025, 0.975), names)]
+
+
+def paired_bootstrap(pairs: DataFrame, by: list[str], unit: str, k: int = 1, reps: int = BOOTSTRAP, seed: int = SEED, depth: int = 100) -> DataFrame:
+    """95 % percentile intervals of the R@k and MRR deltas and P(MRR delta <= 0), resampling units (``replicate_sums``).
+
+    Reciprocal ranks are summed in units of 1 / SCALE, so that sums do not depend on their order. A replicate without any unit is
+    left out.
     """
-    counts = pairs.groupBy(*by, F.round(F.col(b).cast("double") - F.col(a).cast("double"), digits).alias("d")).agg(F.count("*").alias("m"))
-
-    def interval(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("d")
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        m, d = rows["m"].to_numpy(), rows["d"].to_numpy()
-        total, step = m.sum(), max(1, DRAWN // len(m))
-        means = np.concatenate([rng.multinomial(total, m / total, size=min(step, reps - at)) @ d for at in range(0, reps, step)]) / total
-        return pd.DataFrame([[*key, int(total), float(m @ d / total), *(float(np.percentile(means, q)) for q in (2.5, 97.5))]], columns=[*by, "n", "mean_delta", "low", "high"])
-
-    types = dict(pairs.dtypes)
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, mean_delta double, low double, high double"
-    return counts.groupBy(*by).applyInPandas(interval, ddl)
+    hit = lambda c: F.coalesce(F.col(c) <= k, F.lit(False)).cast("long")
+    inverse = lambda c: F.coalesce(reciprocal(F.col(c), depth), F.lit(0.0))
+    rows = pairs.select(*by, unit, F.lit(1).alias("m"), (hit("new_rank") - hit("base_rank")).alias("r"), F.round((inverse("new_rank") - inverse("base_rank")) * SCALE).cast("long").alias("q"))
+    reps_of = replicate_sums(rows, by, unit, ["m", "r", "q"], reps, seed).where("m > 0")
+    each = reps_of.select(*by, (F.col("r") / F.col("m")).alias("d_r"), (F.col("q") / F.col("m") / SCALE).alias("d_m"), (F.col("q") <= 0).cast("double").alias("low"))
+    out = each.groupBy(*by).agg(*_interval("d_r", ("r_low", "r_high")), *_interval("d_m", ("mrr_low", "mrr_high")), F.round(F.avg("low"), 6).alias("p_mrr_not_above"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).join(out, by)
+
+
+def mean_difference_interval(pairs: DataFrame, by: list[str], a: str, b: str, unit: str, reps: int = BOOTSTRAP, seed: int = SEED) -> DataFrame:
+    """``by, n, mean_delta, low, high``: the mean of ``b - a`` over paired rows and its 95 % interval, resampling units."""
+    rows = pairs.select(*by, unit, F.lit(1).alias("m"), F.round((F.col(b).cast("double") - F.col(a).cast("double")) * SCALE).cast("long").alias("d"))
+    each = replicate_sums(rows, by, unit, ["m", "d"], reps, seed).where("m > 0").select(*by, (F.col("d") / F.col("m") / SCALE).alias("mean"))
+    known = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum("d") / F.count("*") / SCALE, 6).alias("mean_delta"))
+    return known.join(each.groupBy(*by).agg(*_interval("mean", ("low", "high"))), by)
 
 
 def claim_table(pairs: DataFrame, claim: str = "claim", split: str = "split", pooled: str = "POOLED_generated", members: Column | None = None, k: int = 1) -> DataFrame:

@@ -40,19 +40,20 @@ def _columns(rows) -> tuple[dict, np.ndarray]:
     return {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("qv", "qb", "xb")}, _matrix(rows.column("qv"))
 
 
-def _slices(q: np.ndarray, parts):
-    """Ids of a slice of the index and its rounded similarities to a block of queries."""
+def _slices(q: np.ndarray, parts, extra=()):
+    """Ids of a slice of the index, its rounded similarities to a block of queries, and its ``extra`` columns."""
     step = max(1, CELLS // max(len(q), 1))
     for rows in parts:
         if rows.num_rows and len(q):
-            x, tid = _matrix(rows.column("v")), rows.column("tid").to_numpy()
+            x, of_row = _matrix(rows.column("v")), [rows.column(c).to_numpy() for c in ("tid", *extra)]
             for i in range(0, len(x), step):
-                yield tid[i : i + step], np.round(q @ x[i : i + step].T, DIGITS)
+                tid, *more = (c[i : i + step] for c in of_row)
+                yield tid, np.round(q @ x[i : i + step].T, DIGITS), *more
 
 
-def _product(queries: DataFrame, index: DataFrame, fold, schema: pa.Schema) -> DataFrame:
+def _product(queries: DataFrame, index: DataFrame, fold, schema: pa.Schema, extra=()) -> DataFrame:
     """``fold(columns of a query block, slices)`` gives lists of arrays of ``schema`` for each block of queries and part of the index."""
-    queries, index = queries.where("qid IS NOT NULL AND qv IS NOT NULL"), index.select("tid", "v").where("tid IS NOT NULL AND v IS NOT NULL")
+    queries, index = queries.where("qid IS NOT NULL AND qv IS NOT NULL"), index.select("tid", "v", *extra).where("tid IS NOT NULL AND v IS NOT NULL")
     ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema)
     n, width = queries.agg(F.count("*"), F.max(F.size("qv"))).first()
     rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width or 1, 1))))
@@ -61,14 +62,14 @@ def _product(queries: DataFrame, index: DataFrame, fold, schema: pa.Schema) -> D
 
         def streamed(batches):
             known, q = shared.value
-            for arrays in fold(known, _slices(q, batches)):
+            for arrays in fold(known, _slices(q, batches, extra)):
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), schema=schema)
 
         return index.mapInArrow(streamed, ddl)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         known, q = _columns(left)
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(map(pa.array, a)), schema=schema) for a in fold(known, _slices(q, [right]))], schema)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(map(pa.array, a)), schema=schema) for a in fold(known, _slices(q, [right], extra))], schema)
 
     many, parts = -(-n // rows), max(1, -(-index.count() // rows))
     block = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
@@ -116,19 +117,20 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, same: bool = False)
     return top_k(_product(queries.select("qid", "qv"), index, fold, _SCORES), k)
 
 
-def dense_above(queries: DataFrame, index: DataFrame, least: float, same: bool = False) -> DataFrame:
-    """All pairs with a similarity above ``least``."""
+def _with_best_gold(queries: DataFrame, index: DataFrame, gold: DataFrame, same: bool) -> DataFrame:
+    """``qid, qv, gs, gt``: the similarity and id of each query's best gold, the smaller id on a tie."""
+    pairs = gold.select("qid", "tid").join(queries.select("qid", "qv"), "qid").join(index.select("tid", "v"), "tid")
+    if same:
+        pairs = pairs.where("qid <> tid")
+    best = pairs.groupBy("qid").agg(F.max(F.struct(F.round(dot(F.col("qv"), F.col("v")), DIGITS).alias("s"), (-F.col("tid")).alias("p"))).alias("b"))
+    return queries.join(best, "qid").select("qid", "qv", F.col("b.s").alias("gs"), (-F.col("b.p")).alias("gt"))
 
-    def fold(known, slices):
-        qid = known["qid"]
-        for tid, s in slices:
-            hit = s > least
-            if same:
-                hit &= qid[:, None] != tid
-            i, j = np.nonzero(hit)
-            yield qid[i], tid[j], s[i, j]
 
-    return _product(queries.select("qid", "qv"), index, fold, _SCORES)
+def _better(known: dict, tid: np.ndarray, s: np.ndarray, same: bool) -> np.ndarray:
+    """Rows of a slice that stand before the best gold."""
+    gs, gt = known["gs"][:, None], known["gt"][:, None]
+    better = (s > gs) | ((s == gs) & (tid < gt))
+    return better & (known["qid"][:, None] != tid) if same else better
 
 
 def dense_rank_of(queries: DataFrame, index: DataFrame, gold: DataFrame, same: bool = False) -> DataFrame:
@@ -137,34 +139,72 @@ def dense_rank_of(queries: DataFrame, index: DataFrame, gold: DataFrame, same: b
     Counts better rows instead of sorting: each part adds how many of its rows stand before the query's best gold. ``same``: as
     in ``dense_topk``; a query's own row is no gold of it.
     """
-    pairs = gold.select("qid", "tid").join(queries.select("qid", "qv"), "qid").join(index.select("tid", "v"), "tid")
-    if same:
-        pairs = pairs.where("qid <> tid")
-    best = pairs.groupBy("qid").agg(F.max(F.struct(F.round(dot(F.col("qv"), F.col("v")), DIGITS).alias("s"), (-F.col("tid")).alias("p"))).alias("b"))
-    wanted = queries.join(best, "qid").select("qid", "qv", F.col("b.s").alias("gs"), (-F.col("b.p")).alias("gt"))
 
     def fold(known, slices):
-        qid, gs, gt = (known[c] for c in ("qid", "gs", "gt"))
-        before = np.zeros(len(qid), "i8")
+        before = np.zeros(len(known["qid"]), "i8")
         for tid, s in slices:
-            better = (s > gs[:, None]) | ((s == gs[:, None]) & (tid < gt[:, None]))
-            if same:
-                better &= qid[:, None] != tid
-            before += better.sum(1)
-        yield qid, before
+            before += _better(known, tid, s, same).sum(1)
+        yield known["qid"], before
 
-    counts = _product(wanted, index, fold, pa.schema([("qid", pa.int64()), ("before", pa.int64())]))
+    counts = _product(_with_best_gold(queries, index, gold, same), index, fold, pa.schema([("qid", pa.int64()), ("before", pa.int64())]))
     return counts.groupBy("qid").agg((F.sum("before") + 1).cast("int").alias("rank"))
 
 
-def nearest_neighbours(queries: DataFrame, index: DataFrame, same: bool = False) -> DataFrame:
-    return nearest(dense_topk(queries, index, 1, same))
+def dense_pool_ranks(queries: DataFrame, index: DataFrame, gold: DataFrame, sizes: list[int], same: bool = False) -> DataFrame:
+    """``pool, qid, rank``: the best rank of a gold in each of the nested pools, from one pass over the index.
 
+    A row of ``index`` (``tid, v, nth``) is in the pool of a size when ``nth`` is below it; golds are in every pool (a negative
+    ``nth``). Each part counts the rows that stand before the best gold by the smallest pool that holds them; the sums
+    up to a pool are the ranks in it. A size as large as the index gives the ranks over all of it.
+    """
+    sizes = sorted(set(sizes))
+    limits = np.asarray(sizes)
 
-def confusion_graph(labeled: DataFrame, catalog: DataFrame, min_sim: float = 0.75) -> DataFrame:
-    """Directed pairs ``a, b, sim``: a labeled tool and its nearest other tool of the catalog, at least ``min_sim`` alike."""
-    near = nearest_neighbours(labeled, catalog, same=True).where(F.col("score") >= min_sim)
-    return near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), F.round("score", 4).alias("sim"))
+    def fold(known, slices):
+        before = np.zeros((len(known["qid"]), len(limits) + 1), "i8")
+        for tid, s, nth in slices:
+            pool = np.searchsorted(limits, nth, "right")
+            before += _better(known, tid, s, same) @ (pool[:, None] == np.arange(len(limits) + 1)).astype("i8")
+        yield known["qid"], *before[:, :-1].T
+
+    fields = [f"p{k}" for k in range(len(sizes))]
+    counts = _product(_with_best_gold(queries, index, gold, same), index, fold, pa.schema([("qid", pa.int64()), *[(f, pa.int64()) for f in fields]]), ("nth",))
+    summed = counts.groupBy("qid").agg(*[F.sum(f).alias(f) for f in fields])
+    ranks = [F.struct(F.lit(size).alias("pool"), (sum((F.col(f) for f in fields[: k + 1]), F.lit(0)) + 1).cast("int").alias("rank")) for k, size in enumerate(sizes)]
+    return summed.select("qid", F.explode(F.array(*ranks)).alias("e")).select("e.pool", "qid", "e.rank")
+
+
+def dense_places(wanted: DataFrame, queries: DataFrame, index: DataFrame, same: bool = False) -> DataFrame:
+    """``qid, tid, col, worst`` of stated rows (``qid, tid, score``) in the order of the whole index, by counting.
+
+    ``col`` is the place with ties broken by tid, ``worst`` the number of rows that score at least as high. A query's stated rows
+    travel with its vector, so they should be few.
+    """
+    lists = wanted.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("tid", "score"))).alias("l"))
+    asked = queries.select("qid", "qv").join(lists, "qid").select("qid", "qv", F.col("l.tid").alias("ids"), F.col("l.score").alias("scores"))
+
+    def fold(known, slices):
+        qid, ids, scores = known["qid"], known["ids"], known["scores"]
+        at_least, before = [np.zeros(len(x), "i8") for x in ids], [np.zeros(len(x), "i8") for x in ids]
+        for tid, s in slices:
+            if same:
+                s[qid[:, None] == tid] = -np.inf
+            for k in range(len(qid)):
+                order = np.lexsort((tid, -s[k]))
+                falling, own = -s[k][order], tid[order]
+                low, high = np.searchsorted(falling, -scores[k], "left"), np.searchsorted(falling, -scores[k], "right")
+                at_least[k] += high
+                before[k] += [i + int(np.searchsorted(own[i:j], t)) if j > i else i for i, j, t in zip(low, high, ids[k])]
+        if len(qid):
+            yield np.repeat(qid, [len(x) for x in ids]), *map(np.concatenate, (ids, before, at_least))
+
+    schema = pa.schema([(c, pa.int64()) for c in ("qid", "tid", "before", "worst")])
+    counts = _product(asked, index, fold, schema)
+    return counts.groupBy("qid", "tid").agg((F.sum("before") + 1).cast("int").alias("col"), F.sum("worst").cast("int").alias("worst"))
+
+
+def nearest_neighbours(queries: DataFrame, index: DataFrame, same: bool = False) -> DataFrame:
+    return nearest(dense_topk(queries, index, 1, same))
 
 
 def confusion_candidates(pairs: DataFrame, catalog: DataFrame, allowed: Column, least: float, n: int, seed) -> DataFrame:

@@ -71,3 +71,19 @@ def full_scores(scores: DataFrame, pairs: DataFrame) -> DataFrame:
 def nonzero_share(scores: DataFrame, n_queries: int, n_docs: int) -> DataFrame:
     """Share of the query by document grid with a score above 0, without building the grid."""
     return scores.where("score > 0").agg(F.round(F.count("*") / F.lit(max(n_queries * n_docs, 1)), 6).alias("nonzero"))
+
+
+def pool_ranks(scores: DataFrame, queries: DataFrame, gold: DataFrame, order: DataFrame, sizes: list[int]) -> DataFrame:
+    """``pool, qid, rank``: the best rank of a gold in nested pools, for all ``queries`` (null: no gold has a score).
+
+    ``order`` (``tid, nth``): a document is in the pool of a size when ``nth`` is below it; golds are in every pool. Documents
+    before the best gold are counted by the smallest pool that holds them, and the counts are added up pool by pool.
+    """
+    sizes = sorted(set(sizes))
+    best = scores.join(gold.select("qid", "tid"), ["qid", "tid"]).groupBy("qid").agg(F.max(F.struct(F.col("score").alias("s"), (-F.col("tid")).alias("p"))).alias("b"))
+    best = best.select("qid", F.col("b.s").alias("gs"), (-F.col("b.p")).alias("gt"))
+    before = scores.join(best, "qid").where("score > gs OR (score = gs AND tid < gt)").join(order, "tid")
+    counts = before.groupBy("qid").agg(*[F.count_if(F.col("nth") < size).alias(f"p{k}") for k, size in enumerate(sizes)])
+    ranks = [F.struct(F.lit(size).alias("pool"), F.when(F.col("gs").isNotNull(), F.coalesce(F.col(f"p{k}"), F.lit(0)) + 1).cast("int").alias("rank")) for k, size in enumerate(sizes)]
+    rows = queries.select("qid").join(best, "qid", "left").join(counts, "qid", "left")
+    return rows.select("qid", F.explode(F.array(*ranks)).alias("e")).select("e.pool", "qid", "e.rank")

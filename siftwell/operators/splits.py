@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import dedup_key
-from siftwell.operators.dense import dense_above
 from siftwell.operators.graph import connected_components
 from siftwell.operators.indexing import with_global_index, with_running_total
 from siftwell.operators.ranking import first_of_key, hash_order
+from siftwell.operators.similarity import blocks, flags_above
 from siftwell.sources.scratch import materialise
 
 
@@ -55,11 +55,14 @@ def partition_components(intents: DataFrame, components: DataFrame, dev_frac: fl
 
 
 def drop_near_dups(partition: DataFrame, vectors: DataFrame, most: float = 0.95) -> DataFrame:
-    """Dev-side intents with a test-side intent of a similarity above ``most`` become ``dropped``. The dev side is the query set."""
+    """Dev-side intents with a test-side intent of a similarity above ``most`` become ``dropped``.
+
+    The dev side is the query set of a pruned join, which sends one flag an intent and no pairs.
+    """
     sided = vectors.join(partition, "intent_id")
     dev = sided.where("side = 'dev'").select(F.col("intent_id").alias("qid"), F.col("v").alias("qv"))
     test = sided.where("side = 'test'").select(F.col("intent_id").alias("tid"), "v")
-    hits = dense_above(dev, test, most).select(F.col("qid").alias("intent_id")).distinct().withColumn("hit", F.lit(True))
+    hits = flags_above(blocks(dev, test, most)).select(F.col("qid").alias("intent_id"), F.lit(True).alias("hit"))
     return partition.join(hits, "intent_id", "left").select("intent_id", F.when(F.col("hit"), "dropped").otherwise(F.col("side")).alias("side"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from siftwell.functions.redact import RULES
 from siftwell.operators.prompts import STANDARD
 
@@ -56,6 +58,19 @@ def _md5(seed: str, *cols: str) -> str:
     return "md5('" + seed + "' || " + " || ".join(f"':' || {c}::VARCHAR" for c in cols) + "), " + ", ".join(cols)
 
 
+def _replicates(rows: str, by: str, unit: str, reps: int, sums: str) -> str:
+    """Table ``rs`` of weighted sums by replicate: Poisson weights from 16 bits of an MD5 of unit and block."""
+    steps = [int(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 9)]
+    weight = " + ".join(f"(bits >= {t})::INT" for t in steps)
+    return f"""hashed AS (SELECT {rows}.*, b, md5('7:' || {unit}::VARCHAR || ':' || b::VARCHAR) AS h FROM {rows}, range({reps // 8}) z(b)),
+ dealt AS (SELECT hashed.*, b * 8 + j AS rep, ('0x' || substr(h, (1 + 4 * j)::INT, 4))::INT AS bits FROM hashed, range(8) y(j)),
+ weighed AS (SELECT *, {weight} AS w FROM dealt), rs AS (SELECT {by}, rep, {sums} FROM weighed GROUP BY {by}, rep)"""
+
+
+def _interval(value: str, name: str) -> str:
+    return ", ".join(f"round(quantile_cont({value}, {q}), 6) AS {name}_{end}" for q, end in ((0.025, "low"), (0.975, "high")))
+
+
 def _sweep(*rules: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, {d} AS depth, alpha, qid, min(CASE WHEN gold THEN r END) AS rank FROM ("
@@ -163,13 +178,14 @@ ORACLES = {
     "fuse_window": f"WITH {_W}, {_window('rrf_tie', 0.5, 25)} SELECT qid, tid, new_rank FROM f",
     "fuse_full": f"WITH {_W_ALL}, {_window('rrf_tie', 0.2, 10**9)} SELECT qid, tid, fused, new_rank FROM f WHERE new_rank <= 25",
     "fusion_sweep": f"WITH {_W}, wg AS (SELECT w.*, g.tid IS NOT NULL AS gold FROM w LEFT JOIN g USING (qid, tid)), al AS (SELECT (i / 10.0)::DOUBLE AS alpha FROM range(11) r(i)), sw AS ({_SWEEP}) SELECT rule, depth, alpha, {_recall((1, 10, 25))} FROM sw GROUP BY rule, depth, alpha",
-    "union_ceiling": f"""WITH {_W}, a AS (SELECT DISTINCT w.qid FROM w JOIN g USING (qid, tid) WHERE col <= 25),
- l AS (SELECT qid, tid FROM w WHERE other > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY other DESC, tid) <= 25),
- u AS (SELECT DISTINCT qid FROM (SELECT qid, tid FROM w WHERE col <= 25 UNION SELECT qid, tid FROM l) JOIN g USING (qid, tid)),
+    "union_ceiling": f"""WITH {_R}, {_G}, {_DEALT}, a AS (SELECT DISTINCT r.qid FROM r JOIN g USING (qid, tid) WHERE rank <= 100),
+ l AS (SELECT qid, tid FROM bm WHERE score > 0 AND qid <> tid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) <= 100),
+ u AS (SELECT DISTINCT qid FROM (SELECT qid, tid FROM r WHERE rank <= 100 UNION SELECT qid, tid FROM l) JOIN g USING (qid, tid)),
  n AS (SELECT DISTINCT qid FROM g), z AS (SELECT avg((a.qid IS NOT NULL)::INT) AS f, avg((u.qid IS NOT NULL)::INT) AS e FROM n LEFT JOIN a USING (qid) LEFT JOIN u USING (qid))
  SELECT round(f, 4) AS first, round(e, 4) AS either, round(e - f, 4) AS headroom FROM z""",
     "pool_curve": f"""WITH {_R}, {_G}, o AS (SELECT tid, row_number() OVER (ORDER BY {_md5('pool', 'tid')}) AS nth FROM x WHERE tid NOT IN (SELECT tid FROM g)),
- k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY rank) AS r FROM r LEFT JOIN o USING (tid), (VALUES (100), (200), (400)) v(pool) WHERE coalesce(nth, 0) <= pool),
+ p AS (SELECT DISTINCT pool::INTEGER AS pool FROM (VALUES (100), (200), (400) UNION ALL SELECT greatest(count(*), 1) FROM o) v(pool)),
+ k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY rank) AS r FROM r LEFT JOIN o USING (tid), p WHERE coalesce(nth, 0) <= pool),
  best AS (SELECT pool, qid, min(r) AS rank FROM k JOIN g USING (qid, tid) GROUP BY ALL) SELECT pool, {_recall()} FROM best GROUP BY pool""",
     "dedup_queries": f"""WITH {_INTENTS}, k AS (SELECT *, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(query, '')), '[^a-z0-9 ]+', '', 'g'), ' +'), lambda a: a <> '')), ' ') AS key FROM i)
  SELECT intent_id, md5(key) AS key FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY intent_id) = 1) WHERE length(trim(query)) >= 8""",
@@ -204,6 +220,15 @@ ORACLES = {
  round(count(*) FILTER (choice = gold)::DOUBLE / greatest(count(choice), 1), 4) AS accuracy FROM r GROUP BY split""",
     "conditional_accuracy": "SELECT event_type AS split, count(*) AS n, round(avg((user_id % 2 = 0)::INT), 4) AS end_to_end, round(avg((user_id % 2 = 0)::INT) FILTER (event_id % 3 <> 0), 4) AS given_gold FROM events GROUP BY event_type",
     "run_disagreements": 'WITH a AS (SELECT o_custkey, round(avg(o_totalprice), 4) AS "left" FROM orders GROUP BY 1), b AS (SELECT o_custkey, round(avg(o_totalprice), 4) AS "right" FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT o_custkey, "left", "right" FROM a JOIN b USING (o_custkey) WHERE abs("left" - "right") > 1e-9',
+    "paired_bootstrap": f"""WITH {_W}, {_window('rrf_tie', 0.5, 100)}, ba AS (SELECT qid, min(col) AS base FROM w JOIN g USING (qid, tid) GROUP BY qid), ne AS (SELECT qid, min(new_rank) AS new FROM f JOIN g USING (qid, tid) GROUP BY qid),
+ p AS (SELECT label, qid, coalesce(new <= 10, false)::INT - coalesce(base <= 10, false)::INT AS r, round((coalesce(1.0::DOUBLE / new, 0) - coalesce(1.0::DOUBLE / base, 0)) * 1e9)::BIGINT AS q FROM q LEFT JOIN ba USING (qid) LEFT JOIN ne USING (qid)),
+ {_replicates('p', 'label', 'qid', 2000, 'sum(w) AS m, sum(w * r) AS r, sum(w * q) AS q')},
+ c AS (SELECT label, count(*) AS n FROM p GROUP BY label)
+ SELECT label, any_value(n) AS n, {_interval('rs.r / rs.m', 'r')}, {_interval('rs.q / rs.m / 1e9', 'mrr')}, round(avg((rs.q <= 0)::INT), 6) AS p_mrr_not_above FROM rs JOIN c USING (label) WHERE rs.m > 0 GROUP BY label""",
+    "mean_difference": f"""WITH p AS (SELECT event_type, user_id, count(*) AS n, sum((event_id % 2 - user_id % 2) * 1000000000)::BIGINT AS d FROM events GROUP BY ALL),
+ {_replicates('p', 'event_type', 'user_id', 2000, 'sum(w * n) AS m, sum(w * d) AS d')},
+ c AS (SELECT event_type, sum(n)::BIGINT AS n, round(sum(d) / sum(n) / 1e9, 6) AS mean_delta FROM p GROUP BY event_type)
+ SELECT event_type, any_value(n) AS n, any_value(mean_delta) AS mean_delta, round(quantile_cont(rs.d / rs.m / 1e9, 0.025), 6) AS low, round(quantile_cont(rs.d / rs.m / 1e9, 0.975), 6) AS high FROM rs JOIN c USING (event_type) WHERE rs.m > 0 GROUP BY event_type""",
     "mcnemar_exact": f"""WITH {_W}, {_window('rrf_tie', 0.5, 100)}, ba AS (SELECT qid, min(col) AS base FROM w JOIN g USING (qid, tid) GROUP BY qid), ne AS (SELECT qid, min(new_rank) AS new FROM f JOIN g USING (qid, tid) GROUP BY qid),
  p AS (SELECT label, coalesce(base <= 10, false) AS hb, coalesce(new <= 10, false) AS hn, coalesce(1.0::DOUBLE / base, 0) AS ib, coalesce(1.0::DOUBLE / new, 0) AS inw FROM q LEFT JOIN ba USING (qid) LEFT JOIN ne USING (qid)),
  a AS (SELECT label, count(*) AS n, count(*) FILTER (hn AND NOT hb) AS b, count(*) FILTER (hb AND NOT hn) AS c, round(avg(hn::INT - hb::INT), 4) AS d_r, round(avg(inw - ib), 4) AS d_mrr FROM p GROUP BY label)
@@ -248,9 +273,12 @@ ORACLES = {
  p AS (SELECT * FROM p0 UNION ALL SELECT * REPLACE ('POOLED_generated' AS split) FROM p0 WHERE split <> '0'),
  a AS (SELECT 'fused' AS claim, split, count(*) AS n, count(*) FILTER (hn AND NOT hb) AS b, count(*) FILTER (hb AND NOT hn) AS c, round(avg(hn::INT - hb::INT), 4) AS d_r, round(avg(inw - ib), 4) AS d_mrr FROM p GROUP BY split)
  SELECT *, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS mcnemar_p FROM a""",
-    "lexical_pool_curve": f"""WITH {_BM}, o AS (SELECT doc_id AS tid, row_number() OVER (ORDER BY {_md5('lexical', 'doc_id')}) - 1 AS nth FROM documents),
- k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY score DESC, tid) AS r FROM bm JOIN o USING (tid), (VALUES (200), (500), (1000)) v(pool) WHERE nth < pool),
- best AS (SELECT pool, qid, min(r) AS rank FROM k WHERE tid % 7 = qid % 7 GROUP BY ALL) SELECT pool, {_recall()} FROM best GROUP BY pool""",
+    "lexical_pool_curve": f"""WITH {_BM}, gl AS (SELECT item_id AS qid, doc_id AS tid FROM benchmark JOIN documents ON item_id * 13 % 997 = doc_id % 997),
+ o AS (SELECT doc_id AS tid, row_number() OVER (ORDER BY {_md5('lexical', 'doc_id')}) AS nth FROM documents WHERE doc_id NOT IN (SELECT tid FROM gl)),
+ p AS (SELECT DISTINCT pool::INTEGER AS pool FROM (VALUES (100), (200), (400) UNION ALL SELECT greatest(count(*), 1) FROM o) v(pool)),
+ k AS (SELECT pool, qid, tid, row_number() OVER (PARTITION BY pool, qid ORDER BY score DESC, tid) AS r FROM bm LEFT JOIN o USING (tid), p WHERE coalesce(nth, 0) <= pool),
+ z AS (SELECT pool, qid, min(r) AS rank FROM k JOIN gl USING (qid, tid) GROUP BY ALL),
+ best AS (SELECT pool, qid, rank FROM p CROSS JOIN (SELECT DISTINCT qid FROM gl) LEFT JOIN z USING (pool, qid)) SELECT pool, {_recall()} FROM best GROUP BY pool""",
     "confusion_candidates": f"WITH {_NN_ALL}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4) SELECT a, b, sim FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label % 2 = 0 AND y.label % 2 = 0 ORDER BY {_md5('candidates', 'a', 'b')} LIMIT 10",
     "separable_filters": f"WITH {_INTENTS} SELECT count(*) FILTER (quality = 1) AS true, count(*) FILTER (quality <> 1) AS false, count(*) FILTER (quality IS NULL OR quality <> 1) AS falsy FROM i LEFT JOIN labels ON doc_id = conv_id",
     "mean_words": "SELECT lang, count(*) AS n, round(avg(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> ''))), 4) AS mean_words FROM documents GROUP BY lang",

@@ -17,6 +17,7 @@ from siftwell.operators import metrics as M
 from siftwell.operators import negatives as N
 from siftwell.operators import prompts as Q
 from siftwell.operators import ranking as K
+from siftwell.operators import similarity as Y
 from siftwell.operators import splits as G
 from siftwell.operators.indexing import with_global_index
 from siftwell.plans import fixtures as fx
@@ -25,6 +26,7 @@ from siftwell.sources.tables import digest, read_jsonl, write_jsonl
 
 MIN_SIM = 0.40
 RANKED = 100
+POOLS = (100, 200, 400)
 
 
 def _ranked(spark: SparkSession, sf: str, k: int = RANKED) -> DataFrame:
@@ -57,7 +59,7 @@ def nn_graph(spark, sf):
 def confusion_pairs(spark, sf):
     q = fx.queries(spark, sf).select("qid", "qv")
     every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
-    return D.confusion_graph(q, every, MIN_SIM)
+    return Y.confusion_graph(q, every, MIN_SIM)
 
 
 def geometry_probe(spark, sf):
@@ -138,15 +140,8 @@ def fuse_window(spark, sf):
     return U.fuse(fx.window(spark, sf), 0.5, "rrf_tie", 25).select("qid", "tid", "new_rank")
 
 
-def _full(spark, sf):
-    """The whole index for each query, with the lexical signal (0 where no term is shared)."""
-    every = D.dense_topk(fx.queries(spark, sf), fx.index(spark, sf), 10**9, same=True)
-    rows = every.join(fx.lexical_signal(spark, sf), ["qid", "tid"], "left")
-    return rows.select("qid", "tid", F.col("rank").alias("col"), F.col("score").alias("dense"), F.coalesce("other", F.lit(0.0)).alias("other"))
-
-
 def fuse_full(spark, sf):
-    return U.fuse_full(_full(spark, sf), 0.2, "rrf_tie", 25).select("qid", "tid", "fused", "new_rank")
+    return U.fuse_full(fx.queries(spark, sf), fx.index(spark, sf), fx.lexical_signal(spark, sf), 0.2, 25, same=True)
 
 
 def fusion_sweep(spark, sf):
@@ -155,22 +150,23 @@ def fusion_sweep(spark, sf):
 
 
 def union_ceiling(spark, sf):
-    w = fx.window(spark, sf)
-    lexical = K.top_k(w.where("other > 0").select("qid", "tid", F.col("other").alias("score")), 25)
-    return U.union_ceiling(w.where("col <= 25"), lexical, fx.gold(spark, sf))
+    """The best of the whole index beside the lexically best of all documents."""
+    lexical = fx.lexical_signal(spark, sf).where("other > 0 AND qid <> tid").select("qid", "tid", F.col("other").alias("score"))
+    return U.union_ceiling(_ranked(spark, sf), K.top_k(lexical, RANKED), fx.gold(spark, sf))
+
+
+def _pool_order(rows, golds, seed):
+    """``tid, nth``: golds are in every pool (-1), the rest follows in hash order; and the sizes of the curve, up to all of it."""
+    marked = golds.select("tid").distinct()
+    rest = materialise(with_global_index(rows.select("tid").join(marked, "tid", "left_anti"), K.hash_order(seed, "tid"), "nth"), "pool-order")
+    return rest.unionByName(marked.select("tid", F.lit(-1).cast("long").alias("nth"))), [*POOLS, max(rest.count(), 1)]
 
 
 def pool_curve(spark, sf):
-    """Recall as the pool grows: golds first, then the rest of the index in hash order."""
-    golds = fx.gold(spark, sf).select("tid").distinct()
-    rest = fx.index(spark, sf).select("tid").join(golds, "tid", "left_anti")
-    order = materialise(with_global_index(rest, K.hash_order("pool", "tid"), "nth"), "pool-order")
-    out = None
-    for size in (100, 200, 400):
-        pool = fx.index(spark, sf).join(order.where(F.col("nth") < size).select("tid").unionByName(golds), "tid", "left_semi")
-        ranks = D.dense_rank_of(fx.queries(spark, sf), pool, fx.gold(spark, sf), same=True).withColumn("pool", F.lit(size))
-        out = ranks if out is None else out.unionByName(ranks)
-    return M.recall_mrr(out, ["pool"])
+    """Recall as the pool grows to the whole index: golds first, then the rest in hash order."""
+    order, sizes = _pool_order(fx.index(spark, sf), fx.gold(spark, sf), "pool")
+    ranks = D.dense_pool_ranks(fx.queries(spark, sf), fx.index(spark, sf).join(order, "tid"), fx.gold(spark, sf), sizes, same=True)
+    return M.recall_mrr(ranks, ["pool"])
 
 
 def _intents(spark, sf):
@@ -224,7 +220,7 @@ def near_dup_cross(spark, sf):
 def _neighbours(spark, sf):
     """Each row and its nearest other row, whichever rows are labeled."""
     every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
-    return D.confusion_graph(every.toDF("qid", "qv"), every, MIN_SIM)
+    return Y.confusion_graph(every.toDF("qid", "qv"), every, MIN_SIM)
 
 
 def _pairs(spark, sf):
@@ -327,7 +323,7 @@ def mcnemar_exact(spark, sf):
 
 
 def paired_bootstrap(spark, sf):
-    return S.paired_bootstrap(_paired(spark, sf), ["label"], k=10, reps=2000)
+    return S.paired_bootstrap(_paired(spark, sf), ["label"], "qid", k=10, reps=2000)
 
 
 def hard_negatives(spark, sf):
@@ -489,19 +485,23 @@ def claim_table(spark, sf):
 
 
 def mean_difference(spark, sf):
-    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 2).alias("a"), (F.col("event_id") % 2).alias("b"))
-    return S.mean_difference_interval(e, ["event_type"], "a", "b", reps=2000)
+    """Events of one user move together."""
+    e = table(spark, sf, "events").select("event_type", "user_id", (F.col("user_id") % 2).alias("a"), (F.col("event_id") % 2).alias("b"))
+    return S.mean_difference_interval(e, ["event_type"], "a", "b", "user_id", reps=2000)
+
+
+def _text_gold(spark, sf):
+    """One document in 997 for each item, by their ids: a pairing that tests operators, not quality."""
+    docs, asked = fx.text_docs(spark, sf).select("tid"), fx.text_queries(spark, sf).select("qid")
+    return asked.join(docs, F.col("qid") * 13 % 997 == F.col("tid") % 997)
 
 
 def lexical_pool_curve(spark, sf):
-    """Best lexical rank of the documents that share an item's source fold, as the pool grows in hash order."""
-    docs = fx.text_docs(spark, sf)
-    order = with_global_index(docs.select("tid"), K.hash_order("lexical", "tid"), "nth")
-    scores = materialise(fx.text_scores(spark, sf).join(order, "tid"), "pool-scores")
-    sized = scores.withColumn("pool", F.explode(F.array(*[F.lit(x) for x in (200, 500, 1000)]))).where(F.col("nth") < F.col("pool"))
-    ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("score"), "tid")))
-    best = ranked.where(F.col("tid") % 7 == F.col("qid") % 7).groupBy("pool", "qid").agg(F.min("r").alias("rank"))
-    return M.recall_mrr(best, ["pool"])
+    """The same curve of the lexical signal; an item that shares no term with a gold of it is a miss in every pool."""
+    gold = _text_gold(spark, sf)
+    order, sizes = _pool_order(fx.text_docs(spark, sf), gold, "lexical")
+    asked = gold.select("qid").distinct()
+    return M.recall_mrr(L.pool_ranks(fx.text_scores(spark, sf), asked, gold, order, sizes), ["pool"])
 
 
 def confusion_candidates(spark, sf):

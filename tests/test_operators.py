@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ from siftwell.operators import fusion as U
 from siftwell.operators import lexical as L
 from siftwell.operators import metrics as M
 from siftwell.operators import negatives as N
+from siftwell.operators import similarity as Y
 from siftwell.operators import splits as G
 from siftwell.operators.graph import connected_components
 from siftwell.operators.indexing import with_global_index, with_running_total
@@ -90,7 +92,18 @@ def test_dense_blocks_ties_nulls(spark, monkeypatch, rows):
     mean, top = D.geometry_probe(q, index, same=True).first()
     assert mean == pytest.approx(np.mean([at[a] @ at[t] for a in ids for t in order[a]]), abs=1e-6)
     assert top == pytest.approx(np.mean([at[a] @ at[order[a][0]] for a in ids]), abs=1e-6)
-    assert D.dense_above(q, index, 7.5, same=True).count() == sum(at[a] @ at[t] > 7.5 for a in ids for t in order[a])
+    sized = index.join(spark.createDataFrame([(t, k if k < 30 else -1) for k, t in enumerate(ids)], "tid long, nth long"), "tid")
+    marked = golds.where(F.col("tid").isin(ids[30:]))
+    gold_of = {(r["qid"], r["tid"]) for r in marked.collect() if r["qid"] != r["tid"]}
+    want = {}
+    for pool in (5, 20, 40):
+        held = {t for k, t in enumerate(ids) if k >= 30 or k < pool}
+        for a in {a for a, _ in gold_of}:
+            want[pool, a] = 1 + next(k for k, t in enumerate(t for t in order[a] if t in held) if (a, t) in gold_of)
+    assert {(r["pool"], r["qid"]): r["rank"] for r in D.dense_pool_ranks(q, sized, marked, [5, 20, 40], same=True).collect()} == want
+    asked = spark.createDataFrame([(a, t, float(at[a] @ at[t])) for a in ids for t in order[a][::7]], "qid long, tid long, score double")
+    places = {(r["qid"], r["tid"]): (r["col"], r["worst"]) for r in D.dense_places(asked, q, index, same=True).collect()}
+    assert places == {(a, t): (order[a].index(t) + 1, sum(at[a] @ at[x] >= at[a] @ at[t] for x in order[a])) for a in ids for t in order[a][::7]}
     assert D.dense_topk(q, index.where("tid < 0"), 6).count() == 0 and D.dense_topk(q.where("qid < 0"), index, 6).count() == 0
 
 
@@ -163,9 +176,9 @@ def test_mcnemar(spark):
 
 def test_bootstrap_interval_holds_the_delta(spark):
     rng = np.random.default_rng(3)
-    rows = [("a", int(x) if x < 50 else None, int(max(1, x - 1))) for x in rng.integers(1, 60, 400)]
-    pairs = spark.createDataFrame(rows, "label string, base_rank int, new_rank int")
-    one, two = (S.paired_bootstrap(pairs, ["label"], k=10, reps=500).first() for _ in range(2))
+    rows = [("a", i, int(x) if x < 50 else None, int(max(1, x - 1))) for i, x in enumerate(rng.integers(1, 60, 400))]
+    pairs = spark.createDataFrame(rows, "label string, qid long, base_rank int, new_rank int")
+    one, two = (S.paired_bootstrap(p, ["label"], "qid", k=10, reps=500).first() for p in (pairs, pairs.repartition(7)))
     d = S.paired_outcomes(pairs, ["label"], k=10).first()
     assert one == two and one["n"] == 400 and one["r_low"] <= d["d_r"] <= one["r_high"] and one["mrr_low"] <= d["d_mrr"] <= one["mrr_high"]
 
@@ -332,3 +345,92 @@ def test_sources(spark, tmp_path):
 
     got = {r["api_id"]: r["error"] for r in T.fetch_landed(spark.createDataFrame([("1", "ok"), ("2", "bad")], "api_id string, url string"), load).collect()}
     assert got == {"1": None, "2": "OSError: gone"}
+
+
+@pytest.mark.parametrize("cell_rows", [7, 1000])
+def test_pruned_join_finds_all(spark, monkeypatch, cell_rows):
+    """Clustered and unclustered vectors, vectors that are not of length 1, ties, nulls and values that are not finite."""
+    monkeypatch.setattr(Y, "PART_ROWS", 9)
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(c * 3, 0.4, (40, 6)) for c in range(3)] + [rng.normal(0, 1, (40, 6)), np.tile(rng.normal(0, 2, 6), (5, 1))])
+    ids = [(i * 37) % len(v) for i in range(len(v))]
+    rows = [(ids[i], x.tolist()) for i, x in enumerate(v)]
+    index = spark.createDataFrame(rows + [(900, None), (None, [1.0] * 6), (901, [float("nan")] * 6), (902, [float("inf")] * 6)], "tid long, v array<double>")
+    q = index.withColumnsRenamed({"tid": "qid", "v": "qv"})
+    s = {(ids[a], ids[b]): round(float(v[a] @ v[b]), 6) for a in range(len(v)) for b in range(len(v)) if a != b}
+    for least in (20.0, 60.0, 1e6):
+        b = Y.blocks(q, index, least, same=True, cell_rows=cell_rows)
+        assert {(r[0], r[1]) for r in Y.pairs_above(b).collect()} == {k for k, x in s.items() if x > least}
+        assert sorted(r[0] for r in Y.flags_above(b).collect()) == sorted({k[0] for k, x in s.items() if x > least})
+        best = {}
+        for (a, t), x in s.items():
+            if x >= least:
+                best[a] = min(best.get(a, (-x, t)), (-x, t))
+        assert {r["qid"]: r["tid"] for r in Y.nearest_above(b).collect()} == {a: t for a, (_, t) in best.items()}
+    none = Y.blocks(q, index.limit(0), 1.0)
+    assert Y.pairs_above(none).count() == 0 and Y.pairs_above(Y.blocks(q.limit(0), index, 1.0)).count() == 0
+
+
+def test_pruned_join_multiplies_less(spark):
+    """On clustered vectors of length 1 fewer than a fifth of all products are made, and no partner is lost."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(0, 1, (40, 32))
+    v = np.repeat(centres, 50, 0) + rng.normal(0, 0.1, (2000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "tid long, v array<double>")
+    b = Y.blocks(index.toDF("qid", "qv"), index, 0.9, same=True, cell_rows=40)
+    assert b.products() < 2000 * 2000 / 5
+    s = np.round(v @ v.T, 6)
+    np.fill_diagonal(s, -1)
+    assert Y.pairs_above(b, strict=False).count() == (s >= 0.9).sum()
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.2, 0.9, 1.0])
+def test_threshold_fusion_equals_the_grid(spark, alpha):
+    """Short first lists, many equal scores, queries without lexical rows."""
+    rng = np.random.default_rng(12)
+    v = rng.integers(-2, 3, (90, 3)).astype("f8")
+    index = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "tid long, v array<double>")
+    q = index.where("tid % 6 = 0").toDF("qid", "qv")
+    lex = [(a, int(t), float(rng.integers(0, 4))) for a in range(0, 80, 6) for t in rng.choice(95, 1 + a, False)]
+    scores = spark.createDataFrame(lex, "qid long, tid long, other double")
+    other = {(a, t): x for a, t, x in lex}
+    got = {(r["qid"], r["new_rank"]): (r["tid"], r["fused"]) for r in U.fuse_full(q, index, scores, alpha, 5, same=True, first=1).collect()}
+    want = {}
+    for a in range(0, 90, 6):
+        tids = sorted((t for t in range(90) if t != a), key=lambda t: (-(v[a] @ v[t]), t))
+        d, l = [v[a] @ v[t] for t in tids], [max(other.get((a, t), 0.0), 0.0) for t in tids]
+        worst = lambda x, xs: sum(y >= x for y in xs)
+        f = [round((1 - alpha) / (60 + worst(d[i], d)) + alpha / (60 + worst(l[i], l)), 9) for i in range(89)]
+        for k, i in enumerate(sorted(range(89), key=lambda i: (-f[i], i))[:5]):
+            want[a, k + 1] = (tids[i], f[i])
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+
+
+def test_lexical_pools(spark):
+    rng = random.Random(3)
+    scores = [(q, t, float(rng.randint(1, 5))) for q in range(6) for t in rng.sample(range(60), 25)]
+    gold = [(q, t) for q in range(7) for t in range(50 + q, 60, 7)]
+    marked = {t for _, t in gold}
+    order = [(t, -1 if t in marked else k) for k, t in enumerate(range(60))]
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = {(r["pool"], r["qid"]): r["rank"] for r in L.pool_ranks(df(scores, "qid long, tid long, score double"), df([(q,) for q in range(8)], "qid long"), df(gold, "qid long, tid long"), df(order, "tid long, nth long"), [10, 60]).collect()}
+    for pool in (10, 60):
+        held = {t for t, nth in order if nth < pool}
+        for q in range(8):
+            ranked = [t for _, t in sorted((-s, t) for a, t, s in scores if a == q and t in held)]
+            assert got[pool, q] == next((k + 1 for k, t in enumerate(ranked) if (q, t) in gold), None)
+
+
+def test_replicate_weights(spark):
+    """Weights are Poisson of mean 1, sums of parts add up, and the interval is about as wide as by formula."""
+    rng = np.random.default_rng(2)
+    d = rng.integers(-3, 6, 1500)
+    rows = spark.createDataFrame([("x", i, int(x)) for i, x in enumerate(d)], "g string, id long, d long").withColumn("m", F.lit(1).cast("long"))
+    whole = {r["rep"]: (r["m"], r["d"]) for r in S.replicate_sums(rows, ["g"], "id", ["m", "d"], 60).collect()}
+    assert sorted(whole) == list(range(60)) and abs(np.mean([m for m, _ in whole.values()]) / 1500 - 1) < 0.01
+    parts = [{r["rep"]: (r["m"], r["d"]) for r in S.replicate_sums(rows.where(f"id % 2 = {k}"), ["g"], "id", ["m", "d"], 60).collect()} for k in (0, 1)]
+    assert whole == {k: tuple(map(sum, zip(parts[0][k], parts[1][k]))) for k in whole}
+    r = S.mean_difference_interval(rows.withColumn("zero", F.lit(0)), ["g"], "zero", "d", "id", reps=1000).first()
+    se = d.std() / math.sqrt(len(d))
+    assert r["mean_delta"] == pytest.approx(d.mean(), abs=1e-6) and r["low"] == pytest.approx(d.mean() - 1.96 * se, abs=0.4 * se) and r["high"] == pytest.approx(d.mean() + 1.96 * se, abs=0.4 * se)
