@@ -47,8 +47,3 @@ def score_pairs(df: DataFrame, make_scorer, batch: int = 128) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([s.column("qid"), s.column("tid"), pa.array(out)], ["qid", "tid", "score"])
 
     return df.select("qid", "tid", "query", "text").mapInArrow(run, "qid long, tid long, score double")
-
-
-def replayed(work: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
-    """Answers recorded earlier in place of a live model; work without one keeps nulls."""
-    return work.join(answers, key, "left")

@@ -152,6 +152,15 @@ def _redacted(text: str) -> str:
     return text
 
 
+#: Orders dealt to batches in which no customer comes twice.
+_BATCHES = f"""nb AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY {_md5('batches', 'o_custkey')}, o_orderkey) - 1 AS i, count(*) OVER () AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+ bt AS (SELECT o_orderkey, o_custkey, i % greatest(1, ceil(n / 64.0)::BIGINT, max(m) OVER ()) AS batch FROM nb)"""
+#: Batches of four tools, as the prompts have them.
+_UNITS = "l AS (SELECT *, api_title || ':' || ((row_number() OVER (PARTITION BY api_title ORDER BY pos) - 1) // 4) AS b FROM t)"
+_ORACLE_SHORTLIST = f"""WITH {_R}, {_G}, ng AS (SELECT qid, count(*) AS n FROM g GROUP BY qid), o AS (SELECT r.qid, r.tid, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS k FROM r ANTI JOIN g ON g.qid = r.qid AND g.tid = r.tid WHERE r.rank <= 50),
+ b AS (SELECT o.qid, tid, false AS is_gold FROM o LEFT JOIN ng USING (qid) WHERE k <= 20 - coalesce(n, 0) UNION ALL SELECT qid, tid, true FROM g)
+ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {_md5('shortlist', 'qid', 'tid')}) AS slot, tid, is_gold FROM b"""
+
 ORACLES = {
     "dense_topk": f"WITH {_R} SELECT qid, tid, score, rank FROM r WHERE rank <= 10",
     "gold_rank": f"WITH {_R}, {_G}, {_BEST} SELECT * FROM b",
@@ -235,9 +244,7 @@ ORACLES = {
  SELECT *, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS mcnemar_p FROM a""",
     "hard_negatives": f"WITH {_NEG} SELECT qid, {', '.join(f'a[least({i}, len(a))] AS negative_{i}' for i in (1, 2, 3, 4))} FROM ng",
     "negative_provenance": f"WITH {_NEG}, m AS (SELECT x.label::VARCHAR AS source, count(*) AS n FROM (SELECT unnest(a) AS tid FROM ng) JOIN x USING (tid) GROUP BY 1) SELECT source, n, round(n::DOUBLE / sum(n) OVER (), 4) AS share FROM m",
-    "oracle_shortlist": f"""WITH {_R}, {_G}, ng AS (SELECT qid, count(*) AS n FROM g GROUP BY qid), o AS (SELECT r.qid, r.tid, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS k FROM r ANTI JOIN g ON g.qid = r.qid AND g.tid = r.tid WHERE r.rank <= 50),
- b AS (SELECT o.qid, tid, false AS is_gold FROM o LEFT JOIN ng USING (qid) WHERE k <= 20 - coalesce(n, 0) UNION ALL SELECT qid, tid, true FROM g)
- SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {_md5('shortlist', 'qid', 'tid')}) AS slot, tid, is_gold FROM b""",
+    "oracle_shortlist": _ORACLE_SHORTLIST,
     "composed_arms": f"WITH {_W}, {_window('rrf_tie', 0.2, 100)}, a AS (SELECT qid, tid, 'dense' AS arm FROM w WHERE col <= 25 UNION ALL SELECT qid, tid, 'fused' FROM f WHERE new_rank <= 25) SELECT qid, arm, bool_or(g.tid IS NOT NULL) AS has_gold FROM a LEFT JOIN g USING (qid, tid) GROUP BY qid, arm",
     "rescued_lost": f"""WITH {_W}, {_window('rrf_tie', 0.2, 100)}, a AS (SELECT w.qid, bool_or(w.col <= 25 AND g.tid IS NOT NULL) AS d, bool_or(f.new_rank <= 25 AND g.tid IS NOT NULL) AS e FROM w JOIN f USING (qid, tid) LEFT JOIN g USING (qid, tid) GROUP BY w.qid)
  SELECT count(*) AS n, round(avg(d::INT), 4) AS dense_rate, round(avg(e::INT), 4) AS fused_rate, count(*) FILTER (e AND NOT d) AS rescued, count(*) FILTER (d AND NOT e) AS lost FROM a""",
@@ -300,4 +307,22 @@ ORACLES = {
     "fusion_sweep_zscore": f"WITH {_W}, wg AS (SELECT w.*, g.tid IS NOT NULL AS gold FROM w LEFT JOIN g USING (qid, tid)), al AS (SELECT (i / 10.0)::DOUBLE AS alpha FROM range(11) r(i)), sw AS ({_sweep('zscore')}) SELECT rule, depth, alpha, {_recall((1, 10, 25))} FROM sw GROUP BY rule, depth, alpha",
     "composed_zscore": f"""WITH {_W}, {_window('zscore', 0.2, 100)}, a AS (SELECT w.qid, bool_or(w.col <= 25 AND g.tid IS NOT NULL) AS d, bool_or(f.new_rank <= 25 AND g.tid IS NOT NULL) AS e FROM w JOIN f USING (qid, tid) LEFT JOIN g USING (qid, tid) GROUP BY w.qid)
  SELECT count(*) AS n, round(avg(d::INT), 4) AS dense_rate, round(avg(e::INT), 4) AS fused_rate, count(*) FILTER (e AND NOT d) AS rescued, count(*) FILTER (d AND NOT e) AS lost FROM a""",
+    "score_cache": f"WITH {_R} SELECT qid, tid, score, rank FROM r WHERE rank <= 10",
+    "training_batches": f"WITH {_BATCHES} SELECT o_orderkey, o_custkey, batch FROM bt",
+    "training_batch_audit": f"WITH {_BATCHES}, c AS (SELECT batch, o_custkey, count(*) AS n FROM bt GROUP BY ALL), s AS (SELECT batch, sum(n)::BIGINT AS size, count(*) FILTER (n > 1) AS r FROM c GROUP BY batch) SELECT count(*) AS batches, min(size) AS smallest, max(size) AS largest, sum(r)::BIGINT AS repeats FROM s",
+    "training_pairs": f"""WITH cat AS (SELECT source AS tool_id, min(doc_id) AS f FROM documents WHERE source <> 'src1' GROUP BY source),
+ p AS (SELECT doc_id AS intent_id, text[1:40] AS anchor, source AS tool_id, source || ':' || f AS positive FROM documents JOIN cat ON tool_id = source)
+ SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY {_md5('pairs', 'intent_id')}) <= 5""",
+    "split_registry": """WITH c AS (SELECT conv_id * 1000 + turn AS n, conv_id FROM conversations WHERE role = 'user'),
+ i AS (SELECT CASE conv_id % 5 WHEN 0 THEN 'test_A' WHEN 1 THEN 'standard_L2' WHEN 2 THEN 'standard_L4' WHEN 3 THEN CASE WHEN conv_id % 3 = 0 THEN 'splitD_separable' ELSE 'splitD_inseparable' END ELSE 'splitE_abstain' END AS split,
+   CASE WHEN conv_id % 5 = 4 THEN 0 ELSE (conv_id % 7 < 6)::INT + (n % 11 < 6)::INT END AS golds, conv_id FROM c WHERE conv_id % 5 = 0 OR conv_id // 5 % 2 = 0)
+ SELECT split, count(*) AS n, sum(golds)::BIGINT AS golds FROM i WHERE golds > 0 OR conv_id % 5 = 4 GROUP BY split UNION ALL SELECT unnest(['C_unseen_tools', 'standard_L3']), NULL, NULL""",
+    "generation_ledger": f"""WITH {_TOOLS}, {_UNITS}, b AS (SELECT b, min(pos) AS first FROM l GROUP BY b)
+ SELECT count(*) AS sent, count(*) FILTER (first % 3 <> 0) AS answered, count(*) FILTER (first % 3 = 0) AS failed, 0::BIGINT AS unanswered, round(0.25::DOUBLE * count(*) FILTER (first % 3 <> 0), 6) AS cost FROM b""",
+    "generated_intents": f"""WITH {_TOOLS}, {_UNITS}, b AS (SELECT b, min(pos) AS first FROM l GROUP BY b)
+ SELECT tool_id, trim('do ' || name) AS query, 'unambiguous' AS task_variant, 'L2' AS difficulty, count(*) AS n FROM l JOIN b USING (b) WHERE first % 3 <> 0 AND pos % 5 <> 0 GROUP BY ALL""",
+    "selected_answers": f"""WITH o AS ({_ORACLE_SHORTLIST}), p AS (SELECT qid, arg_max(tid, slot) AS choice, arg_max(tid, slot) FILTER (is_gold) AS gold FROM o GROUP BY qid),
+ a AS (SELECT qid, gold, (qid % 200 = 0)::VARCHAR AS split, CASE WHEN qid % 60 = 20 THEN NULL WHEN qid % 3 = 0 THEN 'NONE' ELSE choice::VARCHAR END AS choice, qid % 40 = 0 AS tied FROM p)
+ SELECT split, count(*) AS items, count(choice) AS n, count(*) FILTER (choice = gold::VARCHAR) AS correct, count(*) FILTER (choice = 'NONE') AS none, count(*) FILTER (choice IS NOT NULL AND tied) AS tied, count(*) FILTER (choice IS NULL) AS missing,
+   round(count(*) FILTER (choice = gold::VARCHAR) / greatest(count(choice), 1)::DOUBLE, 4) AS accuracy FROM a GROUP BY split""",
 }

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from siftwell.functions import redact as R
 from siftwell.functions import stats as S
 from siftwell.functions import text as X
+from siftwell.operators import batches as B
 from siftwell.operators import catalog as C
 from siftwell.operators import composed as P
 from siftwell.operators import dense as D
 from siftwell.operators import fusion as U
+from siftwell.operators import generation as E
 from siftwell.operators import lexical as L
 from siftwell.operators import metrics as M
 from siftwell.operators import negatives as N
@@ -21,7 +23,9 @@ from siftwell.operators import similarity as Y
 from siftwell.operators import splits as G
 from siftwell.operators.indexing import with_global_index
 from siftwell.plans import fixtures as fx
+from siftwell.sources.cache import ScoreCache
 from siftwell.sources.scratch import materialise, scratch_path, table
+from siftwell.sources.splits import load_splits
 from siftwell.sources.tables import digest, read_jsonl, write_jsonl
 
 MIN_SIM = 0.40
@@ -589,3 +593,93 @@ def fusion_sweep_zscore(spark, sf):
 def composed_zscore(spark, sf):
     w = fx.window(spark, sf)
     return P.rescued_lost(P.arms(w, U.fuse(w, 0.2, "zscore", 100), fx.gold(spark, sf)))
+
+
+def score_cache(spark, sf):
+    """The first tenths of the queries are cached, then all are asked for; the second fill computes the rest alone."""
+    queries, index = fx.queries(spark, sf), fx.index(spark, sf)
+    matrix = digest(index.select("tid", "v")).first()[0]
+    cache = ScoreCache(spark, scratch_path(spark, "scores"), "qid long, tid long, score double, rank int", matrix=matrix, catalog=matrix, seed=0, n=10)
+    compute = lambda q: D.dense_topk(q, index, 10, same=True)
+    for asked in (queries.where("qid % 200 = 0"), queries):
+        cache.fill(asked.select("qid", "qv"), compute)
+    return cache.rows()
+
+
+def training_batches(spark, sf):
+    """Orders as pairs, customers as positives."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return B.batches_without_repeats(o, "o_custkey", "o_orderkey", 64, "batches")
+
+
+def training_batch_audit(spark, sf):
+    return B.batch_audit(training_batches(spark, sf), "o_custkey")
+
+
+def training_pairs(spark, sf):
+    """Documents as queries and their sources as tools, five a tool at most."""
+    d = table(spark, sf, "documents")
+    intents = d.select(F.col("doc_id").alias("intent_id"), F.substring("text", 1, 40).alias("query"))
+    golds = d.select(F.col("doc_id").alias("intent_id"), F.col("source").alias("tool_id"), F.lit(1).alias("gold_idx")).unionByName(d.select(F.col("doc_id").alias("intent_id"), F.col("lang").alias("tool_id"), F.lit(0).alias("gold_idx")))
+    catalog = d.where("source <> 'src1'").groupBy(F.col("source").alias("tool_id")).agg(F.min("doc_id").alias("first"))
+    return B.training_pairs(intents, golds, catalog, F.concat("tool_id", F.lit(":"), F.col("first").cast("string")), cap=5)
+
+
+def split_registry(spark, sf):
+    """Conversations written as split files, one of them absent, cut by a manifest; items by split with the golds in the catalog."""
+    folder = scratch_path(spark, "splits")
+    c = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), "conv_id", F.col("text").alias("query"))
+    rows = c.select(F.concat(F.lit("i"), F.col("n").cast("string")).alias("intent_id"), "query", F.array((F.col("conv_id") % 7).cast("string"), (F.col("n") % 11).cast("string")).alias("gold_tool_ids"), (F.col("conv_id") % 3 == 0).alias("separable"), "conv_id")
+    files = {"test_A": rows.where("conv_id % 5 = 0"), "standard_L2": rows.where("conv_id % 5 = 1"), "standard_L4": rows.where("conv_id % 5 = 2"), "confusion_L2": rows.where("conv_id % 5 = 3"), "abstain_L2": rows.where("conv_id % 5 = 4").withColumn("gold_tool_ids", F.array().cast("array<string>"))}
+    for name, df in files.items():
+        write_jsonl(df.drop("conv_id"), f"{folder}/{name}.jsonl")
+    manifest = rows.select("intent_id", F.when(F.floor(F.col("conv_id") / 5) % 2 == 0, "test").otherwise("dev").alias("side"))
+    found = load_splits(spark, folder, "test", manifest)
+    catalog = spark.range(6).select(F.col("id").cast("string").alias("tool_id"))
+    per = found.with_gold(catalog).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.size("golds")).cast("long").alias("golds"))
+    return per.unionByName(spark.createDataFrame([(name, None, None) for name in found.absent], "split string, n long, golds long"))
+
+
+def _generation(spark, sf):
+    """Batches of four tools, and recorded answers: a fence around the array, every fifth tool skipped, some batches not recorded."""
+    t = fx.tools(spark, sf)
+    block = Q.tool_block(F.col("tool_id"), F.col("name"), F.col("api_title"), F.col("description"), F.col("params"), F.col("summary"))
+    units = K.in_batches(t.withColumn("block", block), "api_title", "pos", 4).withColumn("batch", F.concat_ws(":", "api_title", "batch"))
+    one = F.struct("tool_id", F.concat(F.lit(" do "), "name", F.lit(" ")).alias("query"), (F.col("pos") % 5 == 0).alias("skip"))
+    said = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.array_sort(F.collect_list(one))), F.lit("\n```"))
+    recorded = units.groupBy("batch").agg(said.alias("answer"), F.min("pos").alias("first")).where("first % 3 <> 0").select("batch", "answer", F.lit(0.25).alias("cost"))
+    return units, recorded
+
+
+def generation_ledger(spark, sf):
+    """Two runs against one ledger: the first ends with its budget, the second sends the rest and tries failed calls once more."""
+    units, recorded = _generation(spark, sf)
+    prompts = materialise(E.standard_prompts(units, "short"), "prompts")
+    ledger = E.Ledger(spark, scratch_path(spark, "ledger"))
+    for budget in (2.0, 10.0**6):
+        ledger.run(prompts, E.replayed(recorded), budget, 0.25)
+    return ledger.stats()
+
+
+def generated_intents(spark, sf):
+    units, recorded = _generation(spark, sf)
+    ledger = E.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.run(E.standard_prompts(units, "short"), E.replayed(recorded), 10.0**6, 0.25)
+    out = E.generated_intents(ledger.answers(), units, "standard", "L2")
+    return out.select(F.col("gold_tool_ids")[0].alias("tool_id"), "query", "task_variant", "difficulty").groupBy("tool_id", "query", "task_variant", "difficulty").agg(F.count("*").alias("n"))
+
+
+def selected_answers(spark, sf):
+    """Shortlists asked in batches of five requests, and a selector that takes its last candidate, or none."""
+    short = oracle_shortlist(spark, sf)
+    items = short.select((F.col("qid") / 100).cast("int").cast("string").alias("batch"), F.col("qid").alias("id"), F.concat(F.lit("request "), F.col("qid").cast("string")).alias("query"), "slot", F.concat(F.lit("tool "), F.col("tid").cast("string")).alias("block"), "tid", "is_gold")
+    items = materialise(items, "shortlists")
+    picks = items.groupBy("batch", "id").agg(F.max_by("tid", "slot").cast("string").alias("choice"))
+    picks = picks.withColumn("choice", F.when(F.col("id") % 3 == 0, " none ").otherwise(F.col("choice")))
+    one = F.struct(F.col("id").cast("string").alias("id"), "choice", (F.col("id") % 40 == 0).alias("tied"))
+    recorded = picks.where("id % 60 <> 20").groupBy("batch").agg(F.to_json(F.collect_list(one)).alias("answer"), F.lit(0.5).alias("cost"))
+    ledger = E.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.run(E.selector_prompts(items), E.replayed(recorded), 10.0**6, 0.5)
+    answers = E.selected(ledger.answers(), items).select(F.col("id").cast("long").alias("id"), "choice", "tied")
+    work = items.groupBy("id").agg(F.max_by(F.col("tid"), F.when(F.col("is_gold"), F.col("slot"))).cast("string").alias("gold")).withColumn("split", (F.col("id") % 200 == 0).cast("string"))
+    return M.selector_tally(work, answers)
