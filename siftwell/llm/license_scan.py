@@ -133,20 +133,37 @@ def _flat(x: Column) -> Column:
 
 
 def _best_window(pairs: Column, template: Column, longest: Column, shared: Column) -> Column:
-    """The highest Dice of the windows of ``pairs`` that begin and end with a pair of the template, null without any."""
+    """The highest Dice of the windows of ``pairs`` that begin and end with a pair of the template, null without any.
+
+    Each start looks at the next ``longest`` hits alone. With d distinct pairs of the template among those within reach no window from there has
+    a Dice above 2 d / (d + n), so a start is passed over when d is too small or the bound does not exceed the best so far. Others
+    fold their window once, from pair to pair, with the distinct pairs seen; work grows in proportion to the text.
+    """
     n = F.size(template)
     at = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(template, g), i)), lambda i: i.isNotNull())
+    nothing = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("held"), F.lit(None).cast("double").alias("best"))
+
+    def grown(s: Column, g: Column) -> Column:
+        own = F.array_contains(template, g)
+        held, seen = s["held"] + own.cast("int"), F.array_append(s["seen"], g)
+        dice = F.lit(2.0) * held / (F.size(seen) + n)
+        new = F.struct(seen.alias("seen"), held.alias("held"), F.when(own, F.greatest(s["best"], dice)).otherwise(s["best"]).alias("best"))
+        return F.when(F.array_contains(s["seen"], g), s).otherwise(new)
 
-    def from_start(hits: Column, i: Column) -> Column:
-        ends = F.filter(hits, lambda j: (j >= i) & (j < i + longest))
+    def from_start(best: Column, hits: Column, start: Column) -> Column:
+        i = start["i"]
+        ends = F.filter(F.slice(hits, start["k"] + 1, longest), lambda j: j < i + longest)
 
-        def dice(j: Column) -> Column:
-            window = F.array_distinct(F.slice(pairs, i + 1, j - i + 1))
-            return F.lit(2.0) * F.size(F.array_intersect(window, template)) / (F.size(window) + n)
+        def folded(ends: Column) -> Column:
+            d = F.size(F.array_distinct(F.transform(ends, lambda j: pairs[j])))
+            window = F.slice(pairs, i + 1, F.element_at(ends, -1) - i + 1)
+            found = F.aggregate(window, nothing, grown, lambda s: s["best"])
+            return F.when((d >= shared) & (F.lit(2.0) * d / (d + n) > F.coalesce(best, F.lit(0.0))), F.greatest(best, found)).otherwise(best)
 
-        return F.when(F.size(ends) >= shared, F.array_max(F.transform(ends, dice)))
+        return let(ends, folded)
 
-    return let(at, lambda hits: F.array_max(F.transform(hits, lambda i: from_start(hits, i))))
+    starts = lambda hits: F.transform(hits, lambda i, k: F.struct(i.alias("i"), k.alias("k")))
+    return let(at, lambda hits: F.aggregate(starts(hits), F.lit(None).cast("double"), lambda best, start: from_start(best, hits, start)))
 
 
 def _windows(rows: list[tuple[str, list[str]]], lengths: dict[str, int], min_dice: float) -> tuple[Column, Column]:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_bounded, unit_hash, words
+from siftwell.llm.common import free_name, join_bounded, unit_hash, words
 from siftwell.llm.token_output import array_batches
 from siftwell.llm.wordlists import split_words
 from siftwell.llm.worker import begin
@@ -574,10 +574,13 @@ VERDICT = ("n_words", "perplexity", "threshold", "kept")
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text unless it is kept) and ``n_words, perplexity, threshold, kept`` of every row.
 
-    Columns of ``docs`` that have those names, in any case, stay; the verdict is then found in ``_n_words`` and so on.
+    Columns of ``docs`` that have those names, in any case, stay; the verdict's names are then led by underscores.
     """
-    clash = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c.lower() in (*VERDICT, *(f"_{v}" for v in VERDICT), "text_key", "mean_log", "mean", "model_lang", "n")}
-    taken = {c.lower() for c in clash}
+    verdict = {v: free_name(docs.columns, v) for v in VERDICT}
+    clash: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in (*VERDICT, "text_key", "mean_log", "mean", "model_lang", "n"):
+            clash[c] = free_name([*docs.columns, *clash.values()], "_own")
     docs = docs.withColumnsRenamed(clash)
     trusted = trusted_text(docs, labels)
     train = trusted.where("NOT held_out").select("model_lang", "text")
@@ -601,13 +604,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     out = scored.join(F.broadcast(limit), key == F.col("model_lang"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(float(overall))))
     out = out.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).withColumn("perplexity", F.when(F.col("n_words") > 0, ppl))
     out = out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
-    out = out.select(*[c for c in docs.columns if c in out.columns], *VERDICT).withColumnsRenamed({v: f"_{v}" for v in VERDICT if v in taken})
+    out = out.select(*[c for c in docs.columns if c in out.columns], *VERDICT).withColumnsRenamed(verdict)
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``."""
-    flag = "_siftwell_kept"
+    flag = free_name(docs.columns, "_siftwell_kept")
     found = classify(docs, labels, keep_text=True)
     return found.toDF(*found.columns[:-1], flag).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -16,7 +16,8 @@ With ``keep_first`` a window counts as repeated only if an equal one starts earl
 factors alone); otherwise every copy counts (previous and next). Every count is an aggregate with partial sums, so copies of
 a string never meet in one task; text is read again in each round and never sorted.
 
-Names are 64-bit hashes of the strings. Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes;
+Names are 64 bits of BLAKE2b digests of the strings, so different strings share one by chance alone. Anchors and the keys that
+bring candidates together are quick polynomial hashes: texts made to collide there cost work and change no result. Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes;
 repeated rows are copies of each other; a null id sorts first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -69,14 +70,19 @@ class Buffer:
         self.windows = np.asarray([p[3] for p in parts], "i8")
         size = np.asarray([len(p[2]) for p in parts], "i8")
         self.at = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(p[2] for p in parts), "u1")
+        self.bytes = memoryview(b"".join(p[2] for p in parts))
+        data = np.frombuffer(self.bytes, "u1")
         self.prefix = np.zeros(len(data) + 1, "u8")
         np.cumsum(_BYTES[data] * _powers()[0][: len(data)], out=self.prefix[1:])
 
-    def name(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from i up to j."""
+    def mark(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A quick number for the bytes from i up to j. Some texts share it by their make, so it finds anchors and never decides."""
         return _mix((self.prefix[j] - self.prefix[i]) * _powers()[1][i])
 
+    def name(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """64 bits of the BLAKE2b digest of the bytes from i up to j."""
+        return np.frombuffer(b"".join([hashlib.blake2b(self.bytes[a:b], digest_size=8).digest() for a, b in zip(i.tolist(), j.tolist())]), "u8")
+
 
 def buffers(texts: list[bytes], length: int, segment: int = SEGMENT):
     """Buffers over all texts of at least ``length`` bytes."""
@@ -96,7 +102,7 @@ def buffers(texts: list[bytes], length: int, segment: int = SEGMENT):
 def anchors(b: Buffer, length: int) -> np.ndarray:
     """Position of the anchor of the window at each position of the buffer (any value where no window begins)."""
     n, width = len(b.prefix) - 1, length - GRAM + 1
-    h = b.name(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    h = b.mark(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
     low = np.uint64((1 << 17) - 1)
     out = np.empty(n - length + 1, "i8")
     for k in range(0, len(out), 1 << 16):
@@ -143,7 +149,7 @@ def _runs(length: int, segment: int):
                 hi, lo = x - s, x - e
                 name = _mix(buf.name(s, e + length) + (hi * 1024 + lo).astype("u8"))
                 row = buf.row[p]
-                columns = [dk[row], None, x - buf.at[p] + buf.offset[p], lo, hi, buf.name(x, x + GRAM).view("i8"), name.view("i8")]
+                columns = [dk[row], None, x - buf.at[p] + buf.offset[p], lo, hi, buf.mark(x, x + GRAM).view("i8"), name.view("i8")]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)) if c is None else pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, _RUN)], schema=pa.schema(_RUN))
 
     return run
@@ -178,7 +184,7 @@ def _split(length: int, step: int, segment: int):
                     bucket = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     at = x[of] - buf.offset[p] + buf.at[p]
                     low, high = np.maximum(lo[of], bucket * step), np.minimum(hi[of], bucket * step + step - 1)
-                    shared = buf.name(at - bucket * step, at - bucket * step - step + 1 + length)
+                    shared = buf.mark(at - bucket * step, at - bucket * step - step + 1 + length)
                     name = _mix(buf.name(at - high, at - low + length) + (high * 1024 + low).astype("u8"))
                     key = _mix(shared + bucket.astype("u8"))
                     m = len(of)

@@ -80,7 +80,7 @@ def test_stage_takes_odd_rows(spark, folder, stage):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     assert run(spark, docs.limit(0), folder[0]).count() == 0
     more = docs
-    for c in ("_id", "hit_id", "_gone", "copy_id", "_twice", "row", "KEPT", "Perplexity", "_kept", "mix_size", "mix_batch", "MIX_copies", "part", "start", "N", "text_key", "mean"):
+    for c in ("_id", "hit_id", "_gone", "copy_id", "_twice", "row", "KEPT", "Perplexity", "_kept", "mix_size", "mix_batch", "MIX_copies", "part", "start", "N", "text_key", "mean", "_siftwell_kept", "_own", "_own_3", "n_words", "_n_words", "__kept"):
         more = more.selectExpr("*", f"'x' AS `{c}`")
     out = run(spark, more, folder[0])
     n = out.count()

@@ -437,6 +437,17 @@ def test_repeats_against_brute_force(spark, first, length):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_texts_made_to_collide(spark):
+    """Thue-Morse strings share any polynomial hash modulo a power of two; no byte of these texts is repeated."""
+    rnd = random.Random(1)
+    morse = [bin(k).count("1") % 2 for k in range(256)]
+    t, u = "".join("EJ"[x] for x in morse), "".join("JE"[x] for x in morse)
+    m = "".join(rnd.choice("abcdefgh") for _ in range(256))
+    for first in (True, False):
+        got = repeat_removal.remove_repeats(frame(spark, [(1, t + m + u, "en", "s"), (2, u + m + t, "en", "s")]), 400, keep_first=first).collect()
+        assert [r["n_removed"] for r in got] == [0, 0]
+
+
 def test_repeats_of_nothing(spark):
     assert repeat_removal.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
