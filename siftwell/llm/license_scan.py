@@ -186,7 +186,7 @@ def _windows(rows: list[tuple[str, list[str]]], lengths: dict[str, int], min_dic
     maybe = any_of([*keys, *(b for name, bigrams in rows if name in without for b in _probe(bigrams, least_shared[name], common))])
     return (
         F.filter(F.when(maybe, F.array(*[asked(*row) for row in rows])), lambda t: t.isNotNull() & ~F.exists("m", lambda m: m["license_id"] == t["id"])),
-        F.when(F.size("t") > 0, F.filter(let(_pairs(_words(F.col("flat"))), best), lambda w: w["dice"] >= min_dice)),
+        F.when(F.size("t") > 0, F.filter(let(_words(F.col("flat")), lambda w: let(_pairs(w), best)), lambda w: w["dice"] >= min_dice)),
     )
 
 
