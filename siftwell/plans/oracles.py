@@ -248,7 +248,7 @@ ORACLES = {
     "composed_arms": f"WITH {_W}, {_window('rrf_tie', 0.2, 100)}, a AS (SELECT qid, tid, 'dense' AS arm FROM w WHERE col <= 25 UNION ALL SELECT qid, tid, 'fused' FROM f WHERE new_rank <= 25) SELECT qid, arm, bool_or(g.tid IS NOT NULL) AS has_gold FROM a LEFT JOIN g USING (qid, tid) GROUP BY qid, arm",
     "rescued_lost": f"""WITH {_W}, {_window('rrf_tie', 0.2, 100)}, a AS (SELECT w.qid, bool_or(w.col <= 25 AND g.tid IS NOT NULL) AS d, bool_or(f.new_rank <= 25 AND g.tid IS NOT NULL) AS e FROM w JOIN f USING (qid, tid) LEFT JOIN g USING (qid, tid) GROUP BY w.qid)
  SELECT count(*) AS n, round(avg(d::INT), 4) AS dense_rate, round(avg(e::INT), 4) AS fused_rate, count(*) FILTER (e AND NOT d) AS rescued, count(*) FILTER (d AND NOT e) AS lost FROM a""",
-    "shortlist_dedup": "WITH s AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 5)) AS k FROM lineitem GROUP BY l_orderkey) SELECT item, min(item) OVER (PARTITION BY k) AS owner FROM s",
+    "shortlist_dedup": "WITH s AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 5)) AS k FROM lineitem GROUP BY l_orderkey) SELECT item, min(item) OVER (PARTITION BY k, item % 3) AS owner FROM s",
     **{f"doc_text_{v}": _doc_text(v) for v in ("v0", "v1", "v2", "v3")},
     "humanize_path": f"WITH {_TOOLS} SELECT pos, {_HUMAN} AS words FROM t",
     "slug_and_key": f"WITH {_TOOLS} SELECT pos, tool_id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS norm FROM t",
@@ -287,7 +287,7 @@ ORACLES = {
  z AS (SELECT pool, qid, min(r) AS rank FROM k JOIN gl USING (qid, tid) GROUP BY ALL),
  best AS (SELECT pool, qid, rank FROM p CROSS JOIN (SELECT DISTINCT qid FROM gl) LEFT JOIN z USING (pool, qid)) SELECT pool, {_recall()} FROM best GROUP BY pool""",
     "confusion_candidates": f"WITH {_NN_ALL}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4) SELECT a, b, sim FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE x.label % 2 = 0 AND y.label % 2 = 0 ORDER BY {_md5('candidates', 'a', 'b')} LIMIT 10",
-    "separable_filters": f"WITH {_INTENTS} SELECT count(*) FILTER (quality = 1) AS true, count(*) FILTER (quality <> 1) AS false, count(*) FILTER (quality IS NULL OR quality <> 1) AS falsy FROM i LEFT JOIN labels ON doc_id = conv_id",
+    "separable_filters": f"WITH {_INTENTS} SELECT count(*) FILTER (quality = 1) AS true, count(*) FILTER (quality <> 1) AS false, count(*) FILTER (quality IS NULL OR quality <> 1) AS falsy FROM i LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON doc_id = conv_id",
     "mean_words": "SELECT lang, count(*) AS n, round(avg(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> ''))), 4) AS mean_words FROM documents GROUP BY lang",
     "jsonl_round_trip": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "label_queries": f"WITH {_TOOLS}, c AS (SELECT api_title, arg_min(tool_id, pos) AS tool_id FROM t GROUP BY api_title) SELECT doc_id AS intent_id, tool_id FROM documents JOIN c ON api_title = source || CASE WHEN doc_id % 5 = 0 THEN '?' ELSE '' END",
@@ -295,15 +295,20 @@ ORACLES = {
     "catalog_pool": "SELECT tool_id, row_number() OVER (ORDER BY side, k) - 1 AS pos FROM (SELECT n_name AS tool_id, 0 AS side, n_nationkey AS k FROM nation UNION ALL SELECT s_name, 1, s_suppkey FROM supplier)",
     "picked_specs": f"WITH u AS (SELECT source || ':' || doc_id AS api_id, source AS provider FROM documents WHERE doc_id % 3 <> 0) SELECT api_id, provider FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY provider ORDER BY {_md5('specs', 'api_id')}) <= 3) ORDER BY {_md5('specs', 'api_id')} LIMIT 40",
     "best_gold": f"WITH {_R}, {_G} SELECT qid, tid, rank FROM r JOIN g USING (qid, tid) WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1",
-    "thin_descriptions": "SELECT count(*) FILTER (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> '')) <= 100) AS thin, 33.3::DOUBLE AS third FROM documents",
+    "thin_descriptions": "SELECT thin, round(100.0::DOUBLE * thin / greatest(n, 1), 1) AS share FROM (SELECT count(*) AS n, count(*) FILTER (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda a: a <> '')) <= 100) AS thin FROM documents)",
+    "table_digest": f"""WITH h AS (SELECT sha256('{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}') AS h FROM customer),
+ l AS (SELECT {', '.join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR AS l{i}" for i in range(8))} FROM h) SELECT substr(sha256(concat_ws(':', {', '.join(f'l{i}' for i in range(8))})), 1, 16) AS sha16 FROM l""",
+    "unmatched_labels": f"WITH {_TOOLS} SELECT count(*) AS unmatched FROM documents WHERE source || CASE WHEN doc_id % 5 = 0 THEN '?' ELSE '' END NOT IN (SELECT api_title FROM t)",
     "paired_arms": """WITH r AS (SELECT o_custkey % 4 AS split, o_orderkey // 2 AS item, o_orderkey % 2 = 0 AS d, o_orderkey % 3 = 0 AS ok FROM orders WHERE o_orderkey % 5 <> 0)
  SELECT split, count(*) AS n, count(*) FILTER (a.ok AND NOT b.ok) AS b FROM r a JOIN r b USING (split, item) WHERE a.d AND NOT b.d GROUP BY split""",
-    "shared_answers": """WITH s AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 5)) AS k FROM lineitem GROUP BY l_orderkey), w AS (SELECT item, min(item) OVER (PARTITION BY k) AS owner FROM s)
+    "shared_answers": """WITH s AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_partkey % 5)) AS k FROM lineitem GROUP BY l_orderkey), w AS (SELECT item, min(item) OVER (PARTITION BY k, item % 3) AS owner FROM s)
  SELECT item, owner, o_orderstatus AS choice, o_orderstatus IS NULL AS missing FROM w LEFT JOIN orders ON o_orderkey = owner AND o_orderkey % 3 <> 0""",
     "valid_generated": """SELECT conv_id % 7 AS batch, count(*) AS n FROM conversations WHERE turn % 4 <> 0 AND text IS NOT NULL AND trim(text) <> '' AND NOT (turn % 3 = 0 AND turn % 2 = 0) AND turn % 5 <= (conv_id % 7) % 4 GROUP BY 1""",
-    "extract_operations": f"""WITH {_TOOLS}, o AS (SELECT api_title, path || '/' || pos AS p, pos FROM t QUALIFY row_number() OVER (PARTITION BY api_title ORDER BY path || '/' || pos) <= 5),
- n AS (SELECT *, {_slug("'get'", 'p')} AS name, (SELECT min(t.pos) FROM t WHERE t.api_title = o.api_title) AS spec FROM o), k AS (SELECT *, {_slug('api_title', 'name')} AS tool_id FROM n)
- SELECT tool_id, 'read' AS side_effects, 'web' AS domain, 1::BIGINT AS n_params, p AS path FROM k QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY spec, p) = 1""",
+    "extract_operations": f"""WITH {_TOOLS}, o AS (SELECT api_title, path || '/' || pos AS p, row_number() OVER (PARTITION BY api_title ORDER BY path || '/' || pos) AS i FROM t),
+ e AS (SELECT api_title, p, verb, 2 * i + (verb = 'post')::INT AS nth FROM o, (VALUES ('get'), ('post')) v(verb) WHERE 2 * (i - 1) + (verb = 'post')::INT < 5),
+ n AS (SELECT *, {_slug('verb', 'p')} AS name, (SELECT min(t.pos) FROM t WHERE t.api_title = e.api_title) AS spec FROM e), k AS (SELECT *, {_slug('api_title', 'name')} AS tool_id FROM n)
+ SELECT tool_id, CASE verb WHEN 'get' THEN 'read' ELSE 'write' END AS side_effects, 'web' AS domain, CASE verb WHEN 'get' THEN 'itemId:integer:path' ELSE 'title:string:body size:integer:body parent:object:body' END AS fields,
+  CASE verb WHEN 'get' THEN 'itemId' ELSE 'size title' END AS needed, p AS path FROM k QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY spec, nth) = 1""",
     "fusion_sweep_zscore": f"WITH {_W}, wg AS (SELECT w.*, g.tid IS NOT NULL AS gold FROM w LEFT JOIN g USING (qid, tid)), al AS (SELECT (i / 10.0)::DOUBLE AS alpha FROM range(11) r(i)), sw AS ({_sweep('zscore')}) SELECT rule, depth, alpha, {_recall((1, 10, 25))} FROM sw GROUP BY rule, depth, alpha",
     "composed_zscore": f"""WITH {_W}, {_window('zscore', 0.2, 100)}, a AS (SELECT w.qid, bool_or(w.col <= 25 AND g.tid IS NOT NULL) AS d, bool_or(f.new_rank <= 25 AND g.tid IS NOT NULL) AS e FROM w JOIN f USING (qid, tid) LEFT JOIN g USING (qid, tid) GROUP BY w.qid)
  SELECT count(*) AS n, round(avg(d::INT), 4) AS dense_rate, round(avg(e::INT), 4) AS fused_rate, count(*) FILTER (e AND NOT d) AS rescued, count(*) FILTER (d AND NOT e) AS lost FROM a""",

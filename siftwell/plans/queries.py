@@ -360,7 +360,7 @@ def rescued_lost(spark, sf):
 
 def shortlist_dedup(spark, sf):
     l = table(spark, sf, "lineitem")
-    return P.dedup_shortlists(l.select(F.col("l_orderkey").alias("item"), F.lit("q").alias("query"), (F.col("l_partkey") % 5).alias("tid")))
+    return P.dedup_shortlists(l.select(F.col("l_orderkey").alias("item"), F.concat(F.lit("q"), (F.col("l_orderkey") % 3).cast("string")).alias("query"), (F.col("l_partkey") % 5).alias("tid")))
 
 
 def _doc_text(variant):
@@ -434,16 +434,25 @@ def paged_prompts(spark, sf):
 
 
 def table_digest(spark, sf):
-    return digest(table(spark, sf, "nation"))
+    return digest(table(spark, sf, "customer"), "c_custkey", "c_name")
 
 
 def extract_operations(spark, sf):
-    """Specs made of the pages' paths, one a source."""
+    """Specs made of the pages' paths, one a source: parameters, bodies and schemas behind references, one of them in a cycle."""
     t = fx.tools(spark, sf)
-    op = F.struct(F.col("name").alias("summary"), F.col("description").alias("description"), F.array(F.struct(F.lit("itemId").alias("name"), F.lit(True).alias("required"), F.lit("path").alias("in"))).alias("parameters"))
-    paths = t.groupBy("api_title").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("path", F.lit("/"), F.col("pos").cast("string")), F.struct(op.alias("get")))))).alias("paths"), F.min("pos").alias("pos"))
-    specs = paths.select(F.col("api_title").alias("api_id"), F.col("api_title").alias("provider"), F.col("api_title").alias("title"), F.array(F.lit("web")).alias("categories"), F.lit("landed").alias("url"), F.to_json(F.struct("paths")).alias("body"), "pos")
-    return C.tools_of_specs(specs, 5)[0].select("tool_id", "side_effects", "domain", F.size("parameters.properties").cast("long").alias("n_params"), "http.path")
+    ref = lambda kind, name: F.struct(F.lit(f"#/components/{kind}/{name}").alias("$ref"))
+    get = F.struct(F.col("name").alias("summary"), F.col("description").alias("description"), F.array(ref("parameters", "item")).alias("parameters"))
+    post = F.struct(F.col("name").alias("summary"), ref("requestBodies", "made").alias("requestBody"))
+    item = F.struct(F.lit("itemId").alias("name"), F.lit(True).alias("required"), F.lit("path").alias("in"), ref("schemas", "key").alias("schema"))
+    fields = F.struct(F.struct(F.lit("string").alias("type")).alias("title"), ref("schemas", "key").alias("size"), ref("schemas", "thing").alias("parent"))
+    thing = F.struct(F.lit("object").alias("type"), fields.alias("properties"), F.array(F.lit("title"), F.lit("size")).alias("required"))
+    content = F.create_map(F.lit("application/json"), F.struct(ref("schemas", "thing").alias("schema")))
+    parts = F.struct(F.struct(item.alias("item")).alias("parameters"), F.struct(F.struct(content.alias("content")).alias("made")).alias("requestBodies"), F.struct(F.struct(F.lit("integer").alias("type")).alias("key"), thing.alias("thing")).alias("schemas"))
+    rows = F.array_sort(F.collect_list(F.struct(F.concat("path", F.lit("/"), F.col("pos").cast("string")), F.struct(get.alias("get"), post.alias("post")))))
+    paths = t.groupBy("api_title").agg(F.map_from_entries(rows).alias("paths"), F.min("pos").alias("pos")).withColumn("components", parts)
+    specs = paths.select(F.col("api_title").alias("api_id"), F.col("api_title").alias("provider"), F.col("api_title").alias("title"), F.array(F.lit("web")).alias("categories"), F.lit("landed").alias("url"), F.to_json(F.struct("paths", "components")).alias("body"), "pos")
+    fields_of = F.array_join(F.transform("parameters.properties", lambda x: F.concat_ws(":", x["name"], x["type"], x["in"])), " ")
+    return C.tools_of_specs(specs, 5)[0].select("tool_id", "side_effects", "domain", fields_of.alias("fields"), F.array_join("parameters.required", " ").alias("needed"), "http.path")
 
 
 def evaluate_splits(spark, sf):
@@ -514,7 +523,8 @@ def confusion_candidates(spark, sf):
 
 
 def separable_filters(spark, sf):
-    c = _intents(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), (F.col("quality") == 1).alias("separable")).dropDuplicates(["conv_id"]), "conv_id", "left")
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("conv_id")).agg((F.max("quality") == 1).alias("separable"))
+    c = _intents(spark, sf).join(labels, "conv_id", "left")
     return c.agg(*[F.count_if(M.separable(F.col("separable"), x)).alias(x) for x in ("true", "false", "falsy")])
 
 
@@ -529,12 +539,18 @@ def jsonl_round_trip(spark, sf):
     return read_jsonl(spark, path, "c_custkey long, c_name string, c_nationkey long")
 
 
+def _labeled(spark, sf):
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("intent_id"), F.concat("source", F.when(F.col("doc_id") % 5 == 0, F.lit("?")).otherwise(F.lit(""))).alias("label"))
+    return C.label_queries(q, fx.tools(spark, sf).select(F.col("api_title").alias("name"), "tool_id", "pos"))
+
+
 def label_queries(spark, sf):
     """Conversations' roles as names of tools: the first page of a source is the tool of its name."""
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("intent_id"), F.concat("source", F.when(F.col("doc_id") % 5 == 0, F.lit("?")).otherwise(F.lit(""))).alias("label"))
-    catalog = fx.tools(spark, sf).select(F.col("api_title").alias("name"), "tool_id", "pos")
-    found, _ = C.label_queries(q, catalog)
-    return found.select("intent_id", "tool_id")
+    return _labeled(spark, sf)[0].select("intent_id", "tool_id")
+
+
+def unmatched_labels(spark, sf):
+    return _labeled(spark, sf)[1]
 
 
 def plugin_join(spark, sf):
@@ -562,7 +578,8 @@ def best_gold(spark, sf):
 
 def thin_descriptions(spark, sf):
     t = table(spark, sf, "documents")
-    return t.agg(F.count_if(X.is_thin(F.col("text"), 100)).alias("thin"), F.max(X.percent(F.lit(1), F.lit(3))).alias("third"))
+    rows = t.agg(F.count_if(X.is_thin(F.col("text"), 100)).alias("thin"), F.count("*").alias("n"))
+    return rows.select("thin", X.percent(F.col("thin"), F.col("n")).alias("share"))
 
 
 def paired_arms(spark, sf):
@@ -572,7 +589,7 @@ def paired_arms(spark, sf):
 
 
 def shared_answers(spark, sf):
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.lit("q").alias("query"), (F.col("l_partkey") % 5).alias("tid"))
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.concat(F.lit("q"), (F.col("l_orderkey") % 3).cast("string")).alias("query"), (F.col("l_partkey") % 5).alias("tid"))
     answers = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("choice"))
     out = P.with_answers(l.select("item").distinct(), P.dedup_shortlists(l), answers)
     return out.select("item", "owner", "choice", "missing")

@@ -18,7 +18,7 @@ hard_negatives negative_provenance oracle_shortlist composed_arms rescued_lost s
 humanize_path slug_and_key side_effects doc_quality first_wins redact redaction_counts json_fenced_extract paged_prompts table_digest extract_operations
 evaluate_splits matrix_sweep matrix_report random_control alpha_plateau claim_table mean_difference lexical_pool_curve confusion_candidates separable_filters mean_words
 fusion_sweep_zscore composed_zscore jsonl_round_trip label_queries plugin_join catalog_pool picked_specs best_gold thin_descriptions paired_arms shared_answers valid_generated
-score_cache training_batches training_batch_audit training_pairs split_registry generation_ledger generated_intents selected_answers
+unmatched_labels score_cache training_batches training_batch_audit training_pairs split_registry generation_ledger generated_intents selected_answers
 """.split()
 
 QUERIES = {name: getattr(q, name) for name in _NAMES} | {f"doc_text_{v}": q._doc_text(v) for v in ("v0", "v1", "v2", "v3")}
