@@ -6,8 +6,8 @@ misses at most n - ceil(t * n) of them, so it holds at least one shingle of the
 are then verified by exact containment of the shingles themselves, not of their hashes.
 
 Shingles are five words of lower-cased letters and digits; a text with fewer words has its whole sequence as one shingle,
-a text without words has none and matches nothing. An item of fewer than five words therefore matches only a text of the same
-words; inside longer texts it is not found, here as in the SQL.
+a text without words has none and matches nothing. Documents are also probed with the shorter shingles of the lengths that items of
+fewer than five words have (none, where there are no such items), so that a short item is found inside a longer text as well.
 
 Defined cases: null or empty texts never match; repeated items or rows give the same pair once per doc_id and item_id
 (the highest containment); rows with a null id are kept under that null; empty tables give no pairs; extra columns are ignored.
@@ -46,9 +46,10 @@ def _windows(w: Column, k: int) -> Column:
     )
 
 
-def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """Shingle strings in order, repeats included."""
-    return let(item_words(text), lambda w: _windows(w, k))
+def shingles(text: Column, k: int = SHINGLE, short: list[int] | None = None) -> Column:
+    """Shingle strings in order, repeats included; after them those of the lengths ``short``, of texts with as many words."""
+    inside = lambda w: [F.when(F.size(w) >= n, _windows(w, n)).otherwise(F.array().cast("array<string>")) for n in short or ()]
+    return let(item_words(text), lambda w: F.concat(_windows(w, k), *inside(w)) if short else _windows(w, k))
 
 
 def sketch_length(t: float) -> Column:
@@ -61,12 +62,14 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = MIN
     """``doc_id, item_id, n_shingles, n_shared, containment`` for every pair with containment of at least the threshold."""
     hashed = lambda a: F.transform(a, lambda s: F.xxhash64(s))
     item = items.select("item_id", F.array_distinct(shingles(F.col("text"), k)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
+    in_first = F.size(F.split(F.col("s")[0], " "))
     item = materialise(item.withColumn("item_key", F.xxhash64("item_id", "s")).dropDuplicates(["item_id", "s"]), "items")
     sketch = item.select("item_key", F.explode(F.slice(F.sort_array(hashed(F.col("s"))), F.lit(1), sketch_length(min_containment))).alias("h"))
     sketch = materialise(sketch, "item-sketch")
     n_sketch = sketch.count()
+    short = sorted(r[0] for r in item.select(in_first.alias("words")).where(F.col("words") < k).distinct().collect())
 
-    probe = docs.select("doc_id", F.explode(hashed(shingles(F.col("text"), k))).alias("h"))
+    probe = docs.select("doc_id", F.explode(hashed(shingles(F.col("text"), k, short))).alias("h"))
     pairs = materialise(join_bounded(probe, sketch, "h", "inner", n_sketch, BROADCAST_SKETCH).select("doc_id", "item_key").distinct(), "candidates")
     chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     n_chars = pairs.join(item.select("item_key", chars.alias("chars")), "item_key").agg(F.sum("chars")).first()[0] or 0
@@ -78,7 +81,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = MIN
         ids = materialise(pairs.select(F.col("doc_id").alias("_id")).distinct(), "candidate-ids")
         some = join_bounded(some, ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi", ids.count(), BROADCAST_IDS)
     found = join_bounded(some, wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", n_chars, BROADCAST_CHARS)
-    shared = F.size(F.array_intersect(F.col("s"), shingles(F.col("text"), k)))
+    shared = F.size(F.array_intersect(F.col("s"), shingles(F.col("text"), k, short)))
     checked = found.select("doc_id", "item_id", F.col("n").alias("n_shingles"), shared.alias("n_shared"))
     checked = checked.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * min_containment - 1e-9))
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shingles", "n_shared")).alias("b"))
@@ -106,6 +109,9 @@ WITH w AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) END) AS s
   FROM w WHERE len(w) > 0
+  UNION
+  SELECT 0, id, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS s
+  FROM w JOIN (SELECT DISTINCT len(w) AS l FROM w WHERE kind = 1 AND len(w) BETWEEN 1 AND 4) AS short ON kind = 0 AND len(w) >= l
 ), n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 1 GROUP BY id),
 p AS (
   SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s WHERE d.kind = 0 AND i.kind = 1 GROUP BY ALL

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import language_id, license_scan, mixing, ngram_jaccard, quality_classifier, quality_rules, repeat_removal, token_counts, token_output
-from siftwell.llm.decontamination import clean_documents, contaminated
+from siftwell.llm.decontamination import OP2_SQL, clean_documents, contaminated, op2_decontamination
 from siftwell.llm.tokens import UnitEncoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,8 +94,8 @@ def test_contaminated_against_brute_force(spark):
     want = set()
     for i, t, _, _ in rows:
         for j, x in items:
-            s = shingles(x)
-            if s and len(s & shingles(t)) >= -(-4 * len(s) // 5):
+            s, n = shingles(x), len(re.findall(r"[^\W_]+", (x or "").lower()))
+            if s and len(s & (shingles(t) | (shingles(t, n) if n < 5 else set()))) >= -(-4 * len(s) // 5):
                 want.add((i, j))
     got = [(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
@@ -105,6 +105,23 @@ def test_contaminated_against_brute_force(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_inside_long_texts(spark, tmp_path):
+    """Items of one to four words, in the query as in its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(15)
+    vocab = [f"v{i}" for i in range(60)]
+    rows = odd_rows()[1:] + [(100 + k, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60))), "en", "s") for k in range(60)]
+    rows += [(200, "what is a quantum flux capacitor used for in films", "en", "s"), (201, "quantum flux", "en", "s")]
+    items = [(k, " ".join(rnd.choices(vocab, k=1 + k % 7))) for k in range(21)] + [(50, "Quantum-flux capacitor"), (51, None), (52, "flux flux flux")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in op2_decontamination(spark, str(tmp_path)).select("doc_id", "item_id", "n_shingles", "n_shared", "containment").collect()}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(con.execute(OP2_SQL).fetchall()) and {i for d, i, *_ in got if d == 200} == {50}
+
+
 # --- n-gram Jaccard join
 
 
