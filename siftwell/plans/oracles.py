@@ -161,6 +161,25 @@ _ORACLE_SHORTLIST = f"""WITH {_R}, {_G}, ng AS (SELECT qid, count(*) AS n FROM g
  b AS (SELECT o.qid, tid, false AS is_gold FROM o LEFT JOIN ng USING (qid) WHERE k <= 20 - coalesce(n, 0) UNION ALL SELECT qid, tid, true FROM g)
  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {_md5('shortlist', 'qid', 'tid')}) AS slot, tid, is_gold FROM b"""
 
+_PLACED = f"""{_NN_ALL}, p AS (SELECT qid AS a, tid AS b, round(score, 4) AS sim FROM nn WHERE score >= 0.4),
+ it AS (SELECT a AS tid, sim AS confidence, coalesce(x.label = y.label, false) AS correct FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b),
+ pl AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, tid) AS place, sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER (ORDER BY confidence DESC, tid ROWS UNBOUNDED PRECEDING)::BIGINT AS errors, count(*) OVER () AS n FROM it),
+ bins AS (SELECT floor((place - 1) * 10 / n)::INTEGER AS bin, count(*) AS n, avg(confidence) AS c, avg(correct::INTEGER) AS a FROM pl GROUP BY 1)"""
+_SNAP = f"""{_Q}, {_X}, o AS (SELECT tid, v FROM x WHERE tid % 31 <> 4), nw AS (SELECT tid, CASE WHEN tid % 89 = 3 THEN list_reverse(v) ELSE v END AS v FROM x WHERE tid % 97 <> 5),
+ st AS (SELECT coalesce(o.tid, nw.tid) AS tid, CASE WHEN o.tid IS NULL THEN 'added' WHEN nw.tid IS NULL THEN 'removed' WHEN o.v = nw.v THEN 'same' ELSE 'changed' END AS status FROM o FULL JOIN nw ON o.tid = nw.tid)"""
+_BEST_IN = lambda t: f"SELECT qid, tid, round(list_dot_product(qv, v), 6) AS score FROM q JOIN {t} ON tid <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) <= 10"
+_CALLS = """e AS (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k, user_id::VARCHAR AS u FROM events),
+ c AS (SELECT *, '"k": ' || k || ', "user": ' || u || ', "type": "' || event_type || '"' AS g FROM e),
+ t AS (SELECT event_id, event_type, ('{' || g || '}')::JSON AS gold, '{' || CASE event_id % 6 WHEN 0 THEN g WHEN 1 THEN '"user": ' || u || ', "k":' || k WHEN 2 THEN '"k": "' || k || '", "user": ' || u || ', "type": "' || event_type || '"'
+  WHEN 3 THEN g || ', "extra": [1, null]' WHEN 4 THEN g || ', "x"' ELSE '"k": ' || k || '.5, "user": {"id": ' || u || '}, "type": "' || event_type || '"' END || '}' AS text FROM c),
+ j AS (SELECT *, CASE WHEN json_valid(text) THEN text::JSON END AS said FROM t),
+ f AS (SELECT *, coalesce(json_keys(said), []) AS names, unnest(['k', 'user', 'type']) AS name FROM j),
+ m AS (SELECT event_id, any_value(event_type) AS event_type, any_value(said) IS NULL AS bad, any_value(names) AS names, len(any_value(names)) AS n_said, 3 AS n_gold,
+  count(*) FILTER (WHERE json_extract(said, '$.' || name)::VARCHAR = json_extract(gold, '$.' || name)::VARCHAR) AS hits,
+  list('type:' || name) FILTER (WHERE list_contains(names, name) AND json_type(said, '$.' || name) NOT IN ('UBIGINT', 'BIGINT') AND name <> 'type' OR name = 'type' AND json_type(said, '$.type') <> 'VARCHAR') AS wrong FROM f GROUP BY event_id),
+ r AS (SELECT *, CASE WHEN bad THEN 'not an object' ELSE array_to_string(list_sort(list_concat(coalesce(wrong, []), ['missing:' || x FOR x IN ['k', 'type'] IF NOT list_contains(names, x)],
+  ['unknown:' || x FOR x IN names IF NOT list_contains(['k', 'user', 'type', 'note'], x)])), ' ') END AS errors, 2.0::DOUBLE * hits / (n_said + n_gold) AS f1 FROM m)"""
+
 ORACLES = {
     "dense_topk": f"WITH {_R} SELECT qid, tid, score, rank FROM r WHERE rank <= 10",
     "gold_rank": f"WITH {_R}, {_G}, {_BEST} SELECT * FROM b",
@@ -330,4 +349,14 @@ ORACLES = {
  a AS (SELECT qid, gold, (qid % 200 = 0)::VARCHAR AS split, CASE WHEN qid % 60 = 20 THEN NULL WHEN qid % 3 = 0 THEN 'NONE' ELSE choice::VARCHAR END AS choice, qid % 40 = 0 AS tied FROM p)
  SELECT split, count(*) AS items, count(choice) AS n, count(*) FILTER (choice = gold::VARCHAR) AS correct, count(*) FILTER (choice = 'NONE') AS none, count(*) FILTER (choice IS NOT NULL AND tied) AS tied, count(*) FILTER (choice IS NULL) AS missing,
    round(count(*) FILTER (choice = gold::VARCHAR) / greatest(count(choice), 1)::DOUBLE, 4) AS accuracy FROM a GROUP BY split""",
+    "risk_coverage": f"WITH {_PLACED} SELECT tid, place, round(place::DOUBLE / n, 9) AS coverage, round(errors::DOUBLE / place, 9) AS risk FROM pl",
+    "calibration_bins": f"WITH {_PLACED} SELECT bin, n, round(c, 6) AS confidence, round(a, 6) AS accuracy FROM bins",
+    "selective_report": f"""WITH {_PLACED} SELECT count(*) AS n, round(avg(correct::INTEGER), 6) AS accuracy, round(avg(errors::DOUBLE / place), 6) AS aurc, (SELECT round(sum(n * abs(c - a)) / sum(n), 6) FROM bins) AS ece,
+ round(max(CASE WHEN place = ceil(n * 50 / 100) THEN errors::DOUBLE / place END), 6) AS risk_50, round(max(CASE WHEN place = ceil(n * 80 / 100) THEN errors::DOUBLE / place END), 6) AS risk_80 FROM pl""",
+    "catalog_drift": f"WITH {_SNAP} SELECT * FROM st",
+    "drift_refresh": f"""WITH {_SNAP}, was AS ({_BEST_IN("o")}), now AS ({_BEST_IN("nw")}), hurt AS (SELECT DISTINCT qid FROM was JOIN st USING (tid) WHERE status IN ('removed', 'changed'))
+ SELECT qid, tid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS rank, qid IN (SELECT qid FROM hurt) AS searched FROM now""",
+    "argument_errors": f"WITH {_CALLS} SELECT event_id, errors, round(f1, 6) AS f1 FROM r",
+    "argument_scores": f"""WITH {_CALLS} SELECT event_type, count(*) AS n, round(avg((errors = '')::INTEGER), 6) AS valid, round(sum(hits)::DOUBLE / sum(n_said), 6) AS precision, round(sum(hits)::DOUBLE / sum(n_gold), 6) AS recall,
+ round(2.0::DOUBLE * sum(hits) / (sum(n_said) + sum(n_gold)), 6) AS f1, round(avg(f1), 6) AS mean_f1 FROM r GROUP BY event_type""",
 }

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from siftwell.functions import redact as R
 from siftwell.functions import stats as S
 from siftwell.functions import text as X
+from siftwell.operators import arguments as A
 from siftwell.operators import batches as B
+from siftwell.operators import calibration as V
 from siftwell.operators import catalog as C
 from siftwell.operators import composed as P
 from siftwell.operators import dense as D
+from siftwell.operators import drift as T
 from siftwell.operators import fusion as U
 from siftwell.operators import generation as E
 from siftwell.operators import lexical as L
@@ -700,3 +703,61 @@ def selected_answers(spark, sf):
     answers = E.selected(ledger.answers(), items).select(F.col("id").cast("long").alias("id"), "choice", "tied")
     work = items.groupBy("id").agg(F.max_by(F.col("tid"), F.when(F.col("is_gold"), F.col("slot"))).cast("string").alias("gold")).withColumn("split", (F.col("id") % 200 == 0).cast("string"))
     return M.selector_tally(work, answers)
+
+
+def _confident(spark, sf):
+    """Every row with a near enough neighbour: is the neighbour's label its own, and how near is it?"""
+    label = lambda name: table(spark, sf, "embeddings").select(F.col("vec_id").alias(name), F.col("label").alias(f"l_{name}"))
+    rows = _neighbours(spark, sf).join(label("a"), "a").join(label("b"), "b")
+    return rows.select(F.col("a").alias("tid"), F.col("sim").alias("confidence"), (F.col("l_a") == F.col("l_b")).alias("correct"))
+
+
+def risk_coverage(spark, sf):
+    return V.risk_coverage(_confident(spark, sf), "tid")
+
+
+def calibration_bins(spark, sf):
+    return V.calibration_bins(_confident(spark, sf), "tid")
+
+
+def selective_report(spark, sf):
+    return V.selective_report(_confident(spark, sf), "tid")
+
+
+def _snapshots(spark, sf):
+    """Two snapshots of the vectors: rows that only one of them has, and rows whose vector is another in the second."""
+    x = fx.index(spark, sf).select("tid", "v")
+    return x.where("tid % 31 <> 4"), x.where("tid % 97 <> 5").withColumn("v", F.when(F.col("tid") % 89 == 3, F.reverse("v")).otherwise(F.col("v")))
+
+
+def catalog_drift(spark, sf):
+    return T.catalog_diff(*_snapshots(spark, sf), "tid", ["v"])
+
+
+def drift_refresh(spark, sf):
+    old, new = _snapshots(spark, sf)
+    queries = fx.queries(spark, sf).select("qid", "qv")
+    return T.refresh_topk(D.dense_topk(queries, old, 10, same=True), queries, old, new, 10, same=True)
+
+
+def _calls(spark, sf):
+    """Events as calls: the expected arguments, and what was said: the same, one missing, a wrong type, one too many, no JSON, nested."""
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    user = F.col("user_id").cast("string")
+    whole = lambda k, user: F.concat(F.lit('"k": '), k, F.lit(', "user": '), user, F.lit(', "type": "'), F.col("event_type"), F.lit('"'))
+    same = whole(k, user)
+    said = [same, F.concat(F.lit('"user": '), user, F.lit(', "k":'), k), whole(F.concat(F.lit('"'), k, F.lit('"')), user), F.concat(same, F.lit(', "extra": [1, null]')), F.concat(same, F.lit(', "x"')), whole(F.concat(k, F.lit(".5")), F.concat(F.lit('{"id": '), user, F.lit("}")))]
+    pick = F.element_at(F.array(*said), (F.col("event_id") % len(said) + 1).cast("int"))
+    braces = lambda c: F.concat(F.lit("{"), c, F.lit("}"))
+    calls = table(spark, sf, "events").select("event_id", "event_type", braces(pick).alias("said"), braces(same).alias("gold"))
+    schema = {"k": "integer", "user": "integer", "type": "string", "note": "string"}
+    properties = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in schema.items()])
+    return A.checked_calls(calls, "said", "gold", properties, F.array(F.lit("k"), F.lit("type")))
+
+
+def argument_errors(spark, sf):
+    return _calls(spark, sf).select("event_id", F.array_join("errors", " ").alias("errors"), F.round("f1", 6).alias("f1"))
+
+
+def argument_scores(spark, sf):
+    return A.argument_scores(_calls(spark, sf), "event_type")

@@ -19,13 +19,14 @@ humanize_path slug_and_key side_effects doc_quality first_wins redact redaction_
 evaluate_splits matrix_sweep matrix_report random_control alpha_plateau claim_table mean_difference lexical_pool_curve confusion_candidates separable_filters mean_words
 fusion_sweep_zscore composed_zscore jsonl_round_trip label_queries plugin_join catalog_pool picked_specs best_gold thin_descriptions paired_arms shared_answers valid_generated
 unmatched_labels score_cache training_batches training_batch_audit training_pairs split_registry generation_ledger generated_intents selected_answers
+risk_coverage calibration_bins selective_report catalog_drift drift_refresh argument_errors argument_scores
 """.split()
 
 QUERIES = {name: getattr(q, name) for name in _NAMES} | {f"doc_text_{v}": q._doc_text(v) for v in ("v0", "v1", "v2", "v3")}
 
 #: Ranks and slots are 32-bit integers in the queries.
 _RANKS = {
-    "rank": "dense_topk score_cache gold_rank rank_stable rank_worst_tie bm25_topk bm25_subpool best_gold",
+    "rank": "dense_topk score_cache gold_rank rank_stable rank_worst_tie bm25_topk bm25_subpool best_gold drift_refresh",
     "new_rank": "rerank_replace fuse_rrf fuse_rrf_tie fuse_window fuse_full",
     "pick": "group_cap_sample",
     "slot": "oracle_shortlist",
