@@ -13,6 +13,14 @@ SEED = 7
 SCALE = 10**9
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` (double) to ``digits`` places as SQL on doubles has it: the scaled double to the nearest whole number, halves away from zero.
+
+    Spark's own ``round`` goes by the decimal digits that a double prints, so 0.40045 becomes 0.4005 there; scaled it is 4004.4999.
+    """
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p of discordant counts: min(1, 2 * P(X <= min(b, c))), 1 without any. Sums of log terms."""
     n, k = (b + c).cast("double"), F.least(b, c).cast("long")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.stats import rounded
 from siftwell.operators.indexing import part_offsets, range_ordered
 
 BINS = 10
@@ -29,14 +30,14 @@ def placed(items: DataFrame, key: str) -> DataFrame:
 
 def risk_coverage(items: DataFrame, key: str) -> DataFrame:
     """One point an item: the share of items answered down to it, and the share of errors among those."""
-    return placed(items, key).select(key, "place", F.round(F.col("place") / F.col("n"), 9).alias("coverage"), F.round(F.col("errors") / F.col("place"), 9).alias("risk"))
+    return placed(items, key).select(key, "place", rounded(F.col("place") / F.col("n"), 9).alias("coverage"), rounded(F.col("errors") / F.col("place"), 9).alias("risk"))
 
 
 def calibration_bins(items: DataFrame, key: str, bins: int = BINS) -> DataFrame:
     """``bin`` (0: the most confident), its items, mean confidence and accuracy; sizes differ by one at most."""
     of = F.floor((F.col("place") - 1) * bins / F.col("n")).cast("int")
     rows = placed(items, key).groupBy(of.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("c"), F.avg(1 - F.col("wrong")).alias("a"))
-    return rows.select("bin", "n", F.round("c", 6).alias("confidence"), F.round("a", 6).alias("accuracy"))
+    return rows.select("bin", "n", rounded(F.col("c"), 6).alias("confidence"), rounded(F.col("a"), 6).alias("accuracy"))
 
 
 def selective_report(items: DataFrame, key: str, bins: int = BINS, levels=LEVELS) -> DataFrame:
@@ -47,6 +48,6 @@ def selective_report(items: DataFrame, key: str, bins: int = BINS, levels=LEVELS
     by_bin = rows.groupBy("bin").agg(F.count("*").alias("m"), F.sum(risk).alias("area"), F.sum("wrong").alias("wrong"), (F.sum(F.coalesce("confidence", F.lit(0.0))) - F.sum(1 - F.col("wrong"))).alias("gap"), *at)
     n = F.sum("m")
     return by_bin.agg(
-        F.coalesce(n, F.lit(0)).alias("n"), F.round(1 - F.sum("wrong") / n, 6).alias("accuracy"), F.round(F.sum("area") / n, 6).alias("aurc"),
-        F.round(F.sum(F.abs("gap")) / n, 6).alias("ece"), *[F.round(F.max(f"risk_{x}"), 6).alias(f"risk_{x}") for x in levels],
+        F.coalesce(n, F.lit(0)).alias("n"), rounded(1 - F.sum("wrong") / n, 6).alias("accuracy"), rounded(F.sum("area") / n, 6).alias("aurc"),
+        rounded(F.sum(F.abs("gap")) / n, 6).alias("ece"), *[rounded(F.max(f"risk_{x}"), 6).alias(f"risk_{x}") for x in levels],
     )

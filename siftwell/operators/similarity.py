@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.stats import rounded
 from siftwell.operators.dense import DIGITS, _columns, _matrix, _slices
 from siftwell.operators.ranking import nearest, sample_rows
 from siftwell.sources.scratch import materialise
@@ -302,4 +303,4 @@ def nearest_above(b: Blocks) -> DataFrame:
 def confusion_graph(labeled: DataFrame, catalog: DataFrame, min_sim: float = 0.75) -> DataFrame:
     """Directed pairs ``a, b, sim``: a labeled tool and its nearest other tool of the catalog, at least ``min_sim`` alike."""
     near = nearest_above(blocks(labeled, catalog, min_sim, same=True))
-    return near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), F.round("score", 4).alias("sim"))
+    return near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), rounded(F.col("score"), 4).alias("sim"))

@@ -44,6 +44,13 @@ def test_risk_coverage(spark, size):
     assert report["risk_50"] == pytest.approx(curve[-(-size // 2) - 1][2], abs=1e-6)
 
 
+def test_rounding_is_of_the_scaled_double(spark):
+    """41 / 5120 prints as 0.0080078125, but scaled by 10**9 it is below the half."""
+    rows = [(i, 1.0, i >= 41, "x") for i in range(5120)]
+    got = V.risk_coverage(spark.createDataFrame(rows, ITEMS), "tid").where("place = 5120").first()
+    assert got["risk"] == 0.008007812
+
+
 def test_no_items(spark):
     none = spark.createDataFrame([], ITEMS)
     assert V.risk_coverage(none, "tid").collect() == [] and V.calibration_bins(none, "tid").collect() == []
