@@ -313,8 +313,8 @@ def conditional_accuracy(spark, sf):
 
 def run_disagreements(spark, sf):
     o = table(spark, sf, "orders")
-    by = o.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
-    half = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
+    by = o.groupBy("o_custkey").agg(S.rounded(F.avg("o_totalprice"), 4).alias("v"))
+    half = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(S.rounded(F.avg("o_totalprice"), 4).alias("v"))
     return M.disagreements(by, half, ["o_custkey"], "v")
 
 

@@ -122,3 +122,16 @@ def test_nested_values_and_empty_sets(spark):
     rows = [(1, '{"o": {"a": 1, "b": [1, 2]}}', '{"o": {"b": [1,2], "a": 1}}'), (2, '{"o": {"a": 1}}', '{"o": {"a": 2}}'), (3, "{}", "{}"), (4, "{}", None)]
     checked = A.checked_calls(spark.createDataFrame(rows, "id int, said string, gold string"), "said", "gold", F.lit(None).cast("array<struct<name:string,type:string>>"), F.lit(None).cast("array<string>"))
     assert {r["id"]: (r["f1"], r["errors"]) for r in checked.collect()} == {1: (1.0, ["unknown:o"]), 2: (0.0, ["unknown:o"]), 3: (1.0, []), 4: (1.0, [])}
+
+
+def test_disagreements_round_as_sql(spark, tmp_path):
+    """The mean of the first customer prints as 182314.79875 or next to it; scaled it is below the half."""
+    from siftwell.plans.queries import run_disagreements
+
+    prices = [395084.15, 64069.33, 335501.22, 185571.2, 34711.32, 10303.14, 107695.75, 325582.28]
+    rows = [(2 * i + 1, 1, p) for i, p in enumerate(prices[:-1])] + [(16, 1, prices[-1])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    total = 0.0
+    for p in prices:
+        total += p
+    assert tuple(run_disagreements(spark, str(tmp_path)).first()) == (1, float(np.floor(total / 8 * 1e4 + 0.5) / 1e4), prices[-1])
