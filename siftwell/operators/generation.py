@@ -12,6 +12,7 @@ a fence, and malformed ones give no rows.
 
 from __future__ import annotations
 
+import uuid
 from typing import Protocol
 
 import pyarrow as pa
@@ -19,13 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import fenced_json
+from siftwell.operators.indexing import with_global_index
 from siftwell.operators.prompts import ABSTAIN, CONFUSION, SELECT, STANDARD, affordable, batch_prompts, valid_generated
-from siftwell.sources.scratch import materialise
+from siftwell.sources.scratch import materialise, temporary
 from siftwell.sources.splits import exists
 
 SENT = "run string, call string, batch string, prompt string"
 DONE = "run string, call string, batch string, answer string, cost double, error string"
 ANSWERS = "array<struct<tool_id:string,query:string,skip:boolean,separable:boolean,distinction:string,why_unsupported:string>>"
+#: Calls whose batches may be broadcast, at some 50 bytes each.
+BROADCAST_CALLS = 100_000
 CHOICES = "array<struct<id:string,choice:string,tied:boolean>>"
 
 
@@ -64,7 +68,11 @@ def replayed(recorded: DataFrame):
     """Answers that were recorded: ``batch, answer, cost``; a batch without one is a failed call."""
 
     def answers(prompts: DataFrame) -> DataFrame:
-        found = prompts.select("call", "batch").join(recorded.select("batch", "answer", "cost"), "batch", "left")
+        asked = prompts.select("call", "batch")
+        own = recorded.select("batch", "answer", "cost")
+        if asked.count() <= BROADCAST_CALLS:  # a wave: the records stream past it
+            own = own.join(F.broadcast(asked.select("batch").distinct()), "batch", "left_semi")
+        found = asked.join(own, "batch", "left")
         return found.select("call", "answer", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.when(F.col("answer").isNull(), "not recorded").alias("error"))
 
     return answers
@@ -102,29 +110,51 @@ class Ledger:
 
     def todo(self, prompts: DataFrame, attempts: int) -> DataFrame:
         """Calls without an answer that were sent fewer than ``attempts`` times."""
+        return self._open(prompts, attempts).drop("tries")
+
+    def _open(self, prompts: DataFrame, attempts: int) -> DataFrame:
+        """``call, batch, prompt, tries`` of what is to do."""
         calls = prompts.select(F.substring(F.sha2(F.concat_ws("\n", F.col("batch").cast("string"), "prompt"), 256), 1, 24).alias("call"), F.col("batch").cast("string").alias("batch"), "prompt")
         tries = self.sent().groupBy("call").agg(F.count("*").alias("tries"))
         open_calls = calls.join(self.answers(), "call", "left_anti").join(tries, "call", "left")
-        return open_calls.where(F.coalesce("tries", F.lit(0)) < attempts).drop("tries").dropDuplicates(["call"])
+        return open_calls.withColumn("tries", F.coalesce("tries", F.lit(0))).where(F.col("tries") < attempts).dropDuplicates(["call"])
 
     def run(self, prompts: DataFrame, answers, budget: float, cost_per_call: float, attempts: int = 2, wave: int = 1000) -> int:
-        """Send what is to do, in waves in the order of the calls, while the budget pays for it; the number of calls made."""
-        import uuid
-
-        made = 0
-        while True:
-            n = min(wave, affordable(wave, cost_per_call, budget - self.spent()))
-            if n <= 0:
-                return made
-            run = uuid.uuid4().hex
-            now = materialise(self.todo(prompts, attempts).orderBy("call").limit(n), "wave", n)
-            count = now.count()
-            if not count:
-                return made
-            now.select(F.lit(run).alias("run"), "call", "batch", "prompt").write.mode("append").parquet(f"{self.path}/sent")
-            back = answers(now).join(now.select("call", "batch"), "call")
-            back.select(F.lit(run).alias("run"), "call", "batch", "answer", "cost", "error").write.mode("append").parquet(f"{self.path}/done")
-            made += count
+        """Send what is to do, in waves in the order of the calls, while the budget pays for it; the number of calls made.
+
+        What is to do is put in order once. A wave takes calls that failed before (no more than a wave holds, all of them earlier
+        in the order) and then the next ones, so each prompt is read and sent once for each attempt, however many waves there are.
+        """
+        made, at, waiting, spent = 0, 0, 0, self.spent()
+        with temporary(self.spark) as _:
+            calls = materialise(with_global_index(self._open(prompts, attempts), [F.col("call").asc()], "place"), "calls")
+            total, again = calls.count(), None
+            while True:
+                n = min(wave, affordable(wave, cost_per_call, budget - spent), waiting + total - at)
+                if n <= 0:
+                    return made
+                with temporary(self.spark) as keep:
+                    fresh = max(0, n - waiting)
+                    now = calls.where((F.col("place") >= at) & (F.col("place") < at + fresh)).drop("place")
+                    if waiting:
+                        now = now.unionByName(again if waiting <= n else again.orderBy("call").limit(n))
+                    now = materialise(now, "wave", n)
+                    back, failed = self._send(now, answers)
+                    failed = failed.withColumn("tries", F.col("tries") + 1).where(F.col("tries") < attempts)
+                    if waiting > n:
+                        failed = failed.unionByName(again.join(now.select("call"), "call", "left_anti"))
+                    again = keep(materialise(failed, "again", wave))
+                    made, at, waiting = made + n, at + fresh, again.count()
+                    spent += float(back.agg(F.sum("cost")).first()[0] or 0.0)
+
+    def _send(self, now: DataFrame, answers) -> tuple[DataFrame, DataFrame]:
+        """Note calls as sent, ask, and note what came back; that, and the rows of ``now`` that have no answer."""
+        run = uuid.uuid4().hex
+        now.select(F.lit(run).alias("run"), "call", "batch", "prompt").write.mode("append").parquet(f"{self.path}/sent")
+        back = answers(now).join(now.select("call", "batch"), "call")
+        back = materialise(back.select(F.lit(run).alias("run"), "call", "batch", "answer", "cost", "error"), "answered")
+        back.write.mode("append").parquet(f"{self.path}/done")
+        return back, now.join(back.where("answer IS NOT NULL").select("call"), "call", "left_anti")
 
 
 def standard_prompts(units: DataFrame, style: str, batch: str = "batch", pos: str = "pos", block: str = "block") -> DataFrame:

@@ -68,12 +68,12 @@ def window(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
 def tools(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog from pages (path and parameters of the URL) and documents (name, description, tags)."""
     p = table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "url")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text", "lang", "source")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.substring_index("text", " ", 2).alias("name"), F.substring("text", 1, 1200).alias("text"), "lang", "source")
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     params = F.regexp_extract_all(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("([A-Za-z_]+)="), F.lit(1))
     return p.join(d, "pos").select(
-        "pos", slug(F.col("source"), path).alias("tool_id"), F.substring_index("text", " ", 2).alias("name"), F.substring("text", 1, 300).alias("summary"), F.substring("text", 1, 1200).alias("description"),
+        "pos", slug(F.col("source"), path).alias("tool_id"), "name", F.substring("text", 1, 300).alias("summary"), F.col("text").alias("description"),
         params.alias("params"), F.array("lang", "source").alias("tags"), F.col("source").alias("api_title"), host.alias("provider"),
         F.element_at(F.array(*map(F.lit, ("get", "post", "put", "patch", "delete"))), (F.col("pos") % 5 + 1).cast("int")).alias("method"), F.concat(path, F.lit("/{itemId}/userName")).alias("path"),
     )

@@ -665,16 +665,17 @@ def _generation(spark, sf):
     t = fx.tools(spark, sf)
     block = Q.tool_block(F.col("tool_id"), F.col("name"), F.col("api_title"), F.col("description"), F.col("params"), F.col("summary"))
     units = K.in_batches(t.withColumn("block", block), "api_title", "pos", 4).withColumn("batch", F.concat_ws(":", "api_title", "batch"))
+    units = materialise(units.select("batch", "pos", "block", "tool_id", "name"), "units")
     one = F.struct("tool_id", F.concat(F.lit(" do "), "name", F.lit(" ")).alias("query"), (F.col("pos") % 5 == 0).alias("skip"))
     said = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.array_sort(F.collect_list(one))), F.lit("\n```"))
     recorded = units.groupBy("batch").agg(said.alias("answer"), F.min("pos").alias("first")).where("first % 3 <> 0").select("batch", "answer", F.lit(0.25).alias("cost"))
-    return units, recorded
+    return units, materialise(recorded, "recorded")
 
 
 def generation_ledger(spark, sf):
     """Two runs against one ledger: the first ends with its budget, the second sends the rest and tries failed calls once more."""
     units, recorded = _generation(spark, sf)
-    prompts = materialise(E.standard_prompts(units, "short"), "prompts")
+    prompts = E.standard_prompts(units, "short")
     ledger = E.Ledger(spark, scratch_path(spark, "ledger"))
     for budget in (2.0, 10.0**6):
         ledger.run(prompts, E.replayed(recorded), budget, 0.25)

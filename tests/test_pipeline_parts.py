@@ -146,6 +146,27 @@ def test_ledger_resumes_within_its_budget(spark, tmp_path):
     assert lost.run(prompts.where("batch = 'b1'"), live, 100.0, 0.5, attempts=2) == 1 and lost.stats().first()["answered"] == 1
 
 
+def test_ledger_reads_prompts_once(spark, tmp_path):
+    """Waves neither read all prompts again, nor repeat what failed more often than asked; a model may leave calls out."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    prompts = spark.createDataFrame([(f"b{i}", f"prompt {i}") for i in range(40)], "batch string, prompt string").mapInArrow(counted, "batch string, prompt string")
+    recorded = spark.createDataFrame([(f"b{i}", "[]", 0.25) for i in range(40) if i % 4], "batch string, answer string, cost double")
+    ledger = E.Ledger(spark, str(tmp_path))
+    assert ledger.run(prompts, E.replayed(recorded), 100.0, 0.25, wave=6) == 50
+    assert read.value <= 80  # once to find the ranges, once to sort
+    assert tuple(ledger.stats().first()) == (40, 30, 10, 0, 7.5)
+    assert {r["count"] for r in ledger.sent().groupBy("call").count().collect()} == {1, 2}
+    silent = E.Ledger(spark, str(tmp_path / "silent"))
+    quiet = lambda p: E.replayed(recorded)(p).where("answer IS NOT NULL")
+    assert silent.run(prompts, quiet, 2.6, 0.25, attempts=3, wave=4) >= 10 and silent.spent() == 2.5
+
+
 def test_answers_become_intents(spark):
     work = spark.createDataFrame([("b", "t1"), ("b", "t2"), ("c", "t3")], "batch string, tool_id string")
     told = [
