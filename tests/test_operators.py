@@ -434,3 +434,15 @@ def test_replicate_weights(spark):
     r = S.mean_difference_interval(rows.withColumn("zero", F.lit(0)), ["g"], "zero", "d", "id", reps=1000).first()
     se = d.std() / math.sqrt(len(d))
     assert r["mean_delta"] == pytest.approx(d.mean(), abs=1e-6) and r["low"] == pytest.approx(d.mean() - 1.96 * se, abs=0.4 * se) and r["high"] == pytest.approx(d.mean() + 1.96 * se, abs=0.4 * se)
+
+
+def test_pruned_join_sends_no_row_for_each_cell(spark):
+    """Without clusters all cells meet; the plan packs both sides once and deals nothing by pairs of cells."""
+    rng = np.random.default_rng(12)
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (300, 8)))], "tid long, v array<double>")
+    b = Y.blocks(index.toDF("qid", "qv"), index, 0.1, same=True, cell_rows=10)
+    assert b.pairs.count() > 25 * 25
+    sent = []
+    reduce = lambda rows: sent.append(rows._jdf.queryExecution().executedPlan().toString()) or rows
+    Y._met(b, lambda known, slices: [(known["qid"], [sum(len(t) for t, _ in slices)] * len(known["qid"]))], Y.pa.schema([("qid", Y.pa.int64()), ("n", Y.pa.int64())]), reduce)
+    assert "CartesianProduct" in sent[0] and "FlatMapCoGroups" not in sent[0]
