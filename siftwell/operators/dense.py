@@ -19,9 +19,9 @@ from siftwell.operators.ranking import nearest, sample_rows, top_k
 
 DIGITS = 6
 #: Rows and bytes of one block of vectors, and cells of one product.
-BLOCK_ROWS, BLOCK_BYTES, CELLS = 20_000, 64 << 20, 1 << 21
-#: Cells of a query's best rows and of a product that a worker holds beside them, before it drops all but the k best.
-HELD = 1 << 21
+BLOCK_ROWS, BLOCK_BYTES, CELLS = 20_000, 64 << 20, 1 << 20
+#: Best rows that a worker sorts at once; it keeps four times as many that may be among them before it does.
+HELD = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -98,21 +98,40 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, same: bool = False)
     """
 
     def fold(known, slices):
-        qid = known["qid"]
-        least, held, size = np.full(len(qid), -np.inf), [], 0
+        qid, place = known["qid"], k
+        n, step = len(qid), max(1, HELD // max(place, 1))
+        best, ids, found = np.full((n, place), -np.inf), np.zeros((n, place), "i8"), np.zeros(n, "i8")
+
+        def merge(i, v, t):
+            """Rows that may be among the best into the best, some queries at a time."""
+            order = np.argsort(i, kind="stable")
+            i, v, t = i[order], v[order], t[order]
+            for at in range(0, n, step):
+                own = slice(*np.searchsorted(i, [at, at + step]))
+                rows = np.unique(i[own])
+                a, b = np.nonzero(np.arange(place) < found[rows, None])
+                a = rows[a]
+                q, score, tid, nth = _k_best(np.concatenate([a, i[own]]), np.concatenate([best[a, b], v[own]]), np.concatenate([ids[a, b], t[own]]), place)
+                best[q, nth], ids[q, nth] = score, tid
+                found[rows] = np.bincount(q - at, minlength=step)[rows - at]
+
+        held, size = [], 0
         for tid, s in slices:
-            if same:
+            if same and np.isin(qid, tid).any():
                 s[qid[:, None] == tid] = np.nan
+            # Before a query has its k best, all rows may be among them; then only those that reach the last of them.
+            least = np.where(found < place, -np.inf, best[:, -1])
             i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
             held.append((i, s[i, j], tid[j]))
             size += len(i)
-            if size > len(qid) * k + HELD:
-                i, s, t, place = _k_best(*map(np.concatenate, zip(*held)), k)
-                least[i[place == k - 1]] = s[place == k - 1]
-                held, size = [(i, s, t)], len(i)
-        if held:
-            i, s, t, _ = _k_best(*map(np.concatenate, zip(*held)), k)
-            yield qid[i], t, s
+            if size > 4 * HELD:
+                merge(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            merge(*map(np.concatenate, zip(*held)))
+        for at in range(0, n, step):
+            i, j = np.nonzero(np.arange(place) < found[at : at + step, None])
+            yield qid[at + i], ids[at + i, j], best[at + i, j]
 
     return top_k(_product(queries.select("qid", "qv"), index, fold, _SCORES), k)
 

@@ -446,3 +446,22 @@ def test_pruned_join_sends_no_row_for_each_cell(spark):
     reduce = lambda rows: sent.append(rows._jdf.queryExecution().executedPlan().toString()) or rows
     Y._met(b, lambda known, slices: [(known["qid"], [sum(len(t) for t, _ in slices)] * len(known["qid"]))], Y.pa.schema([("qid", Y.pa.int64()), ("n", Y.pa.int64())]), reduce)
     assert "CartesianProduct" in sent[0] and "FlatMapCoGroups" not in sent[0]
+
+
+def test_dense_topk_sorts_few_rows_at_once(monkeypatch):
+    """The fold of a worker against a full sort, and the most rows that it sorts: they follow HELD, not the queries times k."""
+    got, sizes, plain = {}, [], D._k_best
+    monkeypatch.setattr(D, "_product", lambda q, x, fold, *_: got.setdefault("fold", fold))
+    monkeypatch.setattr(D, "top_k", lambda d, k: d)
+    monkeypatch.setattr(D, "_k_best", lambda i, *a: sizes.append(len(i)) or plain(i, *a))
+    monkeypatch.setattr(D, "HELD", 500)
+
+    class Queries:
+        select = lambda self, *_: self
+
+    D.dense_topk(Queries(), None, 20, same=True)
+    rng = np.random.default_rng(3)
+    s, tid, qid = rng.integers(0, 50, (300, 4000)).astype("f8"), rng.permutation(4000), np.arange(300)
+    rows = [np.concatenate(x) for x in zip(*got["fold"]({"qid": qid}, [(tid[a : a + 10], s[:, a : a + 10].copy()) for a in range(0, 4000, 10)]))]
+    want = {(q, t) for q in qid for t in [tid[k] for k in np.lexsort((tid, -s[q])) if tid[k] != q][:20]}
+    assert set(zip(rows[0], rows[1])) == want and max(sizes) < 300 * 20 / 2
