@@ -52,6 +52,27 @@ def build_bm25(docs: DataFrame, text: Column, k1: float = K1, b: float = B, only
     return Bm25Index(materialise(postings, "postings"), terms, n, mean)
 
 
+def term_stats(docs: DataFrame, text: Column) -> DataFrame:
+    """``w, df, cf, idf`` of all terms, as ``build_bm25`` has them, without its postings.
+
+    Both counts are sums that add up by term before the exchange. Rows of one ``tid`` count as one document, so those that are not
+    alone are joined first; only their ids and texts are exchanged.
+    """
+    n = docs.count()
+    rows = docs.select("tid", tokens(text).alias("t"))
+    again = materialise(rows.groupBy("tid").agg(F.count("*").alias("k")).where("k > 1").select("tid"), "repeated-ids")
+    if again.isEmpty():
+        every = rows.select("t")
+    else:
+        same = F.col("tid").eqNullSafe(F.col("other"))
+        other = again.withColumnRenamed("tid", "other")
+        whole = rows.join(other, same, "left_semi").groupBy("tid").agg(F.flatten(F.collect_list("t")).alias("t"))
+        every = rows.join(other, same, "left_anti").select("t").unionByName(whole.select("t"))
+    words = every.select(F.explode("t").alias("w"), F.lit(0).alias("one")).unionByName(every.select(F.explode(F.array_distinct("t")).alias("w"), F.lit(1).alias("one")))
+    terms = words.groupBy("w").agg(F.sum("one").alias("df"), F.sum(1 - F.col("one")).alias("cf"))
+    return terms.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
 def bm25_scores(index: Bm25Index, queries: DataFrame, text: Column, pool: DataFrame | None = None) -> DataFrame:
     """``qid, tid, score`` of documents that share a term with the query. A term counts once for each time the query has it.
 

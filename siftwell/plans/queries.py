@@ -115,7 +115,7 @@ def tokenize(spark, sf):
 
 
 def term_stats(spark, sf):
-    return fx.text_index(spark, sf).terms.select("w", "df", "cf", F.round("idf", 6).alias("idf"))
+    return L.term_stats(fx.text_docs(spark, sf), F.col("text")).select("w", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):

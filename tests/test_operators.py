@@ -465,3 +465,11 @@ def test_dense_topk_sorts_few_rows_at_once(monkeypatch):
     rows = [np.concatenate(x) for x in zip(*got["fold"]({"qid": qid}, [(tid[a : a + 10], s[:, a : a + 10].copy()) for a in range(0, 4000, 10)]))]
     want = {(q, t) for q in qid for t in [tid[k] for k in np.lexsort((tid, -s[q])) if tid[k] != q][:20]}
     assert set(zip(rows[0], rows[1])) == want and max(sizes) < 300 * 20 / 2
+
+
+def test_term_stats_without_postings(spark):
+    """Rows of one document count once for a term; null ids, null texts and repeated words."""
+    rows = [(1, "a b a"), (1, "a c"), (2, "b b"), (3, None), (None, "c d"), (None, "d")]
+    docs = spark.createDataFrame(rows, "tid long, text string")
+    got = {r["w"]: (r["df"], r["cf"], round(r["idf"], 9)) for r in L.term_stats(docs, F.col("text")).collect()}
+    assert got == {w: (d, c, round(math.log(1 + (6 - d + 0.5) / (d + 0.5)), 9)) for w, d, c in (("a", 1, 3), ("b", 2, 3), ("c", 2, 2), ("d", 1, 2))}
