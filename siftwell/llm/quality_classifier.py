@@ -8,13 +8,15 @@ the language's mean over held-out trusted text, as if PRIOR_WORDS such words sto
 Counts and scores are joins on shards of the middle word of a trigram, so that a trigram meets its count, its two contexts
 and its bigram in one shard:
 
-1. Words of trusted text are counted and numbered by frequency. The numbered vocabulary is broadcast: the VOCABULARY most
-   frequent words at most, of all distinct words as long as there are no more; rarer ones count as unseen.
+1. Words of trusted text are counted and numbered by frequency. The numbers of the VOCABULARY most frequent words are
+   broadcast. Any other word has 63 bits of its hash as its number, and what trusted text tells of it stands in that number's
+   shard; such words that fill many positions of the documents are looked up first and broadcast with the frequent ones.
 2. Trigrams of trusted text go to their shard, counted by batch; a shard adds them up, keeps a table of its trigrams and
    tells how many contexts each word follows. Discounts and the lowest order follow from those sums.
 3. Trigrams of all documents go to the same shards and meet the tables; a shard returns the sum of log probabilities of its
-   part of each text, and the sums of a batch of texts are added up. Texts are dealt to ROUNDS parts by a hash, one after the
-   other, so that the exchange of one part alone takes disk at a time.
+   part of each text, and the sums of a batch of texts are added up. Where the last word is none of those broadcast, the
+   shard returns the two shares of its probability, and the shard of the last word adds its lowest order. Texts are dealt to
+   ROUNDS parts by a hash, one after the other, so that the exchange of one part alone takes disk at a time.
 
 Rows of all exchanges are packed batches: numbers of words, byte by byte, compressed; of copies of a text one asks. A middle word that fills more than
 SHARD_WORDS positions is dealt to several shards, with a copy of its table in each.
@@ -50,7 +52,7 @@ MARGIN = 1.5
 PRIOR_WORDS = 25
 SEED = "trusted-1"
 POOLED = "*"
-#: Words that are numbered and broadcast, at 20 bytes each.
+#: Words whose numbers are broadcast, at 20 bytes each; all others are looked up in shards.
 VOCABULARY = 1 << 22
 #: Positions that one shard holds, about.
 SHARD_WORDS = 4_000_000
@@ -64,8 +66,8 @@ ARROW_ROWS, SLICE_BYTES = 1000, 2 << 20
 BROADCAST_IDS = 2_000_000
 #: Parts of the texts that are scored one after the other: the positions of one part are exchanged at a time.
 ROUNDS = 2
-#: Packed rows that a shard answers together.
-TOGETHER = 16
+#: Packed rows that a shard answers together, and positions that it sends on together to shards of last words.
+TOGETHER, SENT_ON = 16, 500_000
 #: Probability of a word where nothing is known at all.
 NOTHING = 1e-9
 
@@ -123,19 +125,21 @@ def _text_slices(batches):
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as four planes of bytes, each compressed on its own; a plane of zeros takes no room."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T)
+    """Unsigned numbers as planes of bytes, each compressed on its own; a plane of zeros takes no room."""
+    size = 8 if numbers.max(initial=0) >= 1 << 32 else 4
+    planes = np.ascontiguousarray(numbers.astype(f"<u{size}").view("u1").reshape(-1, size).T)
     blobs = [pa.compress(x, codec="zstd", asbytes=True) if x.any() else b"" for x in planes]
-    return np.asarray([len(x) for x in blobs], "<u4").tobytes() + b"".join(blobs)
+    return bytes([size]) + np.asarray([len(x) for x in blobs], "<u4").tobytes() + b"".join(blobs)
 
 
 def unpack(blob: bytes, n: int) -> np.ndarray:
-    out, at = np.zeros((n, 4), "u1"), 16
-    for k, size in enumerate(np.frombuffer(blob, "<u4", 4).tolist()):
-        if size:
-            out[:, k] = np.frombuffer(pa.decompress(blob[at : at + size], n, codec="zstd"), "u1")
-        at += size
-    return out.view("<u4").ravel()
+    size = blob[0]
+    out, at = np.zeros((n, size), "u1"), 1 + 4 * size
+    for k, m in enumerate(np.frombuffer(blob, "<u4", size, 1).tolist()):
+        if m:
+            out[:, k] = np.frombuffer(pa.decompress(blob[at : at + m], n, codec="zstd"), "u1")
+        at += m
+    return out.view(f"<u{size}").ravel()
 
 
 def steps(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,22 +160,56 @@ def unstep(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- the vocabulary
 
 
+def _word_keys(lang: str, found: pa.Array) -> np.ndarray:
+    """Hashes of language and word."""
+    hashes = np.fromiter(map(_hash, found.to_pylist()), "u8", len(found))
+    return _mix(np.full(len(hashes), _hash(lang), "u8"), hashes)
+
+
 def _word_counts(batches):
     begin("classifier")
     for _, texts, lang in _text_slices(batches):
         found = split_words(texts)[0].value_counts()
         if len(found):
-            hashes = np.fromiter(map(_hash, found.field("values").to_pylist()), "u8", len(found))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(_mix(np.full(len(found), _hash(lang), "u8"), hashes).view("i8")), found.field("counts")], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(_word_keys(lang, found.field("values")).view("i8")), found.field("counts")], ["lang", "word", "n"])
 
 
-class Numbering:
-    """Numbers of words: those of the vocabulary, then for each language one for the begin of a text and one for words unseen."""
+def model_of(lang: str, langs) -> str:
+    """The language whose model scores ``lang``."""
+    return lang if lang in langs else POOLED if POOLED in langs else min(langs)
+
+
+def _frequent(shared, langs, a_byte: float):
+    """Words that are none of those broadcast and stand in a slice of texts ``a_byte`` times or more for each of its bytes."""
+
+    def run(batches):
+        begin("classifier")
+        for _, texts, lang in _text_slices(batches):
+            found, lang = split_words(texts)[0].value_counts(), model_of(lang, langs)
+            often = found.field("counts").to_numpy() >= a_byte * (pc.sum(pc.binary_length(texts)).as_py() or 0)
+            found = found.filter(pa.array(often))
+            key = _word_keys(lang, found.field("values"))
+            new = ~np.isin(key, shared.value)
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(new.sum()), pa.string()), pa.array(key[new].view("i8")), pa.array(found.field("counts").to_numpy()[new])], ["lang", "word", "n"])
+
+    return run
+
 
-    def __init__(self, keys: np.ndarray, langs: dict[str, int]):
-        """``keys``: hashes of language and word in the order of their numbers."""
-        self.size, self.langs, order = len(keys), langs, np.argsort(keys)
-        self.keys, self.ids = keys[order], order.astype("u4")
+class Numbering:
+    """Numbers of words: those of the vocabulary, then for each language one for the begin of a text and one for words unseen;
+    from ``base`` on numbers by hash, where trusted text has other words than the vocabulary (``rest``)."""
+
+    def __init__(self, keys: np.ndarray, langs: dict[str, int], rest: bool = False, unseen: list[tuple[str, int]] = ()):
+        """``keys``: hashes of language and word in the order of their numbers; ``unseen``: language and hash of words that
+        trusted text is known not to have."""
+        self.size, self.langs, self.rest = len(keys), langs, rest
+        self.base = self.size + 2 * len(langs)
+        self.bits = 64 if rest else self.base.bit_length()
+        keys = np.concatenate([keys, np.asarray([k for _, k in unseen], "i8").view("u8")])
+        ids = np.concatenate([np.arange(self.size), np.asarray([self.unseen(lang) for lang, _ in unseen], "i8")])
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order].astype("u4")
 
     def begin(self, lang: str) -> int:
         return self.size + self.langs[lang]
@@ -183,13 +221,15 @@ class Numbering:
         """Numbers of all words, two begins before each text, and the number of words of each text."""
         found, n = split_words(texts)
         found = found.dictionary_encode()
-        hashes = np.fromiter(map(_hash, found.dictionary.to_pylist()), "u8", len(found.dictionary))
-        asked = _mix(np.full(len(hashes), _hash(lang), "u8"), hashes)
-        ids = np.full(len(hashes), self.unseen(lang), "u4")
-        if self.size:
-            i = np.minimum(np.searchsorted(self.keys, asked), self.size - 1)
+        asked = _word_keys(lang, found.dictionary)
+        if self.rest:
+            ids = (asked % np.uint64((1 << 63) - self.base)).astype("i8") + self.base
+        else:
+            ids = np.full(len(asked), self.unseen(lang), "u4")
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
             ids = np.where(self.keys[i] == asked, self.ids[i], ids)
-        out = np.full(int(n.sum()) + 2 * len(n), self.begin(lang), "u4")
+        out = np.full(int(n.sum()) + 2 * len(n), self.begin(lang), ids.dtype)
         out[_positions(n)] = ids[found.indices.to_numpy()]
         return out, n
 
@@ -202,26 +242,28 @@ def _positions(n: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The numbering, and of each number its language and how often it stands in trusted text."""
 
-    def __init__(self, counts: pa.Table, starts: dict[str, int], cut: dict[str, tuple[int, int]]):
-        """``counts``: language, hash and count of the words, numbered by count; ``starts``: texts of each language;
-        ``cut``: distinct words and words of each language that ``counts`` leaves out."""
+    def __init__(self, counts: pa.Table, starts: dict[str, int], rest: bool, frequent: list[tuple[str, int, int]]):
+        """``counts``: language, hash and count of the words, numbered by count; ``starts``: texts of each language; ``rest``:
+        whether ``counts`` leaves words out; ``frequent``: language, hash and count in documents of words that may be in neither."""
         names = sorted(starts)
         langs = {lang: k for k, lang in enumerate(names)}
         key, n = counts.column("word").to_numpy().view("u8"), counts.column("n").to_numpy()
         order = np.lexsort((key, -n))
-        self.numbering = Numbering(key[order], langs)
+        known = dict(zip(key[order].view("i8").tolist(), range(len(key)))) if frequent else {}
+        self.numbering = Numbering(key[order], langs, rest, [(lang, word) for lang, word, _ in frequent if word not in known])
+        self.asked = {known[word]: times for _, word, times in frequent if word in known}
         own = pa.chunked_array(counts.column("lang"), pa.string()).combine_chunks().dictionary_encode()
         of_word = np.asarray([langs[x] for x in own.dictionary.to_pylist()], "u4")[own.indices.to_numpy()[order]] if len(key) else np.zeros(0, "u4")
         sides = np.arange(len(names), dtype="u4")
         self.lang = np.concatenate([of_word, sides, sides]).astype("u2" if len(names) < 1 << 16 else "u4")
-        self.n = np.concatenate([n[order], [starts[x] for x in names], [cut.get(x, (0, 0))[1] for x in names]]).astype("i8")
-        self.cut_types = {x: cut[x][0] for x in names if x in cut}
+        self.n = np.concatenate([n[order], [starts[x] for x in names], np.zeros(len(names))]).astype("i8")
 
 
-def vocabulary(train: DataFrame) -> Vocabulary:
-    """Numbers of the words of ``train`` (``lang, text``)."""
+def vocabulary(train: DataFrame, asked: DataFrame, n_asked: int) -> Vocabulary:
+    """Numbers of the words of ``train`` (``lang, text``), to be looked up for ``asked``, texts of ``n_asked`` bytes."""
+    spark = train.sparkSession
     counts = train.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    with temporary(train.sparkSession):
+    with temporary(spark):
         counts = materialise(counts, "word-counts")
         least, total = 1, 0
         for n, types in sorted(counts.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
@@ -229,9 +271,17 @@ def vocabulary(train: DataFrame) -> Vocabulary:
             if total > VOCABULARY:
                 least = n + 1
                 break
-        cut = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") < least).groupBy("lang").agg(F.count("*"), F.sum("n")).collect()} if least > 1 else {}
         starts = {r[0]: r[1] for r in train.where(F.col("text").rlike(r"[^ \t-\r]")).groupBy("lang").count().collect()}
-        return Vocabulary(counts.where(F.col("n") >= least).toArrow(), starts, cut)
+        hot, frequent = counts.where(F.col("n") >= least).toArrow(), []
+        if least > 1 and n_asked >= SHARD_WORDS:
+            # Slices leave out less than half of SHARD_WORDS positions of a word; few words can have the other half.
+            shared = spark.sparkContext.broadcast(hot.column("word").to_numpy().view("u8"))
+            found = asked.mapInArrow(_frequent(shared, set(starts), SHARD_WORDS / (2 * n_asked)), "lang string, word long, n long")
+            found = materialise(found.groupBy("lang", "word").agg(F.sum("n").alias("asked")).where(F.col("asked") >= SHARD_WORDS / 2), "frequent")
+            frequent = [tuple(r) for r in found.collect()]
+            hot = pa.concat_tables([hot, counts.join(F.broadcast(found.select("word")), "word").select(*counts.columns).toArrow().cast(hot.schema)])
+            shared.unpersist()
+        return Vocabulary(hot, starts, least > 1, frequent)
 
 
 # --- counts
@@ -265,14 +315,16 @@ def _trigrams(shared, shards: int):
             new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             db, da = steps(b, a)
             db[new], da[new] = b[new], a[new]
-            yield pa.RecordBatch.from_arrays(_rows(shard, [da, db, c, count]), ["shard", "m", "a", "b", "c", "count"])
+            rows = _rows(shard, [da, db, c, count])
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([numbering.langs[lang]] * len(rows[0]), pa.int64())], ["shard", "m", "a", "b", "c", "count", "lang"])
 
     return run
 
 
 def _keys(bits: int, *numbers: np.ndarray) -> np.ndarray:
-    """One 64-bit key for a tuple of numbers: in their order where ``bits`` for each but the first leave room, else a hash."""
-    fits = bits * (len(numbers) - 1) + int(numbers[0].max(initial=0)).bit_length() <= 64
+    """One 64-bit key for a tuple of numbers: in their order where ``bits`` for each leave room, else a hash. What is asked may
+    have smaller numbers than the table, so the choice must not follow the numbers at hand."""
+    fits = bits * len(numbers) <= 64
     key = numbers[0].astype("u8")
     for x in numbers[1:]:
         key = key << np.uint64(bits) | x.astype("u8") if fits else _mix(key, x.astype("u8"))
@@ -296,50 +348,73 @@ def _unpacked(rows: pa.Table) -> list[np.ndarray]:
     return [*map(np.concatenate, out)]
 
 
-_TABLE = pa.schema([(x, pa.int64()) for x in ("shard", "copies", "m")] + [(x, pa.binary()) for x in ("a", "b", "c", "count")] + [(x, pa.int64()) for x in ("lang", "k", "n", "part")])
-_TABLE_DDL = "shard long, copies long, m long, a binary, b binary, c binary, count binary, lang long, k long, n long, part long"
+_TABLE = pa.schema([(x, pa.int64()) for x in ("shard", "copies", "m")] + [(x, pa.binary()) for x in ("a", "b", "c", "count", "langs")] + [(x, pa.int64()) for x in ("lang", "k", "n", "part", "rest")])
+_TABLE_DDL = "shard long, copies long, m long, a binary, b binary, c binary, count binary, langs binary, lang long, k long, n long, part long, rest long"
 
 
-def _added_up(shared, shards: int, copies: dict[int, int]):
+def _added_up(shards: int, base: int, bits: int, copies: dict[int, int]):
     """A shard's table: its trigrams (words of several shards in a row each), counts of counts (``k``: ten times the order and
-    the count), and by ranges of words (``part``) how many contexts each word follows."""
+    the count), and by ranges of words (``part``), or by shards of numbers from ``base`` on (``rest``), how many contexts each
+    word follows."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         begin("classifier")
         shard = key[0].as_py()
         a, b, c, count = _unpacked(rows)
-        lang = shared.value
-        bits = len(lang).bit_length()
+        lang = np.repeat(rows.column("lang").to_numpy(), rows.column("m").to_numpy())
         first, of = _distinct(_keys(bits, b, a, c))
         count = np.bincount(of, count, len(first)).astype("i8")
-        a, b, c = a[first], b[first], c[first]
+        a, b, c, lang = a[first], b[first], c[first], lang[first]
         order = np.lexsort((c, a, b))
-        a, b, c, count = a[order], b[order], c[order], count[order]
+        a, b, c, lang, count = a[order], b[order], c[order], lang[order], count[order]
         word = b * shards + shard
-        lang = lang[word]
         out: list[dict] = []
         heavy = [x for x in copies if x % shards == shard]
         for x in [None, *heavy]:
             at = np.flatnonzero(~np.isin(word, heavy) if x is None else word == x)
             if len(at):
                 db, da = steps(b[at], a[at])
-                out.append({"shard": shard, "copies": copies.get(x, 1), "m": len(at)} | {k: pack(v) for k, v in (("a", da), ("b", db), ("c", c[at]), ("count", count[at]))})
+                out.append({"shard": shard, "copies": copies.get(x, 1), "m": len(at)} | {k: pack(v) for k, v in (("a", da), ("b", db), ("c", c[at]), ("count", count[at]), ("langs", lang[at]))})
         second, of = _distinct(_keys(bits, b, c))
         for order_, l, n in ((3, lang, count), (2, lang[second], np.bincount(of, minlength=len(second)))):
             for x in np.unique(l).tolist():
                 times = np.bincount(np.minimum(n[l == x], 5), minlength=6)
                 out += [{"lang": x, "k": 10 * order_ + i, "n": int(times[i])} for i in (1, 2, 3, 4) if times[i]]
-        follower, times = np.unique(c[second], return_counts=True)
-        for part in np.unique(follower // RANGE).tolist():
+        follower, at, times = np.unique(c[second], return_index=True, return_counts=True)
+        lang, rest = lang[second][at], follower >= base
+        for part in np.unique(follower[~rest] // RANGE).tolist():
             at = follower // RANGE == part
+            at &= ~rest
             dense = np.zeros(RANGE, "u4")
             dense[follower[at] % RANGE] = times[at]
             out.append({"part": part, "c": pack(dense)})
+        follower, lang, times = follower[rest], lang[rest], times[rest]
+        order = np.argsort(follower % shards, kind="stable")
+        columns = _rows((follower % shards)[order], [x[order] for x in (follower // shards, times, lang)]) if len(order) else []
+        out += [dict(zip(("rest", "m", "c", "count", "langs"), x)) for x in zip(*(x.to_pylist() for x in columns))]
         return pa.Table.from_pylist(out, schema=_TABLE)
 
     return run
 
 
+_REST = pa.schema([("shard", pa.int64()), ("m", pa.int64()), ("c", pa.binary()), ("count", pa.binary()), ("lang", pa.int64()), ("k", pa.int64()), ("n", pa.int64())])
+_REST_DDL = "shard long, m long, c binary, count binary, lang long, k long, n long"
+
+
+def _rest_words(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A shard's words that are not broadcast, with how many contexts each follows; and of each language how many words they
+    are (``k`` 0), how many of them follow 1 to 4 contexts, and how many contexts they follow in all (``k`` 5)."""
+    m = rows.column("m").to_pylist()
+    c, count, lang = (np.concatenate([unpack(x, k) for x, k in zip(rows.column(name).to_pylist(), m)]).astype("i8") for name in ("c", "count", "langs"))
+    first, of = _distinct(c)
+    c, lang, count = c[first], lang[first], np.bincount(of, count, len(first)).astype("i8")
+    out: list[dict] = [{"shard": key[0].as_py(), "m": len(c), "c": pack(np.diff(c, prepend=0)), "count": pack(count)}]
+    for x in np.unique(lang).tolist():
+        own = count[lang == x]
+        out += [{"lang": x, "k": k, "n": n} for k, n in [(0, len(own)), *((i, int((own == i).sum())) for i in (1, 2, 3, 4)), (5, int(own.sum()))]]
+    return pa.Table.from_pylist(out, schema=_REST)
+
+
 def _range_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     total = sum(unpack(blob, RANGE).astype("i8") for blob in rows.column("c").to_pylist())
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([total.tobytes()], pa.binary())})
@@ -351,33 +426,43 @@ def _discounts(n: list[float]) -> list[float]:
     return [0.0, *(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0) if n[k - 1] and n[0] else 0.5 for k in (1, 2, 3))]
 
 
-def _lowest_order(v: Vocabulary, follows: np.ndarray) -> np.ndarray:
-    """Probability of every number by the lowest order: a discounted share and an even share of what is held back."""
-    p = np.full(len(v.lang), NOTHING)
+def _lowest_order(v: Vocabulary, follows: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Probability of every number by the lowest order: a discounted share and an even share of what is held back; and of each
+    language what gives those of the words by hash: discounts, contexts in all, even share.
+
+    ``rest``: of each language the sums of ``_rest_words``.
+    """
+    p, langs = np.full(len(v.lang), NOTHING), len(v.numbering.langs)
+    discounts, totals, evens = np.zeros((langs, 4)), np.ones(langs), np.full(langs, NOTHING)
     for lang, k in v.numbering.langs.items():
         own = np.flatnonzero((v.lang == k) & (follows > 0))
         n = follows[own]
-        d = np.asarray(_discounts([float((n == i).sum()) for i in (1, 2, 3, 4)]))[np.minimum(n, 3)]
-        even = d.sum() / n.sum() / (len(own) + 1) if len(own) else NOTHING
-        p[v.numbering.unseen(lang)] = even
-        p[own] = (n - d) / n.sum() + even
-        p[v.numbering.unseen(lang)] /= v.cut_types.get(lang, 1)
-    return p.astype("f4")
+        times = [float((n == i).sum() + rest[k, i]) for i in (1, 2, 3, 4)]
+        discounts[k] = d = np.asarray(_discounts(times))
+        if words_ := len(own) + rest[k, 0]:
+            totals[k] = n.sum() + rest[k, 5]
+            evens[k] = (d[1] * times[0] + d[2] * times[1] + d[3] * (words_ - times[0] - times[1])) / totals[k] / (words_ + 1)
+        p[v.numbering.unseen(lang)] = evens[k]
+        p[own] = (n - d[np.minimum(n, 3)]) / totals[k] + evens[k]
+    return p.astype("f4"), (discounts, totals, evens)
 
 
 class Model:
     """The vocabulary, the lowest order, the discounts ``[order, language, count]``, and the written tables of the shards."""
 
-    def __init__(self, train: DataFrame, asked_by_trained: float, shards: int):
+    def __init__(self, train: DataFrame, asked: DataFrame, n_asked: int, n_trained: int, shards: int):
         spark = train.sparkSession
-        v = vocabulary(train)
-        self.shards, self.langs = shards, v.numbering.langs
-        self.copies = {int(x): 1 + int(v.n[x] * asked_by_trained / SHARD_WORDS) for x in np.flatnonzero(v.n * asked_by_trained >= SHARD_WORDS)}
+        v = vocabulary(train, asked, n_asked)
+        self.shards, self.langs, self.rest, self.bits = shards, v.numbering.langs, v.numbering.rest, v.numbering.bits
+        #: Numbers of words unseen, and the first number by hash.
+        self.unseen, self.base = v.numbering.size + len(self.langs), v.numbering.base
+        times = v.n * (n_asked / n_trained)
+        for x, n in v.asked.items():
+            times[x] = max(times[x], n)
+        self.copies = {int(x): 1 + int(times[x] / SHARD_WORDS) for x in np.flatnonzero(times >= SHARD_WORDS)}
         self.numbering = spark.sparkContext.broadcast(v.numbering)
-        grams = train.mapInArrow(_trigrams(self.numbering, shards), "shard long, m long, a binary, b binary, c binary, count binary")
-        lang = spark.sparkContext.broadcast(v.lang)
-        self.tables = materialise(grams.groupBy("shard").applyInArrow(_added_up(lang, shards, self.copies), _TABLE_DDL), "trigrams")
-        lang.unpersist()
+        grams = train.mapInArrow(_trigrams(self.numbering, shards), "shard long, m long, a binary, b binary, c binary, count binary, lang long")
+        self.tables = materialise(grams.groupBy("shard").applyInArrow(_added_up(shards, self.base, self.bits, self.copies), _TABLE_DDL), "trigrams")
         del grams
         release(spark)
         discounts, n = np.zeros((4, len(self.langs), 4)), {}
@@ -389,48 +474,55 @@ class Model:
         follows = np.zeros((len(v.lang) // RANGE + 1) * RANGE, "i8")
         for part, blob in self.tables.where("part IS NOT NULL").groupBy("part").applyInArrow(_range_sums, "part long, c binary").collect():
             follows[part * RANGE : (part + 1) * RANGE] = np.frombuffer(blob, "i8")
-        self.without = np.flatnonzero(v.n == 0)
-        self.values = spark.sparkContext.broadcast((_lowest_order(v, follows[: len(v.lang)]), v.lang, discounts))
+        rest = np.zeros((len(self.langs), 6), "i8")
+        if self.rest:
+            self.rest_words = materialise(self.tables.where("rest IS NOT NULL").groupBy("rest").applyInArrow(_rest_words, _REST_DDL), "rest-words")
+            for l, k, times in self.rest_words.where("k IS NOT NULL").groupBy("lang", "k").agg(F.sum("n")).collect():
+                rest[l, k] = times
+        low, shares = _lowest_order(v, follows[: len(v.lang)], rest)
+        self.values, self.shares = spark.sparkContext.broadcast((low, discounts)), shares
 
 
 # --- scores
 
-_ASKED = pa.schema([("shard", pa.int64()), ("m", pa.int64()), *((x, pa.binary()) for x in ("a", "b", "c", "text", "off")), ("chunk", pa.int64())])
-_ASKED_DDL = "shard long, m long, a binary, b binary, c binary, text binary, off binary, chunk long"
+_ASKED = pa.schema([("shard", pa.int64()), ("m", pa.int64()), *((x, pa.binary()) for x in ("a", "b", "c", "text", "off")), ("chunk", pa.int64()), ("lang", pa.int64())])
+_ASKED_DDL = "shard long, m long, a binary, b binary, c binary, text binary, off binary, chunk long, lang long"
 
 
 def _asked(model: Model):
     """Trigrams of a chunk of texts, one packed row a shard; before them a row with the keys and word counts of the texts and
     the sums for words behind one that trusted text has not: the lowest order alone tells of these."""
-    shared, values, shards, copies, langs, without = model.numbering, model.values, model.shards, model.copies, model.langs, model.without
+    shared, values, shards, copies, langs, unseen, base = model.numbering, model.values, model.shards, model.copies, model.langs, model.unseen, model.base
     heavy = np.asarray(sorted(copies), "i8")
     many = np.asarray([copies[x] for x in sorted(copies)], "i8")
-    other = POOLED if POOLED in langs else min(langs)
 
     def run(batches):
         begin("classifier")
         numbering, chunk = shared.value, TaskContext.get().partitionId() << 32
         for b, texts, lang in _text_slices(batches):
-            ids, n = numbering.of_texts(lang if lang in langs else other, texts)
+            lang = model_of(lang, langs)
+            ids, n = numbering.of_texts(lang, texts)
             at, text = _positions(n), np.repeat(np.arange(len(n)), n)
-            alone = np.isin(ids[at - 1], without)
-            base = np.bincount(text[alone], np.log(values.value[0][ids[at[alone]]].astype("f8")), len(n))
-            head = np.stack([b.column("text_key").to_numpy(), n]).astype("<i8").tobytes() + base.astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([chunk % shards, None, head, None, None, None, None, chunk], _ASKED)], schema=_ASKED)
+            alone = (ids[at - 1] >= unseen) & (ids[at - 1] < base) & (ids[at] < base)
+            sums = np.bincount(text[alone], np.log(values.value[0][ids[at[alone]]].astype("f8")), len(n))
+            head = np.stack([b.column("text_key").to_numpy(), n]).astype("<i8").tobytes() + sums.astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([chunk % shards, None, head, None, None, None, None, chunk, None], _ASKED)], schema=_ASKED)
             at, text = at[~alone], text[~alone]
             if len(at):
                 first, middle, last = (ids[at - k] for k in (2, 1, 0))
-                off = np.zeros(len(at), "i8")
+                # Words unseen have no table: any shard answers.
+                turn = np.arange(len(at)) + chunk
+                off = np.where((middle >= unseen) & (middle < base), turn % shards, 0)
                 if len(heavy):
                     i = np.minimum(np.searchsorted(heavy, middle), len(heavy) - 1)
-                    off = np.where(heavy[i] == middle, (np.arange(len(at)) + chunk) % many[i], 0)
+                    off = np.where(heavy[i] == middle, turn % many[i], off)
                 shard = (middle + off) % shards
                 order = np.argsort(shard, kind="stable")
                 shard, text = shard[order], text[order]
                 # Numbers of texts ascend within a shard; their steps are small.
                 step = np.where(np.concatenate([[True], shard[1:] != shard[:-1]]), text, np.diff(text, prepend=0))
                 rows = _rows(shard, [first[order], middle[order] // np.uint32(shards), last[order], step, off[order]])
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([chunk] * len(rows[0]), pa.int64())], schema=_ASKED)
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.array([x] * len(rows[0]), pa.int64()) for x in (chunk, langs[lang]))], schema=_ASKED)
             chunk += 1
 
     return run
@@ -452,15 +544,17 @@ def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, absent: float)
 class _Shard:
     """Discounted shares of trigrams and bigrams and weights of their contexts, by keys; ``b`` is the word in its shard's count."""
 
-    def __init__(self, rows: pa.Table, shards: int, low: np.ndarray, lang: np.ndarray, discounts: np.ndarray):
-        self.low, self.bits = low, len(lang).bit_length()
+    def __init__(self, rows: pa.Table, shards: int, bits: int, discounts: np.ndarray):
+        self.bits = bits
         a, b, c, n = _unpacked(rows)
-        own = np.repeat(rows.column("shard").to_numpy(), rows.column("m").to_numpy())
+        own, lang = np.repeat(rows.column("shard").to_numpy(), rows.column("m").to_numpy()), np.zeros(0, "i8")
+        if len(own):
+            lang = np.concatenate([unpack(x, m) for x, m in zip(rows.column("langs").to_pylist(), rows.column("m").to_pylist())])
         b = b * shards + own
-        self.three, self.two, _, _ = self._order(n, discounts[3, lang[b]], (b, a, c), (b, a))
+        self.three, self.two, _, _ = self._order(n, discounts[3, lang], (b, a, c), (b, a))
         at, of = _distinct(_keys(self.bits, b, c))
-        b, c = b[at], c[at]
-        self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang[b]], (b, c), (b,))
+        b, c, lang = b[at], c[at], lang[at]
+        self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang], (b, c), (b,))
         self.one = _sorted(b[first].astype("u8"), weight)
 
     def _order(self, n, discounts, gram, context):
@@ -471,26 +565,47 @@ class _Shard:
         weight = back / np.maximum(total, 1)
         return _sorted(_keys(self.bits, *gram), (n - d) / total[of]), _sorted(key[first], weight), first, weight
 
-    def log_p(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        p = _find(self.pairs, _keys(self.bits, b, c), 0.0) + _find(self.one, b.astype("u8"), 1.0) * self.low[c]
+    def shares(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What trigrams and bigrams give to the probability, and the weight that is left to the lowest order."""
+        share, left = _find(self.pairs, _keys(self.bits, b, c), 0.0), _find(self.one, b.astype("u8"), 1.0)
         weight = _find(self.two, _keys(self.bits, b, a), -1.0)
         known = np.flatnonzero(weight >= 0)
-        p[known] *= weight[known]
-        p[known] += _find(self.three, _keys(self.bits, b[known], a[known], c[known]), 0.0)
-        return np.log(p)
+        share[known] *= weight[known]
+        left[known] *= weight[known]
+        share[known] += _find(self.three, _keys(self.bits, b[known], a[known], c[known]), 0.0)
+        return share, left
+
+
+_SENT = ("chunks", "text", "langs", "c", "share", "left")
+_SUMS = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("m", pa.int64()), ("text", pa.binary()), ("sum", pa.binary()), ("rest", pa.int64()), *((x, pa.binary()) for x in _SENT if x != "text")])
+_SUMS_DDL = "chunk long, head binary, m long, text binary, sum binary, rest long, " + ", ".join(f"{x} binary" for x in _SENT if x != "text")
+
+
+def _summed(chunk: int, text: np.ndarray, log: np.ndarray) -> dict:
+    """Sums by text of positions in the order of their texts."""
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    return {"chunk": chunk, "m": len(first), "text": pack(np.diff(text[first], prepend=0)), "sum": np.add.reduceat(log, first).astype("<f4").tobytes()}
 
 
-_SUMS = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("m", pa.int64()), ("text", pa.binary()), ("sum", pa.binary())])
+def _sent_on(shards: int, waiting: list[list[np.ndarray]]) -> list[dict]:
+    """Positions with a last word by hash, one packed row a shard of that word."""
+    chunk, text, lang, c, share, left = (np.concatenate(x) for x in zip(*waiting))
+    order = np.argsort(c % shards, kind="stable")
+    columns = _rows((c % shards)[order], [x[order] for x in (chunk, text, lang, c // shards, share.view("u8"), left.view("u8"))])
+    return [dict(zip(("rest", "m", *_SENT), x)) for x in zip(*(x.to_pylist() for x in columns))]
 
 
 def _answered(model: Model):
-    """Sums of log probabilities of one shard's positions, by text of each chunk."""
-    shared, shards = model.values, model.shards
+    """Sums of log probabilities of one shard's positions, by text of each chunk; and for shards of last words (``rest``) the
+    positions whose last word has its number by hash."""
+    shared, shards, base, bits = model.values, model.shards, model.base, model.bits
 
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
         begin("classifier")
         shard, out = key[0].as_py(), []
-        table_ = _Shard(rows, shards, *shared.value)
+        low, discounts = shared.value
+        table_ = _Shard(rows, shards, bits, discounts)
+        waiting: list[list[np.ndarray]] = []
         for t in asked.to_batches(max_chunksize=TOGETHER):
             heads = t.filter(t.column("m").is_null())
             out += [{"chunk": x, "head": y} for x, y in zip(heads.column("chunk").to_pylist(), heads.column("a").to_pylist())]
@@ -503,16 +618,49 @@ def _answered(model: Model):
             b = b * shards + (shard - off) % shards
             # Lookups in the order of the keys stay near each other.
             order = np.lexsort((c, a, b))
-            log = np.empty(len(a))
-            log[order] = table_.log_p(a[order], b[order], c[order])
-            for chunk, own, part in zip(t.column("chunk").to_pylist(), text, np.split(log, np.cumsum(m)[:-1])):
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                out.append({"chunk": chunk, "m": len(first), "text": pack(np.diff(own[first], prepend=0)), "sum": np.add.reduceat(part, first).astype("<f4").tobytes()})
+            share, left = np.empty(len(a)), np.empty(len(a))
+            share[order], left[order] = table_.shares(a[order], b[order], c[order])
+            log, here = np.zeros(len(a)), np.flatnonzero(c < base)
+            log[here] = np.log(share[here] + left[here] * low[c[here]])
+            out += [_summed(chunk, own, part) for chunk, own, part in zip(t.column("chunk").to_pylist(), text, np.split(log, np.cumsum(m)[:-1]))]
+            if len(here) < len(c):
+                on = np.flatnonzero(c >= base)
+                chunk, lang = (np.repeat(t.column(x).to_numpy(), m) for x in ("chunk", "lang"))
+                waiting.append([x[on] for x in (chunk, np.concatenate(text), lang, c, share, left)])
+                if sum(len(x[0]) for x in waiting) >= SENT_ON:
+                    out += _sent_on(shards, waiting)
+                    waiting = []
+        out += _sent_on(shards, waiting) if waiting else []
         return pa.Table.from_pylist(out, schema=_SUMS)
 
     return run
 
 
+def _rest_answered(model: Model):
+    """Sums of log probabilities, by text of each chunk, of the positions that wait for the lowest order of a word by hash."""
+    shards, (discounts, totals, evens) = model.shards, model.shares
+
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+        begin("classifier")
+        out: list[dict] = []
+        if asked.num_rows:
+            m = asked.column("m").to_pylist()
+            chunk, text, lang, c, share, left = (np.concatenate([unpack(x, k) for x, k in zip(asked.column(name).to_pylist(), m)]).astype("u8") for name in _SENT)
+            at, n = np.zeros(0, "u8"), np.zeros(0, "i8")
+            for k, x, y in zip(*(rows.column(name).to_pylist() for name in ("m", "c", "count"))):
+                at, n = np.cumsum(unpack(x, k).astype("u8")), unpack(y, k).astype("i8")
+            n, lang = _find((at, n), c, 0).astype("i8"), lang.astype("i8")
+            low = np.where(n > 0, (n - discounts[lang, np.minimum(n, 3)]) / totals[lang], 0.0) + evens[lang]
+            log = np.log(share.view("f8") + left.view("f8") * low.astype("f4"))
+            order = np.lexsort((text, chunk))
+            chunk, text, log = chunk[order].astype("i8"), text[order].astype("i8"), log[order]
+            cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk)).tolist()
+            out = [_summed(int(chunk[i]), text[i:j], log[i:j]) for i, j in zip(cut, cut[1:])]
+        return pa.Table.from_pylist(out, schema=pa.schema([*_SUMS][:5]))
+
+    return run
+
+
 def _text_sums(rows: pa.Table) -> pa.Table:
     """Key, sum of log probabilities and words of each text of a chunk."""
     head = next(x for x in rows.column("head").to_pylist() if x is not None)
@@ -538,7 +686,14 @@ def _once(asked: DataFrame) -> DataFrame:
 def _scored_texts(asked: DataFrame, model: Model, tables: DataFrame) -> DataFrame:
     """``text_key, mean_log, n`` of the texts of ``asked`` that have words."""
     positions = asked.mapInArrow(_asked(model), _ASKED_DDL)
-    sums = positions.groupBy("shard").cogroup(tables.groupBy("at")).applyInArrow(_answered(model), "chunk long, head binary, m long, text binary, sum binary")
+    answered = positions.groupBy("shard").cogroup(tables.groupBy("at")).applyInArrow(_answered(model), _SUMS_DDL)
+    if model.rest:
+        answered = materialise(answered, "answered")
+    sums = answered.where("rest IS NULL").select("chunk", "head", "m", "text", "sum")
+    if model.rest:
+        words_ = model.rest_words.where("shard IS NOT NULL")
+        sent = answered.where("rest IS NOT NULL").groupBy("rest").cogroup(words_.groupBy("shard"))
+        sums = sums.unionByName(sent.applyInArrow(_rest_answered(model), "chunk long, head binary, m long, text binary, sum binary"))
     by_text = sums.groupBy("chunk").applyInArrow(_text_sums, "text_key long, sum double, n long")
     # Copies of a text have equal sums.
     return by_text.groupBy("text_key").agg((F.sum("sum") / F.sum("n")).alias("mean_log"), F.max("n").alias("n"))
@@ -555,11 +710,12 @@ def likelihoods(docs: DataFrame, train: DataFrame) -> DataFrame:
             none = asked.select("text_key", F.lit(math.log(NOTHING)).alias("mean_log"), F.size(words(F.col("text"))).cast("long").alias("n"))
             return keep(materialise(none.where("n > 0").distinct(), "likelihoods"))
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_asked // (WORD_CHARS * SHARD_WORDS) + 1)
-        model = Model(train, n_asked / n_trained, shards)
+        once = _once(asked)
+        model = Model(train, once, n_asked, n_trained, shards)
         # A word of several shards has its table in each of them.
-        tables = model.tables.where("m IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-        tables = tables.select(F.pmod(F.col("shard") + F.col("copy"), F.lit(shards)).cast("long").alias("at"), "shard", "m", "a", "b", "c", "count")
-        out, once = [], _once(asked)
+        tables = model.tables.where("shard IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+        tables = tables.select(F.pmod(F.col("shard") + F.col("copy"), F.lit(shards)).cast("long").alias("at"), "shard", "m", "a", "b", "c", "count", "langs")
+        out = []
         for part in range(ROUNDS):
             out.append(keep(materialise(_scored_texts(once.where(F.pmod("text_key", F.lit(ROUNDS)) == part), model, tables), "likelihoods")))
             release(spark)

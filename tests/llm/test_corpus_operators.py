@@ -555,6 +555,34 @@ def test_sharded_scores_against_plain_dictionaries(spark, monkeypatch, shard_wor
     assert [r["mean_log"] * len(r["text"].split()) for r in got] == pytest.approx([want(r["text"]) for r in got], rel=1e-4)
 
 
+@pytest.mark.parametrize("vocabulary", [0, 12])
+@pytest.mark.parametrize("shard_words", [50, 1_000_000])
+def test_words_beyond_the_broadcast_vocabulary(spark, monkeypatch, vocabulary, shard_words):
+    """Most words, or all, are looked up in shards, frequent ones of the documents before: the same model as with all words broadcast."""
+    monkeypatch.setattr(quality_classifier, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(quality_classifier, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(quality_classifier, "SENT_ON", 40, raising=False)
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = {lang: [" ".join(rnd.choices(words, weights=range(1, 41), k=rnd.randint(1, 60))) for _ in range(60)] for lang in ("en", "de")}
+    texts["*"] = texts["en"] + texts["de"]
+    train = spark.createDataFrame([(lang, t) for lang in texts for t in texts[lang]], "model_lang string, text string")
+    want = {lang: kneser_ney_reference(t) for lang, t in texts.items()}
+    probe = [*texts["en"][:10], *texts["de"][:10], texts["en"][0], "w1 unknown w2 w3", "unknown", "w39 w39 w39 w38", "unknown stranger " * 300, "w5 w0 " * 300, ""]
+    docs = spark.createDataFrame([(lang, t) for lang in ("en", "de", "xx") for t in probe], "lang string, text string")
+    got = docs.withColumn("text_key", quality_classifier.text_key()).join(quality_classifier.likelihoods(docs, train), "text_key").collect()
+    assert len(got) == 3 * (len(probe) - 1)
+    assert [r["mean_log"] * len(r["text"].split()) for r in got] == pytest.approx([want.get(r["lang"], want["*"])(r["text"]) for r in got], rel=1e-4)
+
+
+@pytest.mark.parametrize("bits", [20, 22, 64])
+def test_keys_of_table_and_lookup_agree(bits):
+    """A lookup of small numbers in a table with large ones: a vocabulary of 2 to 4 million words had other keys for these."""
+    b, a, c = (np.asarray(x) for x in ([5, (1 << 22) - 1], [7, 8], [9, 10]))
+    table, asked = quality_classifier._keys(bits, b, a, c), quality_classifier._keys(bits, b[:1], a[:1], c[:1])
+    assert table[0] == asked[0]
+
+
 def test_pooled_model_learns_all_trusted_text(spark):
     """Few trusted texts, and documents of a language without any: clean ones stay."""
     rnd = random.Random(3)
