@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import free_name, join_bounded, unit_hash, words
 from siftwell.llm.token_output import array_batches
-from siftwell.llm.wordlists import split_words
+from siftwell.llm.wordlists import hashed_words
 from siftwell.llm.worker import begin
 from siftwell.sources.scratch import arrow_rows, materialise, release, table, temporary
 
@@ -52,7 +52,7 @@ MARGIN = 1.5
 PRIOR_WORDS = 25
 SEED = "trusted-1"
 POOLED = "*"
-#: Words whose numbers are broadcast, at 20 bytes each; all others are looked up in shards.
+#: Words whose numbers are broadcast, at 20 bytes each (28 with a worker's index); all others are looked up in shards.
 VOCABULARY = 1 << 22
 #: Positions that one shard holds, about.
 SHARD_WORDS = 4_000_000
@@ -61,7 +61,7 @@ WORD_CHARS = 6
 #: Words of a range of word numbers that is summed together.
 RANGE = 1 << 13
 #: Rows of an Arrow batch with texts, and bytes of texts whose words are told apart together.
-ARROW_ROWS, SLICE_BYTES = 1000, 2 << 20
+ARROW_ROWS, SLICE_BYTES = 2000, 4 << 20
 #: Ids of trusted documents and sums of texts (8 and 24 bytes each) that may be broadcast; beyond it the joins shuffle.
 BROADCAST_IDS = 2_000_000
 #: Parts of the texts that are scored one after the other: the positions of one part are exchanged at a time.
@@ -160,18 +160,18 @@ def unstep(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- the vocabulary
 
 
-def _word_keys(lang: str, found: pa.Array) -> np.ndarray:
-    """Hashes of language and word."""
-    hashes = np.fromiter(map(_hash, found.to_pylist()), "u8", len(found))
-    return _mix(np.full(len(hashes), _hash(lang), "u8"), hashes)
+def _word_keys(lang: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of language and word of all words, and the number of words of each text."""
+    hashes, n = hashed_words(texts)
+    return _mix(np.full(1, _hash(lang), "u8"), hashes), n
 
 
 def _word_counts(batches):
     begin("classifier")
     for _, texts, lang in _text_slices(batches):
-        found = split_words(texts)[0].value_counts()
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(_word_keys(lang, found.field("values")).view("i8")), found.field("counts")], ["lang", "word", "n"])
+        key, n = np.unique(_word_keys(lang, texts)[0], return_counts=True)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view("i8")), pa.array(n)], ["lang", "word", "n"])
 
 
 def model_of(lang: str, langs) -> str:
@@ -185,17 +185,42 @@ def _frequent(shared, langs, a_byte: float):
     def run(batches):
         begin("classifier")
         for _, texts, lang in _text_slices(batches):
-            found, lang = split_words(texts)[0].value_counts(), model_of(lang, langs)
-            often = found.field("counts").to_numpy() >= a_byte * (pc.sum(pc.binary_length(texts)).as_py() or 0)
-            found = found.filter(pa.array(often))
-            key = _word_keys(lang, found.field("values"))
-            new = ~np.isin(key, shared.value)
+            lang = model_of(lang, langs)
+            key, n = np.unique(_word_keys(lang, texts)[0], return_counts=True)
+            often = n >= a_byte * (pc.sum(pc.binary_length(texts)).as_py() or 0)
+            key, n = key[often], n[often]
+            new = ~_find((shared.value, np.ones(len(shared.value), bool)), key, False)
             if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(new.sum()), pa.string()), pa.array(key[new].view("i8")), pa.array(found.field("counts").to_numpy()[new])], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(new.sum()), pa.string()), pa.array(key[new].view("i8")), pa.array(n[new])], ["lang", "word", "n"])
 
     return run
 
 
+class Index:
+    """Values of distinct keys that are hashes: the high bits of a key tell where to begin in the sorted keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent):
+        order = np.argsort(keys)
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        # The last key ends every search.
+        self.keys = np.append(keys[order], np.uint64((1 << 64) - 1))
+        self.values = np.append(values[order], np.asarray([absent], values.dtype))
+        self.absent = self.values[-1]
+        self.start = np.zeros(1 << bits, "u4" if len(keys) < 1 << 32 else "u8")
+        np.cumsum(np.bincount((keys >> self.shift).astype("i8"), minlength=1 << bits)[:-1], out=self.start[1:])
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        i = self.start[(key >> self.shift).astype("i8")].astype("i8")
+        at = self.keys[i]
+        later = np.flatnonzero(at < key)
+        while len(later):
+            i[later] += 1
+            at[later] = self.keys[i[later]]
+            later = later[at[later] < key[later]]
+        return np.where(at == key, self.values[i], self.absent)
+
+
 class Numbering:
     """Numbers of words: those of the vocabulary, then for each language one for the begin of a text and one for words unseen;
     from ``base`` on numbers by hash, where trusted text has other words than the vocabulary (``rest``)."""
@@ -208,8 +233,7 @@ class Numbering:
         self.bits = 64 if rest else self.base.bit_length()
         keys = np.concatenate([keys, np.asarray([k for _, k in unseen], "i8").view("u8")])
         ids = np.concatenate([np.arange(self.size), np.asarray([self.unseen(lang) for lang, _ in unseen], "i8")])
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], ids[order].astype("u4")
+        self.keys, self.ids, self.index = keys, ids.astype("u4"), None
 
     def begin(self, lang: str) -> int:
         return self.size + self.langs[lang]
@@ -219,18 +243,20 @@ class Numbering:
 
     def of_texts(self, lang: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, two begins before each text, and the number of words of each text."""
-        found, n = split_words(texts)
-        found = found.dictionary_encode()
-        asked = _word_keys(lang, found.dictionary)
+        if self.index is None:
+            # A worker's own, so that it is not broadcast.
+            self.index = Index(self.keys, self.ids, (1 << 32) - 1)
+            self.keys = self.ids = None
+        asked, n = _word_keys(lang, texts)
+        ids = self.index.find(asked)
+        absent = np.flatnonzero(ids == self.index.absent)
         if self.rest:
-            ids = (asked % np.uint64((1 << 63) - self.base)).astype("i8") + self.base
+            ids = ids.astype("i8")
+            ids[absent] = (asked[absent] % np.uint64((1 << 63) - self.base)).astype("i8") + self.base
         else:
-            ids = np.full(len(asked), self.unseen(lang), "u4")
-        if len(self.keys):
-            i = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            ids = np.where(self.keys[i] == asked, self.ids[i], ids)
+            ids[absent] = self.unseen(lang)
         out = np.full(int(n.sum()) + 2 * len(n), self.begin(lang), ids.dtype)
-        out[_positions(n)] = ids[found.indices.to_numpy()]
+        out[_positions(n)] = ids
         return out, n
 
 
@@ -275,7 +301,7 @@ def vocabulary(train: DataFrame, asked: DataFrame, n_asked: int) -> Vocabulary:
         hot, frequent = counts.where(F.col("n") >= least).toArrow(), []
         if least > 1 and n_asked >= SHARD_WORDS:
             # Slices leave out less than half of SHARD_WORDS positions of a word; few words can have the other half.
-            shared = spark.sparkContext.broadcast(hot.column("word").to_numpy().view("u8"))
+            shared = spark.sparkContext.broadcast(np.sort(hot.column("word").to_numpy().view("u8")))
             found = asked.mapInArrow(_frequent(shared, set(starts), SHARD_WORDS / (2 * n_asked)), "lang string, word long, n long")
             found = materialise(found.groupBy("lang", "word").agg(F.sum("n").alias("asked")).where(F.col("asked") >= SHARD_WORDS / 2), "frequent")
             frequent = [tuple(r) for r in found.collect()]
@@ -332,9 +358,13 @@ def _keys(bits: int, *numbers: np.ndarray) -> np.ndarray:
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each distinct key, and the number of the key at each place."""
-    _, first, of = np.unique(key, return_index=True, return_inverse=True)
-    return first, of
+    """A place of each distinct key in the order of the keys, and the number of the key at each place."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([np.ones(min(len(key), 1), bool), ordered[1:] != ordered[:-1]])
+    of = np.empty(len(key), "i8")
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def _unpacked(rows: pa.Table) -> list[np.ndarray]:
@@ -365,8 +395,9 @@ def _added_up(shards: int, base: int, bits: int, copies: dict[int, int]):
         first, of = _distinct(_keys(bits, b, a, c))
         count = np.bincount(of, count, len(first)).astype("i8")
         a, b, c, lang = a[first], b[first], c[first], lang[first]
-        order = np.lexsort((c, a, b))
-        a, b, c, lang, count = a[order], b[order], c[order], lang[order], count[order]
+        if bits * 3 > 64:  # Keys that are hashes do not keep the order.
+            order = np.lexsort((c, a, b))
+            a, b, c, lang, count = a[order], b[order], c[order], lang[order], count[order]
         word = b * shards + shard
         out: list[dict] = []
         heavy = [x for x in copies if x % shards == shard]
@@ -517,7 +548,8 @@ def _asked(model: Model):
                     i = np.minimum(np.searchsorted(heavy, middle), len(heavy) - 1)
                     off = np.where(heavy[i] == middle, turn % many[i], off)
                 shard = (middle + off) % shards
-                order = np.argsort(shard, kind="stable")
+                # Numbers of 16 bits are sorted by radix.
+                order = np.argsort(shard.astype("u2") if shards <= 1 << 16 else shard, kind="stable")
                 shard, text = shard[order], text[order]
                 # Numbers of texts ascend within a shard; their steps are small.
                 step = np.where(np.concatenate([[True], shard[1:] != shard[:-1]]), text, np.diff(text, prepend=0))
@@ -528,9 +560,9 @@ def _asked(model: Model):
     return run
 
 
-def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key)
-    return key[order], value[order]
+def _scattered(key: np.ndarray) -> np.ndarray:
+    """A different number for each key, with even high bits."""
+    return _mix(key, np.zeros(1, "u8"))
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, absent: float) -> np.ndarray:
@@ -551,28 +583,28 @@ class _Shard:
         if len(own):
             lang = np.concatenate([unpack(x, m) for x, m in zip(rows.column("langs").to_pylist(), rows.column("m").to_pylist())])
         b = b * shards + own
-        self.three, self.two, _, _ = self._order(n, discounts[3, lang], (b, a, c), (b, a))
+        self.three, self.two, _, _ = self._order(n, discounts[3, lang], (b, a, c), (b, a), -1.0)
         at, of = _distinct(_keys(self.bits, b, c))
         b, c, lang = b[at], c[at], lang[at]
-        self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang], (b, c), (b,))
-        self.one = _sorted(b[first].astype("u8"), weight)
+        self.pairs, _, first, weight = self._order(np.bincount(of, minlength=len(at)), discounts[2, lang], (b, c), (b,), 1.0)
+        self.one = Index(_scattered(b[first].astype("u8")), weight, 1.0)
 
-    def _order(self, n, discounts, gram, context):
+    def _order(self, n, discounts, gram, context, absent):
         d = discounts[np.arange(len(n)), np.minimum(n, 3)]
         key = _keys(self.bits, *context)
         first, of = _distinct(key)
         total, back = np.bincount(of, n, len(first)), np.bincount(of, d, len(first))
         weight = back / np.maximum(total, 1)
-        return _sorted(_keys(self.bits, *gram), (n - d) / total[of]), _sorted(key[first], weight), first, weight
+        return Index(_scattered(_keys(self.bits, *gram)), (n - d) / total[of], 0.0), Index(_scattered(key[first]), weight, absent), first, weight
 
     def shares(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What trigrams and bigrams give to the probability, and the weight that is left to the lowest order."""
-        share, left = _find(self.pairs, _keys(self.bits, b, c), 0.0), _find(self.one, b.astype("u8"), 1.0)
-        weight = _find(self.two, _keys(self.bits, b, a), -1.0)
+        share, left = self.pairs.find(_scattered(_keys(self.bits, b, c))), self.one.find(_scattered(b.astype("u8")))
+        weight = self.two.find(_scattered(_keys(self.bits, b, a)))
         known = np.flatnonzero(weight >= 0)
         share[known] *= weight[known]
         left[known] *= weight[known]
-        share[known] += _find(self.three, _keys(self.bits, b[known], a[known], c[known]), 0.0)
+        share[known] += self.three.find(_scattered(_keys(self.bits, b[known], a[known], c[known])))
         return share, left
 
 
@@ -616,10 +648,7 @@ def _answered(model: Model):
             a, b, c, off = (np.concatenate([unpack(x, k) for x, k in zip(t.column(name).to_pylist(), m)]).astype("i8") for name in ("a", "b", "c", "off"))
             text = [np.cumsum(unpack(x, k).astype("i8")) for x, k in zip(t.column("text").to_pylist(), m)]
             b = b * shards + (shard - off) % shards
-            # Lookups in the order of the keys stay near each other.
-            order = np.lexsort((c, a, b))
-            share, left = np.empty(len(a)), np.empty(len(a))
-            share[order], left[order] = table_.shares(a[order], b[order], c[order])
+            share, left = table_.shares(a, b, c)
             log, here = np.zeros(len(a)), np.flatnonzero(c < base)
             log[here] = np.log(share[here] + left[here] * low[c[here]])
             out += [_summed(chunk, own, part) for chunk, own, part in zip(t.column("chunk").to_pylist(), text, np.split(log, np.cumsum(m)[:-1]))]

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -575,6 +576,35 @@ def test_words_beyond_the_broadcast_vocabulary(spark, monkeypatch, vocabulary, s
     assert [r["mean_log"] * len(r["text"].split()) for r in got] == pytest.approx([want.get(r["lang"], want["*"])(r["text"]) for r in got], rel=1e-4)
 
 
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """A slice takes one call for its language, not one for each of its words; equal words have equal numbers, others differ."""
+    calls = []
+    plain = quality_classifier._hash
+    monkeypatch.setattr(quality_classifier, "_hash", lambda word: calls.append(word) or plain(word))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("ab\x00\x0eé日") for _ in range(rnd.choice([1, 2, 3, 7, 8, 9, 16, 17, 33, 63, 64, 65, 200]))) for _ in range(3000)]
+    texts = ["", " ", "\t\n", *(rnd.choice(["", " "]) + "".join(w + rnd.choice([" ", "\n ", "\x0b", "\r\t"]) for w in rnd.choices(words, k=rnd.randint(1, 90))) for _ in range(300)), "x", "y"]
+    texts = [t.rstrip() if k % 2 else t for k, t in enumerate(texts)]
+    found = [WORD.findall(t) for t in texts]
+    b = pa.RecordBatch.from_pydict({"text": pa.array(["cut off", *texts]).slice(1), "lang": pa.array(["en"] * len(texts))})
+    counts = pa.Table.from_batches([*quality_classifier._word_counts([b])])
+    assert len(calls) == 1 and sorted(counts["n"].to_pylist()) == sorted(Counter(w for t in found for w in t).values())
+    keys, n = quality_classifier._word_keys("en", b.column("text"))
+    assert n.tolist() == [len(t) for t in found]
+    of = dict(zip((w for t in found for w in t), keys.tolist()))
+    assert [of[w] for t in found for w in t] == keys.tolist() and len(set(of.values())) == len(of)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 1000])
+def test_index_of_hashes(size):
+    rng = np.random.default_rng(size)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, size, "u8"), rng.integers(0, 50, size, "u8"), np.asarray([(1 << 64) - 1] * (size > 1), "u8")]))
+    rng.shuffle(keys)
+    some = dict(zip(keys[: len(keys) // 2].tolist(), range(len(keys))))
+    found = quality_classifier.Index(np.asarray([*some], "u8"), np.asarray([*some.values()], "i8"), -1).find(keys)
+    assert found.tolist() == [some.get(k, -1) for k in keys.tolist()]
+
+
 @pytest.mark.parametrize("bits", [20, 22, 64])
 def test_keys_of_table_and_lookup_agree(bits):
     """A lookup of small numbers in a table with large ones: a vocabulary of 2 to 4 million words had other keys for these."""
